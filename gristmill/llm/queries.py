@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, simhash
+from . import langid, licenses, mixing, packing, quality, simhash, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
     "op2_simhash": simhash.op2_simhash,
+    "op4_langid": langid.op4_langid,
     "op5_mixing": mixing.op5_mixing,
+    "op6_suffixes": suffixes.op6_suffixes,
     "op8_packing": packing.op8_packing,
+    "op10_licenses": licenses.op10_licenses,
 }
 
 SQL: dict[str, str] = {
     "op1_quality": quality.OP1_SQL,
     "op5_mixing": mixing.OP5_SQL,
+    "op10_licenses": licenses.OP10_SQL,
 }
