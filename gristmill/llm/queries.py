@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licenses, mixing, packing, quality, simhash, suffixes
+from . import chroma, langid, licenses, mixing, packing, pages, pii, quality, simhash, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
     "op2_simhash": simhash.op2_simhash,
+    "op3_chroma": chroma.op3_chroma,
     "op4_langid": langid.op4_langid,
     "op5_mixing": mixing.op5_mixing,
     "op6_suffixes": suffixes.op6_suffixes,
+    "op7_pages": pages.op7_pages,
     "op8_packing": packing.op8_packing,
+    "op9_pii": pii.op9_pii,
     "op10_licenses": licenses.op10_licenses,
 }
 

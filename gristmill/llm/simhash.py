@@ -20,6 +20,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from .common import ensure_checkpoint_dir, saved
 
@@ -212,35 +213,40 @@ def components(edges: DataFrame) -> DataFrame:
         seen = found
 
 
+def roots_of(fps: DataFrame, name: str) -> DataFrame:
+    """``fps`` (distinct ``name``) with _root, the least fingerprint of its component."""
+    found = components(links(fps.select(name), name))
+    joined = fps.join(found, F.col(name) == F.col("node"), "left")
+    return joined.select(*fps.columns, F.coalesce("root", name).alias("_root"))
+
+
 def classes(fingerprinted: DataFrame, key: str, name: str) -> DataFrame:
     """One row per distinct fingerprint: ``name`` and component_id, the least ``key`` in its component."""
     fps = saved(fingerprinted.groupBy(name).agg(F.min(key).alias("_least")))
-    roots = components(links(fps.select(name), name))
-    rooted = fps.join(roots, F.col(name) == F.col("node"), "left").select(
-        name, "_least", F.coalesce("root", name).alias("_root")
-    )
+    rooted = roots_of(fps, name)
     low = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
     return rooted.join(low, "_root").select(name, "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component left: the one with the least doc_id (null ids count last); among
-    rows that share that id, the longest text, then the first in order of text."""
-    fp, comp = "_near_fp", "_near_component"
-    slim = saved(with_fingerprints(docs.select("doc_id", "text"), "text", fp))
-    found = classes(slim, "doc_id", fp)
-    kept = slim.join(found, fp).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.groupBy("doc_id", F.col("component_id").alias(comp)).agg(F.min(fp).alias(fp))
-    stay = docs.join(kept.select(F.col("doc_id").alias("_near_id")), F.col("doc_id").eqNullSafe(F.col("_near_id")), "left_semi")
-    many = slim.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_near_id"))
+    """``docs`` with one row of each component left: the one with the least doc_id (null ids come last, and among rows
+    of one id the one with the least hash of its text); of rows equal in both, the first by source and language."""
+    h, fp = "_near_hash", "_near_fp"
+    hashed = docs.withColumn(h, F.xxhash64("text"))
+    slim = saved(with_fingerprints(hashed.select("doc_id", h, "text"), "text", fp))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(h).alias("h"), F.lit(1).alias("one")))
+    fps = saved(slim.groupBy(fp).agg(first.alias("_first")))
+    stay = saved(roots_of(fps, fp).groupBy("_root").agg(F.min("_first").alias("f")).select("f.id", "f.h"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col(h) == F.col("h"))
+    kept = hashed.join(stay, same, "left_semi")
+    many = slim.groupBy("doc_id", h).count().where("count > 1").select(F.col("doc_id").alias("id"), F.col(h).alias("h"))
+    many = saved(many.join(stay.select(F.col("id").alias("i"), F.col("h").alias("g")), F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "left_semi"))
     if many.isEmpty():
-        return stay
-    from pyspark.sql.window import Window as W
-
-    same = F.col("doc_id").eqNullSafe(F.col("_near_id"))
-    once, twice = stay.join(many, same, "left_anti"), stay.join(many, same, "left_semi")
-    best = W.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), F.col("text"))
-    return once.unionByName(twice.withColumn("_near_n", F.row_number().over(best)).where("_near_n = 1").drop("_near_n"))
+        return kept.drop(h)
+    once, repeated = kept.join(many, same, "left_anti"), kept.join(many, same, "left_semi")
+    first_row = W.partitionBy("doc_id", h).orderBy("source", "lang")
+    chosen = repeated.withColumn("_near_n", F.row_number().over(first_row)).where("_near_n = 1").drop("_near_n")
+    return once.unionByName(chosen).drop(h)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
