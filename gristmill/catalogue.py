@@ -1,34 +1,16 @@
-"""All queries over the star schema and their SQL."""
+"""All queries over the star schema and their SQL, gathered from ``plans``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
+import pkgutil
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from . import plans
+from .plans.registry import QUERIES, SQL
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 FLAGSHIP = "top_n_summary"
 
+for _found in pkgutil.iter_modules(plans.__path__):
+    importlib.import_module(f"{plans.__name__}.{_found.name}")
 
-def query(name: str, sql: str | None = None) -> Callable:
-    def keep(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return keep
-
-
-@query(
-    "top_n_summary",
-    "SELECT o_orderpriority AS priority, count(*) AS n, round(avg(o_totalprice), 4) AS mean_price "
-    "FROM orders WHERE o_orderstatus = 'F' GROUP BY 1 ORDER BY 3 DESC LIMIT 12",
-)
-def _top_n(spark: SparkSession, sf: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf}/orders.parquet").where(F.col("o_orderstatus") == "F")
-    grouped = orders.groupBy(F.col("o_orderpriority").alias("priority")).agg(
-        F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean_price")
-    )
-    return grouped.orderBy(F.col("mean_price").desc_nulls_last()).limit(12)
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
