@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .values import finite, kind_of, natural_key, number_text
+from .values import finite, kind_of, let, natural_key, number_text
 
 _TOKEN = re.compile(
     r"\s*(?:(?P<num>(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)|\"(?P<dq>[^\"]*)\"|'(?P<sq>[^']*)'|\[(?P<col>[^\]]*)\]"
@@ -154,7 +154,7 @@ def _binary(op: str, a: Value, b: Value) -> Value:
     if op == "+" and "text" in (a.kind, b.kind):
         return Value(F.concat(a.text(), b.text()), "text")
     x, y = a.number(), b.number()
-    made = {"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y, "/": lambda: F.try_divide(x, y), "%": lambda: F.try_mod(x, y), "^": lambda: F.pow(x, y)}
+    made = {"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y, "/": lambda: F.try_divide(x, y), "%": lambda: let(F.try_mod(x, y), lambda r: F.when(r == 0, 0.0).otherwise(r)), "^": lambda: F.pow(x, y)}
     return Value(finite(made[op]()), "number")
 
 

@@ -6,6 +6,8 @@ the texts in a struct column ``_raw``; unused parts of it are pruned from the sc
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 RAW = "_raw"
@@ -25,6 +27,11 @@ MONTH_NAME = r"(?i)^(jan(uary)?|feb(ruary)?|mar(ch)?|apr(il)?|may|june?|july?|au
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trimmed(c: Column) -> Column:
     """Without white space at both ends, Unicode's too."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -41,18 +48,23 @@ def finite(c: Column) -> Column:
 
 def parse_number(c: Column, decimal_comma: bool = False) -> Column:
     """Number of a text such as 1,234.5, $20, 45%, 1e3 or (1,234), else null."""
-    s = trimmed(c)
-    inner = F.regexp_extract(s, r"^\((.+)\)$", 1)
-    wrapped = inner != ""
-    body = F.when(wrapped, trimmed(inner)).otherwise(s)
-    fits = body.rlike(r"\d") & body.rlike(COMMA_NUMBER if decimal_comma else NUMBER)
-    if decimal_comma:
-        plain = F.replace(F.replace(F.regexp_replace(body, r"[$€£¥%\s]", ""), F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    else:
-        fits = fits & ~(wrapped & body.rlike(r"^[-+]"))
-        plain = F.regexp_replace(body, r"[$€£¥,%\s]", "")
-    value = finite(plain.try_cast("double"))
-    return F.when(fits, F.when(wrapped, -value).otherwise(value))
+
+    def read(s: Column) -> Column:
+        wrapped = s.rlike(r"^\(.+\)$")
+        body = F.when(wrapped, trimmed(F.regexp_extract(s, r"^\((.+)\)$", 1))).otherwise(s)
+        return let(F.struct(body.alias("t"), wrapped.alias("w")), number)
+
+    def number(b: Column) -> Column:
+        t, wrapped = b["t"], b["w"]
+        fits = t.rlike(r"\d") & t.rlike(COMMA_NUMBER if decimal_comma else NUMBER)
+        if decimal_comma:
+            plain = F.replace(F.replace(F.regexp_replace(t, r"[$€£¥%\s]", ""), F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+        else:
+            fits = fits & ~(wrapped & t.rlike(r"^[-+]"))
+            plain = F.regexp_replace(t, r"[$€£¥,%\s]", "")
+        return F.when(fits, let(plain.try_cast("double"), lambda v: finite(F.when(wrapped, -v).otherwise(v))))
+
+    return let(trimmed(c), read)
 
 
 def _day(y: Column, m: Column, d: Column) -> Column:
@@ -61,7 +73,10 @@ def _day(y: Column, m: Column, d: Column) -> Column:
 
 def parse_date(c: Column, day_first: bool | None = None) -> Column:
     """UTC timestamp of a text in one of seven formats, else null."""
-    s = trimmed(c)
+    return let(trimmed(c), lambda s: _read_date(s, day_first))
+
+
+def _read_date(s: Column, day_first: bool | None) -> Column:
     part = lambda p, i: F.regexp_extract(s, p, i).try_cast("int")
     month = lambda name: F.when(
         name.rlike(MONTH_NAME), F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(name, 1, 3))).cast("int")
@@ -101,15 +116,18 @@ def parse(c: Column, kind: str, day_first: bool | None = None, decimal_comma: bo
 
 def round_digits(c: Column, digits: int = 12) -> Column:
     """A double rounded to significant digits, as calculated values are kept."""
-    return F.format_string(f"%.{digits - 1}e", c).try_cast("double")
+    return F.format_string(f"%.{digits - 1}e", c.cast("double")).try_cast("double")
 
 
 def number_text(c: Column) -> Column:
-    """12 significant digits without trailing zeros; plain notation from 1e-6 up to 1e21."""
-    plain = F.regexp_replace(F.format_string("%.20f", round_digits(c)), r"\.?0+$", "")
-    digits = round_digits(c).cast("decimal(38,18)").cast("string")
-    text = F.when(digits.contains("."), F.regexp_replace(digits, r"\.?0+$", "")).otherwise(digits)
-    return F.when(c.isNotNull(), F.coalesce(F.when(text.isin("-0", "0"), "0").otherwise(text), plain))
+    """12 significant digits without trailing zeros."""
+
+    def write(v: Column) -> Column:
+        digits = v.try_cast("decimal(38,18)").cast("string")
+        text = F.regexp_replace(digits, r"\.?0+$", "")
+        return F.when(v == 0, "0").when(v == F.floor(v), v.try_cast("decimal(38,0)").cast("string")).otherwise(text)
+
+    return F.when(c.isNotNull(), let(round_digits(c), write))
 
 
 def kind_of(df: DataFrame, name: str) -> str:
@@ -158,9 +176,18 @@ def natural_key(c: Column) -> Column:
     return F.collate(F.array_join(F.transform(run, keyed), ""), "UNICODE_CI_AI")
 
 
-def join_key(c: Column) -> Column:
-    """Key of a text for joins: numbers by value (up to 15 digits), other texts without regard to case; blanks are null."""
-    s = trimmed(c)
-    n = parse_number(s)
-    digits = F.length(F.regexp_replace(s, r"\D", ""))
-    return F.when(s == "", None).when(n.isNotNull() & (digits <= 15), F.concat(F.lit("#"), number_text(n))).otherwise(F.lower(s))
+def join_key(df: DataFrame, name: str) -> Column:
+    """Key of a column for joins: numbers by value (up to 15 digits), texts without regard to case and outer blanks.
+
+    Blanks are null. A typed number column needs no text at all."""
+    value = lambda n: F.concat(F.lit("#"), n.cast("string"))
+    if kind_of(df, name) == "number" and not has_raw(df, name):
+        c = F.col(f"`{name}`")
+        whole = isinstance(df.schema[name].dataType, T.IntegralType)
+        return F.when(F.abs(c) < 10**15, value(c.cast("double"))).otherwise(c.cast("string")) if whole else value(c.cast("double"))
+
+    def key(s: Column) -> Column:
+        few = F.length(F.regexp_replace(s, r"\D", "")) <= 15
+        return let(parse_number(s), lambda n: F.when(s == "", None).when(n.isNotNull() & few, value(n)).otherwise(F.lower(s)))
+
+    return let(trimmed(text_of(df, name)), key)

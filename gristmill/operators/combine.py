@@ -6,14 +6,14 @@ import re
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.values import join_key, text_of
+from ..functions.values import join_key
 from .cleaning import data_columns, unique_name
 
 HOW = ("left", "inner", "full")
 
 
 def _keyed(df: DataFrame, key: str, name: str) -> DataFrame:
-    return df.withColumn(name, join_key(text_of(df, key)))
+    return df.withColumn(name, join_key(df, key))
 
 
 def join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "left", right_name: str = "other") -> DataFrame:
@@ -69,7 +69,7 @@ def suggest_keys(left: DataFrame, right: DataFrame, rows: int = 5000) -> list[tu
     for df in (left, right):
         head = df.limit(rows)
         names = data_columns(df)
-        made = head.agg(*[F.collect_set(join_key(text_of(df, c))).alias(f"c{i}") for i, c in enumerate(names)], F.count("*").alias("n")).first()
+        made = head.agg(*[F.collect_set(join_key(df, c)).alias(f"c{i}") for i, c in enumerate(names)], F.count("*").alias("n")).first()
         sets.append({c: (set(made[i]), made["n"]) for i, c in enumerate(names)})
     found = []
     for a, (x, _) in sets[0].items():
