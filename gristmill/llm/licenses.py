@@ -4,7 +4,8 @@ DataFrame functions only, in the projection of the scan: no join, no shuffle, no
 but a-z and 0-9 become blanks. Units of a document are its lines, its paragraphs (parted by blank lines) and its whole.
 A unit goes on if its number of distinct bigrams can reach the threshold with some template, and if it shares a bigram
 with the templates' prefixes: of a template with n bigrams at least ceil(n*t/(2-t)) must be shared, so any
-n - ceil(n*t/(2-t)) + 1 of them hold one that is. What is left is compared with the templates within size bounds.
+n - ceil(n*t/(2-t)) + 1 of them hold one that is. A text that holds no bigram of any prefix is not cut into units at
+all. What is left is compared with the templates within size bounds.
 
 Edge cases: null and empty text has no unit and no match; ties of score go to the later template name; repeated lines
 count once; repeated rows are judged alike; an empty table gives no rows; only the named text column is read.
@@ -17,6 +18,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.values import let
+
 THRESHOLD = 0.8
 
 # The customary notices of public licences.
@@ -57,6 +60,16 @@ def prefix(bigrams: list[str], threshold: float) -> list[str]:
     return sorted(bigrams, key=lambda b: (-len(b), b))[: len(bigrams) - need + 1]
 
 
+def bigram_pattern(bigrams: set[str]) -> str:
+    """Finds any of the bigrams between blanks and line ends; one branch a letter, then one a first word."""
+    by_letter: dict[str, dict[str, list[str]]] = {}
+    for b in sorted(bigrams):
+        first, second = b.split(" ")
+        by_letter.setdefault(first[0], {}).setdefault(first[1:], []).append(second)
+    letters = [f"{c}(?:{'|'.join(f'{x}[ \\n]+(?:{'|'.join(own)})' for x, own in words.items())})" for c, words in by_letter.items()]
+    return rf"(?:^|[ \n])(?:{'|'.join(letters)})(?:[ \n]|$)"
+
+
 def _bigrams(unit: Column) -> Column:
     words = F.filter(F.split(unit, "[ \n]+"), lambda w: w != "")
     pairs = F.zip_with(words, F.slice(words, 2, 1 << 30), lambda a, b: F.concat(a, F.lit(" "), b))
@@ -68,11 +81,8 @@ def matches(text: Column, templates: dict[str, str] | None = None, threshold: fl
     own = {k: template_bigrams(v) for k, v in (templates or TEMPLATES).items()}
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     least, most = math.ceil(min(map(len, own.values())) * low - 1e-9), math.floor(max(map(len, own.values())) * high + 1e-9)
-    rare = F.array(*[F.lit(b) for b in sorted({b for v in own.values() for b in prefix(v, threshold)})])
-    plain = F.regexp_replace(F.translate(text, UPPER, LOWER), "[^a-z0-9\n]+", " ")
-    units = F.array_distinct(F.concat(F.split(plain, "\n"), F.split(plain, "\n[ \n]*\n"), F.array(plain)))
-    sets = F.transform(F.coalesce(units, F.array().cast("array<string>")), _bigrams)
-    fit = F.filter(sets, lambda s: F.size(s).between(least, most) & F.arrays_overlap(s, rare))
+    prefixes = {b for v in own.values() for b in prefix(v, threshold)}
+    rare, pattern, none = F.array(*map(F.lit, sorted(prefixes))), bigram_pattern(prefixes), F.array().cast("array<string>")
     table = F.array(*[F.struct(F.lit(k).alias("license"), F.array(*map(F.lit, v)).alias("own")) for k, v in sorted(own.items())])
 
     def best(s: Column) -> Column:
@@ -86,7 +96,14 @@ def matches(text: Column, templates: dict[str, str] | None = None, threshold: fl
         )
         return F.array_max(scored)
 
-    return F.filter(F.transform(fit, best), lambda m: m["score"] >= threshold)
+    def found(plain: Column) -> Column:
+        units = F.array_distinct(F.concat(F.split(plain, "\n"), F.split(plain, "\n[ \n]*\n"), F.array(plain)))
+        sets = F.transform(F.when(plain.rlike(pattern), units).otherwise(none), _bigrams)
+        fit = F.filter(sets, lambda s: F.size(s).between(least, most) & F.arrays_overlap(s, rare))
+        return F.filter(F.transform(fit, best), lambda m: m["score"] >= threshold)
+
+    # letters of other scripts are blanks either way, so only A-Z need lowering
+    return let(F.lower(F.regexp_replace(text, "[^A-Za-z0-9\n]+", " ")), found)
 
 
 def scan(docs: DataFrame, text: str = "text", name: str = "matches") -> DataFrame:
