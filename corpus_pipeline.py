@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from gristmill.llm import mixing, packing, pii, quality, simhash
 from gristmill.llm.common import saved
@@ -32,16 +32,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with the batch and place of each."""
-    pieces = saved(packing.cut_pieces(docs))
-    found = packing.pack(pieces, "doc_id")
-    return found.select(
-        *docs.columns,
-        F.col("pack_piece").alias("piece"),
-        F.col("pack_tokens").alias("n_tokens"),
-        F.col("pack_bucket").alias("bucket"),
-        F.col("pack_batch").alias("batch"),
-        F.col("pack_slot").alias("slot"),
-    )
+    return packing.packed(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.window import Window as W
 
 #: A word of every contract below: a run of characters that are not ASCII white space.
@@ -33,6 +35,38 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or the first of name_1, name_2, ... that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (name, *(f"{name}_{i}" for i in range(1, len(taken) + 2))) if n.lower() not in taken)
+
+
+#: Types of the columns that ``map_text`` can add.
+ARROW = {
+    "string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()),
+}
+
+
+def map_text(df: DataFrame, text: str, work: Callable[[list[str | None]], dict[str, Any]], added: dict[str, str], drop: Sequence[str] = ()) -> DataFrame:
+    """``df`` with the columns ``added`` (name -> type) that ``work`` makes from a batch of texts.
+
+    All other columns pass through as Arrow arrays, whatever their types and nulls; columns of the added names are
+    replaced and those in ``drop`` left out.
+    """
+    kept = [f for f in df.schema.fields if f.name not in added and f.name not in drop]
+    schema = T.StructType([*kept, *T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in added.items())).fields])
+    at, names = [i for i, f in enumerate(df.schema.fields) if f in kept], schema.names
+    of = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = work(batch.column(of).to_pylist())
+            new = [pa.array(made[n], ARROW[t]) for n, t in added.items()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in at), *new], names=names)
+
+    return df.mapInArrow(run, schema)
+
+
 def n_words(text: Column) -> Column:
     """Number of words in a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -11,13 +11,14 @@ rows of null id are neither held out nor learned from; repeated rows are scored
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from .common import map_text
 
 ORDERS = (1, 2, 3)
 BUCKET_BITS = 15
@@ -29,7 +30,6 @@ MAX_LANGS = 1024
 #: Characters whose n-grams are scored at once.
 BLOCK = 1 << 20
 
-_LETTER = re.compile(r"[^\W\d_]")
 _P1, _P2, _MIX = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
 
 
@@ -55,7 +55,7 @@ class Model:
 
     def score(self, text: str | None) -> tuple[str, float]:
         """Language and posterior probability."""
-        if not self.langs or not text or not _LETTER.search(text):
+        if not self.langs or not text or not any(map(str.isalpha, text)):
             return "und", 0.0
         total = self.prior.astype(np.float64)
         for b in buckets(text):
@@ -83,7 +83,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     langs = tuple(sorted(r[0] for r in found))
     rows = {r[0]: r[1] for r in found}
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, fit_docs / rows[k]))])
-    drawn = F.shiftrightunsigned(F.xxhash64(key, F.lit("fit")), 11) / F.lit(float(1 << 53))
+    drawn = F.shiftrightunsigned(F.xxhash64(key, F.lit("fit"), text), 11) / F.lit(float(1 << 53))
     sample = known.where(drawn <= F.coalesce(share[F.col(lang)], F.lit(-1.0))).select(F.col(lang).alias("l"), F.col(text).alias("t"))
     size = 1 << BUCKET_BITS
 
@@ -112,16 +112,12 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` without the text, with lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rest = [f for f in docs.schema.fields if f.name != text]
-    schema = T.StructType([*rest, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = shared.value
-        for pdf in batches:
-            found = [own.score(t) for t in pdf[text]]
-            yield pdf.drop(columns=[text]).assign(lang_pred=[x for x, _ in found], score=np.array([y for _, y in found], dtype=float))
+    def work(texts: list[str | None]) -> dict[str, list]:
+        found = [shared.value.score(t) for t in texts]
+        return {"lang_pred": [x for x, _ in found], "score": [y for _, y in found]}
 
-    return docs.mapInPandas(run, schema)
+    return map_text(docs, text, work, {"lang_pred": "string", "score": "double"}, drop=[text])
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,9 @@ Documents longer than ``max_len`` words are cut into pieces. The histogram of pi
 rows whatever the corpus, so the driver may hold it: dynamic programming over it finds the bucket boundaries with the
 least padding. Inside a bucket, pieces in a fixed pseudo-random order fill batches of a token budget.
 
-Edge cases: null or empty text is one piece of 0 words in the shortest bucket; repeated rows are rows of their own; an
-empty table gives no rows; clashing columns are kept by ``pack`` because ours are prefixed by ``pack_``.
+Edge cases: null or empty text is one piece of 0 words in the shortest bucket; repeated rows and rows of null id are
+rows of their own; an empty table gives no rows; other columns may have any type and name, as ``packed`` carries them in
+one column.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import n_words, prefix_sums, saved
+from .common import fresh, n_words, prefix_sums, saved
 
 MAX_LEN = 2048
 BUCKETS = 16
@@ -101,18 +102,30 @@ def cut(text: str | None, max_len: int) -> list[str]:
 
 
 def cut_pieces(docs: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
-    """``docs`` with ``text`` cut into pieces: a row per piece, with pack_piece and pack_tokens."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("pack_piece", T.IntegerType())])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            parts = [cut(t, max_len) for t in pdf["text"]]
-            out = pdf.loc[pdf.index.repeat([len(p) for p in parts])].reset_index(drop=True)
-            out["text"] = [x for p in parts for x in p]
-            out["pack_piece"] = np.array([i for p in parts for i in range(len(p))], dtype="int32")
-            yield out
-
-    return docs.mapInPandas(run, schema).withColumn("pack_tokens", n_words(F.col("text")))
+    """A row per piece: row (a struct of all columns of ``docs`` but the text), text, pack_piece and pack_tokens."""
+    rest = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
+    slim = docs.select(rest, "text")
+    schema = T.StructType([*slim.schema.fields, T.StructField("pack_piece", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [cut(t, max_len) for t in batch.column(1).to_pylist()]
+            at = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+            text = pa.array([x for p in parts for x in p], pa.string())
+            piece = pa.array([i for p in parts for i in range(len(p))], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), text, piece], names=schema.names)
+
+    return slim.mapInArrow(run, schema).withColumn("pack_tokens", n_words(F.col("text")))
+
+
+def packed(docs: DataFrame, key: str = "doc_id", max_len: int = MAX_LEN) -> DataFrame:
+    """The pieces of ``docs`` with all its columns, and piece, n_tokens, bucket, batch and slot (with a number behind
+    them if ``docs`` has a column of that name)."""
+    pieces = saved(cut_pieces(docs, max_len)).withColumn("pack_key", F.col(f"row.`{key}`"))
+    own = [F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    named = {"piece": "pack_piece", "n_tokens": "pack_tokens", "bucket": "pack_bucket", "batch": "pack_batch", "slot": "pack_slot"}
+    found = pack(pieces, "pack_key", max_len=max_len)
+    return found.select(*own, *[F.col(c).alias(fresh(docs, n)) for n, c in named.items()])
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

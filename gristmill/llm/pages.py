@@ -14,12 +14,12 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from .common import map_text
 
 _TAG = re.compile(
     r"<!--(?:.*?-->|.*)|<!\[CDATA\[(?:.*?\]\]>|.*)|<[!?][^>]*>"
@@ -355,14 +355,7 @@ def labelled_pages(n: int = 300, seed: int = 11) -> list[tuple[str, set[str]]]:
 def extract(pages: DataFrame, extractor: Extractor, column: str = "html", name: str = "text") -> DataFrame:
     """``pages`` with the column ``name`` in place of ``column``."""
     shared = pages.sparkSession.sparkContext.broadcast(extractor)
-    rest = [f for f in pages.schema.fields if f.name not in (column, name)]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = [shared.value.text(x) for x in pdf[column]]
-            yield pdf[[f.name for f in rest]].assign(**{name: texts})
-
-    return pages.mapInPandas(run, T.StructType([*rest, T.StructField(name, T.StringType())]))
+    return map_text(pages, column, lambda own: {name: [shared.value.text(x) for x in own]}, {name: "string"}, drop=[column])
 
 
 def op7_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ is at least ``SURE`` becomes a span of that kind.
 All patterns are matched in linear time: runs are found whole instead of retried from each start.
 
 Edge cases: null and empty texts have no spans; repeated rows are treated alike; an empty table or one without digits
-or @ trains no field and keeps the base spans alone; other columns pass through ``redact`` unchanged.
+or @ trains no field and keeps the base spans alone; other columns pass through unchanged, of whatever type and name.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .common import map_text
+
 KINDS = ("email", "ip", "card", "phone")
 #: Rows of the sample that the field is fitted on, and tokens of them, at most about.
 FIT_DOCS, FIT_TOKENS = 4000, 40_000
@@ -265,8 +267,8 @@ def added_spans(g: Graph, base: list[Span], p: np.ndarray) -> list[Span]:
 
 
 def fit(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Field | None:
-    """The field of a bounded sample of ``docs``, drawn by the hash of ``key`` from the rows with a digit or @."""
-    own = docs.select(F.xxhash64(key, F.lit("pii")).alias("h"), F.col(text).alias("t")).where(F.col("t").rlike("[0-9@]"))
+    """The field of a bounded sample of ``docs``, drawn by the hash of ``key`` and text from the rows with a digit or @."""
+    own = docs.select(F.xxhash64(key, F.lit("pii"), text).alias("h"), F.col(text).alias("t")).where(F.col("t").rlike("[0-9@]"))
     rows = docs.count()
     drawn = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
     sample = own.where(drawn <= min(1.0, FIT_DOCS / max(rows, 1)))
@@ -329,30 +331,32 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with all spans in ``text`` masked, and ``n_chars`` counted anew where there is such a column."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = find(list(pdf["text"]), shared.value)
-            yield pdf.assign(text=[masked(t, b + a) if b or a else t for t, (b, a) in zip(pdf["text"], found, strict=True)])
+    def work(texts: list[str | None]) -> dict[str, list[str | None]]:
+        found = find(texts, shared.value)
+        return {"text": [masked(t, b + a) if b or a else t for t, (b, a) in zip(texts, found, strict=True)]}
 
-    out = docs.mapInPandas(run, docs.schema)
+    out = map_text(docs, "text", work, {"text": "string"}).select(*[F.col(f"`{c}`") for c in docs.columns])
     if "n_chars" not in docs.columns:
         return out
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
-OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+OUT = {"n_email": "long", "n_ip": "long", "n_card": "long", "n_phone": "long", "base_sha256": "string", "spans": "string"}
 
 
-def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    shared = spark.sparkContext.broadcast(fit(docs))
+def scan(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with the numbers of base spans, their digest and all spans (columns ``OUT``) in place of the text."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, text))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for doc, (base, added) in zip(pdf["doc_id"], find(list(pdf["text"]), shared.value), strict=True):
-                counts = [sum(s[0] == k for s in base) for k in range(len(KINDS))]
-                rows.append((doc, *counts, hashlib.sha256(written(base).encode()).hexdigest(), written(base + added)))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
+    def work(texts: list[str | None]) -> dict[str, list]:
+        found = find(texts, shared.value)
+        out: dict[str, list] = {f"n_{kind}": [sum(s[0] == k for s in base) for base, _ in found] for k, kind in enumerate(KINDS)}
+        out["base_sha256"] = [hashlib.sha256(written(base).encode()).hexdigest() for base, _ in found]
+        out["spans"] = [written(base + added) for base, added in found]
+        return out
+
+    return map_text(docs, text, work, OUT, drop=[text])
 
-    return docs.mapInPandas(run, OUT)
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -1,23 +1,25 @@
 """Quality rules as a short-circuit cascade.
 
-A bounded sample of rows tells each rule's cost (seconds a row) and selectivity (share rejected). The rules then run in
-order of rejection per cost, each over the rows that all before it let pass. The order changes the time taken, never
-the verdict: a row is kept if no rule rejects it.
+A bounded sample of rows (the first ``SAMPLE_ROWS``) tells each rule's cost (seconds a row) and selectivity (share
+rejected). The rules then run in order of rejection per cost, each over the rows that all before it let pass. The order
+changes the time taken, never the verdict: a row is kept if no rule rejects it.
 
 Edge cases: null text has no words and fails the base rule; empty tables give no rows and the rules keep the order they
-were given; repeated rows are judged alike; other columns are passed through by ``Cascade.apply``.
+were given; repeated rows are judged alike; all other columns pass through, of whatever type and name.
 """
 
 from __future__ import annotations
 
 import re
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from .common import fresh, map_text
 
 SPACE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
@@ -25,7 +27,6 @@ SYMBOLS = b"#*$%&|<>"
 SAMPLE_ROWS = 512
 
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 class Text:
@@ -91,7 +92,7 @@ class Text:
     def letters(self) -> tuple[int, int]:
         """Letters, and capital ones of the Latin-1 range."""
         if self._letters is None:
-            self._letters = len(_LETTER.findall(self.text)), len(_UPPER.findall(self.text))
+            self._letters = sum(map(str.isalpha, self.text)), len(_UPPER.findall(self.text))
         return self._letters
 
 
@@ -137,19 +138,17 @@ class Cascade:
     rules: tuple[Rule, ...] = (Rule("base", base_fails), *RULES)
 
     def measure(self, docs: DataFrame, text: str, rows: int = SAMPLE_ROWS) -> dict[str, tuple[float, float]]:
-        """name -> (seconds a row, share rejected), each rule alone on a sample of at most ``rows`` rows."""
-        rules = self.rules
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for rule in rules:
-                    began = time.perf_counter()
-                    rejected = sum(rule.rejects(Text(t)) for t in pdf["t"])
-                    yield pd.DataFrame([(rule.name, time.perf_counter() - began, rejected, len(pdf))], columns=list("nsrk"))
-
-        sample = docs.select(F.col(text).alias("t")).limit(rows)
-        found = sample.mapInPandas(run, "n string, s double, r long, k long").groupBy("n").agg(F.sum("s"), F.sum("r"), F.sum("k"))
-        return {n: (s / k, r / k) for n, s, r, k in found.collect() if k}
+        """name -> (seconds a row, share rejected), each rule alone on the first ``rows`` rows.
+
+        ``take`` reads only as many partitions as it needs, so the sample costs the same for any table.
+        """
+        sample = [r[0] for r in docs.select(F.col(f"`{text}`")).take(rows)]
+        found = {}
+        for rule in self.rules if sample else ():
+            began = time.perf_counter()
+            rejected = sum(rule.rejects(Text(t)) for t in sample)
+            found[rule.name] = (time.perf_counter() - began) / len(sample), rejected / len(sample)
+        return found
 
     def ordered(self, docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> Cascade:
         """The cascade with the rule that rejects most per second first."""
@@ -168,54 +167,47 @@ class Cascade:
         return kept
 
     def apply(self, docs: DataFrame, text: str = "text", flag: str = "kept") -> DataFrame:
-        """``docs`` with a boolean column ``flag``."""
-        schema = T.StructType([*[f for f in docs.schema.fields if f.name != flag], T.StructField(flag, T.BooleanType())])
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                out = pdf.drop(columns=[flag], errors="ignore")
-                yield out.assign(**{flag: np.array(self.verdicts([Text(t) for t in pdf[text]]), dtype=bool)})
-
-        return docs.mapInPandas(run, schema)
+        """``docs`` with a boolean column ``flag``; a column of that name is replaced."""
+        return map_text(docs, text, lambda texts: {flag: self.verdicts([Text(t) for t in texts])}, {flag: "boolean"})
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, as they are."""
-    flag = "_quality_kept"
-    return Cascade().ordered(docs).apply(docs, flag=flag).where(F.col(flag)).select(*docs.columns)
+    flag = fresh(docs, "quality_kept")
+    return Cascade().ordered(docs).apply(docs, flag=flag).where(F.col(flag)).drop(flag)
 
 
-OUT = (
-    "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "base_failed boolean, kept boolean"
-)
+OUT = {
+    "n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long",
+    "base_failed": "boolean", "kept": "boolean",
+}
+
+
+def report(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``docs`` with the measures in ``OUT`` in place of the text; the cascade judges what the base rule lets pass."""
+    cascade = Cascade(rules).ordered(docs, text)
+
+    def work(texts: list[str | None]) -> dict[str, Any]:
+        own = [Text(t) for t in texts]
+        failed = np.array([base_fails(t) for t in own], dtype=bool)
+        kept = np.zeros(len(own), dtype=bool)
+        rest = np.flatnonzero(~failed)
+        kept[rest] = cascade.verdicts([own[i] for i in rest])
+        return {
+            "n_words": [len(t.words) for t in own],
+            "word_chars": [t.word_chars for t in own],
+            "n_symbols": [t.n_symbols for t in own],
+            "n_dup_lines": [t.lines[1] for t in own],
+            "n_repeat_words": [t.n_repeat_words for t in own],
+            "base_failed": failed,
+            "kept": kept,
+        }
+
+    return map_text(docs, text, work, OUT, drop=[text])
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    cascade = Cascade(RULES).ordered(docs)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = [Text(t) for t in pdf["text"]]
-            failed = np.array([base_fails(t) for t in texts], dtype=bool)
-            kept = np.zeros(len(texts), dtype=bool)
-            rest = np.flatnonzero(~failed)
-            kept[rest] = cascade.verdicts([texts[i] for i in rest])
-            yield pd.DataFrame(
-                {
-                    "doc_id": pdf["doc_id"],
-                    "n_words": [len(t.words) for t in texts],
-                    "word_chars": [t.word_chars for t in texts],
-                    "n_symbols": [t.n_symbols for t in texts],
-                    "n_dup_lines": [t.lines[1] for t in texts],
-                    "n_repeat_words": [t.n_repeat_words for t in texts],
-                    "base_failed": failed,
-                    "kept": kept,
-                }
-            )
-
-    return docs.mapInPandas(run, OUT)
+    return report(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 OP1_SQL = r"""

@@ -1,32 +1,58 @@
 """SimHash near-duplicates by a binary trie self-join.
 
-Fingerprints are made in the tasks that read the texts. Two fingerprints within 2 bits agree in one of three blocks, and
-within the rest agree again in one of three: nine keys of 35 or 36 bits bring every pair that can link together, for
+Fingerprints are made in the tasks that read the texts. Two words of 64 bits within 2 bits agree in one of three blocks,
+and within the rest agree again in one of three: nine keys of 35 or 36 bits bring every pair that can link together, for
 nine short rows a fingerprint. Under each key the other bits form a binary trie. Node pairs are walked down together;
 a pair of subtries carries the bits in which its paths differ and is dropped when they exceed the budget. A task returns
 a spanning forest of the links that it finds, never all pairs, and star contraction joins the forests to components.
 
-Edge cases: null text and text without words have fingerprint 0, linked like any other; repeated rows share a
-fingerprint and so a component; null ids are ignored as component ids unless a component has no other; an empty table
-gives no rows.
+``classes`` links fingerprints of one word (the contract of ``op2_simhash``). ``near_duplicates`` finds texts whose sets
+of five-word shingles have a Jaccard similarity of 0.8 or more. Such texts differ in up to a sixth of the bits, so one
+word of 64 bits is too coarse: a fingerprint of ``SLICES`` slices of 32 bits is joined slice by slice, within 2 bits in
+any of them (pairs at the limit are found in about 99 of 100 cases if words are changed here and there, in 88 if one
+run of words is cut off; closer ones in more). The links, confirmed by 64 bits of another slice, give loose families; in
+each family all pairs of texts are compared exactly, in blocks, so no task holds a large family.
+
+Edge cases: null text and text without words have fingerprint 0, linked like any other, and no shingles, so they are one
+class; texts of fewer words than a shingle are one shingle; repeated rows share a class; null ids come last, so they name
+a class only if it has no other id; an empty table gives no rows; other columns may have any type and name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
-from .common import ensure_checkpoint_dir, saved
+from .common import ensure_checkpoint_dir, fresh, map_text, saved
 
 MAX_BITS = 2
 SHINGLE = 3
 SEED = 42
+#: Words in a shingle and similarity (as a fraction) of near-duplicates.
+NEAR_SHINGLE, NEAR = 5, (4, 5)
+#: Words in a feature of the wide fingerprint, its slices of 32 bits, and bits of 64 others in which loose pairs differ.
+FEATURE, SLICES, LOOSE = 2, 16, 18
+#: Texts, and shingles of them, of a block of a family.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Node pairs of a trie walk that are held at once.
+FRONTIER = 1 << 21
+
+_MIX, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_LANES = np.random.default_rng(20240611).integers(1, 1 << 63, SLICES // 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def majority(hashes: np.ndarray, step: int = 1 << 14) -> np.ndarray:
+    """Words (rows x words, as uint64, to one row) of the bits that over half the rows have."""
+    total = np.zeros(64 * hashes.shape[1], dtype=np.int64)
+    for at in range(0, len(hashes), step):
+        part = np.ascontiguousarray(hashes[at : at + step])
+        total += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * total > len(hashes), bitorder="little").view(np.uint64)
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -43,21 +69,37 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     starts = np.concatenate([[0], ends[:-1] + 1])
     pairs = zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
     h = np.fromiter((digest(line[a:b], SEED) for a, b in pairs), np.uint64, n - shingle + 1)
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * bits > len(h), bitorder="little").tobytes(), "little")
+    return int(majority(h.reshape(-1, 1))[0])
+
+
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """A 64-bit hash (uint64) of each shingle of lower-cased (A-Z) words, repeats included."""
+    words = (text or "").encode().lower().split()
+    each = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    size = min(shingle, len(each))
+    n = len(each) - size + 1 if size else 0
+    out = each[:n].copy()
+    for k in range(1, size):
+        out = (out ^ (out >> np.uint64(29))) * _MIX + each[k : k + n]
+    return (out ^ (out >> np.uint64(32))) * _SPREAD
+
+
+def wide_fingerprint(text: str | None) -> np.ndarray:
+    """SimHash of ``SLICES`` x 32 bits of pairs of neighbouring words, as signed 64-bit words."""
+    h = shingle_hashes(text, FEATURE)
+    if not len(h):
+        return np.zeros(SLICES // 2, dtype=np.int64)
+    lanes = (h[:, None] ^ (h[:, None] >> np.uint64(31))) * _LANES
+    return majority(lanes ^ (lanes >> np.uint64(32))).view(np.int64)
 
 
 def with_fingerprints(docs: DataFrame, text: str, name: str) -> DataFrame:
     """``docs`` with the fingerprint of ``text`` as a signed long in place of the text."""
-    rest = [f for f in docs.schema.fields if f.name != text]
-    schema = T.StructType([*rest, T.StructField(name, T.LongType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = np.array([fingerprint(t) for t in pdf[text]], dtype=np.uint64).view(np.int64)
-            yield pdf.drop(columns=[text]).assign(**{name: found})
+    def work(texts: list[str | None]) -> dict[str, Any]:
+        return {name: np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)}
 
-    return docs.mapInPandas(run, schema)
+    return map_text(docs, text, work, {name: "long"}, drop=[text])
 
 
 def _layouts() -> list[tuple[list[tuple[int, int]], list[tuple[int, int]]]]:
@@ -83,30 +125,42 @@ def _runs(bits: list[int]) -> list[tuple[int, int]]:
 
 
 LAYOUTS = _layouts()
-REST_BITS = [sum(w for _, w in rest) for _, rest in LAYOUTS]
+REST_BITS = max(sum(w for _, w in rest) for _, rest in LAYOUTS)
+#: (low, width) of the key's block in a slice and of the rest.
+SLICE_LAYOUTS = [([(0, 11)], [(11, 21)]), ([(11, 11)], [(0, 11), (22, 10)]), ([(22, 10)], [(0, 22)])]
 
 
-def _gather(fp: Column, ranges: list[tuple[int, int]]) -> Column:
+def _gather(word: Column, ranges: list[tuple[int, int]], base: int = 0) -> Column:
     out, at = F.lit(0).cast("long"), 0
     for low, width in ranges:
-        part = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1))
+        part = F.shiftrightunsigned(word, base + low).bitwiseAND(F.lit((1 << width) - 1))
         out, at = out.bitwiseOR(F.shiftleft(part, at)), at + width
     return out
 
 
-def trie_pairs(values: np.ndarray, groups: np.ndarray, bits: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of distinct ``values`` of one group that differ in at most ``budget`` of the low ``bits``.
+def trie_pairs(values: np.ndarray, groups: np.ndarray, bits: int, budget: int, held: int = FRONTIER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of ``values`` of one group that differ in at most ``budget`` of the low ``bits``, in parts.
 
     ``values`` ascend within each group; ``groups`` holds the groups' starts and the end. All groups' tries are walked
     at once, one bit a step; a row of the frontier is a pair of nodes (ranges of values) and the bits they differ in.
+    A frontier of more than ``held`` pairs is halved and the halves are walked one after the other. Equal values end in
+    one leaf and count as pairs of its first with each other one.
     """
     lo, hi = groups[:-1], groups[1:]
     big = hi - lo > 1
-    a0, a1 = lo[big], hi[big]
-    b0, b1, err = a0, a1, np.zeros(len(a0), dtype=np.int8)
-    for bit in range(bits - 1, -1, -1):
+    waiting = [(bits - 1, lo[big], hi[big], lo[big], hi[big], np.zeros(int(big.sum()), dtype=np.int8))]
+    while waiting:
+        bit, a0, a1, b0, b1, err = waiting.pop()
         if not len(a0):
-            break
+            continue
+        if len(a0) > held:
+            half = len(a0) // 2
+            waiting.append((bit, *(x[half:] for x in (a0, a1, b0, b1, err))))
+            waiting.append((bit, *(x[:half] for x in (a0, a1, b0, b1, err))))
+            continue
+        if bit < 0:
+            yield _leaves(a0, a1, b0, b1)
+            continue
         ones = np.concatenate([[0], np.cumsum((values >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)])
         am = a1 - (ones[a1] - ones[a0])
         bm = b1 - (ones[b1] - ones[b0])
@@ -118,73 +172,99 @@ def trie_pairs(values: np.ndarray, groups: np.ndarray, bits: int, budget: int) -
         e = np.concatenate([err, err, err + 1, err[cross] + 1])
         own = np.concatenate([same, same, np.zeros(len(a0) + int(cross.sum()), dtype=bool)])
         keep = (x1 > x0) & (y1 > y0) & (e <= budget) & ~(own & (x1 - x0 < 2))
-        a0, a1, b0, b1, err = x0[keep], x1[keep], y0[keep], y1[keep], e[keep]
-    return a0, b0
+        waiting.append((bit - 1, x0[keep], x1[keep], y0[keep], y1[keep], e[keep]))
+
+
+def _leaves(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a leaf's members with another's, or of a leaf's first member with its others."""
+    same = a0 == b0
+    n = np.where(same, a1 - a0 - 1, (a1 - a0) * (b1 - b0))
+    at = np.repeat(np.arange(len(a0)), n)
+    k = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+    wide = np.where(same, 1, b1 - b0)[at]
+    left = a0[at] + np.where(same[at], 0, k // wide)
+    return left, b0[at] + np.where(same[at], k + 1, k % wide)
 
 
-def spanning_forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Smallest index that each of n nodes reaches over the given links."""
-    label = np.arange(n)
+def merge(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Labels (least index reached so far) after the links (left, right) are added."""
     while True:
-        low = np.minimum(label[left], label[right])
-        new = label.copy()
-        np.minimum.at(new, left, low)
-        np.minimum.at(new, right, low)
-        np.minimum.at(new, label[left], low)
-        np.minimum.at(new, label[right], low)
-        new = new[new]
-        if (new == label).all():
+        a, b = label[left], label[right]
+        apart = a != b
+        if not apart.any():
             return label
+        left, right, a, b = left[apart], right[apart], a[apart], b[apart]
+        new = label.copy()
+        np.minimum.at(new, np.maximum(a, b), np.minimum(a, b))
+        while (new[new] != new).any():
+            new = new[new]
         label = new
 
 
-def _forest(k: np.ndarray, key: np.ndarray, rest: np.ndarray, fp: np.ndarray, budget: int) -> pd.DataFrame:
-    out = []
-    for kind in np.unique(k):
-        own = np.flatnonzero(k == kind)
-        own = own[np.lexsort((rest[own].view(np.uint64), key[own]))]
-        own_key, own_fp = key[own], fp[own]
-        starts = np.concatenate([[0], np.flatnonzero(own_key[1:] != own_key[:-1]) + 1, [len(own)]])
-        left, right = trie_pairs(rest[own].view(np.uint64), starts, REST_BITS[kind], budget)
-        if len(left):
-            root = spanning_forest(len(own), left, right)
-            linked = np.flatnonzero(root != np.arange(len(own)))
-            out.append(pd.DataFrame({"u": own_fp[linked], "v": own_fp[root[linked]]}))
-    return pd.concat(out) if out else pd.DataFrame({"u": np.array([], np.int64), "v": np.array([], np.int64)})
-
-
-def links(fps: DataFrame, name: str, budget: int = MAX_BITS) -> DataFrame:
-    """Links (u, v) that connect the distinct fingerprints just as all pairs within ``budget`` bits do."""
-    if budget > 2:
-        raise ValueError("nine keys bring pairs of at most 2 differing bits together")
-    fp = F.col(name)
-    keyed = fps.select(
-        fp.alias("fp"),
-        F.explode(
-            F.array(*[F.struct(F.lit(i).alias("k"), _gather(fp, key).alias("key"), _gather(fp, rest).alias("rest")) for i, (key, rest) in enumerate(LAYOUTS)])
-        ).alias("x"),
-    ).select("fp", "x.*")
+def _forest(k: np.ndarray, key: np.ndarray, rest: np.ndarray, node: np.ndarray, check: np.ndarray | None, bits: int) -> pd.DataFrame:
+    """Spanning forest (u, v) of the links of whole groups (k, key). ``check``: words of 64 other bits to agree in."""
+    order = np.lexsort((rest, key, k))
+    k, key, rest, node = k[order], key[order], rest[order].astype(np.uint64), node[order]
+    cut = (key[1:] != key[:-1]) | (k[1:] != k[:-1])
+    groups = np.concatenate([[0], np.flatnonzero(cut) + 1, [len(order)]])
+    label = np.arange(len(order))
+    for left, right in trie_pairs(rest, groups, bits, MAX_BITS):
+        if check is not None:
+            near = np.bitwise_count(check[order[left]] ^ check[order[right]]) <= LOOSE
+            left, right = left[near], right[near]
+        label = merge(label, left, right)
+    linked = np.flatnonzero(label != np.arange(len(label)))
+    return pd.DataFrame({"u": node[linked], "v": node[label[linked]]})
+
+
+def _links(keyed: DataFrame, checked: bool, bits: int, rows: int = 200_000) -> DataFrame:
+    """Links of ``keyed`` (node, k, key, rest and perhaps check): whole groups (k, key) are walked, some rows' worth at
+    a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         for pdf in batches:
             held.append(pdf)
-            last = pdf.iloc[-1]
-            first = held[0].iloc[0] if held else last
-            if sum(map(len, held)) < 200_000 or (first.k == last.k and first.key == last.key):
+            first, last = held[0].iloc[0], pdf.iloc[-1]
+            if sum(map(len, held)) < rows or (first.k == last.k and first.key == last.key):
                 continue
             whole = pd.concat(held, ignore_index=True)
-            tail = ((whole.k == last.k) & (whole.key == last.key)).to_numpy()
-            yield _forest(*[whole.loc[~tail, c].to_numpy() for c in ("k", "key", "rest", "fp")], budget)
+            tail = ((whole["k"] == last.k) & (whole["key"] == last.key)).to_numpy()
+            yield forest(whole[~tail])
             held = [whole[tail]]
         if held:
-            whole = pd.concat(held, ignore_index=True)
-            yield _forest(*[whole[c].to_numpy() for c in ("k", "key", "rest", "fp")], budget)
+            yield forest(pd.concat(held, ignore_index=True))
+
+    def forest(whole: pd.DataFrame) -> pd.DataFrame:
+        column = lambda c: whole[c].to_numpy()
+        return _forest(column("k"), column("key"), column("rest"), column("node"), column("check") if checked else None, bits)
 
     dealt = keyed.repartition(F.col("k"), F.col("key")).sortWithinPartitions("k", "key")
     return dealt.mapInPandas(run, "u long, v long").distinct()
 
 
+def links(fps: DataFrame, name: str) -> DataFrame:
+    """Links (u, v) that connect the distinct fingerprints just as all pairs within ``MAX_BITS`` bits do."""
+    fp = F.col(name)
+    each = [F.struct(F.lit(i).alias("k"), _gather(fp, key).alias("key"), _gather(fp, rest).alias("rest")) for i, (key, rest) in enumerate(LAYOUTS)]
+    return _links(fps.select(fp.alias("node"), F.explode(F.array(*each)).alias("x")).select("node", "x.*"), False, REST_BITS)
+
+
+def loose_links(wides: DataFrame) -> DataFrame:
+    """Links (u, v) between nodes whose wide fingerprints agree within ``MAX_BITS`` bits in some slice and within
+    ``LOOSE`` bits in the 64 bits of another place. ``wides`` has node and wide."""
+    words = SLICES // 2
+    placed = wides.select("node", "wide", F.explode(F.sequence(F.lit(0), F.lit(words - 1))).alias("w"))
+    word = placed.select("node", "w", F.get("wide", F.col("w")).alias("word"), F.get("wide", (F.col("w") + words // 2) % words).alias("check"))
+    each = [
+        F.struct(F.lit(3 * half + i).alias("part"), _gather(F.col("word"), key, 32 * half).alias("key"), _gather(F.col("word"), rest, 32 * half).alias("rest"))
+        for half in (0, 1)
+        for i, (key, rest) in enumerate(SLICE_LAYOUTS)
+    ]
+    keyed = word.select("node", "w", "check", F.explode(F.array(*each)).alias("x"))
+    return _links(keyed.select("node", (F.col("w") * 6 + F.col("x.part")).alias("k"), "x.key", "x.rest", "check"), True, 22)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node that each node of undirected ``edges`` (u, v) reaches.
 
@@ -213,40 +293,121 @@ def components(edges: DataFrame) -> DataFrame:
         seen = found
 
 
-def roots_of(fps: DataFrame, name: str) -> DataFrame:
-    """``fps`` (distinct ``name``) with _root, the least fingerprint of its component."""
-    found = components(links(fps.select(name), name))
-    joined = fps.join(found, F.col(name) == F.col("node"), "left")
-    return joined.select(*fps.columns, F.coalesce("root", name).alias("_root"))
-
-
 def classes(fingerprinted: DataFrame, key: str, name: str) -> DataFrame:
     """One row per distinct fingerprint: ``name`` and component_id, the least ``key`` in its component."""
     fps = saved(fingerprinted.groupBy(name).agg(F.min(key).alias("_least")))
-    rooted = roots_of(fps, name)
+    joined = fps.join(components(links(fps.select(name), name)), F.col(name) == F.col("node"), "left")
+    rooted = joined.select(name, "_least", F.coalesce("root", name).alias("_root"))
     low = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
     return rooted.join(low, "_root").select(name, "component_id")
 
 
+def similar_pairs(sets: list[np.ndarray], side: np.ndarray, share: tuple[int, int] = NEAR) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of ascending arrays without repeats whose Jaccard similarity is at least ``share``; where ``side``
+    has two values, only pairs between the two. Empty sets are alike."""
+    m = len(sets)
+    n = np.array([len(s) for s in sets], dtype=np.int64)
+    values, owner = np.concatenate([*sets, np.array([], dtype=np.int64)]), np.repeat(np.arange(m), n)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    new = np.concatenate([[True], values[1:] != values[:-1]])[: len(values)]
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column, minlength=1)[column] > 1
+    owner = owner[shared]
+    column = np.unique(column[shared], return_inverse=True)[1]
+    a = np.flatnonzero(side == side[0])
+    b = np.flatnonzero(side != side[0]) if (side != side[0]).any() else a
+    both = np.zeros((len(a), len(b)), dtype=np.float32)
+    for low in range(0, int(column.max(initial=-1)) + 1, 4096):
+        x, y = np.searchsorted(column, (low, low + 4096))
+        has = np.zeros((m, 4096), dtype=np.float32)
+        has[owner[x:y], column[x:y] - low] = 1
+        both += has[a] @ has[b].T
+    p, q = share
+    i, j = np.nonzero((p + q) * both.astype(np.int64) >= p * (n[a][:, None] + n[b][None, :]))
+    left, right = a[i], b[j]
+    return left[left != right], right[left != right]
+
+
+def similar_links(sets: DataFrame) -> DataFrame:
+    """Spanning links (u, v) between nodes of one family whose shingles are near-duplicates, compared exactly.
+
+    ``sets`` has root (the family), node, n and shingles (ascending). A family is dealt to blocks by the hash of its
+    nodes and each pair of blocks is compared in one task.
+    """
+    sizes = sets.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("all"))
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("all") / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    many = sizes.where("m > 1").select(F.col("root").alias("r"), blocks.alias("blocks"))
+    placed = sets.join(many, F.col("root") == F.col("r")).withColumn("b", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    grid = met.select("root", F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"), "b", "node", "shingles")
+    keys = ["root", "i", "j"]
+
+    def compare(across: bool, rows: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
+        """Spanning links of the rows (block, node, shingles) of a pair of blocks."""
+        node, side = [r[1] for r in rows], np.array([r[0] for r in rows])
+        if len(rows) < 2 or across and (side == side[0]).all():
+            return []
+        label = merge(np.arange(len(rows)), *similar_pairs([r[2] for r in rows], side))
+        return [(node[i], node[label[i]]) for i in np.flatnonzero(label != np.arange(len(rows)))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, held = (0, 0, 0), []
+        for pdf in batches:
+            found = []
+            for root, i, j, block, node, shingles in pdf.itertuples(index=False, name=None):
+                if (root, i, j) != here:
+                    found += compare(here[1] != here[2], held)
+                    here, held = (root, i, j), []
+                held.append((block, node, np.asarray(shingles, dtype=np.int64)))
+            yield pd.DataFrame(found, columns=["u", "v"], dtype=np.int64)
+        yield pd.DataFrame(compare(here[1] != here[2], held), columns=["u", "v"], dtype=np.int64)
+
+    return grid.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "u long, v long").distinct()
+
+
+def near_duplicates(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, root): classes of near-duplicate texts of two members or more. ``texts`` has node, that is equal for equal
+    texts only, and text, any number of rows a node; ``nodes`` has each node once and wide, its wide fingerprint."""
+    loose = components(loose_links(nodes))
+    family = saved(loose.unionByName(loose.select(F.col("root").alias("node"), "root")).distinct())
+
+    def work(batch: list[str | None]) -> dict[str, Any]:
+        sets = [np.unique(shingle_hashes(t, NEAR_SHINGLE).view(np.int64)) for t in batch]
+        return {"n": np.array([len(s) for s in sets], dtype=np.int64), "shingles": sets}
+
+    members = texts.select("node", "text").join(family, "node").dropDuplicates(["node"])
+    return components(similar_links(saved(map_text(members, "text", work, {"n": "long", "shingles": "array<long>"}, drop=["text"]))))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component left: the one with the least doc_id (null ids come last, and among rows
-    of one id the one with the least hash of its text); of rows equal in both, the first by source and language."""
-    h, fp = "_near_hash", "_near_fp"
-    hashed = docs.withColumn(h, F.xxhash64("text"))
-    slim = saved(with_fingerprints(hashed.select("doc_id", h, "text"), "text", fp))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(h).alias("h"), F.lit(1).alias("one")))
-    fps = saved(slim.groupBy(fp).agg(first.alias("_first")))
-    stay = saved(roots_of(fps, fp).groupBy("_root").agg(F.min("_first").alias("f")).select("f.id", "f.h"))
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col(h) == F.col("h"))
+    """``docs`` with one row of each class of near-duplicates left: the one with the least doc_id (null ids come last,
+    and among rows of one id the one with the least hash of its text); of rows equal in both, the first by source and
+    language."""
+    h, same_id, same_h, picked = (fresh(docs, f"near_{c}") for c in ("hash", "id", "same", "row"))
+    node = F.xxhash64(F.coalesce("text", F.lit("")))
+
+    def work(texts: list[str | None]) -> dict[str, Any]:
+        return {"wide": [wide_fingerprint(t) for t in texts]}
+
+    slim = docs.select("doc_id", node.alias("node"), "text")
+    made = saved(map_text(slim, "text", work, {"wide": "array<long>"}, drop=["text"]))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("node").alias("h")))
+    nodes = saved(made.groupBy("node").agg(first.alias("first"), F.first("wide").alias("wide")))
+    found = near_duplicates(nodes.select("node", "wide"), slim).withColumnRenamed("node", "member")
+    rooted = nodes.join(found, F.col("node") == F.col("member"), "left").groupBy(F.coalesce("root", "node").alias("class"))
+    stay = saved(rooted.agg(F.min("first").alias("f")).select(F.col("f.id").alias(same_id), F.col("f.h").alias(same_h)))
+    hashed = docs.withColumn(h, node)
+    same = F.col("doc_id").eqNullSafe(F.col(same_id)) & (F.col(h) == F.col(same_h))
     kept = hashed.join(stay, same, "left_semi")
-    many = slim.groupBy("doc_id", h).count().where("count > 1").select(F.col("doc_id").alias("id"), F.col(h).alias("h"))
-    many = saved(many.join(stay.select(F.col("id").alias("i"), F.col("h").alias("g")), F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "left_semi"))
+    counted = made.groupBy("doc_id", "node").count().where("count > 1")
+    many = saved(counted.select(F.col("doc_id").alias(same_id), F.col("node").alias(same_h)))
     if many.isEmpty():
         return kept.drop(h)
     once, repeated = kept.join(many, same, "left_anti"), kept.join(many, same, "left_semi")
-    first_row = W.partitionBy("doc_id", h).orderBy("source", "lang")
-    chosen = repeated.withColumn("_near_n", F.row_number().over(first_row)).where("_near_n = 1").drop("_near_n")
-    return once.unionByName(chosen).drop(h)
+    by = F.struct(*[F.col(c).isNull() for c in ("source", "lang") if c in docs.columns], *[F.col(c) for c in ("source", "lang") if c in docs.columns], F.lit(0))
+    row = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), by).alias(picked)
+    return once.drop(h).unionByName(repeated.groupBy("doc_id", h).agg(row).select(f"{picked}.*"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
