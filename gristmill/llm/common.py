@@ -43,12 +43,12 @@ def fresh(df: DataFrame, name: str) -> str:
 
 #: Types of the columns that ``map_text`` can add.
 ARROW = {
-    "string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()),
+    "string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()),
 }
 
 
 def map_text(df: DataFrame, text: str, work: Callable[[list[str | None]], dict[str, Any]], added: dict[str, str], drop: Sequence[str] = ()) -> DataFrame:
-    """``df`` with the columns ``added`` (name -> type) that ``work`` makes from a batch of texts.
+    """``df`` with the columns ``added`` (name -> type) that ``work`` makes from a batch of texts (or other values).
 
     All other columns pass through as Arrow arrays, whatever their types and nulls; columns of the added names are
     replaced and those in ``drop`` left out.
@@ -80,17 +80,14 @@ def prefix_sums(
     ``bucket`` is a long expression that the leading order follows. Rows of one (group, bucket) meet in one task;
     only one row per (group, bucket) is summed over a whole group. ``values`` maps new columns to summed columns.
     """
-    keyed = df.withColumn("_bucket", bucket)
-    keys = [*group, "_bucket"]
+    group = F.concat_ws("", *[F.coalesce(F.concat(F.lit("="), F.col(f"`{g}`").cast("string")), F.lit("-")) for g in group])
+    keyed = df.withColumns({"_group": group, "_bucket": bucket})
+    keys = ["_group", "_bucket"]
     sums = keyed.groupBy(*keys).agg(*[F.sum(v).alias(f"_sum_{k}") for k, v in values.items()])
-    over = W.partitionBy(*group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    base = sums.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        *[F.coalesce(F.sum(f"_sum_{k}").over(over), F.lit(0)).alias(f"_base_{k}") for k in values],
-    )
+    over = W.partitionBy("_group").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    base = sums.select(*keys, *[F.coalesce(F.sum(f"_sum_{k}").over(over), F.lit(0)).alias(f"_base_{k}") for k in values])
     inner = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     local = keyed.withColumns({f"_in_{k}": F.coalesce(F.sum(v).over(inner), F.lit(0)) for k, v in values.items()})
-    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    joined = local.join(base, on, "left")
-    out = joined.withColumns({k: F.col(f"_in_{k}") + F.col(f"_base_{k}") for k in values})
-    return out.drop(*[c for c in out.columns if c.startswith(("_k_", "_base_", "_in_"))], "_bucket")
+    # the join has the keys of the window, so the rows are not dealt again
+    out = local.join(base, keys).withColumns({k: F.col(f"_in_{k}") + F.col(f"_base_{k}") for k in values})
+    return out.drop(*[c for c in out.columns if c.startswith(("_base_", "_in_"))], *keys)
