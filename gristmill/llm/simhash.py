@@ -40,7 +40,7 @@ FEATURE, SLICES, LOOSE = 2, 16, 18
 #: Texts, and shingles of them, of a block of a family.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Node pairs of a trie walk that are held at once.
-FRONTIER = 1 << 21
+FRONTIER = 1 << 18
 
 _MIX, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _LANES = np.random.default_rng(20240611).integers(1, 1 << 63, SLICES // 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -146,6 +146,18 @@ def trie_pairs(values: np.ndarray, groups: np.ndarray, bits: int, budget: int, h
     A frontier of more than ``held`` pairs is halved and the halves are walked one after the other. Equal values end in
     one leaf and count as pairs of its first with each other one.
     """
+    before: dict[int, np.ndarray] = {}
+
+    def ones_before(bit: int) -> np.ndarray:
+        """Number of values before each place that have the bit; kept for few values, as the parts ask again."""
+        if bit in before:
+            return before[bit]
+        count = np.zeros(len(values) + 1, dtype=np.int32)
+        np.cumsum((values >> np.uint64(bit)) & np.uint64(1), out=count[1:], dtype=np.int32)
+        if len(values) <= 1 << 19:
+            before[bit] = count
+        return count
+
     lo, hi = groups[:-1], groups[1:]
     big = hi - lo > 1
     waiting = [(bits - 1, lo[big], hi[big], lo[big], hi[big], np.zeros(int(big.sum()), dtype=np.int8))]
@@ -161,7 +173,7 @@ def trie_pairs(values: np.ndarray, groups: np.ndarray, bits: int, budget: int, h
         if bit < 0:
             yield _leaves(a0, a1, b0, b1)
             continue
-        ones = np.concatenate([[0], np.cumsum((values >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)])
+        ones = ones_before(bit)
         am = a1 - (ones[a1] - ones[a0])
         bm = b1 - (ones[b1] - ones[b0])
         same, cross = a0 == b0, a0 != b0
@@ -213,8 +225,17 @@ def _forest(k: np.ndarray, key: np.ndarray, rest: np.ndarray, node: np.ndarray,
             near = np.bitwise_count(check[order[left]] ^ check[order[right]]) <= LOOSE
             left, right = left[near], right[near]
         label = merge(label, left, right)
-    linked = np.flatnonzero(label != np.arange(len(label)))
-    return pd.DataFrame({"u": node[linked], "v": node[label[linked]]})
+    u, v = spanning(node, label)
+    return pd.DataFrame({"u": u, "v": v})
+
+
+def spanning(node: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each node to the least node of its label; under other keys the same family mostly has the same least."""
+    least = node.copy()
+    np.minimum.at(least, label, node)
+    least = least[label]
+    apart = node != least
+    return node[apart], least[apart]
 
 
 def _links(keyed: DataFrame, checked: bool, bits: int, rows: int = 200_000) -> DataFrame:
@@ -345,11 +366,11 @@ def similar_links(sets: DataFrame) -> DataFrame:
 
     def compare(across: bool, rows: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
         """Spanning links of the rows (block, node, shingles) of a pair of blocks."""
-        node, side = [r[1] for r in rows], np.array([r[0] for r in rows])
+        node, side = np.array([r[1] for r in rows]), np.array([r[0] for r in rows])
         if len(rows) < 2 or across and (side == side[0]).all():
             return []
         label = merge(np.arange(len(rows)), *similar_pairs([r[2] for r in rows], side))
-        return [(node[i], node[label[i]]) for i in np.flatnonzero(label != np.arange(len(rows)))]
+        return list(zip(*spanning(node, label), strict=True))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         here, held = (0, 0, 0), []
