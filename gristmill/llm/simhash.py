@@ -39,6 +39,8 @@ NEAR_SHINGLE, NEAR = 5, (4, 5)
 FEATURE, SLICES, LOOSE = 2, 16, 18
 #: Texts, and shingles of them, of a block of a family.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Rows of two numbers that may be broadcast.
+SMALL = 1 << 20
 #: Node pairs of a trie walk that are held at once.
 FRONTIER = 1 << 18
 
@@ -286,6 +288,12 @@ def loose_links(wides: DataFrame) -> DataFrame:
     return _links(keyed.select("node", (F.col("w") * 6 + F.col("x.part")).alias("k"), "x.key", "x.rest", "check"), True, 22)
 
 
+def small(ids: DataFrame) -> DataFrame:
+    """``ids`` (written, two numbers a row) with a hint to broadcast it if it has at most ``SMALL`` rows; beyond that the
+    other side is shuffled to it."""
+    return F.broadcast(ids) if ids.count() <= SMALL else ids
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node that each node of undirected ``edges`` (u, v) reaches.
 
@@ -397,7 +405,7 @@ def near_duplicates(nodes: DataFrame, texts: DataFrame) -> DataFrame:
         sets = [np.unique(shingle_hashes(t, NEAR_SHINGLE).view(np.int64)) for t in batch]
         return {"n": np.array([len(s) for s in sets], dtype=np.int64), "shingles": sets}
 
-    members = texts.select("node", "text").join(family, "node").dropDuplicates(["node"])
+    members = texts.select("node", "text").join(small(family), "node").dropDuplicates(["node"])
     return components(similar_links(saved(map_text(members, "text", work, {"n": "long", "shingles": "array<long>"}, drop=["text"]))))
 
 
@@ -417,15 +425,17 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     nodes = saved(made.groupBy("node").agg(first.alias("first"), F.first("wide").alias("wide")))
     found = near_duplicates(nodes.select("node", "wide"), slim).withColumnRenamed("node", "member")
     rooted = nodes.join(found, F.col("node") == F.col("member"), "left").groupBy(F.coalesce("root", "node").alias("class"))
-    stay = saved(rooted.agg(F.min("first").alias("f")).select(F.col("f.id").alias(same_id), F.col("f.h").alias(same_h)))
+    stay = rooted.agg(F.min("first").alias("f")).select(F.col("f.id").alias(same_id), F.col("f.h").alias(same_h))
+    ours = F.col("doc_id").eqNullSafe(F.col(same_id)) & (F.col("node") == F.col(same_h))
+    go = made.join(stay, ours, "left_anti").select(F.col("doc_id").alias(same_id), F.col("node").alias(same_h)).distinct()
     hashed = docs.withColumn(h, node)
     same = F.col("doc_id").eqNullSafe(F.col(same_id)) & (F.col(h) == F.col(same_h))
-    kept = hashed.join(stay, same, "left_semi")
+    kept = hashed.join(small(saved(go)), same, "left_anti")
     counted = made.groupBy("doc_id", "node").count().where("count > 1")
     many = saved(counted.select(F.col("doc_id").alias(same_id), F.col("node").alias(same_h)))
     if many.isEmpty():
         return kept.drop(h)
-    once, repeated = kept.join(many, same, "left_anti"), kept.join(many, same, "left_semi")
+    once, repeated = kept.join(small(many), same, "left_anti"), kept.join(small(many), same, "left_semi")
     by = F.struct(*[F.col(c).isNull() for c in ("source", "lang") if c in docs.columns], *[F.col(c) for c in ("source", "lang") if c in docs.columns], F.lit(0))
     row = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), by).alias(picked)
     return once.drop(h).unionByName(repeated.groupBy("doc_id", h).agg(row).select(f"{picked}.*"))
