@@ -32,6 +32,8 @@ KINDS = ("email", "ip", "card", "phone")
 FIT_DOCS, FIT_TOKENS = 4000, 40_000
 SURE = 0.97
 ROUNDS = 8
+#: Tokens of the texts whose field is solved at once, about, and links of it that are worked on at once.
+TOKENS, LINKS = 20_000, 1 << 16
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -191,24 +193,20 @@ class Field:
         """Loopy sum-product passing over the links, all at once in each round."""
         unary = features @ self.own
         n, k = unary.shape
+        c, s = len(chain), len(skip)
         src = np.concatenate([chain[:, 0], chain[:, 1], skip[:, 0], skip[:, 1]])
         dst = np.concatenate([chain[:, 1], chain[:, 0], skip[:, 1], skip[:, 0]])
-        pair = np.concatenate(
-            [
-                np.broadcast_to(self.chain, (len(chain), k, k)),
-                np.broadcast_to(self.chain.T, (len(chain), k, k)),
-                np.broadcast_to(self.skip, (len(skip), k, k)),
-                np.broadcast_to(self.skip.T, (len(skip), k, k)),
-            ]
-        )
-        c, s = len(chain), len(skip)
         back = np.concatenate([np.arange(c, 2 * c), np.arange(c), 2 * c + np.arange(s, 2 * s), 2 * c + np.arange(s)])
+        ends = np.cumsum([0, c, c, s, s])
+        parts = [(a, min(a + LINKS, z), w) for lo, z, w in zip(ends, ends[1:], (self.chain, self.chain.T, self.skip, self.skip.T), strict=False) for a in range(lo, z, LINKS)]
         message = np.zeros((len(src), k))
         belief = unary
         for _ in range(rounds if len(src) else 0):
-            out = (belief[src] - message[back])[:, :, None] + pair
-            top = out.max(axis=1)
-            new = top + np.log(np.exp(out - top[:, None, :]).sum(axis=1))
+            new = np.empty_like(message)
+            for a, z, pair in parts:
+                out = (belief[src[a:z]] - message[back[a:z]])[:, :, None] + pair
+                top = out.max(axis=1)
+                new[a:z] = top + np.log(np.exp(out - top[:, None, :]).sum(axis=1))
             message = 0.5 * message + 0.5 * (new - new.max(axis=1, keepdims=True))
             belief = unary + np.column_stack([np.bincount(dst, message[:, j], minlength=n) for j in range(k)])
         p = np.exp(belief - belief.max(axis=1, keepdims=True))
@@ -294,22 +292,27 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Field | Non
 
 def find(texts: list[str | None], field: Field | None) -> list[tuple[list[Span], list[Span]]]:
     """Base and added spans of each text."""
-    base: list[list[Span]] = []
-    graphs: list[tuple[int, Graph]] = []
+    base = [base_spans(t) if t and _HIT.search(t) else [] for t in texts]
     added: list[list[Span]] = [[] for _ in texts]
-    for i, t in enumerate(texts):
-        if not t or not _HIT.search(t):
-            base.append([])
-            continue
-        base.append(base_spans(t))
-        if field is not None:
-            graphs.append((i, graph(t)))
-    if graphs:
-        p = field.marginals(*_stack([g for _, g in graphs]))
-        at = 0
-        for i, g in graphs:
+    held: list[tuple[int, Graph]] = []
+
+    def solve() -> None:
+        p, at = field.marginals(*_stack([g for _, g in held])), 0
+        for i, g in held:
             added[i] = added_spans(g, base[i], p[at : at + len(g.spans)])
             at += len(g.spans)
+        held.clear()
+
+    tokens = 0
+    for i, t in enumerate(texts if field is not None else ()):
+        if t and _HIT.search(t):
+            held.append((i, graph(t)))
+            tokens += len(held[-1][1].spans)
+            if tokens >= TOKENS:
+                solve()
+                tokens = 0
+    if held:
+        solve()
     return list(zip(base, added, strict=True))
 
 

@@ -156,19 +156,13 @@ class Cascade:
         gain = lambda r: found[r.name][1] / max(found[r.name][0], 1e-9) if r.name in found else 0.0
         return Cascade(tuple(sorted(self.rules, key=gain, reverse=True)))
 
-    def verdicts(self, texts: list[Text]) -> list[bool]:
-        """Rule by rule, each over what is left."""
-        left = range(len(texts))
-        for rule in self.rules:
-            left = [i for i in left if not rule.rejects(texts[i])]
-        kept = [False] * len(texts)
-        for i in left:
-            kept[i] = True
-        return kept
+    def keeps(self, text: Text) -> bool:
+        """Rule by rule, up to the first that rejects."""
+        return not any(rule.rejects(text) for rule in self.rules)
 
     def apply(self, docs: DataFrame, text: str = "text", flag: str = "kept") -> DataFrame:
         """``docs`` with a boolean column ``flag``; a column of that name is replaced."""
-        return map_text(docs, text, lambda texts: {flag: self.verdicts([Text(t) for t in texts])}, {flag: "boolean"})
+        return map_text(docs, text, lambda texts: {flag: [self.keeps(Text(t)) for t in texts]}, {flag: "boolean"})
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -187,21 +181,13 @@ def report(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
     """``docs`` with the measures in ``OUT`` in place of the text; the cascade judges what the base rule lets pass."""
     cascade = Cascade(rules).ordered(docs, text)
 
+    def measured(t: Text) -> tuple[int | bool, ...]:
+        failed = base_fails(t)
+        return len(t.words), t.word_chars, t.n_symbols, t.lines[1], t.n_repeat_words, failed, not failed and cascade.keeps(t)
+
     def work(texts: list[str | None]) -> dict[str, Any]:
-        own = [Text(t) for t in texts]
-        failed = np.array([base_fails(t) for t in own], dtype=bool)
-        kept = np.zeros(len(own), dtype=bool)
-        rest = np.flatnonzero(~failed)
-        kept[rest] = cascade.verdicts([own[i] for i in rest])
-        return {
-            "n_words": [len(t.words) for t in own],
-            "word_chars": [t.word_chars for t in own],
-            "n_symbols": [t.n_symbols for t in own],
-            "n_dup_lines": [t.lines[1] for t in own],
-            "n_repeat_words": [t.n_repeat_words for t in own],
-            "base_failed": failed,
-            "kept": kept,
-        }
+        rows = [measured(Text(t)) for t in texts]  # the parts of one text at a time
+        return {n: [r[i] for r in rows] for i, n in enumerate(OUT)}
 
     return map_text(docs, text, work, OUT, drop=[text])
 
