@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window as W
 
-from .common import saved
+from .common import map_text, saved
 
 LENGTH = 400
 ANCHOR = 128
@@ -215,8 +215,8 @@ def _window_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeats(docs: DataFrame, key: list[str], body: str, hot: int = HOT) -> DataFrame:
-    """(``key``, first, last): runs of repeated windows in each row of ``docs``. ``key`` tells rows with different
-    bytes apart; ``body`` is binary."""
+    """(``key``, first, last): runs of repeated windows in each row of ``docs``. ``key`` are longs without nulls that
+    tell rows with different bytes apart; ``body`` is binary."""
     slim = docs.select(*key, body)
     kinds = ", ".join(f"`{c}` {t}" for c, t in slim.dtypes if c != body)
 
@@ -312,25 +312,25 @@ def merged(first: list[int], last: list[int]) -> list[tuple[int, int]]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, the bytes of the text, and two hashes that tell rows apart (ids may be null, so they are no key)."""
     body = F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary"))
-    return docs.select("doc_id", body.alias("body"), F.xxhash64("text", "doc_id").alias("row_hash"))
+    return docs.select("doc_id", body.alias("body"), F.xxhash64("text", "doc_id").alias("h1"), F.xxhash64("doc_id", F.lit("row"), "text").alias("h2"))
 
 
 def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _keyed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    key = ["row_hash", "doc_id"]
+    key = ["h1", "h2"]
     runs = repeats(docs, key, "body").groupBy(*key).agg(F.collect_set(F.struct("first", "last")).alias("runs"))
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"d.{c}")) for c in key]
-    joined = docs.alias("d").join(runs.alias("r"), same, "left").select("d.doc_id", "d.body", "r.runs.first", "r.runs.last")
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for doc, raw, first, last in zip(pdf["doc_id"], pdf["body"], pdf["first"], pdf["last"], strict=True):
-                spans = [] if first is None else merged(list(first), list(last))
-                edges = [0, *[x for s in spans for x in s], len(raw)]
-                kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                rows.append((doc, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return joined.mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    joined = docs.join(runs, key, "left").select("doc_id", F.struct("body", F.col("runs.first").alias("first"), F.col("runs.last").alias("last")).alias("x"))
+
+    def work(rows: list[dict]) -> dict[str, list]:
+        out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
+        for r in rows:
+            raw, spans = r["body"], [] if r["first"] is None else merged(r["first"], r["last"])
+            edges = [0, *[x for s in spans for x in s], len(raw)]
+            kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+            for name, value in zip(out, (len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()), strict=True):
+                out[name].append(value)
+        return out
+
+    return map_text(joined, "x", work, {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"}, drop=["x"])
