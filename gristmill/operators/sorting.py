@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.values import kind_of, natural_key
@@ -26,6 +26,20 @@ def with_row_numbers(df: DataFrame, *order: str) -> DataFrame:
     return joined.withColumn(ROW, F.col("_start") + F.col("_n") - 1).drop("_part", "_p", "_n", "_start")
 
 
+def running_totals(df: DataFrame, by: list[Column], value: str) -> DataFrame:
+    """``df`` with ``running``, the sum of ``value`` up to each row in the order ``by`` (unique), and ``total``.
+
+    As with row numbers, only the sums of the ranges are summed in one task.
+    """
+    ranged = df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id())
+    sums = ranged.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    starts = sums.select(F.col("_part").alias("_p"), before.alias("_start"), F.sum("_sum").over(W.partitionBy()).alias("total"))
+    local = ranged.withColumn("_own", F.sum(value).over(W.partitionBy("_part").orderBy(*by).rowsBetween(W.unboundedPreceding, 0)))
+    joined = local.join(starts, F.col("_part") == F.col("_p"))
+    return joined.withColumn("running", F.col("_start") + F.col("_own")).drop("_part", "_p", "_own", "_start")
+
+
 def sort(df: DataFrame, column: str, descending: bool = False, tie: str = ROW) -> DataFrame:
     """Missing values last either way; ties in row order either way; texts in natural order."""
     c = F.col(f"`{column}`")
