@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.values import RAW, kind_of, marked, number_text, parse, round_digits, text_of, trimmed
-from .sorting import ROW
+from .sorting import ROW, in_ranges
 from .summarize import OTHER, first_frequencies
 
 MAX_PARTS, MAX_LABELS = 10, 200
@@ -100,7 +100,7 @@ def fill_previous(df: DataFrame, column: str, row: str = ROW) -> DataFrame:
     the whole table.
     """
     c = F.col(f"`{column}`")
-    ranged = df.repartitionByRange(F.col(row)).withColumn("_part", F.spark_partition_id())
+    ranged = in_ranges(df, [F.col(row)])
     last = ranged.groupBy("_part").agg(F.max_by(c, F.when(c.isNotNull(), F.col(row))).alias("_last"))
     carried = F.last("_last", ignorenulls=True).over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
     into = last.select(F.col("_part").alias("_p"), carried.alias("_carry"))

@@ -152,3 +152,20 @@ def test_columns(df: DataFrame, a: str, b: str) -> Welch | Anova | ChiSquare | C
             return welch_from(*found)
         return anova_from(found) if 3 <= len(found) <= MOST_LEVELS else None
     return chi_square(df, a, b)
+
+
+def p_words(p: float) -> str:
+    """A probability as it is written."""
+    return "p < 0.001" if p < 0.001 else f"p = {p:.3f}" if p < 0.1 else f"p = {p:.2f}"
+
+
+def verdict(p: float | None) -> str:
+    """How sure a difference is."""
+    if p is None:
+        return "not enough data to tell"
+    return next(w for most, w in ((0.001, "almost certainly real"), (0.05, "likely real"), (0.2, "could be luck"), (2, "probably just luck")) if p < most)
+
+
+def effect_size(d: float) -> str:
+    """How large a difference is, in standard deviations."""
+    return next(w for least, w in ((0.8, "a big difference"), (0.5, "a clear difference"), (0.2, "a small difference"), (-1, "about the same")) if abs(d) >= least)

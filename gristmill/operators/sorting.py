@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.values import kind_of, natural_key
+from .storage import saved
 
 ROW = "_rid"
 
@@ -13,11 +14,11 @@ ROW = "_rid"
 def with_row_numbers(df: DataFrame, *order: str) -> DataFrame:
     """``df`` with dense row numbers from 0 in ``_rid``, in the order of ``order`` (unique together).
 
-    Partitions are made by range, so numbers within a partition plus the sizes of those before it are enough: no task
-    holds the whole table.
+    Rows are dealt by range and written with the number of their range, so that it is the same wherever it is read;
+    numbers within a range plus the sizes of those before it are enough, and no task holds the whole table.
     """
     by = [F.col(f"`{c}`") for c in order]
-    ranged = df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id())
+    ranged = in_ranges(df, by)
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
     before = F.coalesce(F.sum("_size").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select(F.col("_part").alias("_p"), before.alias("_start"))
@@ -26,12 +27,20 @@ def with_row_numbers(df: DataFrame, *order: str) -> DataFrame:
     return joined.withColumn(ROW, F.col("_start") + F.col("_n") - 1).drop("_part", "_p", "_n", "_start")
 
 
+def in_ranges(df: DataFrame, by: list[Column]) -> DataFrame:
+    """``df`` dealt by ranges of ``by`` with ``_part``, the number of a row's range.
+
+    It is written once: dealt again, the ranges would be cut at other places.
+    """
+    return saved(df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
+
+
 def running_totals(df: DataFrame, by: list[Column], value: str) -> DataFrame:
     """``df`` with ``running``, the sum of ``value`` up to each row in the order ``by`` (unique), and ``total``.
 
     As with row numbers, only the sums of the ranges are summed in one task.
     """
-    ranged = df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id())
+    ranged = in_ranges(df, by)
     sums = ranged.groupBy("_part").agg(F.sum(value).alias("_sum"))
     before = F.coalesce(F.sum("_sum").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     starts = sums.select(F.col("_part").alias("_p"), before.alias("_start"), F.sum("_sum").over(W.partitionBy()).alias("total"))

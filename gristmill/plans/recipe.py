@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 
 from ..functions.formula import calculate
 from ..operators import cleaning, combine
+from ..operators.analyses import natural_groups
 from ..operators.filters import Filter, where
 
 Step = dict[str, Any]
@@ -42,8 +43,30 @@ STEPS: dict[str, Callable[[DataFrame, Step], DataFrame]] = {
     "widen": lambda df, s: cleaning.widen(df, s["from"], s["values"], s.get("mean", False), s.get("row")),
     "append": lambda df, s: combine.append(df, s["other"], s.get("source"), s.get("label", "base"), s.get("otherLabel", "other")),
     "join": lambda df, s: combine.join(df, s["other"], s["leftKey"], s["rightKey"], s.get("how", "left"), s.get("otherLabel", "other")),
+    "segments": lambda df, s: cleaning.rename(natural_groups(df, s["columns"])[0], "segment", s.get("name", "segment")),
     "keepRows": lambda df, s: where(df, _filters(s["filters"])),
 }
+SENTENCES = {
+    "removeDuplicates": "Remove repeated rows",
+    "dropMissing": "Remove rows without {column}",
+    "fillMissing": "Fill missing {column} with {method}",
+    "rename": "Rename {column} to {name}",
+    "delete": "Delete {column}",
+    "setType": "Read {column} as {type}",
+    "text": "Change the text of {column}: {how}",
+    "formula": "Calculate {name} = {formula}",
+    "replace": "Replace {find} by {with} in {column}",
+    "standardize": "Merge spellings of {column}",
+    "split": "Split {column} at {by}",
+    "group": "Group {column} as {name}",
+    "dateParts": "Take the {part} of {column} as {name}",
+    "unpivot": "Turn {columns} into rows",
+    "widen": "Turn values of {from} into columns",
+    "append": "Add the rows of another table",
+    "join": "Join another table on {leftKey}",
+    "segments": "Find groups by {columns}",
+    "keepRows": "Keep rows that match {filters}",
+}
 #: Steps that hold another table and so cannot go into a file.
 NOT_PORTABLE = ("append", "join")
 
@@ -54,6 +77,25 @@ def apply(df: DataFrame, step: Step) -> DataFrame:
     return STEPS[step["op"]](df, step)
 
 
+def described(step: Step) -> str:
+    """A step in a sentence."""
+    shown = {k: ", ".join(map(str, v)) if isinstance(v, list | tuple) else v for k, v in step.items()}
+    if step["op"] == "keepRows":
+        shown["filters"] = " and ".join(f"{f['column']} {f['op']} {f.get('value', '')}".strip() for f in step["filters"])
+    if step["op"] == "dropMissing" and "column" not in shown:
+        shown["column"] = "all values"
+    return SENTENCES[step["op"]].format(**shown)
+
+
+def renamed(step: Step, old: str, new: str) -> Step:
+    """The step with a column under its new name, wherever it is named."""
+    swap = lambda v: new if v == old else v
+    out = {k: [swap(x) for x in v] if k == "columns" else swap(v) if k in ("column", "from", "values", "leftKey") else v for k, v in step.items()}
+    if "filters" in step:
+        out["filters"] = [f | {"column": swap(f["column"])} for f in step["filters"]]
+    return out
+
+
 def replay(df: DataFrame, steps: Iterable[Step]) -> DataFrame:
     return reduce(apply, steps, df)
 

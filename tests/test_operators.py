@@ -9,10 +9,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gristmill.functions import special
+from gristmill.functions import formatting, special
 from gristmill.functions.formula import FormulaError, calculate, compiled
 from gristmill.functions.values import join_key, natural_key, number_text
-from gristmill.operators import analyses, charts, cleaning, combine, forecast, insights, series, significance, sorting, stats, summarize, texts
+from gristmill.operators import analyses, answers, charts, cleaning, combine, forecast, insights, profile, series, significance, sorting, stats, summarize, texts
 from gristmill.operators.filters import Filter, search, where
 from gristmill.operators.summarize import Agg
 from gristmill.plans import recipe
@@ -116,6 +116,29 @@ def test_even_sample_is_exact(spark):
         assert sorted(found) == sorted({k * total // n for k in range(n)} if n < total else range(total))
 
 
+@pytest.fixture
+def many_ranges(spark):
+    """Ranges are not put together again, as they would be for small tables."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    yield spark
+    spark.conf.unset(key)
+
+
+def test_row_numbers_and_gaps_over_many_ranges(many_ranges):
+    df = many_ranges.range(0, 300_000, 3).selectExpr("(id * 7919) % 300007 as k", "if(id % 5 = 0, id, null) as v")
+    keys = sorted((r.k, r.v) for r in df.collect())
+    numbered = sorting.with_row_numbers(df, "k")
+    assert [(r.k, r._rid) for r in numbered.select("k", "_rid").orderBy("k").collect()] == [(k, i) for i, (k, _) in enumerate(keys)]
+    seen, wanted = None, []
+    for k, v in keys:
+        seen = v if v is not None else seen
+        wanted.append((k, seen))
+    assert [(r.k, r.v) for r in cleaning.fill_previous(df, "v", "k").orderBy("k").collect()] == wanted
+    totals = sorting.running_totals(df.select("k", F.lit(1.0).alias("one")), [F.col("k")], "one")
+    assert [r.running for r in totals.orderBy("k").collect()] == [float(i + 1) for i in range(len(keys))]
+
+
 def test_running_totals(spark):
     df = spark.range(500).selectExpr("id", "cast(id % 7 as double) as v")
     seen = 0.0
@@ -458,3 +481,46 @@ def test_number_text(spark):
     values = {0.1 + 0.2: "0.3", 1234567.0: "1234567", -2.5: "-2.5", 1e15: "1000000000000000", 0.0: "0"}
     df = spark.createDataFrame([(v,) for v in values], "v double")
     assert [r[0] for r in df.select(number_text(F.col("v"))).collect()] == list(values.values())
+
+
+# profiles, stored questions, sentences
+
+
+def test_default_columns_and_profiles(spark):
+    data = [(i, f"c{i % 6}", float(i % 9), 5.0, i % 2 == 0) for i in range(60)]
+    df = spark.createDataFrame(data, "order_id long, customer string, revenue double, price double, paid boolean")
+    assert profile.default_measure(df) == "revenue" and profile.default_measure(df.drop("revenue")) == "price" and profile.default_measure(df.select("order_id")) is None
+    assert profile.id_columns(df) == ["customer"]
+    assert profile.profile(df, "customer")["values"][0] == ("c0", 10) and profile.profile(df, "revenue")["median"] == 4
+    assert [profile.suggest_chart(df, *xs) for xs in (("revenue",), ("revenue", "price"), ("customer",), ("customer", "price"))] == ["histogram", "scatter", "bar", "box"]
+    assert [tuple(r) for r in profile.overview(df).collect()][1] == ("customer", "category", 0, 6)
+    money = spark.createDataFrame([("$1",), ("$2",), ("3",), ("$4",), ("$5",)], "v string")
+    assert profile.unit_of(money, "v") == "$"
+
+
+def test_stored_questions(spark):
+    df = spark.createDataFrame([("a", 1.0, True), ("a", 3.0, False), ("b", 10.0, True)], "k string, v double, f boolean")
+    found = answers.report(df, [{"result": {"kind": "value", "agg": "sum", "column": "v"}}, {"result": {"kind": "value", "agg": "sum", "column": "gone"}}, {"result": {"kind": "drivers", "target": "v"}}], [Filter("f", "is", "yes")])
+    assert found[0].first().value == 11.0 and found[1] == "Missing columns: gone" and found[2].columns[0] == "column_name"
+    assert answers.tile_columns(df) == ["k", "f"]
+    summary = answers.answer(df, {"result": {"kind": "summary", "by": "k", "agg": "mean", "column": "v"}})
+    assert [(r.key, r.value, r["rank"]) for r in summary.collect()] == [("a", 2.0, 1), ("b", 10.0, 2)]
+    with pytest.raises(ValueError, match="Unknown kind"):
+        answers.answer(df, {"result": {"kind": "song"}})
+
+
+def test_values_as_read():
+    import datetime as dt
+
+    shown = [(1234.567, "1,234.6"), (12.345, "12.35"), (0.12345, "0.1235"), (-0.00001, "-1.000e-05"), (100.0, "100"), (1e16, "1.000e+16"), (None, "")]
+    assert [formatting.number(x) for x, _ in shown] == [w for _, w in shown]
+    assert formatting.value(True) == "yes" and formatting.date(dt.datetime(2024, 3, 5)) == "Mar 5, 2024" and formatting.date(dt.datetime(2024, 3, 5, 9, 7)) == "Mar 5, 2024 09:07"
+    assert significance.verdict(0.01) == "likely real" and significance.verdict(None).startswith("not enough") and significance.effect_size(-0.6) == "a clear difference" and significance.p_words(0.0001) == "p < 0.001"
+
+
+def test_sentences_and_new_names():
+    step = {"op": "keepRows", "filters": [{"column": "a", "op": ">", "value": "1"}, {"column": "b", "op": "is missing"}]}
+    assert recipe.described(step) == "Keep rows that match a > 1 and b is missing"
+    assert recipe.described({"op": "unpivot", "columns": ["x", "y"], "names": "n", "values": "v"}) == "Turn x, y into rows"
+    assert set(recipe.SENTENCES) == set(recipe.STEPS)
+    assert recipe.renamed(step, "a", "z")["filters"][0]["column"] == "z" and recipe.renamed({"op": "unpivot", "columns": ["a", "b"], "names": "a", "values": "v"}, "a", "z") == {"op": "unpivot", "columns": ["z", "b"], "names": "a", "values": "v"}
