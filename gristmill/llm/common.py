@@ -2,37 +2,21 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window as W
 
-#: A word of every contract below: a run of characters that are not ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is set (local tests)."""
-    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if found is None:
-        found = tempfile.mkdtemp(prefix="spark-checkpoint-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+from ..operators.storage import ensure_checkpoint_dir, saved
 
+__all__ = ["WORD", "ensure_checkpoint_dir", "fresh", "map_text", "n_words", "prefix_sums", "saved", "small"]
 
-def saved(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it back: the lineage is cut, and lost executors
-    cost nothing because the files are in the shared store."""
-    spark = df.sparkSession
-    path = os.path.join(ensure_checkpoint_dir(spark), f"table-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows of two numbers that may be broadcast.
+SMALL = 1 << 20
+#: A word of every contract below: a run of characters that are not ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -67,6 +51,12 @@ def map_text(df: DataFrame, text: str, work: Callable[[list[str | None]], dict[s
     return df.mapInArrow(run, schema)
 
 
+def small(ids: DataFrame) -> DataFrame:
+    """``ids`` (written, two numbers a row) with a hint to broadcast it if it has at most ``SMALL`` rows; beyond that the
+    other side is shuffled to it."""
+    return F.broadcast(ids) if ids.count() <= SMALL else ids
+
+
 def n_words(text: Column) -> Column:
     """Number of words in a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

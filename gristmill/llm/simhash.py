@@ -28,7 +28,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import ensure_checkpoint_dir, fresh, map_text, saved
+from .common import ensure_checkpoint_dir, fresh, map_text, saved, small
 
 MAX_BITS = 2
 SHINGLE = 3
@@ -39,8 +39,6 @@ NEAR_SHINGLE, NEAR = 5, (4, 5)
 FEATURE, SLICES, LOOSE = 2, 16, 18
 #: Texts, and shingles of them, of a block of a family.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
-#: Rows of two numbers that may be broadcast.
-SMALL = 1 << 20
 #: Node pairs of a trie walk that are held at once.
 FRONTIER = 1 << 18
 
@@ -288,12 +286,6 @@ def loose_links(wides: DataFrame) -> DataFrame:
     return _links(keyed.select("node", (F.col("w") * 6 + F.col("x.part")).alias("k"), "x.key", "x.rest", "check"), True, 22)
 
 
-def small(ids: DataFrame) -> DataFrame:
-    """``ids`` (written, two numbers a row) with a hint to broadcast it if it has at most ``SMALL`` rows; beyond that the
-    other side is shuffled to it."""
-    return F.broadcast(ids) if ids.count() <= SMALL else ids
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node that each node of undirected ``edges`` (u, v) reaches.
 

@@ -31,11 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.window import Window as W
 
-from .common import map_text, saved
+from .common import map_text, saved, small
 
 LENGTH = 400
 ANCHOR = 128
@@ -44,6 +44,8 @@ GRAMS = LENGTH - ANCHOR + 1
 COLUMNS = 2 * (GRAMS - 1) + ANCHOR
 #: Bytes looked at together; a place in them must fit the low bits of a gram's key.
 CHUNK = 1 << 20
+#: Documents whose segments are cut at once.
+DOCS = 256
 #: Segments of one construction, whole anchors.
 BATCH = 20_000
 #: Distinct segments of an anchor that one task may hold.
@@ -215,27 +217,29 @@ def _window_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeats(docs: DataFrame, key: list[str], body: str, hot: int = HOT) -> DataFrame:
-    """(``key``, first, last): runs of repeated windows in each row of ``docs``. ``key`` are longs without nulls that
-    tell rows with different bytes apart; ``body`` is binary."""
+    """(``key``, first, last): runs of repeated windows in each row of ``docs``. ``key`` are whole numbers without nulls
+    that tell rows with different bytes apart; ``body`` is binary."""
     slim = docs.select(*key, body)
     kinds = ", ".join(f"`{c}` {t}" for c, t in slim.dtypes if c != body)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = segments([bytes(b) for b in pdf[body]])
-            rows = pdf[key].iloc[found.pop("doc").to_numpy()].reset_index(drop=True)
-            start, offset, length = (found.pop(c).to_numpy() for c in ("start", "offset", "length"))
-            place = (start << 32) | (offset << 16) | length
-            yield pd.concat([rows, found.assign(place=place)], axis=1)
-
-    occurrences = saved(slim.mapInPandas(cut, f"{kinds}, anchor long, content long, place long"))
-    over = W.partitionBy("anchor")
-    distinct = occurrences.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("place", *key)).alias("at"))
-    twice = distinct.select("*", F.sum("n").over(over).alias("_all"), F.count("*").over(over).alias("_kinds")).where("_all > 1")
-    wanted = saved(twice.select("anchor", "content", "n", "_kinds", "at.*"))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, DOCS):
+                part = batch.slice(at, DOCS)
+                found = segments(part.column(len(key)).to_pylist())
+                own, start, offset, length, anchor, content = (found[c].to_numpy(dtype=np.int64) for c in ("doc", "start", "offset", "length", "anchor", "content"))
+                made = (anchor, content, (start << 32) | (offset << 16) | length)
+                columns = [*(part.column(i).take(pa.array(own)) for i in range(len(key))), *map(pa.array, made)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*key, "anchor", "content", "place"])
+
+    occurrences = saved(slim.mapInArrow(cut, f"{kinds}, anchor long, content long, place long"))
+    twice = saved(occurrences.groupBy("anchor").agg(F.count("*").alias("_all")).where("_all > 1").select("anchor"))
+    repeated = occurrences.join(small(twice), "anchor", "left_semi")
+    distinct = saved(repeated.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("place", *key)).alias("at")))
+    wanted = saved(distinct.join(distinct.groupBy("anchor").agg(F.count("*").alias("_kinds")), "anchor").select("anchor", "content", "n", "_kinds", "at.*"))
     asked = wanted.groupBy(*key).agg(F.collect_list(F.struct("anchor", "content", "n", "place", "_kinds")).alias("asked"))
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"d.{c}")) for c in key]
-    joined = slim.alias("d").join(asked.alias("a"), same).select(f"d.{body}", "a.asked")
+    holders = slim.join(small(saved(wanted.select(*key).distinct())), key, "left_semi").dropDuplicates(key)
+    joined = holders.join(asked, key).select(body, "asked")
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         digest = xxhash.xxh3_64_intdigest
@@ -279,7 +283,7 @@ def repeats(docs: DataFrame, key: list[str], body: str, hot: int = HOT) -> DataF
     if not wanted.where(F.col("_kinds") > hot).isEmpty():
         found = found.unionByName(_counted(bodies.where(F.col("kinds") > hot)))
     start = F.shiftright("place", 32)
-    return occurrences.join(found, ["anchor", "content"]).select(
+    return repeated.join(found, ["anchor", "content"]).select(
         *key, (start + F.col("first")).alias("first"), (start + F.col("last")).alias("last")
     )
 
@@ -312,25 +316,31 @@ def merged(first: list[int], last: list[int]) -> list[tuple[int, int]]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, the bytes of the text, and two hashes that tell rows apart (ids may be null, so they are no key)."""
+    """doc_id, the bytes of the text, and 96 bits of hash that tell rows apart (ids may be null, so they are no key)."""
     body = F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary"))
-    return docs.select("doc_id", body.alias("body"), F.xxhash64("text", "doc_id").alias("h1"), F.xxhash64("doc_id", F.lit("row"), "text").alias("h2"))
+    return docs.select("doc_id", body.alias("body"), F.xxhash64("text", "doc_id").alias("h1"), F.hash("doc_id", "text").alias("h2"))
 
 
 def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _keyed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     key = ["h1", "h2"]
-    runs = repeats(docs, key, "body").groupBy(*key).agg(F.collect_set(F.struct("first", "last")).alias("runs"))
-    joined = docs.join(runs, key, "left").select("doc_id", F.struct("body", F.col("runs.first").alias("first"), F.col("runs.last").alias("last")).alias("x"))
+    runs = saved(repeats(docs, key, "body").groupBy(*key).agg(F.collect_set(F.struct("first", "last")).alias("runs")))
+    ids = small(runs.select(*key))
+    sha = F.sha2("body", 256)
+    whole = docs.join(ids, key, "left_anti").select(
+        "doc_id", F.octet_length("body").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), sha.alias("kept_sha256")
+    )
+    held = F.struct("body", F.col("runs.first").alias("first"), F.col("runs.last").alias("last")).alias("x")
+    joined = docs.join(ids, key, "left_semi").join(runs, key).select("doc_id", held)
 
     def work(rows: list[dict]) -> dict[str, list]:
         out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
         for r in rows:
-            raw, spans = r["body"], [] if r["first"] is None else merged(r["first"], r["last"])
+            raw, spans = r["body"], merged(r["first"], r["last"])
             edges = [0, *[x for s in spans for x in s], len(raw)]
             kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
             for name, value in zip(out, (len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()), strict=True):
                 out[name].append(value)
         return out
 
-    return map_text(joined, "x", work, {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"}, drop=["x"])
+    return whole.unionByName(map_text(joined, "x", work, {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"}, drop=["x"]))
