@@ -14,7 +14,7 @@ from ..operators.storage import ensure_checkpoint_dir, saved
 __all__ = ["WORD", "ensure_checkpoint_dir", "fresh", "map_text", "n_words", "prefix_sums", "saved", "small"]
 
 #: Rows of two numbers that may be broadcast.
-SMALL = 1 << 20
+SMALL = 1 << 21
 #: A word of every contract below: a run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
