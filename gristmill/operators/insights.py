@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.formatting import number as shown
+from ..functions.formatting import share as percent
 from ..functions.values import has_raw, is_missing, kind_of, parse_date, parse_number, text_of, trimmed
 from .analyses import distinct_counts
 from .cleaning import count_duplicates, data_columns
@@ -178,3 +180,25 @@ def facts(df: DataFrame) -> list[Fact]:
             if share[0] and share[0] >= 0.8 and share[1] > 1:
                 out.append(Fact("dominant", (c,), share[0]))
     return out
+
+
+def sentence(fact: Fact) -> str:
+    """A fact as it is told."""
+    a = fact.columns[0]
+    if fact.kind == "correlation":
+        return f"{a} and {fact.columns[1]} tend to {'rise together' if fact.value > 0 else 'move in opposite directions'} (r = {fact.value:.2f})."
+    if fact.kind == "skew":
+        return f"{a} has a long tail of {'large' if fact.value > 0 else 'small'} values, so the median says more than the average."
+    if fact.kind == "outliers":
+        return f"{percent(fact.value) if fact.value >= 0.01 else 'Under 1%'} of the values of {a} are far from the rest."
+    return f"{percent(fact.value)} of the rows have the same {a}."
+
+
+def story(df: DataFrame, measure: str | None = None) -> list[str]:
+    """A table in a few sentences: its size, its health, what goes with a measure, and the facts worth telling."""
+    n, names = df.count(), data_columns(df)
+    issues = health(df)
+    out = [f"The table has {shown(n)} rows and {len(names)} columns.", f"Its health is {score(issues)} of 100" + (f", with {len(issues)} issues." if issues else ".")]
+    best = drivers(df, measure)[:1] if measure else []
+    out += [f"{d.column} explains most of {measure}: {percent(d.strength)} of its variation." for d in best if d.strength >= 0.02]
+    return out + [sentence(f) for f in facts(df)]

@@ -74,6 +74,9 @@ NOT_PORTABLE = ("append", "join")
 def apply(df: DataFrame, step: Step) -> DataFrame:
     if step["op"] not in STEPS:
         raise cleaning.StepError(f"Unknown step {step['op']}.")
+    # filters on columns that are gone are ignored, as everywhere
+    if gone := [] if step["op"] == "keepRows" else missing_for(df, [step]):
+        raise cleaning.StepError(f'There is no column called "{gone[0]}".')
     return STEPS[step["op"]](df, step)
 
 
@@ -137,3 +140,8 @@ def needed_columns(steps: Iterable[Step]) -> set[str]:
         if s["op"] == "split":
             made |= {f"{s['column']} {i}" for i in range(1, cleaning.MAX_PARTS + 1)}
     return need
+
+
+def missing_for(df: DataFrame, steps: Iterable[Step]) -> list[str]:
+    """Columns that the steps need and a table does not have."""
+    return sorted(needed_columns(steps) - set(df.columns))

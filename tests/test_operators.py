@@ -16,6 +16,7 @@ from gristmill.operators import analyses, answers, charts, cleaning, combine, fo
 from gristmill.operators.filters import Filter, search, where
 from gristmill.operators.summarize import Agg
 from gristmill.plans import recipe
+from gristmill.sinks import projects
 
 
 def rows(df):
@@ -462,6 +463,25 @@ def test_drivers_and_facts(spark):
     assert facts[0].kind == "correlation" and set(facts[0].columns) == {"hours", "score"}
 
 
+def test_story(spark):
+    df = spark.createDataFrame([(float(i % 10), 2.0 * (i % 10), "x" if i % 20 else "y") for i in range(60)], "hours double, score double, kind string")
+    told = insights.story(df, "score")
+    assert told[0] == "The table has 60 rows and 3 columns." and "hours explains most of score: 100% of its variation." in told
+    assert "hours and score tend to rise together (r = 1.00)." in told and "95% of the rows have the same kind." in told
+    assert insights.sentence(insights.Fact("outliers", ("a",), 0.004)).startswith("Under 1%")
+
+
+def test_project(spark, tmp_path):
+    df = spark.createDataFrame([("a ", 1.0), ("b", None)], "k string, v double")
+    steps = [{"op": "text", "column": "k", "how": "trim"}, {"op": "rename", "column": "gone", "name": "x"}, {"op": "fillMissing", "column": "v", "method": "mean"}, {"op": "append", "other": df}]
+    questions = [{"result": {"kind": "value"}}]
+    assert projects.save_project(df, steps, str(tmp_path / "p"), questions) == 1
+    original, made, failed, asked = projects.load_project(spark, str(tmp_path / "p"))
+    assert sorted(rows(original), key=repr) == sorted(rows(df), key=repr) and asked == questions
+    assert sorted(rows(made)) == [("a", 1.0), ("b", 1.0)] and [s["op"] for s in failed] == ["rename"]
+    assert recipe.missing_for(df, steps) == ["gone"]
+
+
 # charts
 
 
