@@ -8,10 +8,12 @@ a spanning forest of the links that it finds, never all pairs, and star contract
 
 ``classes`` links fingerprints of one word (the contract of ``op2_simhash``). ``near_duplicates`` finds texts whose sets
 of five-word shingles have a Jaccard similarity of 0.8 or more. Such texts differ in up to a sixth of the bits, so one
-word of 64 bits is too coarse: a fingerprint of ``SLICES`` slices of 32 bits is joined slice by slice, within 2 bits in
-any of them (pairs at the limit are found in about 99 of 100 cases if words are changed here and there, in 88 if one
-run of words is cut off; closer ones in more). The links, confirmed by 64 bits of another slice, give loose families; in
-each family all pairs of texts are compared exactly, in blocks, so no task holds a large family.
+word of 64 bits is too coarse: a fingerprint of ``SLICES`` slices of 32 bits, made of the same sets of shingles that are
+compared, is joined slice by slice, within 2 bits in any of them. Sets at the limit have a cosine of 8/9 at least, so
+they differ in 15% of the bits whatever the change is, and are found in over 999 of 1000 cases; closer ones in more. Sets
+of up to ``SHORT`` shingles, for which that share is rougher, are also linked exactly, by the shingles of their prefixes.
+The links, confirmed by 64 bits of another slice, give loose families; in each family all pairs of texts are compared
+exactly, in blocks, so no task holds a large family.
 
 Edge cases: null text and text without words have fingerprint 0, linked like any other, and no shingles, so they are one
 class; texts of fewer words than a shingle are one shingle; repeated rows share a class; null ids come last, so they name
@@ -35,8 +37,10 @@ SHINGLE = 3
 SEED = 42
 #: Words in a shingle and similarity (as a fraction) of near-duplicates.
 NEAR_SHINGLE, NEAR = 5, (4, 5)
-#: Words in a feature of the wide fingerprint, its slices of 32 bits, and bits of 64 others in which loose pairs differ.
-FEATURE, SLICES, LOOSE = 2, 16, 18
+#: Slices of 32 bits of the wide fingerprint, and bits of 64 others in which loose pairs differ.
+SLICES, LOOSE = 64, 18
+#: Shingles of a text that is filed under its prefix too.
+SHORT = 40
 #: Texts, and shingles of them, of a block of a family.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Node pairs of a trie walk that are held at once.
@@ -84,15 +88,26 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return (out ^ (out >> np.uint64(32))) * _SPREAD
 
 
-def wide_fingerprint(text: str | None) -> np.ndarray:
-    """SimHash of ``SLICES`` x 32 bits of pairs of neighbouring words, as signed 64-bit words."""
-    h = shingle_hashes(text, FEATURE)
-    if not len(h):
+def shingle_set(text: str | None) -> np.ndarray:
+    """Distinct hashes (signed, ascending) of the shingles that near-duplicates share."""
+    return np.unique(shingle_hashes(text, NEAR_SHINGLE).view(np.int64))
+
+
+def wide_fingerprint(own: np.ndarray) -> np.ndarray:
+    """SimHash of ``SLICES`` x 32 bits of a set of shingles, as signed 64-bit words."""
+    if not len(own):
         return np.zeros(SLICES // 2, dtype=np.int64)
+    h = own.view(np.uint64)
     lanes = (h[:, None] ^ (h[:, None] >> np.uint64(31))) * _LANES
     return majority(lanes ^ (lanes >> np.uint64(32))).view(np.int64)
 
 
+def short_prefix(own: np.ndarray) -> np.ndarray:
+    """The least shingles of a set of up to ``SHORT``, of which each near-duplicate of it has one among its own."""
+    p, q = NEAR
+    return own[: len(own) + (-p * len(own)) // q + 1] if 0 < len(own) <= SHORT else own[:0]
+
+
 def with_fingerprints(docs: DataFrame, text: str, name: str) -> DataFrame:
     """``docs`` with the fingerprint of ``text`` as a signed long in place of the text."""
 
@@ -286,6 +301,20 @@ def loose_links(wides: DataFrame) -> DataFrame:
     return _links(keyed.select("node", (F.col("w") * 6 + F.col("x.part")).alias("k"), "x.key", "x.rest", "check"), True, 22)
 
 
+def short_links(prefixes: DataFrame) -> DataFrame:
+    """Links (u, v) that connect all nodes that share a shingle of their prefixes. ``prefixes`` has node and short."""
+    filed = prefixes.select("node", F.explode("short").alias("key"))
+    least = filed.groupBy("key").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1")
+    return filed.join(least, "key").where("node != v").select(F.col("node").alias("u"), "v").distinct()
+
+
+def fewer(links: DataFrame) -> DataFrame:
+    """Links (u, v) that connect the same nodes: each u is linked to its least v alone, and its other v to that one. A u
+    has at most one v for each of its keys; families have few different v, so most of the new links are equal."""
+    grouped = links.groupBy("u").agg(F.min("v").alias("m"), F.collect_set("v").alias("all"))
+    return grouped.select(F.explode(F.concat(F.array("u"), "all")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node that each node of undirected ``edges`` (u, v) reaches.
 
@@ -389,12 +418,14 @@ def similar_links(sets: DataFrame) -> DataFrame:
 
 def near_duplicates(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, root): classes of near-duplicate texts of two members or more. ``texts`` has node, that is equal for equal
-    texts only, and text, any number of rows a node; ``nodes`` has each node once and wide, its wide fingerprint."""
-    loose = components(loose_links(nodes))
+    texts only, and text, any number of rows a node; ``nodes`` has each node once with wide, its wide fingerprint, and
+    short, its prefix if it is short."""
+    found = loose_links(nodes.select("node", "wide")).unionByName(short_links(nodes.select("node", "short")))
+    loose = components(fewer(found))
     family = saved(loose.unionByName(loose.select(F.col("root").alias("node"), "root")).distinct())
 
     def work(batch: list[str | None]) -> dict[str, Any]:
-        sets = [np.unique(shingle_hashes(t, NEAR_SHINGLE).view(np.int64)) for t in batch]
+        sets = [shingle_set(t) for t in batch]
         return {"n": np.array([len(s) for s in sets], dtype=np.int64), "shingles": sets}
 
     members = texts.select("node", "text").join(small(family), "node").dropDuplicates(["node"])
@@ -409,13 +440,14 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     node = F.xxhash64(F.coalesce("text", F.lit("")))
 
     def work(texts: list[str | None]) -> dict[str, Any]:
-        return {"wide": [wide_fingerprint(t) for t in texts]}
+        sets = [shingle_set(t) for t in texts]
+        return {"wide": [wide_fingerprint(x) for x in sets], "short": [short_prefix(x) for x in sets]}
 
     slim = docs.select("doc_id", node.alias("node"), "text")
-    made = saved(map_text(slim, "text", work, {"wide": "array<long>"}, drop=["text"]))
+    made = saved(map_text(slim, "text", work, {"wide": "array<long>", "short": "array<long>"}, drop=["text"]))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("node").alias("h")))
-    nodes = saved(made.groupBy("node").agg(first.alias("first"), F.first("wide").alias("wide")))
-    found = near_duplicates(nodes.select("node", "wide"), slim).withColumnRenamed("node", "member")
+    nodes = saved(made.groupBy("node").agg(first.alias("first"), F.first("wide").alias("wide"), F.first("short").alias("short")))
+    found = near_duplicates(nodes.select("node", "wide", "short"), slim).withColumnRenamed("node", "member")
     rooted = nodes.join(found, F.col("node") == F.col("member"), "left").groupBy(F.coalesce("root", "node").alias("class"))
     stay = rooted.agg(F.min("first").alias("f")).select(F.col("f.id").alias(same_id), F.col("f.h").alias(same_h))
     ours = F.col("doc_id").eqNullSafe(F.col(same_id)) & (F.col("node") == F.col(same_h))

@@ -132,3 +132,45 @@ def test_majority_in_parts():
     bits = np.unpackbits(h.view(np.uint8), axis=1, bitorder="little")
     wanted = np.packbits(2 * bits.sum(axis=0, dtype=int) > 777, bitorder="little").view(np.uint64)
     assert (simhash.majority(h, 100) == wanted).all()
+
+
+def met(a: str, b: str) -> bool:
+    """Whether the stage brings two texts into one loose family."""
+    x, y = simhash.shingle_set(a), simhash.shingle_set(b)
+    if np.intersect1d(simhash.short_prefix(x), simhash.short_prefix(y)).size:
+        return True
+    apart = simhash.wide_fingerprint(x) ^ simhash.wide_fingerprint(y)
+    near_slice = (np.bitwise_count(apart.view(np.uint32)).reshape(-1, 2) <= simhash.MAX_BITS).any(axis=1)
+    return bool((near_slice & (np.bitwise_count(np.roll(apart, -(len(apart) // 2))) <= simhash.LOOSE)).any())
+
+
+@pytest.mark.parametrize("n", [5, 10, 30, 45, 60, 300])
+def test_pairs_at_the_limit_meet(n):
+    """A run of words is cut off, so that the sets of shingles are just similar enough."""
+    missed = 0
+    for seed in range(200):
+        words = [f"{w}{i}" for i, w in enumerate(prose(seed, n + 4).split())]
+        cut = " ".join(words[: -(n // 5)])
+        assert near(shingles(" ".join(words)), shingles(cut))
+        missed += not met(" ".join(words), cut)
+    assert missed <= (0 if n <= 40 else 2)
+
+
+def test_repeated_passage_is_one_class(spark):
+    words = [f"w{i}" for i in range(500)]
+    passage = [f"p{i}" for i in range(10)]
+    few, many = " ".join(words + passage), " ".join(words + passage * 45)
+    assert near(shingles(few), shingles(many))
+    docs = spark.createDataFrame([(1, few, "en", "a", 0), (2, many, "en", "a", 0), (3, prose(9, 400), "en", "a", 0)], SCHEMA)
+    assert [r[0] for r in plain(simhash.one_of_each(docs))] == [1, 3]
+
+
+def test_fewer_links_of_a_large_family(spark):
+    base = prose(77, 60)
+    sets = [simhash.shingle_set(edited(base, i % 2, i)) for i in range(400)]
+    wides = spark.createDataFrame([(i, simhash.wide_fingerprint(x).tolist()) for i, x in enumerate(sets)], "node long, wide array<long>")
+    links = simhash.loose_links(wides).cache()
+    made = simhash.fewer(links).cache()
+    print("links", links.count(), "fewer", made.count())
+    assert made.count() < 3 * len(sets) < links.count()
+    assert plain(simhash.components(made)) == plain(simhash.components(links))
