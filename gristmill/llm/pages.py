@@ -27,12 +27,16 @@ _TAG = re.compile(
     re.S,
 )
 _CLASS = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_RAW = ("script", "style", "textarea", "noscript", "template", "iframe", "svg", "math", "select", "object")
-_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in _RAW}
+#: Elements whose content is no text of the page; those that browsers read raw run to the end of the page if unclosed.
+_HIDDEN = ("script", "style", "textarea", "noscript", "template", "iframe", "svg", "select")
+_RAW = frozenset(("script", "style", "textarea", "iframe"))
+_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in _HIDDEN}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rp rt s samp small "
-    "span strike strong sub sup time tt u var wbr".split()
+    "span strike strong sub sup time tt u var wbr "
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover "
+    "munderover mmultiscripts mtable mtr mtd semantics annotation".split()
 )
 _SPACED = frozenset(("br", "img", "wbr"))
 #: A start tag ends open tags of these kinds, up to a container.
@@ -108,17 +112,18 @@ def blocks(page: str | None) -> list[Block]:
                 if name == "p" and stack[k][0] in _WALLS:
                     break
             continue
-        if name in _RAW:
+        if name in _HIDDEN and not (name == "svg" and attrs.endswith("/")):
             end = _END[name].search(page, at)
-            at = end.end() if end else n
-            continue
+            if end or name in _RAW:
+                at = end.end() if end else n
+                continue
         ends = _CLOSES.get(name, ("p",) if name in _BLOCK_ENDS_P else ())
         if name == "body":
             stack[:] = [x for x in stack if x[0] != "head"]
         while stack and stack[-1][0] in ends:
             stack.pop()
         if name not in _VOID and not attrs.endswith("/"):
-            stack.append((name, " ".join(a or b or c for a, b, c in _CLASS.findall(attrs)).lower()[:200]))
+            stack.append((name, " ".join(a or b or c for a, b, c in _CLASS.findall(attrs)).lower()))
     flush()
     return out
 

@@ -75,3 +75,24 @@ def test_extra_columns(spark, extractor):
     df = spark.createDataFrame([(1, "keep me", WRITTEN[1][0], None)], "page_id long, text string, html string, n_chars map<string,int>")
     made = pages.extract(df, extractor)
     assert made.columns == ["page_id", "n_chars", "text"] and made.first().text == TEXT
+
+
+@pytest.mark.parametrize("tag", ["<svg class='icon'/>", "<math/>", "<svg>", "<template>", "<noscript>"])
+def test_article_behind_an_unclosed_element(extractor, tag):
+    assert extractor.text(f"<html><body><article>{tag}{BODY}</article></body></html>") == TEXT
+
+
+def test_raw_elements_run_to_the_end_and_hidden_ones_to_their_end_tag():
+    assert [b.text for b in pages.blocks("<p>one</p><script>var a = '<p>two</p>'")] == ["one"]
+    assert [b.text for b in pages.blocks("<p>one</p><svg><text>two</text></svg><svg/><p>three</p>")] == ["one", "three"]
+
+
+def test_text_of_math_and_object():
+    assert [b.text for b in pages.blocks("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math></p><object data=a><p>instead</p></object>")] == ["so x=2", "instead"]
+
+
+def test_hints_at_the_end_of_long_attributes():
+    long = " ".join(f"u-{i}" for i in range(100))
+    (block,) = pages.blocks(f"<div class='{long}' id='sidebar'>text</div>")
+    at = 1 + 2 * len(pages._TAGS) + list(pages._HINTS).index("side")
+    assert at in pages._open_features(block.open)
