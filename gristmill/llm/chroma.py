@@ -6,11 +6,10 @@ which pack into one 32-bit integer for each place in time.
 
 Alignment: the differences in time of equal integers of two recordings form an offset histogram; at its mode the share
 of differing bits over the overlap says whether they match. Queries are all recordings whose id divides by 20; they are
-searched against all recordings. Recordings of one fingerprint are one class. The index files each class under the
-``SKETCH`` least hashes of its pairs of neighbouring integers, and classes that share one with a query are compared,
-each pair only under the least key that they share. Large keys are dealt to a grid of blocks of recordings and queries,
-so no task holds a whole one, and what leaves a task is a row per recording, never all pairs. Recall against comparing
-all is measured in the tests.
+searched against all recordings. Recordings of one fingerprint are one class. The index files each class under all its
+integers, and classes that share one with a query are compared, each pair only under the least one that they share. No
+match is lost, as its votes are equal integers. Large keys are dealt to a grid of blocks of recordings and queries, so no
+task holds a whole one, and what leaves a task is a row per recording, never all pairs.
 
 The test tables have no audio: ``sonified`` plays a vector as a melody, a tone per component.
 
@@ -20,6 +19,8 @@ repeated rows are classed together, rows of null id ask for nothing, and a query
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -29,7 +30,6 @@ from .common import map_text, saved
 RATE, FRAME, HOP = 5512, 1024, 512
 LOWEST, HIGHEST = 150.0, 2200.0
 SPAN = 8  # frames that the widest filter covers
-SKETCH = 8
 #: Equal integers at the best offset, and share of differing bits at most, for a match.
 VOTES, ERROR = 3, 0.25
 #: Recordings and queries of a block.
@@ -109,15 +109,6 @@ def sonified(vector: np.ndarray) -> np.ndarray:
     return (tones.ravel() * 12000).astype(np.int16)
 
 
-def keys(code: np.ndarray) -> np.ndarray:
-    """The ``SKETCH`` least hashes of the pairs of neighbouring integers, ascending."""
-    pair = (code[:-1].astype(np.uint64) << np.uint64(32)) | code[1:].astype(np.uint64)
-    h = pair * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    return np.unique(h.view(np.int64))[:SKETCH]
-
-
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float]:
     """Mode of the offset histogram (place in b less place in a), its votes, and the share of differing bits there."""
     i, j = np.nonzero(a[:, None] == b[None, :])
@@ -147,31 +138,31 @@ def search(prints: DataFrame, key: str) -> DataFrame:
     query = F.max(F.coalesce(F.col(key) % 20 == 0, F.lit(False)))
     whole = prints.where(F.size("codes") > 1).groupBy("digest").agg(F.min(key).alias("class_id"), query.alias("asks"), F.first("codes").alias("codes"))
 
-    def sketch(own: list[list[int]]) -> dict[str, list[np.ndarray]]:
-        return {"keys": [keys(np.array(c, dtype=np.int32).view(np.uint32)) for c in own]}
-
-    classes = saved(map_text(whole, "codes", sketch, {"keys": "array<long>"}))
-    filed = classes.select("digest", "asks", F.explode("keys").alias("key"))
+    classes = saved(whole)
+    filed = classes.select("digest", "asks", F.array_min("codes").alias("least"), F.explode(F.array_distinct("codes")).alias("key"))
     sizes = filed.groupBy("key").agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).where("q > 0")
-    grid = filed.select("digest", "key").join(sizes, "key").join(classes.drop("asks").withColumnRenamed("digest", "d"), F.col("digest") == F.col("d"))
+    # a key of one class brings no pair but that of the class and itself, which the least key brings
+    needed = filed.join(sizes, "key").where("n > 1 or key = least").drop("asks", "least")
+    grid = needed.join(classes.drop("asks").withColumnRenamed("digest", "d"), F.col("digest") == F.col("d"))
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     row = F.pmod(F.xxhash64("digest", F.lit(1)), blocks("n")).cast("int")
-    recordings = grid.select("key", row.alias("r"), F.explode(F.sequence(F.lit(0), blocks("q") - 1)).alias("s"), F.lit(False).alias("asks"), F.lit(0).cast("long").alias("class_id"), "codes", "keys", "digest")
+    recordings = grid.select("key", row.alias("r"), F.explode(F.sequence(F.lit(0), blocks("q") - 1)).alias("s"), F.lit(False).alias("asks"), F.lit(0).cast("long").alias("class_id"), "codes", "digest")
     column = F.pmod(F.xxhash64("digest", F.lit(2)), blocks("q")).cast("int")
     asked = (
         grid.join(classes.where("asks").select(F.col("digest").alias("e")), F.col("digest") == F.col("e"), "left_semi")
-        .select("key", F.explode(F.sequence(F.lit(0), blocks("n") - 1)).alias("r"), column.alias("s"), F.lit(True).alias("asks"), F.coalesce("class_id", F.lit(0)).alias("class_id"), "codes", "keys", "digest")
+        .select("key", F.explode(F.sequence(F.lit(0), blocks("n") - 1)).alias("r"), column.alias("s"), F.lit(True).alias("asks"), F.coalesce("class_id", F.lit(0)).alias("class_id"), "codes", "digest")
     )
 
-    def compare(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        here = pdf["key"].iloc[0]
-        code = [np.asarray(c, dtype=np.int32).view(np.uint32) for c in pdf["codes"]]
-        filed_under = [np.asarray(k) for k in pdf["keys"]]
-        less = [set(k[k < here].tolist()) for k in filed_under]
-        asks = np.flatnonzero(pdf["asks"].to_numpy())
-        ids, digests = pdf["class_id"].to_numpy(), pdf["digest"].to_numpy()
-        out = []
-        for r in np.flatnonzero(~pdf["asks"].to_numpy()):
+    names = ["digest", "n", "error", "query", "at"]
+
+    def compare(key: int, rows: list[tuple[bool, int, np.ndarray, int]]) -> list[tuple]:
+        """Matches of the rows (asks, class_id, codes, digest) of a block of ``key``."""
+        code = [x[2].view(np.uint32) for x in rows]
+        less = [set(x[2][x[2] < key].tolist()) for x in rows]
+        asks, out = [i for i, x in enumerate(rows) if x[0]], []
+        for r, (asking, _, _, digest) in enumerate(rows):
+            if asking:
+                continue
             best, n = (2.0, 0, 0), 0
             for q in asks:
                 if not less[r].isdisjoint(less[q]):
@@ -179,12 +170,25 @@ def search(prints: DataFrame, key: str) -> DataFrame:
                 at, votes, error = align(code[q], code[r])
                 if votes >= VOTES and error <= ERROR:
                     n += 1
-                    best = min(best, (error, int(ids[q]), at))
+                    best = min(best, (error, rows[q][1], at))
             if n:
-                out.append((int(digests[r]), n, *best))
-        return pd.DataFrame(out, columns=["digest", "n", "error", "query", "at"])
-
-    found = recordings.unionByName(asked).groupBy("key", "r", "s").applyInPandas(compare, "digest long, n long, error double, query long, at int")
+                out.append((digest, n, *best))
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, held = None, []
+        for pdf in batches:
+            found = []
+            for key, r, s, asking, class_id, code, digest in pdf.itertuples(index=False, name=None):
+                if (key, r, s) != here:
+                    found += compare(here[0], held) if held else []
+                    here, held = (key, r, s), []
+                held.append((asking, class_id, np.asarray(code, dtype=np.int32), digest))
+            yield pd.DataFrame(found, columns=names)
+        yield pd.DataFrame(compare(here[0], held) if held else [], columns=names)
+
+    met = recordings.unionByName(asked).repartition("key", "r", "s").sortWithinPartitions("key", "r", "s")
+    found = met.mapInPandas(run, "digest long, n long, error double, query long, at int")
     best = found.groupBy("digest").agg(F.sum("n").alias("n_queries"), F.min(F.struct("error", "query", "at")).alias("b"))
     return classes.select("digest", "class_id").join(best, "digest", "left").select(
         "digest", "class_id", F.coalesce("n_queries", F.lit(0)).alias("n_queries"), "b.query", "b.at", "b.error"

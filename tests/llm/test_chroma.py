@@ -87,3 +87,14 @@ def test_recall_on_test_table(spark):
 
 def test_empty(spark, table):
     assert chroma.op3_chroma(spark, table([], SCHEMA, "embeddings")).count() == 0
+
+
+def test_no_pair_is_lost(spark, table):
+    """Counts of matches equal those of comparing all pairs, for short parts of long recordings too."""
+    long = [float(x) for x in melody(500, 300)]
+    rows = [(20 * i, long[i * 17 : i * 17 + 24 + i], 0) for i in range(12)] + [(1001, long, 0), (1002, [float(x) for x in melody(501, 300)], 0)]
+    rows += [(2001 + i, [x + float(e) for x, e in zip(long[i * 17 : i * 17 + 60], melody(600 + i, 60) / 20, strict=True)], 0) for i in range(12)]
+    _, pairs = brute([(r[0], r[1]) for r in rows])
+    others = sum(q != r for q, r in pairs)
+    found = {r.vec_id: r.n_queries for r in chroma.op3_chroma(spark, table(rows, SCHEMA, "embeddings")).collect()}
+    assert others >= 20 and found == {r[0]: sum(x == r[0] for _, x in pairs) for r in rows}
