@@ -56,12 +56,16 @@ class Correlation:
     p: float
 
 
-def group_moments(df: DataFrame, group: str, value: str) -> dict[object, tuple[int, float, float]]:
-    """group -> (n, mean, sample variance), without missing groups and values. One row per group comes back."""
+def moments(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(g, n, mean, var), the sample variance, of each group, without missing groups and values."""
     held = df.where(F.col(f"`{group}`").isNotNull() & F.col(f"`{value}`").isNotNull())
     x = number(df, value)
-    made = held.groupBy(F.col(f"`{group}`").alias("g")).agg(F.count("*"), F.avg(x), F.coalesce(F.var_samp(x), F.lit(0.0)))
-    return {r[0]: (r[1], r[2], r[3]) for r in made.limit(10_000).collect()}
+    return held.groupBy(F.col(f"`{group}`").alias("g")).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.coalesce(F.var_samp(x), F.lit(0.0)).alias("var"))
+
+
+def group_moments(df: DataFrame, group: str, value: str) -> dict[object, tuple[int, float, float]]:
+    """group -> (n, mean, sample variance). One row per group comes back, so it is for few groups."""
+    return {r[0]: (r[1], r[2], r[3]) for r in moments(df, group, value).collect()}
 
 
 def welch_from(a: tuple[int, float, float], b: tuple[int, float, float]) -> Welch | None:
@@ -84,22 +88,32 @@ def welch(df: DataFrame, group: str, value: str, first: object, second: object)
     return welch_from(found[first], found[second]) if first in found and second in found else None
 
 
-def anova_from(groups: list[tuple[int, float, float]]) -> Anova | None:
-    held = [g for g in groups if g[0] >= 2]
-    n, k = sum(g[0] for g in held), len(held)
+def anova_of(n: int, k: int, between: float, within: float) -> Anova | None:
     if k < 2 or n <= k:
         return None
-    grand = sum(c * m for c, m, _ in held) / n
-    between, within = sum(c * (m - grand) ** 2 for c, m, _ in held), sum((c - 1) * v for c, _, v in held)
     if within == 0:
         return Anova(math.inf if between else 0.0, k - 1, n - k, 0.0 if between else 1.0, 1.0 if between else 0.0)
     f = between / (k - 1) / (within / (n - k))
     return Anova(f, k - 1, n - k, f_tail(f, k - 1, n - k), between / (between + within))
 
 
+def anova_from(groups: list[tuple[int, float, float]]) -> Anova | None:
+    held = [g for g in groups if g[0] >= 2]
+    n, k = sum(g[0] for g in held), len(held)
+    if not n:
+        return None
+    grand = sum(c * m for c, m, _ in held) / n
+    return anova_of(n, k, sum(c * (m - grand) ** 2 for c, m, _ in held), sum((c - 1) * v for c, _, v in held))
+
+
 def anova(df: DataFrame, group: str, value: str) -> Anova | None:
-    """Do groups differ in their means?"""
-    return anova_from(list(group_moments(df, group, value).values()))
+    """Do groups differ in their means? Any number of groups; only their sums come back."""
+    held = moments(df, group, value).where("n >= 2")
+    n, k, total, within = held.agg(F.sum("n"), F.count("*"), F.sum(F.col("n") * F.col("mean")), F.sum((F.col("n") - 1) * F.col("var"))).first()
+    if not n or total is None:
+        return None
+    between = held.agg(F.sum(F.col("n") * F.pow(F.col("mean") - total / n, F.lit(2)))).first()[0]
+    return anova_of(n, k, between, within)
 
 
 def contingency(df: DataFrame, a: str, b: str, most: int) -> list[tuple[object, object, int]]:
@@ -147,7 +161,9 @@ def test_columns(df: DataFrame, a: str, b: str) -> Welch | Anova | ChiSquare | C
         return correlation(df, a, b)
     if any(numeric):
         group, value = (b, a) if numeric[0] else (a, b)
-        found = [g for g in group_moments(df, group, value).values() if g[0] >= 2]
+        # one group more than are tested tells that there are too many, whichever it is
+        usable = moments(df, group, value).where("n >= 2").limit(MOST_LEVELS + 1)
+        found = [(r[1], r[2], r[3]) for r in usable.collect()]
         if len(found) == 2:
             return welch_from(*found)
         return anova_from(found) if 3 <= len(found) <= MOST_LEVELS else None

@@ -544,3 +544,22 @@ def test_sentences_and_new_names():
     assert recipe.described({"op": "unpivot", "columns": ["x", "y"], "names": "n", "values": "v"}) == "Turn x, y into rows"
     assert set(recipe.SENTENCES) == set(recipe.STEPS)
     assert recipe.renamed(step, "a", "z")["filters"][0]["column"] == "z" and recipe.renamed({"op": "unpivot", "columns": ["a", "b"], "names": "a", "values": "v"}, "a", "z") == {"op": "unpivot", "columns": ["z", "b"], "names": "a", "values": "v"}
+
+
+def test_anova_of_many_groups(spark):
+    from gristmill.operators import significance
+
+    k = 12_000
+    df = spark.range(2 * k).selectExpr("concat('g', id % 12000) AS g", "CAST(id % 12000 + IF(id < 12000, 0, 1) AS double) AS x")
+    found = significance.anova(df, "g", "x")
+    assert (found.df1, found.df2) == (k - 1, k)
+    between, within = 2 * sum((i - (k - 1) / 2) ** 2 for i in range(k)), 0.5 * k
+    assert abs(found.f / (between / (k - 1) / (within / k)) - 1) < 1e-9
+
+
+def test_usable_groups_are_found_among_many_single_ones(spark):
+    from gristmill.operators import significance
+
+    df = spark.range(20_060).selectExpr("IF(id < 20000, concat('s', id), concat('g', id % 3)) AS g", "CAST(id % 7 AS double) AS x")
+    found = significance.test_columns(df, "g", "x")
+    assert isinstance(found, significance.Anova) and (found.df1, found.df2) == (2, 57)
