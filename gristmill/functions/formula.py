@@ -6,22 +6,25 @@ A formula becomes one expression, so it runs inside generated code with the rest
 
 from __future__ import annotations
 
+import ast
 import difflib
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .values import finite, kind_of, let, natural_key, number_text
 
-_TOKEN = re.compile(
+#: The words and signs of a formula; Python's own parser reads them once they are spelled its way.
+_WORD = re.compile(
     r"\s*(?:(?P<num>(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)|\"(?P<dq>[^\"]*)\"|'(?P<sq>[^']*)'|\[(?P<col>[^\]]*)\]"
-    r"|(?P<id>[^\W\d][\w.]*)|(?P<op>==|!=|<>|<=|>=|&&|\|\||[-+*/%^&=<>(),]))"
+    r"|(?P<id>[^\W\d][\w.]*)(?P<call>\s*\()?|(?P<op>==|!=|<>|<=|>=|&&|\|\||[-+*/%^&=<>(),]))"
 )
-# Binding strength of the operators.
-STRENGTH = {"or": 1, "||": 1, "and": 2, "&&": 2, "=": 4, "==": 4, "!=": 4, "<>": 4, "<": 4, "<=": 4, ">": 4, ">=": 4, "&": 5, "+": 6, "-": 6, "*": 7, "/": 7, "%": 7, "^": 9}
-NOT, SIGN = 3, 8
+_SPELLED = {"^": "**", "=": "==", "<>": "!=", "&&": "and", "||": "or"}
+_SIGNS = {ast.Add: "+", ast.Sub: "-", ast.Mult: "*", ast.Div: "/", ast.Mod: "%", ast.Pow: "^", ast.BitAnd: "&"}
+_RELATIONS = {ast.Eq: "=", ast.NotEq: "!=", ast.Lt: "<", ast.LtE: "<=", ast.Gt: ">", ast.GtE: ">="}
 
 
 class FormulaError(ValueError):
@@ -135,21 +138,21 @@ FUNCTIONS: dict[str, tuple[int, int, Callable[..., Value]]] = {
 
 def _compare(op: str, a: Value, b: Value) -> Value:
     texts = "text" in (a.kind, b.kind)
-    if op in ("=", "==", "!=", "<>"):
+    if op in ("=", "!="):
         same = F.lower(a.text()) == F.lower(b.text()) if texts else a.number() == b.number()
-        return Value(same if op in ("=", "==") else ~same, "boolean")
+        return Value(same if op == "=" else ~same, "boolean")
     x, y = (natural_key(a.c), natural_key(b.c)) if a.kind == b.kind == "text" else (a.number(), b.number())
     return Value({"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op], "boolean")
 
 
 def _binary(op: str, a: Value, b: Value) -> Value:
-    if op in ("and", "&&"):
+    if op == "and":
         return Value(a.truth() & b.truth(), "boolean")
-    if op in ("or", "||"):
+    if op == "or":
         return Value(a.truth() | b.truth(), "boolean")
     if op == "&":
         return FUNCTIONS["concat"][2](a, b)
-    if STRENGTH[op] == 4:
+    if op in _RELATIONS.values():
         return _compare(op, a, b)
     if op == "+" and "text" in (a.kind, b.kind):
         return Value(F.concat(a.text(), b.text()), "text")
@@ -158,101 +161,88 @@ def _binary(op: str, a: Value, b: Value) -> Value:
     return Value(finite(made[op]()), "number")
 
 
-class _Reader:
-    def __init__(self, source: str, df: DataFrame) -> None:
-        if not source.strip():
-            raise FormulaError("Type a formula, for example: price * quantity")
-        self.df, self.at, self.tokens = df, 0, []
-        at = 0
-        source = source.rstrip()
-        while at < len(source):
-            m = _TOKEN.match(source, at)
-            if not m:
-                raise FormulaError(f'Unexpected "{source[at:].strip()[:1]}" at position {at + 1}.')
-            self.tokens.append((m.lastgroup, m[m.lastgroup]))
-            at = m.end()
-
-    def ahead(self) -> tuple[str, str]:
-        return self.tokens[self.at] if self.at < len(self.tokens) else ("end", "")
-
-    def take(self, op: str) -> None:
-        if self.ahead() != ("op", op):
-            found = self.ahead()[1]
-            raise FormulaError(f'Expected "{op}" but found "{found}".' if found else f'The formula ends too early: expected "{op}".')
-        self.at += 1
-
-    def column(self, name: str) -> Value:
-        names = self.df.columns
-        found = name if name in names else next((c for c in names if c.lower() == name.lower()), None)
-        if found is None:
-            near = difflib.get_close_matches(name, names, 1)
-            raise FormulaError(f'There is no column called "{name}".' + (f' Did you mean "{near[0]}"?' if near else ""))
-        kind = kind_of(self.df, found)
-        return Value(F.col(f"`{found}`"), "text" if kind == "category" else kind)
-
-    def operand(self) -> Value:
-        kind, text = self.ahead()
-        self.at += 1
+def _spelled(source: str, columns: list[str]) -> str:
+    """A formula as a Python expression: columns are calls of ``_``, functions have ``f_`` before their name."""
+    out, at, source = [], 0, source.rstrip()
+    while at < len(source):
+        m = _WORD.match(source, at)
+        if not m:
+            raise FormulaError(f'Unexpected "{source[at:].strip()[:1]}" at position {at + 1}.')
+        kind, at = m.lastgroup, m.end()
+        name = m["id"]
+        low = (name or "").lower()
         if kind == "num":
-            return Value(F.lit(float(text)), "number")
-        if kind in ("dq", "sq"):
-            return Value(F.lit(text), "text")
-        if kind == "col":
-            return self.column(text.strip())
-        if (kind, text) == ("op", "("):
-            inner = self.expression(0)
-            self.take(")")
-            return inner
-        if (kind, text) == ("op", "-"):
-            return Value(-self.expression(SIGN).number(), "number")
-        if (kind, text) == ("op", "+"):
-            return self.expression(SIGN)
-        if kind != "id":
-            raise FormulaError(f'Unexpected "{text}".' if text else "The formula ends too early.")
-        low = text.lower()
-        if low == "not":
-            x = self.expression(NOT)
-            return Value(F.when(x.c.isNotNull(), ~x.truth()), "boolean")
-        if self.ahead() == ("op", "(") and text not in self.df.columns:
-            return self.call(text)
-        if low in ("true", "yes", "false", "no"):
-            return Value(F.lit(low in ("true", "yes")), "boolean")
-        return self.column(text)
-
-    def call(self, name: str) -> Value:
-        if name.lower() not in FUNCTIONS:
-            raise FormulaError(f'Unknown function "{name}".')
-        least, most, made = FUNCTIONS[name.lower()]
-        self.take("(")
-        args = []
-        while self.ahead() != ("op", ")"):
-            if args:
-                self.take(",")
-            args.append(self.expression(0))
-        self.take(")")
-        if not least <= len(args) <= most:
-            raise FormulaError(f"{name}() needs {least if least == most else f'{least} or more'} values.")
-        return made(*args)
-
-    def expression(self, least: int) -> Value:
-        left = self.operand()
-        while True:
-            kind, text = self.ahead()
-            op = text.lower() if kind == "id" else text if kind == "op" else ""
-            strength = STRENGTH.get(op, 0)
-            if not strength or strength < least:
-                return left
-            self.at += 1
-            left = _binary(op, left, self.expression(strength + (op != "^")))
+            out.append(repr(float(m["num"])))
+        elif kind in ("dq", "sq"):
+            out.append(repr(m[kind]))
+        elif kind == "op":
+            out.append(_SPELLED.get(m["op"], m["op"]))
+        elif kind == "col":
+            out.append(f"_({m['col'].strip()!r})")
+        elif low in ("and", "or", "not"):
+            out += [low, *"(" * (kind == "call")]
+        elif kind == "call" and name not in columns:
+            if low not in FUNCTIONS:
+                raise FormulaError(f'Unknown function "{name}".')
+            out.append(f"f_{low}(")
+        else:
+            flag = low in ("true", "yes", "false", "no")
+            out += [str(low in ("true", "yes")) if flag else f"_({name!r})", *"(" * (kind == "call")]
+    return " ".join(out)
+
+
+def _column(df: DataFrame, name: str) -> Value:
+    names = df.columns
+    found = name if name in names else next((c for c in names if c.lower() == name.lower()), None)
+    if found is None:
+        near = difflib.get_close_matches(name, names, 1)
+        raise FormulaError(f'There is no column called "{name}".' + (f' Did you mean "{near[0]}"?' if near else ""))
+    kind = kind_of(df, found)
+    return Value(F.col(f"`{found}`"), "text" if kind == "category" else kind)
+
+
+def _value(node: ast.expr, df: DataFrame) -> Value:
+    """The expression of a node of the parsed formula."""
+    of = lambda x: _value(x, df)
+    match node:
+        case ast.Constant(value=bool() as v):
+            return Value(F.lit(v), "boolean")
+        case ast.Constant(value=float() as v):
+            return Value(F.lit(v), "number")
+        case ast.Constant(value=str() as v):
+            return Value(F.lit(v), "text")
+        case ast.Call(func=ast.Name(id="_"), args=[ast.Constant(value=name)]):
+            return _column(df, name)
+        case ast.Call(func=ast.Name(id=name), args=args):
+            least, most, made = FUNCTIONS[name[2:]]
+            if not least <= len(args) <= most:
+                raise FormulaError(f"{name[2:]}() needs {least if least == most else f'{least} or more'} values.")
+            return made(*map(of, args))
+        case ast.UnaryOp(op=ast.USub(), operand=x):
+            return Value(-of(x).number(), "number")
+        case ast.UnaryOp(op=ast.UAdd(), operand=x):
+            return of(x)
+        case ast.UnaryOp(op=ast.Not(), operand=x):
+            v = of(x)
+            return Value(F.when(v.c.isNotNull(), ~v.truth()), "boolean")
+        case ast.BoolOp(op=op, values=values):
+            return reduce(partial(_binary, "and" if isinstance(op, ast.And) else "or"), map(of, values))
+        case ast.BinOp(left=x, op=op, right=y) if type(op) in _SIGNS:
+            return _binary(_SIGNS[type(op)], of(x), of(y))
+        case ast.Compare(left=x, ops=ops, comparators=ys):
+            return reduce(lambda a, b: _binary(_RELATIONS[type(b[0])], a, of(b[1])), zip(ops, ys, strict=True), of(x))
+    raise FormulaError("The formula has a part that cannot be read. Is an operator missing?")
 
 
 def compiled(source: str, df: DataFrame) -> Value:
     """The formula over the columns of ``df``."""
-    reader = _Reader(source, df)
-    found = reader.expression(0)
-    if reader.at < len(reader.tokens):
-        raise FormulaError(f'Unexpected "{reader.ahead()[1]}". Is an operator or comma missing?')
-    return found
+    if not source.strip():
+        raise FormulaError("Type a formula, for example: price * quantity")
+    try:
+        tree = ast.parse(_spelled(source, df.columns), mode="eval")
+    except SyntaxError as e:
+        raise FormulaError("The formula cannot be read. Is an operator, a comma or a bracket missing?") from e
+    return _value(tree.body, df)
 
 
 def calculate(df: DataFrame, name: str, source: str) -> DataFrame:

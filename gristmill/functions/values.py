@@ -23,6 +23,7 @@ TWO_WAY_DATE = r"^(\d{1,2})[/.](\d{1,2})[/.](\d{4})$"
 MONTH_FIRST = r"^([A-Za-z]{3,9})\.? (\d{1,2}),? (\d{4})$"
 MONTH_SECOND = r"^(\d{1,2}) ([A-Za-z]{3,9})\.?,? (\d{4})$"
 ISO_TIME = r"^(\d{4})-(\d{1,2})-(\d{1,2})[T ](\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d+)?))?(Z|[+-]\d{2}:?\d{2})?$"
+DATE_LIKE = r"^(\d{4}[-/]\d|\d{1,2}[/.]\d{1,2}[/.]\d{4}$|[A-Za-z]{3,9}\.? \d|\d{1,2} [A-Za-z])"
 MONTH_NAME = r"(?i)^(jan(uary)?|feb(ruary)?|mar(ch)?|apr(il)?|may|june?|july?|aug(ust)?|sept?(ember)?|oct(ober)?|nov(ember)?|dec(ember)?)$"
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
@@ -67,6 +68,21 @@ def parse_number(c: Column, decimal_comma: bool = False) -> Column:
     return let(trimmed(c), read)
 
 
+def reads_number(t: Column, decimal_comma: bool = False) -> Column:
+    """Whether ``parse_number`` reads a trimmed text, without its value: patterns alone, but for numbers with exponents."""
+    wrapped = t.rlike(r"^\(.+\)$")
+    body = F.when(wrapped, trimmed(F.regexp_extract(t, r"^\((.+)\)$", 1))).otherwise(t)
+    if decimal_comma:
+        return body.rlike(COMMA_NUMBER)
+    fits = body.rlike(NUMBER) & body.rlike(r"\d") & ~(wrapped & body.rlike(r"^[-+]"))
+    return F.when(t.rlike("[eE]"), parse_number(t).isNotNull()).otherwise(fits)
+
+
+def reads_date(t: Column) -> Column:
+    """Whether ``parse_date`` reads a trimmed text; only texts that begin like a date are read."""
+    return F.when(t.rlike(DATE_LIKE), parse_date(t).isNotNull()).otherwise(F.lit(False))
+
+
 def _day(y: Column, m: Column, d: Column) -> Column:
     return F.try_make_timestamp(y, m, d, F.lit(0), F.lit(0), F.lit(0))
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.values import kind_of
+from .quantiles import of_columns
 from .series import DAYS_A_YEAR, period_unit, start_of, totals
 from .significance import Welch, welch_from
 from .stats import num, pearson
@@ -288,7 +289,7 @@ def what_if(df: DataFrame, target: str, inputs: Sequence[str] | None = None, mos
     numbers, flags, names = ([c for c in chosen if kinds[c] == k] for k in ("number", "boolean", "category"))
     typical: dict[str, object] = {}
     if numbers:
-        typical |= dict(zip(numbers, held.agg(*[F.median(num(c)) for c in numbers]).first(), strict=True))
+        typical |= {c: None for c in numbers} | {c: q for c, (q,) in of_columns(held, {c: num(c) for c in numbers}, (0.5,)).items()}
     if flags:
         typical |= {c: v >= 0.5 for c, v in zip(flags, held.agg(*[F.avg(F.coalesce(F.col(f"`{c}`"), F.lit(False)).cast("int")) for c in flags]).first(), strict=True)}
     levels = {c: [str(r[0]) for r in held.where(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`")).count().orderBy(F.desc("count"), F.col(f"`{c}`")).limit(8).collect()] for c in names}

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.values import kind_of
 from . import charts, insights, sorting, stats
 from .filters import Filter, where
-from .summarize import Agg, aggregate, group, ordered
+from .summarize import Agg, group, ordered, summarised
 
 SHOWN, SHOWN_IN_REPORTS = 12, 25
 
@@ -38,7 +38,7 @@ def answer(df: DataFrame, spec: dict[str, Any], active: Iterable[Filter] = (), s
     held = where(df, [*active, *filters_of(spec)])
     agg = Agg(result.get("agg", "count"), result.get("column"))
     if result["kind"] == "value":
-        return held.agg(aggregate(df, agg).alias("value"))
+        return summarised(held, [], [agg], ["value"], df)
     if result["kind"] == "summary":
         made = group(held, result["by"], [agg], result.get("unit", "month"), ["value"])
         if "limit" in result or "sort" in result:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.values import kind_of
+from .quantiles import QUARTERS, quantiles
 from .series import chart_unit, start_of, totals
 from .sorting import even_sample
 from .stats import num
-from .summarize import MISSING, OTHER, Agg, aggregate, first_frequencies, group_key, ordered
+from .summarize import MISSING, OTHER, Agg, first_frequencies, group_key, ordered, summarised
 
 MOST_BARS, MOST_BOXES, MOST_COLOURS, MOST_POINTS, MOST_DAYS = 30, 15, 6, 5000, 371
 
@@ -27,14 +28,15 @@ def line(df: DataFrame, x: str, y: str | None = None, agg: str = "mean", colour:
     if kind_of(df, x) == "date":
         at = start_of(at, unit or chart_unit(df, x))
     held = (coloured(df, colour) if colour else df).where(F.col(f"`{x}`").isNotNull())
-    made = held.groupBy(*(["colour"] if colour else []), at.alias("x")).agg(aggregate(df, Agg(agg, y) if y else Agg()).cast("double").alias("y"))
-    return made.where("y IS NOT NULL")
+    keys = [*(["colour"] if colour else []), "_at"]
+    made = summarised(held.withColumn("_at", at), keys, [Agg(agg, y) if y else Agg()], ["_y"], df)
+    return made.select(*keys[:-1], F.col("_at").alias("x"), F.col("_y").cast("double").alias("y")).where("y IS NOT NULL")
 
 
 def bars(df: DataFrame, x: str, y: str | None = None, agg: str = "mean") -> DataFrame:
     """(label, value, rank): the largest bars, in the labels' own order if they have one."""
     keyed = df.withColumn("label", group_key(df, x)).where(F.col("label").isNotNull() & (F.col("label").cast("string") != MISSING))
-    made = keyed.groupBy("label").agg(aggregate(df, Agg(agg, y) if y else Agg()).cast("double").alias("value")).where("value IS NOT NULL")
+    made = summarised(keyed, ["label"], [Agg(agg, y) if y else Agg()], ["_y"], df).select("label", F.col("_y").cast("double").alias("value")).where("value IS NOT NULL")
     kind = kind_of(df, x)
     # the natural order only holds for few labels; of many, the largest are shown
     if kind in ("number", "date"):
@@ -57,10 +59,11 @@ def boxes(df: DataFrame, by: str, y: str) -> DataFrame:
     Whiskers end at the last value within 1.5 interquartile ranges of the box.
     """
     keyed = df.withColumn("label", group_key(df, by).cast("string")).where(num(y).isNotNull()).select(F.coalesce("label", F.lit(MISSING)).alias("label"), num(y).alias("y"))
-    quarts = F.percentile("y", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    first = keyed.groupBy("label").agg(F.count("*").alias("n"), quarts.alias("q"), F.avg("y").alias("mean")).orderBy(F.desc("n"), "label").limit(MOST_BOXES)
+    largest = keyed.groupBy("label").agg(F.count("*").alias("n"), F.avg("y").alias("mean")).orderBy(F.desc("n"), "label").limit(MOST_BOXES)
+    held = keyed.join(F.broadcast(largest.select("label")), "label")
+    first = largest.join(quantiles(held, ["label"], F.col("y"), QUARTERS), "label")
     iqr = F.col("q")[2] - F.col("q")[0]
-    fenced = keyed.join(F.broadcast(first.withColumns({"a": F.col("q")[0] - 1.5 * iqr, "b": F.col("q")[2] + 1.5 * iqr})), "label")
+    fenced = held.join(F.broadcast(first.withColumns({"a": F.col("q")[0] - 1.5 * iqr, "b": F.col("q")[2] + 1.5 * iqr})), "label")
     inside = F.when(F.col("y").between(F.col("a"), F.col("b")), F.col("y"))
     made = fenced.groupBy("label", "n", "q", "mean").agg(F.min(inside).alias("whisker_low"), F.max(inside).alias("whisker_high"), F.count_if(~F.col("y").between(F.col("a"), F.col("b"))).alias("outliers"))
     return made.select("label", "n", "whisker_low", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "whisker_high", "mean", "outliers")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.values import RAW, kind_of, marked, number_text, parse, round_digits, text_of, trimmed
+from .quantiles import quantiles
 from .sorting import ROW, in_ranges
 from .summarize import OTHER, first_frequencies
 
@@ -78,7 +79,11 @@ def fill(df: DataFrame, column: str, method: str, value: str | None = None) -> D
     if method in ("mean", "median"):
         if kind != "number":
             raise StepError(f"Filling with the {method} only works for number columns.")
-        found = df.agg(round_digits((F.avg if method == "mean" else F.median)(c.cast("double"))).alias("v")).first()[0]
+        if method == "mean":
+            made = df.agg(F.avg(c.cast("double")).alias("v"))
+        else:
+            made = quantiles(df, [], c.cast("double")).select(F.col("q")[0].alias("v"))
+        found = next((r[0] for r in made.select(round_digits(F.col("v"))).collect()), None)
     elif method == "mode":
         top = first_frequencies(df, column, 1).first()
         found = top["value"] if top else None
@@ -221,9 +226,9 @@ def delete(df: DataFrame, column: str) -> DataFrame:
 
 
 def set_kind(df: DataFrame, column: str, kind: str) -> DataFrame:
-    """Read the column's text anew as another kind."""
+    """Read the column's text anew as another kind, which it keeps when the table is joined or stacked."""
     text = text_of(df, column)
-    return df.withColumn(column, marked(parse(text, kind), column, kind))
+    return df.withColumn(column, parse(text, kind).alias(column, metadata={"kind": kind, "chosen": True}))
 
 
 def unpivot(df: DataFrame, columns: Sequence[str], name_column: str, value_column: str) -> DataFrame:

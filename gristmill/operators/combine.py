@@ -6,8 +6,10 @@ import re
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.values import join_key
+from ..functions.values import RAW, has_raw, join_key
+from ..sources.text import Kind, kinds, typed
 from .cleaning import data_columns, unique_name
+from .sorting import ROW
 
 HOW = ("left", "inner", "full")
 
@@ -21,10 +23,13 @@ def join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how:
 
     The right key column goes; clashing names get the right table's name. In a full join an unmatched right row keeps
     its key in the left key column. The key is a column of its own, so Spark may broadcast the small side or split
-    skewed keys.
+    skewed keys. Of two tables that were read from text, the texts are joined and their kinds read off anew.
     """
     if how not in HOW:
         raise ValueError(f"how must be one of {HOW}")
+    texts = as_texts(left), as_texts(right)
+    if texts[0] is not None and texts[1] is not None:
+        return reread(left, join(*texts, left_key, right_key, how, right_name))
     taken, names = list(left.columns), {}
     for c in data_columns(right):
         if c != right_key:
@@ -64,7 +69,11 @@ def preview(left: DataFrame, right: DataFrame, left_key: str, right_key: str) ->
 
 
 def suggest_keys(left: DataFrame, right: DataFrame, rows: int = 5000) -> list[tuple[str, str, float]]:
-    """Pairs of columns by how well they would join, best first, judged on the first rows of each side."""
+    """Pairs of columns by how well they would join, best first, judged on the first rows of each side.
+
+    The score is the share of the right column's keys that the left one has, 1 more for equal names, and 0.25 more for a
+    right column of almost only different keys. A left column needs two keys.
+    """
     sets: list[dict[str, tuple[set[str], int]]] = []
     for df in (left, right):
         head = df.limit(rows)
@@ -74,13 +83,34 @@ def suggest_keys(left: DataFrame, right: DataFrame, rows: int = 5000) -> list[tu
     found = []
     for a, (x, _) in sets[0].items():
         for b, (y, n) in sets[1].items():
-            shared = len(x & y) / max(1, min(len(x), len(y)))
-            score = shared + (plain(a) == plain(b)) + 0.25 * len(y) / max(1, n)
-            if shared > 0:
-                found.append((a, b, score))
+            if len(x) >= 2 and (hits := len(x & y)):
+                found.append((a, b, hits / len(y) + (same_name(a, b)) + 0.25 * (len(y) > 0.9 * max(1, n))))
     return sorted(found, key=lambda f: -f[2])
 
 
+def same_name(a: str, b: str) -> bool:
+    return a.strip().lower() == b.strip().lower()
+
+
+def as_texts(df: DataFrame) -> DataFrame | None:
+    """A table that was read from text as the texts of all its columns; None if some column has none."""
+    names = data_columns(df)
+    if not names or not all(has_raw(df, c) for c in names):
+        return None
+    rest = [F.col(ROW)] if ROW in df.columns else []
+    return df.select(*rest, *[F.col(RAW)[c].alias(c) for c in names])
+
+
+def reread(base: DataFrame, texts: DataFrame) -> DataFrame:
+    """``texts``, joined or stacked, with the kinds of its columns read off all its texts anew; a column of ``base`` whose
+    kind was chosen keeps it."""
+    names = data_columns(texts)
+    filled = texts.select(*[c for c in texts.columns if c not in names], *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in names])
+    known = kinds(filled.select(*[F.col(f"`{c}`") for c in names]))
+    chosen = {f.name: f.metadata["kind"] for f in base.schema.fields if f.metadata.get("chosen")}
+    return typed(filled, {c: Kind(chosen[c], k.day_first, k.decimal_comma) if c in chosen else k for c, k in known.items()})
+
+
 def plain(name: str) -> str:
     """A column name without case and blanks."""
     return re.sub(r"\s+", "", name.lower())
@@ -95,7 +125,11 @@ def match_columns(base: list[str], other: list[str]) -> tuple[list[str], list[st
 def append(base: DataFrame, other: DataFrame, source: str | None = None, base_label: str = "base", other_label: str = "other") -> DataFrame:
     """Rows of both; columns match by name without case and blanks, others are kept and empty where missing.
 
-    ``source`` names a column that says where a row came from."""
+    ``source`` names a column that says where a row came from. The texts of tables that were read from text are stacked
+    and their kinds read off anew."""
+    texts = as_texts(base), as_texts(other)
+    if texts[0] is not None and texts[1] is not None:
+        return reread(base, append(*texts, source, base_label, other_label))
     named = {plain(c): c for c in base.columns}
     renamed = other.select(*[F.col(f"`{c}`").alias(named.get(plain(c), c)) for c in other.columns])
     if source:

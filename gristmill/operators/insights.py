@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -11,8 +12,9 @@ from ..functions.formatting import number as shown
 from ..functions.formatting import share as percent
 from ..functions.values import has_raw, is_missing, kind_of, parse_date, parse_number, text_of, trimmed
 from .analyses import distinct_counts
-from .cleaning import count_duplicates, data_columns
-from .significance import MOST_LEVELS, anova_from, chi_square_from, correlation
+from .cleaning import count_duplicates, data_columns, put
+from .significance import MOST_LEVELS, anova_of, chi_square_from, correlation_of
+from .quantiles import of_columns
 from .stats import num, pearson
 from .summarize import number
 
@@ -53,6 +55,13 @@ def spelling_variants(df: DataFrame, column: str) -> DataFrame:
     return joined.where("s != wanted").select(F.col("s").alias("variant"), "wanted", "n")
 
 
+def merge_spellings(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with every spelling variant of ``column`` replaced by the wanted one, by a join, however many there are."""
+    found = spelling_variants(df, column).select(F.col("variant").alias("_variant"), F.col("wanted").alias("_wanted"))
+    joined = df.withColumn("_text", text_of(df, column)).join(found, F.col("_text") == F.col("_variant"), "left")
+    return put(joined, column, F.coalesce("_wanted", F.col(f"`{column}`"))).drop("_text", "_variant", "_wanted")
+
+
 def health(df: DataFrame) -> list[Issue]:
     """What is wrong with a table, worst first. All counts of all columns come from one job; repeats and spellings of
     label columns from one more each."""
@@ -93,9 +102,9 @@ def health(df: DataFrame) -> list[Issue]:
             if other:
                 issues.append(Issue("type", c, "high", total - found[f"{other}{i}"], {"op": "setType", "column": c, "type": other}))
                 continue
-            variants = spelling_variants(df, c).limit(1000).collect() if kinds[c] == "category" else []
+            variants = spelling_variants(df, c).agg(F.sum("n")).first()[0] if kinds[c] == "category" else None
             if variants:
-                issues.append(Issue("variants", c, "medium", sum(r.n for r in variants), {"op": "standardize", "column": c, "map": {r.variant: r.wanted for r in variants}}))
+                issues.append(Issue("variants", c, "medium", variants, {"op": "standardize", "column": c}))
             elif found[f"spaced{i}"]:
                 issues.append(Issue("spaces", c, "low", found[f"spaced{i}"], {"op": "text", "column": c, "how": "trim"}))
         if n > 1 and not missing and kinds[c] != "text" and found[f"same{i}"]:
@@ -125,25 +134,40 @@ def drivers(df: DataFrame, target: str) -> list[Driver]:
     counts = distinct_counts(df, [c for c in names if kind_of(df, c) != "number"])
     present = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in counts]).first().asDict() if counts else {}
     out = []
-    for c in names:
-        kinds = kind_of(df, target), kind_of(df, c)
-        if c in counts and present[c] > 10 and counts[c] == present[c]:
-            continue
-        if kinds == ("number", "number"):
-            if found := correlation(df, c, target):
-                out.append(Driver(c, found.r**2, found.p, "correlation"))
-        elif "number" in kinds:
-            group, value = (c, target) if kinds[0] == "number" else (target, c)
-            x = number(df, value)
-            held = df.where(F.col(f"`{group}`").isNotNull() & x.isNotNull())
-            made = held.groupBy(F.col(f"`{group}`")).agg(F.count("*").alias("n"), F.avg(x).alias("m"), F.coalesce(F.var_samp(x), F.lit(0.0)).alias("v"))
-            groups = [(r.n, r.m, r.v) for r in made.where("n >= 2").limit(MOST_LEVELS + 1).collect()]
-            if 2 <= len(groups) <= MOST_LEVELS and (found := anova_from(groups)):
-                out.append(Driver(c, found.eta2, found.p, "group comparison"))
-        elif counts[c] <= MOST_LEVELS:
-            cells = df.where(F.col(f"`{target}`").isNotNull() & F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{target}`"), F.col(f"`{c}`")).count()
-            if found := chi_square_from([tuple(r) for r in cells.limit(MOST_LEVELS**2 + 1).collect()]):
-                out.append(Driver(c, found.v**2, found.p, "association"))
+    usable = [c for c in names if not (c in counts and present[c] > 10 and counts[c] == present[c])]
+    of_number = kind_of(df, target) == "number"
+    numbers = [c for c in usable if kind_of(df, c) == "number"]
+    groups = [c for c in usable if kind_of(df, c) != "number"]
+    y = F.col(f"`{target}`")
+    if of_number and numbers:
+        pairs = [(pearson(num(c), num(target)), F.count_if(num(c).isNotNull() & num(target).isNotNull())) for c in numbers]
+        found = df.agg(*[x.alias(f"{k}{i}") for i, p in enumerate(pairs) for k, x in zip("rn", p, strict=True)]).first()
+        for i, c in enumerate(numbers):
+            if made := correlation_of(found[f"r{i}"], found[f"n{i}"]):
+                out.append(Driver(c, made.r**2, made.p, "correlation"))
+    # labels and numbers are stacked, so each of the two jobs below serves all columns
+    measured = [(c, target) for c in groups] if of_number else [(target, c) for c in numbers]
+    if measured:
+        rows = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{g}`").cast("string").alias("g"), number(df, v).alias("x")) for i, (g, v) in enumerate(measured)])
+        held = df.select(F.inline(rows)).where("g IS NOT NULL AND x IS NOT NULL")
+        per = held.groupBy("i", "g").agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.coalesce(F.var_samp("x"), F.lit(0.0)).alias("v")).where("n >= 2")
+        sums = per.groupBy("i").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("m")).alias("total"), F.sum((F.col("n") - 1) * F.col("v")).alias("within"))
+        few = {r["i"]: r for r in sums.where(F.col("k").between(2, MOST_LEVELS)).collect()}
+        means = F.create_map(*[F.lit(x) for i, r in few.items() for x in (i, r["total"] / r["n"])]) if few else None
+        apart = per.groupBy("i").agg(F.sum(F.col("n") * F.pow(F.col("m") - means[F.col("i")], F.lit(2))).alias("between")).collect() if few else []
+        for i, between in apart:
+            if i in few and (made := anova_of(few[i]["n"], few[i]["k"], between, few[i]["within"])):
+                out.append(Driver(measured[i][0 if of_number else 1], made.eta2, made.p, "group comparison"))
+    crossed = [c for c in groups if not of_number and counts[c] <= MOST_LEVELS]
+    if crossed and df.select(y).where(y.isNotNull()).distinct().limit(MOST_LEVELS + 1).count() <= MOST_LEVELS:
+        rows = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("string").alias("b")) for i, c in enumerate(crossed)])
+        cells = df.where(y.isNotNull()).select(y.cast("string").alias("a"), F.inline(rows)).where("b IS NOT NULL").groupBy("i", "a", "b").count()
+        tables: dict[int, list[tuple]] = {}
+        for r in cells.collect():  # at most 30 x 30 cells a column
+            tables.setdefault(r["i"], []).append((r["a"], r["b"], r["count"]))
+        for i, table in tables.items():
+            if made := chi_square_from(table):
+                out.append(Driver(crossed[i], made.v**2, made.p, "association"))
     return sorted(out, key=lambda d: -d.strength)
 
 
@@ -154,44 +178,98 @@ class Fact:
     value: float
 
 
+#: Fixed pattern: names of number columns that may be ids.
+ID_NAME = r"(?i)(^|[\s_-])(id|code|key|no)$|^id([\s_-]|$)"
+
+
 def facts(df: DataFrame) -> list[Fact]:
-    """Facts worth telling: pairs of numbers that go together (|r| of 0.4 or more, three at most), skewed numbers,
-    numbers with a few outliers, and labels that most rows share (80 % or more)."""
-    numbers = [c for c in data_columns(df) if kind_of(df, c) == "number"]
+    """Facts worth telling, in this order.
+
+    Pairs of numbers that go together (|r| of 0.4 or more, three at most); skewed numbers; numbers with a few outliers
+    (two at most); labels of one value and those that most rows share (80 % or more); the number and label of at most 12
+    groups whose means are furthest apart, in deviations of the number; columns with missing values (four at most, most
+    first; the value is the share), or that there are none; repeated rows; the span of dates in days; and unique columns
+    that look like ids. Each kind is one or two jobs for all columns.
+    """
+    names = data_columns(df)
+    kinds = {c: kind_of(df, c) for c in names}
+    numbers, labels = [c for c in names if kinds[c] == "number"], [c for c in names if kinds[c] in ("category", "boolean")]
+    dates, ids = [c for c in names if kinds[c] == "date"], [c for c in names if kinds[c] == "text" or kinds[c] == "number" and re.search(ID_NAME, c)]
     pairs = [(a, b) for i, a in enumerate(numbers) for b in numbers[i + 1 :]]
-    out: list[Fact] = []
-    if pairs:
-        found = df.agg(*[pearson(num(a), num(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]).first()
-        close = sorted(((r, p) for r, p in zip(found, pairs, strict=True) if r is not None and abs(r) >= 0.4), key=lambda x: -abs(x[0]))
-        out += [Fact("correlation", p, r) for r, p in close[:3]]
-    if numbers:
-        shape = df.agg(*[F.struct(F.skewness(num(c)), F.percentile(num(c), F.array(F.lit(0.25), F.lit(0.75))), F.count(num(c)), F.count_distinct(num(c))).alias(f"s{i}") for i, c in enumerate(numbers)]).first()
-        usable = {c: tuple(s) for c, s in zip(numbers, shape, strict=True) if s[2] >= 3 and s[3] > 1}
-        out += [Fact("skew", (c,), s[0]) for c, s in usable.items() if s[0] is not None and abs(s[0]) >= 1]
-        fences = {c: (s[1][0] - 1.5 * (s[1][1] - s[1][0]), s[1][1] + 1.5 * (s[1][1] - s[1][0])) for c, s in usable.items()}
-        if fences:
-            beyond = df.agg(*[(F.count_if((num(c) < a) | (num(c) > b)) / F.count(num(c))).alias(c) for c, (a, b) in fences.items()]).first()
-            few = sorted(((x, c) for x, c in zip(beyond, fences, strict=True) if x and 0 < x <= 0.1), reverse=True)
-            out += [Fact("outliers", (c,), x) for x, c in few[:2]]
-    for c in data_columns(df):
-        if kind_of(df, c) in ("category", "boolean"):
-            held = df.where(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`")).count()
-            share = held.agg(F.max("count") / F.sum("count"), F.count("*")).first()
-            if share[0] and share[0] >= 0.8 and share[1] > 1:
-                out.append(Fact("dominant", (c,), share[0]))
+    wanted = {"rows": F.count("*")} | {f"n{i}": F.count(F.col(f"`{c}`")) for i, c in enumerate(names)}
+    wanted |= {f"r{i}": pearson(num(a), num(b)) for i, (a, b) in enumerate(pairs)}
+    for i, c in enumerate(numbers):
+        wanted |= {f"skew{i}": F.skewness(num(c)), f"varied{i}": F.min(num(c)) < F.max(num(c)), f"std{i}": F.stddev_samp(num(c))}
+    wanted |= {f"span{i}": F.datediff(F.max(F.col(f"`{c}`")), F.min(F.col(f"`{c}`"))) for i, c in enumerate(dates)}
+    seen = df.agg(*[x.alias(k) for k, x in wanted.items()]).first().asDict()
+    rows = seen["rows"]
+    if not rows:
+        return []
+    present = {c: seen[f"n{i}"] for i, c in enumerate(names)}
+    close = sorted(((seen[f"r{i}"], p) for i, p in enumerate(pairs) if seen[f"r{i}"] is not None and abs(seen[f"r{i}"]) >= 0.4), key=lambda x: -abs(x[0]))
+    out = [Fact("correlation", p, r) for r, p in close[:3]]
+    usable = {c: i for i, c in enumerate(numbers) if present[c] >= 8 and seen[f"varied{i}"]}
+    out += [Fact("skew", (c,), seen[f"skew{i}"]) for c, i in usable.items() if seen[f"skew{i}"] is not None and abs(seen[f"skew{i}"]) >= 1]
+    fences = {c: (a - 1.5 * (b - a), b + 1.5 * (b - a)) for c, (a, b) in of_columns(df, {c: num(c) for c in usable}, (0.25, 0.75)).items()}
+    if fences:
+        beyond = df.agg(*[F.count_if((num(c) < a) | (num(c) > b)).alias(f"o{i}") for i, (c, (a, b)) in enumerate(fences.items())]).first()
+        few = sorted(((x / present[c], c) for x, c in zip(beyond, fences, strict=True) if 0 < x <= 0.1 * present[c]), key=lambda x: -x[0])
+        out += [Fact("outliers", (c,), x) for x, c in few[:2]]
+    held = long_values(df, labels).groupBy("i", "v").count() if labels else None
+    shares = {r["i"]: r for r in held.groupBy("i").agg(F.max("count").alias("most"), F.sum("count").alias("all"), F.count("*").alias("k")).collect()} if labels else {}
+    for i, c in enumerate(labels):
+        if i in shares:
+            most, every, k = shares[i]["most"], shares[i]["all"], shares[i]["k"]
+            if k == 1 and every == rows:
+                out.append(Fact("constant", (c,), 1.0))
+            elif k > 1 and most >= 0.8 * every:
+                out.append(Fact("dominant", (c,), most / every))
+    small = [c for i, c in enumerate(labels) if i in shares and shares[i]["k"] + (shares[i]["all"] < rows) <= 12]
+    if small and numbers:
+        each = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("string").alias("v")) for i, c in enumerate(small)])
+        means = df.select(F.inline(each), *[num(c).alias(f"x{j}") for j, c in enumerate(numbers)]).where("v IS NOT NULL").groupBy("i", "v")
+        of = means.agg(*[F.when(F.count(f"x{j}") >= 5, F.avg(f"x{j}")).alias(f"m{j}") for j in range(len(numbers))])
+        spread = of.groupBy("i").agg(*[(F.max(f"m{j}") - F.min(f"m{j}")).alias(f"d{j}") for j in range(len(numbers))]).orderBy("i").collect()
+        gaps_of = [(r[f"d{j}"] / seen[f"std{j}"], (numbers[j], small[r["i"]])) for r in spread for j in range(len(numbers)) if r[f"d{j}"] and seen[f"std{j}"]]
+        if gaps_of and (best := max(gaps_of, key=lambda x: x[0]))[0] >= 0.5:
+            out.append(Fact("difference", best[1], best[0]))
+    gaps = sorted(((rows - n, c) for c, n in present.items() if n < rows), key=lambda x: -x[0])
+    out += [Fact("missing", (c,), k / rows) for k, c in gaps[:4]] or [Fact("complete", (), 0.0)]
+    if repeats := count_duplicates(df.select(*names) if len(names) < len(df.columns) else df).first()[0]:
+        out.append(Fact("duplicates", (), float(repeats)))
+    full = [c for c in ids if rows >= 20 and present[c] == rows]
+    unique = {r["i"] for r in long_values(df, full).groupBy("i", "v").count().groupBy("i").agg(F.max("count").alias("most")).where("most = 1").collect()} if full else set()
+    for c in names:
+        if c in dates and seen[f"span{dates.index(c)}"] is not None:
+            out.append(Fact("span", (c,), float(seen[f"span{dates.index(c)}"])))
+        elif c in full and full.index(c) in unique:
+            out.append(Fact("id", (c,), 1.0))
     return out
 
 
+def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(i, v): the values of the columns by their number, as texts, without nulls."""
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("string").alias("v")) for i, c in enumerate(columns)])
+    return df.select(F.inline(each)).where("v IS NOT NULL")
+
+
 def sentence(fact: Fact) -> str:
     """A fact as it is told."""
-    a = fact.columns[0]
-    if fact.kind == "correlation":
-        return f"{a} and {fact.columns[1]} tend to {'rise together' if fact.value > 0 else 'move in opposite directions'} (r = {fact.value:.2f})."
-    if fact.kind == "skew":
-        return f"{a} has a long tail of {'large' if fact.value > 0 else 'small'} values, so the median says more than the average."
-    if fact.kind == "outliers":
-        return f"{percent(fact.value) if fact.value >= 0.01 else 'Under 1%'} of the values of {a} are far from the rest."
-    return f"{percent(fact.value)} of the rows have the same {a}."
+    a, b = (*fact.columns, "", "")[:2]
+    v = fact.value
+    return {
+        "missing": lambda: f"{percent(v) if v >= 0.01 else 'Under 1%'} of the values of {a} are missing.",
+        "complete": lambda: "No value is missing.",
+        "duplicates": lambda: f"{shown(v)} rows repeat an earlier one.",
+        "correlation": lambda: f"{a} and {b} tend to {'rise together' if v > 0 else 'move in opposite directions'} (r = {v:.2f}).",
+        "skew": lambda: f"{a} has a long tail of {'large' if v > 0 else 'small'} values, so the median says more than the average.",
+        "outliers": lambda: f"{percent(v) if v >= 0.01 else 'Under 1%'} of the values of {a} are far from the rest.",
+        "constant": lambda: f"{a} has the same value in all rows.",
+        "dominant": lambda: f"{percent(v)} of the rows have the same {a}.",
+        "difference": lambda: f"The average {a} differs by {v:.1f} deviations between groups of {b}.",
+        "span": lambda: f"{a} spans {shown(v)} days.",
+        "id": lambda: f"{a} looks like an id: every value is unique.",
+    }[fact.kind]()
 
 
 def story(df: DataFrame, measure: str | None = None) -> list[str]:

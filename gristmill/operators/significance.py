@@ -145,7 +145,10 @@ def chi_square(df: DataFrame, a: str, b: str) -> ChiSquare | None:
 
 
 def correlation(df: DataFrame, x: str, y: str) -> Correlation | None:
-    r, n = df.agg(pearson(num(x), num(y)), F.count_if(num(x).isNotNull() & num(y).isNotNull())).first()
+    return correlation_of(*df.agg(pearson(num(x), num(y)), F.count_if(num(x).isNotNull() & num(y).isNotNull())).first())
+
+
+def correlation_of(r: float | None, n: int) -> Correlation | None:
     if r is None or n < 4:
         return None
     if abs(r) >= 1:

@@ -17,7 +17,11 @@ def with_row_numbers(df: DataFrame, *order: str) -> DataFrame:
     Rows are dealt by range and written with the number of their range, so that it is the same wherever it is read;
     numbers within a range plus the sizes of those before it are enough, and no task holds the whole table.
     """
-    by = [F.col(f"`{c}`") for c in order]
+    return numbered(df, [F.col(f"`{c}`") for c in order])
+
+
+def numbered(df: DataFrame, by: list[Column]) -> DataFrame:
+    """``with_row_numbers`` in the order of expressions."""
     ranged = in_ranges(df, by)
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
     before = F.coalesce(F.sum("_size").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -49,11 +53,20 @@ def running_totals(df: DataFrame, by: list[Column], value: str) -> DataFrame:
     return joined.withColumn("running", F.col("_start") + F.col("_own")).drop("_part", "_p", "_own", "_start")
 
 
-def sort(df: DataFrame, column: str, descending: bool = False, tie: str = ROW) -> DataFrame:
-    """Missing values last either way; ties in row order either way; texts in natural order."""
+def sort_keys(df: DataFrame, column: str, descending: bool = False, tie: str = ROW) -> list[Column]:
     c = F.col(f"`{column}`")
     key = natural_key(c) if kind_of(df, column) in ("category", "text") else c
-    return df.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), F.col(tie))
+    return [key.desc_nulls_last() if descending else key.asc_nulls_last(), F.col(tie)]
+
+
+def sort(df: DataFrame, column: str, descending: bool = False, tie: str = ROW) -> DataFrame:
+    """Missing values last either way; ties in row order either way; texts in natural order."""
+    return df.orderBy(*sort_keys(df, column, descending, tie))
+
+
+def ranked(df: DataFrame, column: str, descending: bool = False, tie: str = ROW) -> DataFrame:
+    """``df`` with ``rank``, the place from 1 of each row in the order of ``sort``; no task holds all rows."""
+    return numbered(df, sort_keys(df, column, descending, tie)).withColumn("rank", F.col(ROW) + 1).drop(ROW)
 
 
 def top(df: DataFrame, column: str, n: int, descending: bool = True, tie: str | None = None) -> DataFrame:

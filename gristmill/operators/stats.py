@@ -1,4 +1,4 @@
-"""Descriptive statistics; every function is one aggregation (or two where the second needs the first's bounds)."""
+"""Descriptive statistics by aggregations; quantiles by rank."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .quantiles import of_columns
+
 
 def num(name: str) -> Column:
     return F.col(f"`{name}`").cast("double")
@@ -15,33 +17,26 @@ def num(name: str) -> Column:
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """A row per column: count, sum, mean, std, min, q1, median, q3, max, iqr, skew, fences and number of outliers.
 
-    One pass for the moments and quartiles of all columns, one for the outliers of all columns.
+    One pass for the moments of all columns, one for their quartiles and one for the outliers.
     """
-    quarts = [F.percentile(num(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"p{i}") for i, c in enumerate(columns)]
-    first = df.agg(
-        *quarts,
-        *[f(num(c)).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("n", F.count), ("s", F.sum), ("m", F.avg), ("d", F.stddev_samp), ("lo", F.min), ("hi", F.max), ("sk", F.skewness))],
-    )
+    parts = (("n", F.count), ("s", F.sum), ("m", F.avg), ("d", F.stddev_samp), ("lo", F.min), ("hi", F.max), ("sk", F.skewness))
+    first = df.agg(*[f(num(c)).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in parts]).first()
+    quarts = of_columns(df, {c: num(c) for c in columns})
     rows = []
     for i, c in enumerate(columns):
-        q1, q2, q3 = (F.col(f"p{i}")[k] for k in range(3))
-        iqr = q3 - q1
-        rows.append(
-            F.struct(
-                F.lit(c).alias("column_name"), F.col(f"n{i}").alias("n"), F.col(f"s{i}").alias("total"), F.col(f"m{i}").alias("mean"),
-                F.col(f"d{i}").alias("std"), F.col(f"lo{i}").alias("low"), q1.alias("q1"), q2.alias("median"), q3.alias("q3"),
-                F.col(f"hi{i}").alias("high"), iqr.alias("iqr"),
-                F.when(F.col(f"n{i}") >= 3, F.coalesce(F.when(~F.isnan(f"sk{i}"), F.col(f"sk{i}")), F.lit(0.0))).alias("skew"),
-                (q1 - 1.5 * iqr).alias("fence_low"), (q3 + 1.5 * iqr).alias("fence_high"),
-            )
-        )
-    table = first.select(F.inline(F.array(*rows)))
-    bounds = {r["column_name"]: r for r in table.collect()}
-    outside = lambda c: F.count_if((num(c) < F.lit(bounds[c]["fence_low"])) | (num(c) > F.lit(bounds[c]["fence_high"])))
-    counts = df.agg(*[outside(c).alias(f"o{i}") for i, c in enumerate(columns)]).first()
-    lookup = F.create_map(*[F.lit(x) for i, c in enumerate(columns) for x in (c, counts[i])])
-    spark = df.sparkSession
-    return spark.createDataFrame(list(bounds.values()), table.schema).withColumn("outliers", lookup[F.col("column_name")])
+        n, total, mean, std, low, high, skew = (first[f"{p}{i}"] for p, _ in parts)
+        q1, q2, q3 = quarts.get(c, (None, None, None))
+        iqr = None if q1 is None else q3 - q1
+        skew = None if n < 3 else 0.0 if skew is None or math.isnan(skew) else skew
+        fences = (None, None) if iqr is None else (q1 - 1.5 * iqr, q3 + 1.5 * iqr)
+        rows.append((c, n, total, mean, std, low, q1, q2, q3, high, iqr, skew, *fences))
+    outside = lambda i: F.count_if((num(columns[i]) < F.lit(rows[i][12])) | (num(columns[i]) > F.lit(rows[i][13])))
+    counts = df.agg(*[outside(i).alias(f"o{i}") for i in range(len(columns))]).first()
+    return df.sparkSession.createDataFrame(
+        [(*r, o) for r, o in zip(rows, counts, strict=True)],
+        "column_name string, n long, total double, mean double, std double, low double, q1 double, median double, q3 double, high double, "
+        "iqr double, skew double, fence_low double, fence_high double, outliers long",
+    )
 
 
 def nice_step(span: float, target: int) -> float:

@@ -13,6 +13,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names; a folder of our own only where none is set (local tests)."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
         found = tempfile.mkdtemp(prefix="spark-checkpoint-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.values import kind_of, natural_key
+from .quantiles import quantiles, same_keys
 
 MISSING, OTHER = "(missing)", "Other"
 # Sequences of labels with an order of their own.
@@ -40,7 +41,10 @@ def number(df: DataFrame, name: str) -> Column:
 
 
 def aggregate(df: DataFrame, a: Agg) -> Column:
-    """Nulls do not count; a group without numbers has null, and so has the deviation of one number."""
+    """Nulls do not count; a group without numbers has null, and so has the deviation of one number.
+
+    ``summarised`` takes medians by rank instead; as an aggregate one is for groups of bounded size.
+    """
     if a.fn == "count":
         return F.count(F.lit(1))
     if a.fn == "distinct":
@@ -49,6 +53,22 @@ def aggregate(df: DataFrame, a: Agg) -> Column:
     return made[a.fn](number(df, a.column))
 
 
+def summarised(df: DataFrame, keys: Sequence[str], aggs: Sequence[Agg], names: Sequence[str], source: DataFrame | None = None) -> DataFrame:
+    """``keys`` (columns of ``df``) and the summaries by name. Medians come from ranks, so no task holds a group.
+
+    ``source`` tells the kinds of columns if ``df`` is made of it.
+    """
+    kinds, named = source if source is not None else df, [F.col(f"`{k}`") for k in keys]
+    plain = [(a, n) for a, n in zip(aggs, names, strict=True) if a.fn != "median"]
+    whole = df.groupBy(*named)
+    out = whole.agg(*[aggregate(kinds, a).alias(n) for a, n in plain]) if plain else df.select(*named).distinct() if keys else df.sparkSession.range(1).select()
+    for a, n in zip(aggs, names, strict=True):
+        if a.fn == "median":
+            middle = quantiles(df, keys, number(kinds, a.column)).select(*[c.alias(f"{k}_of") for c, k in zip(named, keys, strict=True)], F.col("q")[0].alias(n))
+            out = out.join(middle, same_keys(keys, "_of"), "left").drop(*[f"{k}_of" for k in keys])
+    return out.select(*named, *[F.col(f"`{n}`") for n in names])
+
+
 def group_key(df: DataFrame, name: str, unit: str = "month") -> Column:
     """Label of a value's group; numbers stay numbers and have null for missing."""
     c, kind = F.col(f"`{name}`"), kind_of(df, name)
@@ -62,7 +82,7 @@ def group(df: DataFrame, by: str, aggs: Sequence[Agg] = (Agg(),), unit: str = "m
     """One row per group: ``key`` and the summaries, named by ``names`` or their labels."""
     names = names or [a.label() for a in aggs]
     keyed = df.withColumn("_key", group_key(df, by, unit))
-    return keyed.groupBy(F.col("_key").alias("key")).agg(*[aggregate(df, a).alias(n) for a, n in zip(aggs, names, strict=True)])
+    return summarised(keyed, ["_key"], aggs, names, df).withColumnRenamed("_key", "key")
 
 
 def ordered(df: DataFrame, key: str, size: str, kind: str = "category", unit: str | None = None) -> DataFrame:
@@ -110,8 +130,12 @@ def pivot(df: DataFrame, rows: str, columns: str, agg: Agg = Agg(), row_unit: st
     """
     keyed = df.withColumns({"_r": group_key(df, rows, row_unit).cast("string"), "_c": group_key(df, columns, column_unit).cast("string")})
     keyed = keyed.fillna(MISSING, ["_r", "_c"])
-    value = aggregate(df, agg).alias("value")
-    made = keyed.groupingSets([["_r", "_c"], ["_r"], ["_c"], []], "_r", "_c").agg(value, F.grouping_id().alias("g"))
+    if agg.fn == "median":
+        held = keyed.select("_r", "_c", number(df, agg.column).alias("_y"))
+        levels = F.array(*[F.struct((F.col("_r") if g < 2 else F.lit(None)).alias("_r"), (F.col("_c") if g % 2 == 0 else F.lit(None)).alias("_c"), F.lit(g).alias("g")) for g in range(4)])
+        made = summarised(held.select("_y", F.inline(levels)), ["_r", "_c", "g"], [Agg("median", "_y")], ["value"])
+    else:
+        made = keyed.groupingSets([["_r", "_c"], ["_r"], ["_c"], []], "_r", "_c").agg(aggregate(df, agg).alias("value"), F.grouping_id().alias("g"))
     level = F.element_at(F.array(*map(F.lit, ("cell", "row", "column", "all"))), (F.col("g") + 1).cast("int"))
     return made.select(F.col("_r").alias("row_key"), F.col("_c").alias("col_key"), level.alias("level"), "value")
 

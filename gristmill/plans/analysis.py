@@ -138,18 +138,56 @@ _TALK = (
 )
 
 
-def talk(spark: SparkSession) -> DataFrame:
-    return spark.sql(_TALK)
+#: All turns of all conversations, and the sentences above, as their texts hold few words of feeling.
+_COMMENTS = f"SELECT text AS comment FROM conversations UNION ALL {_TALK}"
+_SPOKEN = (
+    "c AS (SELECT row_number() OVER () AS r, regexp_extract_all(replace(lower(comment), '’', ''''), '[\\p{L}\\p{N}'']+') AS w "
+    f"FROM ({_COMMENTS}) WHERE comment IS NOT NULL AND trim(comment) <> '')"
+)
+
+
+def _listed(words) -> str:
+    return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
+
+
+_STEM = "CASE WHEN ends_with(x, 'ies') THEN regexp_replace(x, 'ies$', 'y') ELSE regexp_replace(x, '(ingly|edly|ing|ed|es|s|ly)$', '') END"
+_TONE_SQL = (
+    f"WITH {_SPOKEN}, x AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM c), "
+    f"s AS (SELECT r, sum(CASE WHEN w[i] IN {_listed(texts.POSITIVE)} THEN 1 WHEN w[i] IN {_listed(texts.NEGATIVE)} THEN -1 ELSE 0 END * "
+    f"CASE WHEN i > 1 AND w[i - 1] IN {_listed(texts.NEGATIONS)} OR i > 2 AND w[i - 2] IN {_listed(texts.NEGATIONS)} THEN -1 ELSE 1 END) AS v FROM x GROUP BY r) "
+    "SELECT CAST(sign(coalesce(v, 0)) AS INTEGER) AS tone, count(*) AS n FROM c LEFT JOIN s USING (r) GROUP BY 1"
+)
+_THEMES_SQL = (
+    f"WITH {_SPOKEN}, k AS (SELECT r, list_filter(w, lambda x: length(x) > 1 AND NOT regexp_full_match(x, '[0-9]+')) AS w FROM c), "
+    "u AS (SELECT r, w, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM k), "
+    f"cut AS (SELECT r, x, {_STEM} AS y FROM u WHERE length(x) > 2 AND x NOT IN {_listed(texts.STOP)}), "
+    "undoubled AS (SELECT r, x, CASE WHEN length(y) > 1 AND right(y, 1) = left(right(y, 2), 1) THEN left(y, length(y) - 1) ELSE y END AS y FROM cut), "
+    "stemmed AS (SELECT DISTINCT r, x AS form, CASE WHEN length(x) <= 4 THEN x WHEN regexp_replace(y, 'e$', '') = '' THEN x ELSE regexp_replace(y, 'e$', '') END AS term FROM undoubled), "
+    "stems AS (SELECT term, count(DISTINCT r) AS n FROM stemmed GROUP BY 1), "
+    "forms AS (SELECT term, form, count(*) AS k FROM stemmed GROUP BY 1, 2), "
+    "shown AS (SELECT term, form AS shown FROM forms QUALIFY row_number() OVER (PARTITION BY term ORDER BY k DESC, form DESC) = 1), "
+    "pairs AS (SELECT DISTINCT r, w[i] || ' ' || w[i + 1] AS term FROM u WHERE i < len(w) AND length(w[i]) > 2 AND length(w[i + 1]) > 2 "
+    f"AND w[i] NOT IN {_listed(texts.STOP)} AND w[i + 1] NOT IN {_listed(texts.STOP)}), "
+    "found AS (SELECT shown, false AS phrase, n FROM stems JOIN shown USING (term) UNION ALL SELECT term, true, count(*) FROM pairs GROUP BY 1), "
+    "enough AS (SELECT * FROM found WHERE n >= CASE WHEN (SELECT count(*) FROM c) >= 20 THEN 3 ELSE 2 END), "
+    "best AS (SELECT x, max(n) AS m FROM (SELECT unnest(string_split(shown, ' ')) AS x, n FROM enough WHERE phrase) GROUP BY 1) "
+    "SELECT shown AS theme, phrase, CAST(n AS INTEGER) AS n FROM enough LEFT JOIN best ON shown = x AND NOT phrase "
+    f"WHERE phrase OR coalesce(m, 0) < 0.8 * n AND shown NOT IN {_listed(texts.FEELING_ONLY)} ORDER BY n DESC, phrase DESC, shown LIMIT 15"
+)
+
+
+def comments(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "conversations").select(F.col("text").alias("comment")).unionByName(spark.sql(_TALK))
 
 
-@query("text_tone", "SELECT * FROM (VALUES (1, 5), (-1, 3)) AS t(tone, n)")
+@query("text_tone", _TONE_SQL)
 def _tone(spark: SparkSession, sf: str) -> DataFrame:
-    return texts.tones(talk(spark), "comment").withColumn("n", F.col("n").cast("int"))
+    return texts.tones(comments(spark, sf), "comment")
 
 
-@query("text_themes", "SELECT * FROM (VALUES ('friendly', false, 4), ('staff', false, 4), ('friendly staff', true, 3), ('coffee', false, 3), ('wait', false, 3), ('long', false, 2)) AS t(theme, phrase, n)")
+@query("text_themes", _THEMES_SQL)
 def _themes(spark: SparkSession, sf: str) -> DataFrame:
-    return texts.themes(talk(spark), "comment").select("theme", "phrase", F.col("n").cast("int").alias("n"))
+    return texts.themes(comments(spark, sf), "comment").select("theme", "phrase", F.col("n").cast("int").alias("n"))
 
 
 @query(

@@ -73,31 +73,15 @@ def _search(spark: SparkSession, sf: str) -> DataFrame:
     return search(table(spark, sf, "nation"), "N_1 ").select("n_nationkey", "n_name")
 
 
-@query(
-    "sort_nulls_last",
-    f"SELECT event_id, value, row_number() OVER (ORDER BY value DESC NULLS LAST, event_id) AS rank FROM ({GAPS}) QUALIFY rank <= 100",
-)
+@query("sort_nulls_last", f"SELECT event_id, value, row_number() OVER (ORDER BY value DESC NULLS LAST, event_id) AS rank FROM ({GAPS})")
 def _sorted(spark: SparkSession, sf: str) -> DataFrame:
-    first = sorting.sort(gaps(spark, sf), "value", descending=True, tie="event_id").limit(100).select("event_id", "value")
-    return ranked(first, F.col("value").desc_nulls_last(), F.col("event_id"))
-
-
-def ranked(df: DataFrame, *by) -> DataFrame:
-    """A short result with its order as a column."""
-    from pyspark.sql.window import Window as W
+    return sorting.ranked(gaps(spark, sf), "value", descending=True, tie="event_id").select("event_id", "value", F.col("rank").cast("long").alias("rank"))
 
-    return df.withColumn("rank", F.row_number().over(W.orderBy(*by)).cast("long"))
 
-
-@query(
-    "sort_natural",
-    "SELECT s_suppkey, row_number() OVER (ORDER BY CAST(regexp_extract(s_name, '([0-9]+)', 1) AS BIGINT), s_suppkey) AS rank FROM supplier QUALIFY rank <= 50",
-)
+@query("sort_natural", "SELECT p_partkey, row_number() OVER (ORDER BY p_partkey % 997, p_name, p_partkey) AS rank FROM part")
 def _natural(spark: SparkSession, sf: str) -> DataFrame:
-    first = sorting.sort(table(spark, sf, "supplier"), "s_name", tie="s_suppkey").limit(50)
-    from ..functions.values import natural_key
-
-    return ranked(first, natural_key(F.col("s_name")), F.col("s_suppkey")).select("s_suppkey", "rank")
+    named = table(spark, sf, "part").withColumn("label", F.concat(F.lit("Item "), (F.col("p_partkey") % 997).cast("string"), F.lit(" "), F.col("p_name")))
+    return sorting.ranked(named, "label", tie="p_partkey").select("p_partkey", F.col("rank").cast("long").alias("rank"))
 
 
 @query(

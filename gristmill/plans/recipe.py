@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 
 from ..functions.formula import calculate
-from ..operators import cleaning, combine
+from ..operators import cleaning, combine, insights
 from ..operators.analyses import natural_groups
 from ..operators.filters import Filter, where
 
@@ -33,7 +33,7 @@ STEPS: dict[str, Callable[[DataFrame, Step], DataFrame]] = {
     "text": lambda df, s: cleaning.change_text(df, s["column"], s["how"]),
     "formula": lambda df, s: calculate(df, s["name"], s["formula"]),
     "replace": lambda df, s: cleaning.replace(df, s["column"], s["find"], s["with"], s.get("exact", False), s.get("matchCase", False)),
-    "standardize": lambda df, s: cleaning.standardize(df, s["column"], s["map"]),
+    "standardize": lambda df, s: cleaning.standardize(df, s["column"], s["map"]) if "map" in s else insights.merge_spellings(df, s["column"]),
     "split": lambda df, s: cleaning.split(df, s["column"], s["by"]),
     "group": lambda df, s: (
         cleaning.group_top(df, s["column"], s["name"], s["top"]) if "top" in s else cleaning.group_ranges(df, s["column"], s["name"], s.get("size"))

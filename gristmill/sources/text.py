@@ -1,7 +1,7 @@
 """Tables from delimited text and JSON, with the kinds of their columns read off the values.
 
-Text is read once as strings; one aggregation over all columns decides their kinds, and the typed columns are a
-projection over the scan, so nothing is kept twice.
+Text is read as strings; aggregations over all columns decide their kinds, and the typed columns are a projection over
+the scan, so nothing is kept twice.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from urllib.parse import parse_qs, urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.values import COMMA_NUMBER, RAW, TWO_WAY_DATE, is_missing, marked, parse, parse_boolean, parse_date, parse_number, trimmed
+from ..functions.values import COMMA_NUMBER, FALSE, MISSING, RAW, TRUE, TWO_WAY_DATE, marked, parse, parse_date, reads_date, reads_number, trimmed
 
 #: Candidates in order of preference, and how much of a file tells its delimiter.
 DELIMITERS, SAMPLE_CHARS, SAMPLE_LINES = (",", "\t", ";", "|"), 50_000, 20
@@ -84,23 +84,48 @@ def _head(spark: SparkSession, path: str, size: int = 4 * SAMPLE_CHARS) -> bytes
         stream.close()
 
 
+def _fields(line: Column, delimiter: str) -> tuple[Column, Column]:
+    """Number of fields of a record, and whether it ends within quotes. A quote counts at the start of a field only."""
+    d = re.escape(delimiter)
+    quoted = line.contains('"')
+    bare = F.when(quoted, F.regexp_replace(line, rf'(?s)(^|{d})"(?:[^"]|"")*+"(?!")', "$1")).otherwise(line)
+    count = F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
+    return count, quoted & bare.rlike(rf'(^|{d})"')
+
+
 def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None) -> DataFrame:
     """All columns as strings. Quotes may hold delimiters and line ends; extra fields widen the table.
 
-    Only files whose head shows a quoted line end are read whole, file by file; others are split.
+    The head of the first file tells the byte order mark and the delimiter. One pass over all lines tells the rest: whether
+    all bytes are UTF-8, the most fields of a line, and whether a quoted field goes on beyond its line. Only then are
+    files read whole, each by one task, and counted by records; others are split.
     """
     head = _head(spark, path)
-    encoding = encoding or encoding_of(head)
-    text = head.decode(encoding, "replace").removeprefix("\ufeff")
+    marked_as = encoding or encoding_of(head)
+    wide = marked_as.startswith("UTF-16")
+    text = head.decode("windows-1252" if marked_as == "windows-1252" else marked_as, "replace").removeprefix("\ufeff")
     delimiter = delimiter or ("\t" if path.endswith(".tsv") else delimiter_of(text))
-    multi = any(x.count('"') % 2 for x in re.split(r"\r\n|\r|\n", text))
-    sample = [r for r in csv.reader(io.StringIO(text), delimiter=delimiter) if any(c.strip() for c in r)]
-    if not sample:
+    first = next((r for r in csv.reader(io.StringIO(text), delimiter=delimiter) if any(c.strip() for c in r)), None)
+    if first is None:
         return spark.createDataFrame([], "`Column 1` string")
-    headers, width = sample[0], max(map(len, sample[:-1] if len(sample) > 2 else sample))  # the last row may be cut short
-    reader = spark.read.option("sep", delimiter).option("quote", '"').option("escape", '"').option("multiLine", multi).option("encoding", "ISO-8859-1" if encoding == "windows-1252" else encoding).option("mode", "PERMISSIVE")
-    names = unique_headers([*headers, *[None] * (width - len(headers))])
-    plain = ", ".join(f"c{i} string" for i in range(width))
+    most, multi = len(first), wide
+    if not wide:
+        fields, is_open = _fields(F.col("value"), delimiter)
+        found = spark.read.text(path).agg(F.max(fields).alias("most"), F.bool_or(is_open).alias("open"), F.bool_and(F.is_valid_utf8("value")).alias("utf8")).first()
+        multi = bool(found["open"])
+        most = max(most, found["most"] or 0) if not multi else most
+        encoding = encoding or ("windows-1252" if not found["utf8"] else marked_as)
+    encoding = encoding or marked_as
+    reader = spark.read.option("sep", delimiter).option("quote", '"').option("escape", '"').option("multiLine", multi).option("mode", "PERMISSIVE")
+    reader = reader.option("encoding", "ISO-8859-1" if encoding == "windows-1252" else encoding).option("columnNameOfCorruptRecord", "_whole").option("maxCharsPerColumn", -1)
+    if multi:
+        plain = ", ".join(f"c{i} string" for i in range(most))
+        records = reader.option("header", False).schema(f"{plain}, _whole string").csv(path)
+        # Spark wants another column beside the record
+        found = records.agg(F.max(F.when(F.col("_whole").isNotNull(), _fields(F.col("_whole"), delimiter)[0])).alias("most"), F.count("c0")).first()
+        most = max(most, found["most"] or 0)
+    names = unique_headers([*first, *[None] * (most - len(first))])
+    plain = ", ".join(f"c{i} string" for i in range(most))
     rows = reader.option("header", True).option("enforceSchema", True).schema(plain).csv(path).toDF(*names)
     if encoding != "windows-1252":
         return rows
@@ -110,16 +135,16 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """Objects of an array, of the first array in an object, or of lines, as strings; columns in the order seen first.
 
-    Nested values keep their JSON text. A file of one array is one value, so it is read by one task; use a file a part,
-    or a line an object, for large tables.
+    Nested values keep their JSON text. Lines that are objects each are split as any text. A file of one array is one
+    value, so it is read by one task; use a file a part, or a line an object, for large tables.
     """
     whole = spark.read.text(path, wholetext=True)
-    start = F.substring(F.ltrim("value"), 1, 1)
     lines = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", "map<string,string>").alias("o"))
-    kind = whole.agg(F.max(start), F.count_if(F.from_json("value", "map<string,string>").isNull() & (start == "{"))).first()
-    if kind[0] == "[":
+    start = _head(spark, path).decode("utf-8", "replace").lstrip("\ufeff \r\n\t")[:1]
+    n, bad = lines.agg(F.count("*"), F.count_if(F.col("o").isNull())).first() if start != "[" else (0, 0)
+    if start == "[":
         rows = whole.select(F.explode(F.from_json("value", "array<map<string,string>>")).alias("o"))
-    elif kind[1]:
+    elif n > 1 and not bad:
         rows = lines
     else:
         names = whole.select(F.json_object_keys("value")).first()[0] or []
@@ -141,54 +166,75 @@ class Kind:
     decimal_comma: bool = False
 
 
+#: Fixed pattern: numbers whose dots can only be of thousands.
+THOUSANDS = r"^[-+(]?\s*[$€£¥]?\s?[1-9]\d{0,2}(\.\d{3})+\)?\s?[$€£¥%]?$"
+
+
 def kinds(df: DataFrame) -> dict[str, Kind]:
-    """The kind of every column of texts from one aggregation over all rows.
+    """The kind of every column of texts from one pass over all rows, and one more that counts the different values of
+    columns that are neither numbers, dates nor yes/no and short.
 
     Yes/no if all values are that; number if 95 % are and less than 5 % look like codes (leading zeros, 16 digits and
     more); date if 95 % are; label if short and repeated; else text. A column of decimal commas is told by values that
-    read only so, day-first dates by parts over 12 or by dots.
+    read only so, day-first dates by parts over 12 or by dots. If one column of numbers has decimal commas, dots of the
+    others that can be of thousands are.
     """
-    tests: dict[str, Column] = {}
-    for i, c in enumerate(df.columns):
-        s = F.col(f"`{c}`")
-        ok, t = ~is_missing(s), trimmed(s)
-        two = lambda k: F.when(ok, F.regexp_extract(t, TWO_WAY_DATE, k).try_cast("int"))  # noqa: B023, E731
-        comma = t.rlike(COMMA_NUMBER) & t.contains(",")
-        tests |= {
-            f"n{i}": F.count_if(ok), f"flag{i}": F.count_if(ok & parse_boolean(s).isNotNull()), f"number{i}": F.count_if(ok & parse_number(s).isNotNull()),
-            f"comma{i}": F.count_if(ok & parse_number(s, True).isNotNull()), f"only{i}": F.count_if(ok & comma & parse_number(s).isNull()),
-            f"dot{i}": F.count_if(ok & parse_number(s).isNotNull() & parse_number(s, True).isNull()),
-            f"code{i}": F.count_if(ok & t.rlike(r"^0\d+$|^\d{16,}$")), f"date{i}": F.count_if(ok & parse_date(s).isNotNull()),
-            f"a{i}": F.max(two(1)), f"b{i}": F.max(two(2)), f"dotted{i}": F.count_if(ok & t.rlike(r"^\d{1,2}\.\d{1,2}\.\d{4}$")),
-            f"length{i}": F.avg(F.when(ok, F.length(t))), f"kinds{i}": F.count_distinct(F.when(ok, t)),
-        }
-    found = df.agg(*[x.alias(k) for k, x in tests.items()]).first().asDict() if tests else {}
-    out = {}
+    if not df.columns:
+        return {}
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").alias("s")) for i, c in enumerate(df.columns)])
+    long = df.select(F.inline(each)).select("i", trimmed(F.col("s")).alias("t")).where(~F.lower("t").isin(*MISSING))
+    t = F.col("t")
+    two = lambda k: F.regexp_extract(t, TWO_WAY_DATE, k).try_cast("int")
+    digit = t.rlike(r"\d")
+    read = long.select(
+        "i", "t", digit.alias("digit"), F.lower(t).isin(*TRUE, *FALSE).alias("flag"), (digit & reads_number(t)).alias("number"),
+        (digit & reads_number(t, True)).alias("comma"), (t.contains(",") & t.rlike(COMMA_NUMBER)).alias("with_comma"), (digit & reads_date(t)).alias("date"),
+    )
+    made = read.groupBy("i").agg(
+        F.count("*").alias("n"), F.count_if("flag").alias("flag"), F.count_if("number").alias("number"), F.count_if("comma").alias("comma"),
+        F.count_if(F.col("with_comma") & ~F.col("number")).alias("only"), F.count_if(F.col("number") & ~F.col("comma")).alias("dot"),
+        F.count_if(F.col("digit") & t.rlike(r"^[-+]?0\d|^\d{16,}$")).alias("code"), F.count_if("date").alias("date"),
+        F.max(F.when(F.col("date"), two(1))).alias("a"), F.max(F.when(F.col("date"), two(2))).alias("b"),
+        F.count_if(F.col("date") & t.rlike(r"^\d{1,2}\.\d{1,2}\.\d{4}$")).alias("dotted"), F.avg(F.length(t)).alias("length"),
+        F.count_if(t.contains(".")).alias("dots"), F.count_if(t.contains(".") & t.rlike(THOUSANDS)).alias("thousands"),
+    )
+    found = {r["i"]: r for r in made.collect()}
+    out: dict[str, Kind] = {}
+    short, of_dots = [], []
     for i, c in enumerate(df.columns):
-        get = lambda k: found[f"{k}{i}"] or 0  # noqa: B023, E731
-        n = get("n")
-        comma = get("only") > 0 and not get("dot")
-        first = True if get("dotted") or get("a") > 12 and get("b") <= 12 else False if get("b") > 12 and get("a") <= 12 else None
-        numbers = get("comma") if comma else get("number")
-        if not n:
-            kind = Kind("text")
-        elif get("flag") == n:
-            kind = Kind("boolean")
-        elif numbers >= ENOUGH * n and get("code") < CODES * n:
-            kind = Kind("number", decimal_comma=comma)
-        elif get("date") >= ENOUGH * n:
-            kind = Kind("date", day_first=first)
+        r = found.get(i)
+        if r is None:
+            out[c] = Kind("text")
+            continue
+        n, a, b = r["n"], r["a"] or 0, r["b"] or 0
+        comma = r["only"] > 0 and not r["dot"]
+        if r["flag"] == n:
+            out[c] = Kind("boolean")
+        elif r["comma" if comma else "number"] >= ENOUGH * n and r["code"] < CODES * n:
+            out[c] = Kind("number", decimal_comma=comma)
+            if not comma and r["dots"] and r["dots"] == r["thousands"]:
+                of_dots.append(c)
+        elif r["date"] >= ENOUGH * n:
+            out[c] = Kind("date", day_first=True if r["dotted"] or a > 12 and b <= 12 else False if b > 12 and a <= 12 else None)
         else:
-            kind = Kind("category" if get("length") <= LABEL_LENGTH and get("kinds") <= max(LABELS, LABEL_SHARE * n) else "text")
-        out[c] = kind
+            out[c] = Kind("text")
+            if r["length"] <= LABEL_LENGTH:
+                short.append(i)
+    if any(k.decimal_comma for k in out.values()):
+        out |= {c: Kind("number", decimal_comma=True) for c in of_dots}
+    if short:
+        for r in long.where(F.col("i").isin(short)).groupBy("i", "t").agg(F.count("*").alias("n")).groupBy("i").agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect():
+            if r["k"] <= max(LABELS, LABEL_SHARE * r["n"]):
+                out[df.columns[r["i"]]] = Kind("category")
     return out
 
 
 def typed(df: DataFrame, known: dict[str, Kind] | None = None) -> DataFrame:
     """``df`` with each column read as its kind, and the texts in a struct that is pruned where it is not used."""
     known = known or kinds(df)
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in known]
     columns = [marked(parse(F.col(f"`{c}`"), k.name, k.day_first, k.decimal_comma), c, k.name) for c, k in known.items()]
-    return df.select(*columns, F.struct(*[F.col(f"`{c}`") for c in known]).alias(RAW))
+    return df.select(*rest, *columns, F.struct(*[F.col(f"`{c}`") for c in known]).alias(RAW))
 
 
 def load(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None) -> DataFrame:
