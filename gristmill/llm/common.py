@@ -11,10 +11,14 @@ from pyspark.sql.window import Window as W
 
 from ..operators.storage import ensure_checkpoint_dir, saved
 
-__all__ = ["WORD", "ensure_checkpoint_dir", "fresh", "map_text", "n_words", "prefix_sums", "saved", "small"]
+__all__ = ["WORD", "ensure_checkpoint_dir", "fresh", "map_text", "n_words", "prefix_sums", "saved", "sieved", "small"]
 
 #: Rows of two numbers that may be broadcast.
 SMALL = 1 << 21
+#: Words of 64 bits of a sieve, which is broadcast.
+SIEVE = 1 << 20
+#: Buckets of a running sum that one task takes.
+RUN = 4096
 #: A word of every contract below: a run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -51,6 +55,23 @@ def map_text(df: DataFrame, text: str, work: Callable[[list[str | None]], dict[s
     return df.mapInArrow(run, schema)
 
 
+def sieved(df: DataFrame, ids: DataFrame, key: Column, name: str) -> DataFrame:
+    """``df`` with the boolean column ``name``: false only where no row of ``ids`` has that ``key`` (a long expression
+    over columns that both have).
+
+    A row falls on one of ``SIEVE`` x 64 bits; at most ``SIEVE`` words of bits are broadcast, however many ids there are.
+    The more ids, the more rows stay true that are not among them, so an exact join follows; it has fewer rows to shuffle.
+    """
+    h = F.xxhash64(key)
+    word, bit = h.bitwiseAND(F.lit(SIEVE - 1)), F.shiftrightunsigned(h, 58).cast("int")
+    at, word_at, bits = fresh(df, "sieve_at"), fresh(df, "sieve_word"), fresh(df, "sieve_bits")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
+    words = ids.select(word.alias(word_at), bit.alias("bit")).groupBy(word_at).agg(F.bit_or(one).alias(bits))
+    found = df.withColumn(at, word).join(F.broadcast(words), F.col(at) == F.col(word_at), "left")
+    has = F.coalesce(F.call_function("getbit", F.col(bits), bit) == 1, F.lit(False))
+    return found.withColumn(name, has).drop(at, word_at, bits)
+
+
 def small(ids: DataFrame) -> DataFrame:
     """``ids`` (written, two numbers a row) with a hint to broadcast it if it has at most ``SMALL`` rows; beyond that the
     other side is shuffled to it."""
@@ -68,14 +89,20 @@ def prefix_sums(
     """Exclusive running sums within ``group`` in the order (bucket, *order), with no task holding a whole group.
 
     ``bucket`` is a long expression that the leading order follows. Rows of one (group, bucket) meet in one task;
-    only one row per (group, bucket) is summed over a whole group. ``values`` maps new columns to summed columns.
+    only a row for each ``RUN`` buckets is summed over a whole group. ``values`` maps new columns to summed columns.
     """
     group = F.concat_ws("", *[F.coalesce(F.concat(F.lit("="), F.col(f"`{g}`").cast("string")), F.lit("-")) for g in group])
     keyed = df.withColumns({"_group": group, "_bucket": bucket})
     keys = ["_group", "_bucket"]
     sums = keyed.groupBy(*keys).agg(*[F.sum(v).alias(f"_sum_{k}") for k, v in values.items()])
-    over = W.partitionBy("_group").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    base = sums.select(*keys, *[F.coalesce(F.sum(f"_sum_{k}").over(over), F.lit(0)).alias(f"_base_{k}") for k in values])
+    # buckets are summed ``RUN`` at a time and then the runs, so no task holds all buckets of a group
+    sums = sums.withColumn("_run", F.floor(F.col("_bucket") / RUN))
+    runs = sums.groupBy("_group", "_run").agg(*[F.sum(f"_sum_{k}").alias(f"_run_{k}") for k in values])
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select("_group", "_run", *[before(W.partitionBy("_group").orderBy("_run"), f"_run_{k}").alias(f"_run_{k}") for k in values])
+    within = W.partitionBy("_group", "_run").orderBy("_bucket")
+    base = sums.select(*keys, "_run", *[before(within, f"_sum_{k}").alias(f"_sum_{k}") for k in values]).join(runs, ["_group", "_run"])
+    base = base.select(*keys, *[(F.col(f"_sum_{k}") + F.col(f"_run_{k}")).alias(f"_base_{k}") for k in values])
     inner = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     local = keyed.withColumns({f"_in_{k}": F.coalesce(F.sum(v).over(inner), F.lit(0)) for k, v in values.items()})
     # the join has the keys of the window, so the rows are not dealt again

@@ -15,6 +15,10 @@ memory is a few numbers a segment, not its text. Alignment keeps suffixes of dif
 begin equal windows, so only the column's slice of the transform is updated and a round costs what it inserts. A suffix
 whose common prefix with a neighbour reaches ``LENGTH`` begins a repeated window.
 
+Passages. ``shared_passages`` counts, beside what is removed, the strings of ``PASSAGE`` words that a document has in
+common with another one. They are sampled by winnowing: of each ``WINNOW`` neighbouring strings the one with the least
+hash, so that a passage of ``PASSAGE`` + ``WINNOW`` - 1 = 51 words or more that two documents share gives one at least.
+
 An anchor with more than ``HOT`` distinct segments would be too much for one task: its windows are told apart by 128
 bits of hash and counted by Spark instead, which any number of tasks share.
 
@@ -35,7 +39,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import map_text, saved, small
+from .common import map_text, saved, sieved
 
 LENGTH = 400
 ANCHOR = 128
@@ -48,6 +52,8 @@ CHUNK = 1 << 20
 DOCS = 256
 #: Segments of one construction, whole anchors.
 BATCH = 20_000
+#: Words of a string that documents may share, and neighbours of which one is looked at.
+PASSAGE, WINNOW = 32, 20
 #: Distinct segments of an anchor that one task may hold.
 HOT = 1 << 18
 
@@ -234,11 +240,11 @@ def repeats(docs: DataFrame, key: list[str], body: str, hot: int = HOT) -> DataF
 
     occurrences = saved(slim.mapInArrow(cut, f"{kinds}, anchor long, content long, place long"))
     twice = saved(occurrences.groupBy("anchor").agg(F.count("*").alias("_all")).where("_all > 1").select("anchor"))
-    repeated = occurrences.join(small(twice), "anchor", "left_semi")
+    repeated = sieved(occurrences, twice, F.col("anchor"), "_may").where("_may").drop("_may").join(twice, "anchor", "left_semi")
     distinct = saved(repeated.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("place", *key)).alias("at")))
     wanted = saved(distinct.join(distinct.groupBy("anchor").agg(F.count("*").alias("_kinds")), "anchor").select("anchor", "content", "n", "_kinds", "at.*"))
     asked = wanted.groupBy(*key).agg(F.collect_list(F.struct("anchor", "content", "n", "place", "_kinds")).alias("asked"))
-    holders = slim.join(small(saved(wanted.select(*key).distinct())), key, "left_semi").dropDuplicates(key)
+    holders = sieved(slim, wanted, F.xxhash64(*key), "_may").where("_may").groupBy(*key).agg(F.first(body).alias(body))
     joined = holders.join(asked, key).select(body, "asked")
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -321,26 +327,70 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", body.alias("body"), F.xxhash64("text", "doc_id").alias("h1"), F.hash("doc_id", "text").alias("h2"))
 
 
+def _word_hashes(raw: bytes) -> np.ndarray:
+    """A 64-bit hash (uint64) of each word."""
+    words = raw.split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def passage_hashes(raw: bytes) -> np.ndarray:
+    """Hashes (signed, distinct) of the sampled strings of ``PASSAGE`` words; of all of a text with fewer than ``WINNOW``
+    such strings, the least."""
+    h = _word_hashes(raw)
+    if len(h) < PASSAGE:
+        return np.zeros(0, dtype=np.int64)
+    size = 1
+    while size < PASSAGE:
+        h, size = _grow(h, size), 2 * size
+    return np.unique(sliding_min(h, min(WINNOW, len(h)))).view(np.int64)
+
+
+def shared_passages(docs: DataFrame, key: list[str], body: str) -> DataFrame:
+    """(``key``, n_shared): number of sampled strings of ``PASSAGE`` words of a row that a row of another ``key`` has too;
+    rows without any are left out. Rows of one key count once."""
+    slim = docs.select(*key, body)
+    kinds = ", ".join(f"`{c}` {t}" for c, t in slim.dtypes if c != body)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, DOCS):
+                part = batch.slice(at, DOCS)
+                found = [passage_hashes(x) for x in part.column(len(key)).to_pylist()]
+                own = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+                columns = [*(part.column(i).take(own) for i in range(len(key))), pa.array(np.concatenate([*found, np.zeros(0, dtype=np.int64)]))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*key, "passage"])
+
+    strings = saved(slim.mapInArrow(cut, f"{kinds}, passage long"))
+    row = F.xxhash64(*key)
+    many = strings.groupBy("passage").agg(F.min(row).alias("_low"), F.max(row).alias("_high")).where("_low < _high").select("passage")
+    many = saved(many)
+    may = sieved(strings, many, F.col("passage"), "_may").where("_may").drop("_may")
+    return may.join(many, "passage", "left_semi").distinct().groupBy(*key).agg(F.count("*").alias("n_shared"))
+
+
 def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, and n_shared: sampled strings of ``PASSAGE`` words that another document has too."""
     docs = _keyed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     key = ["h1", "h2"]
-    runs = saved(repeats(docs, key, "body").groupBy(*key).agg(F.collect_set(F.struct("first", "last")).alias("runs")))
-    ids = small(runs.select(*key))
-    sha = F.sha2("body", 256)
-    whole = docs.join(ids, key, "left_anti").select(
-        "doc_id", F.octet_length("body").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), sha.alias("kept_sha256")
+    runs = repeats(docs, key, "body").groupBy(*key).agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    found = saved(runs.join(shared_passages(docs, key, "body"), key, "full"))
+    names = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"}
+    flagged = sieved(docs, found, F.xxhash64(*key), "may")
+    none = F.lit(0).cast("long")
+    whole = flagged.where("not may").select(
+        "doc_id", F.octet_length("body").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2("body", 256).alias("kept_sha256"), none.alias("n_shared")
     )
     held = F.struct("body", F.col("runs.first").alias("first"), F.col("runs.last").alias("last")).alias("x")
-    joined = docs.join(ids, key, "left_semi").join(runs, key).select("doc_id", held)
+    joined = flagged.where("may").join(found, key, "left").select("doc_id", F.coalesce("n_shared", none).alias("n_shared"), held)
 
     def work(rows: list[dict]) -> dict[str, list]:
-        out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
+        out: dict[str, list] = {n: [] for n in names}
         for r in rows:
-            raw, spans = r["body"], merged(r["first"], r["last"])
+            raw, spans = r["body"], merged(r["first"] or [], r["last"] or [])
             edges = [0, *[x for s in spans for x in s], len(raw)]
             kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
             for name, value in zip(out, (len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()), strict=True):
                 out[name].append(value)
         return out
 
-    return whole.unionByName(map_text(joined, "x", work, {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"}, drop=["x"]))
+    return whole.unionByName(map_text(joined, "x", work, names, drop=["x"]).select(*whole.columns))

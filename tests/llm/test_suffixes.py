@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from gristmill.llm import suffixes
 
@@ -29,6 +30,43 @@ def brute(texts: list[str | None]) -> list[tuple]:
     return out
 
 
+def brute_shared(docs: list[tuple]) -> list[int]:
+    """Sampled strings of words of each (id, text) that a row of another id or text has."""
+    sampled, n = [], suffixes.WINNOW
+    for _, t in docs:
+        w = (t or "").encode().split()
+        grams = [b" ".join(w[i : i + suffixes.PASSAGE]) for i in range(len(w) - suffixes.PASSAGE + 1)]
+        h = suffixes_hashes(w)[: len(grams)]
+        of = dict(zip(h, grams, strict=True))
+        sampled.append({of[min(h[i : i + n])] for i in range(max(len(h) - n + 1, 1))} if h else set())
+    holders: dict = {}
+    for d, s in zip(docs, sampled, strict=True):
+        for g in s:
+            holders.setdefault(g, set()).add(d)
+    return [sum(len(holders[g]) > 1 for g in s) for s in sampled]
+
+
+def suffixes_hashes(words: list[bytes]) -> list[int]:
+    """The hash of each string of words, from the words alone."""
+    h = [xxhash.xxh3_64_intdigest(w) for w in words]
+    size, a, b, mask = 1, int(suffixes._A), int(suffixes._B), (1 << 64) - 1
+    while size < suffixes.PASSAGE:
+        grown = []
+        for x, y in zip(h, h[size:], strict=False):
+            z = (x * a + y) & mask
+            grown.append(((z ^ (z >> 29)) * b) & mask)
+        h, size = grown, 2 * size
+    return h
+
+
+def test_shared_passages_of_51_words_are_seen(spark, table):
+    words = [f"w{i}" for i in range(51)]
+    texts = [" ".join([f"a{i}_{k}" for i in range(k)] + words + [f"b{i}_{k}" for i in range(40)]) for k in range(25)]
+    texts += [" ".join(words[:31] + [f"c{i}" for i in range(60)]), " ".join(f"d{i}" for i in range(90))]
+    found = {r.doc_id: r.n_shared for r in suffixes.op6_suffixes(spark, table([(i, t, "en", "s", 0) for i, t in enumerate(texts)])).collect()}
+    assert all(found[i] > 0 for i in range(25)) and found[25] == found[26] == 0
+
+
 def rows() -> list[tuple]:
     shared, other = prose(1, 120), prose(2, 90, "")
     texts = [prose(10, 50) + shared + prose(11, 20), prose(12, 5) + shared, shared[:399], shared[1:401] + "é", other * 4, "ab" * 700, "z" * 399, "z" * 400, "z" * 403]
@@ -39,7 +77,8 @@ def rows() -> list[tuple]:
 
 def check(spark, folder, all_rows):
     found = sorted((tuple(r) for r in suffixes.op6_suffixes(spark, folder).collect()), key=repr)
-    assert found == sorted(((r[0], *b) for r, b in zip(all_rows, brute([r[1] for r in all_rows]), strict=True)), key=repr)
+    shared = brute_shared([(r[0], r[1]) for r in all_rows])
+    assert found == sorted(((r[0], *b, s) for r, b, s in zip(all_rows, brute([r[1] for r in all_rows]), shared, strict=True)), key=repr)
 
 
 def test_query(spark, table):
