@@ -18,6 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window as W
 
+from ..operators.sorting import ROW, with_row_numbers
 from .common import fresh, n_words, prefix_sums, saved
 
 #: Copies of a document at most, and so a target's limit in sizes of its source.
@@ -85,6 +86,18 @@ def mix(sized: DataFrame, source: str, size: str, key: str) -> DataFrame:
     return joined.withColumn("mix_taken", (whole * F.col(size) + part).cast("long"))
 
 
+def scheduled(mixed: DataFrame, size: str) -> DataFrame:
+    """The rows of ``mix`` with mix_positions: the training position (0..1) of each copy that the mix takes.
+
+    Copy k of a row starts after mix_start words and k whole passes over its source; the time at which the source's
+    cumulative demand reaches that share of its target is the copy's position.
+    """
+    copies = F.when(F.col(size) > 0, F.ceil(F.col("mix_taken") / F.col(size))).otherwise(F.lit(0)).cast("int")
+    at = lambda k: (F.col("mix_start") + k * F.col("mix_source_size")) / F.col("mix_target")
+    each = F.transform(F.sequence(F.lit(0), copies - 1), lambda k: invert_demand(F.least(at(k), F.lit(1.0)), F.col("mix_slope")))
+    return mixed.withColumn("mix_positions", F.when(copies > 0, each).otherwise(F.array().cast("array<double>")))
+
+
 def curriculum(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """The mixed corpus in training order: a row per copy, all columns of ``docs`` and mix_position in 0..1 (mix_position_1
     if there is such a column).
@@ -93,26 +106,35 @@ def curriculum(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     sized = docs.select(row, "source", "doc_id", n_words(F.col("text")).alias("size"))
-    mixed = mix(sized, "source", "size", "doc_id").where("mix_taken > 0")
-    copies = F.ceil(F.col("mix_taken") / F.col("size")).cast("int")
-    copied = mixed.withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
-    at = (F.col("mix_start") + F.col("copy") * F.col("mix_source_size")) / F.col("mix_target")
-    placed = copied.withColumn("position", invert_demand(F.least(at, F.lit(1.0)), F.col("mix_slope")))
+    planned = scheduled(mix(sized, "source", "size", "doc_id"), "size")
+    placed = planned.select("row", "source", "doc_id", F.posexplode("mix_positions").alias("copy", "position"))
     by = [F.col(c) for c in ("position", "source", "doc_id", "copy")]
     dealt = placed.repartitionByRange(partitions, *by) if partitions else placed.repartitionByRange(*by)
     return dealt.sortWithinPartitions(*by).select("row.*", F.col("position").alias(fresh(docs, "mix_position")))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document: what the mix takes of it, its copies, the positions of the first and last one, and place, the
+    number of the document in a range sort by the first position (from 0; null if the mix takes nothing)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sized = saved(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
-    mixed = mix(sized, "source", "size", "doc_id")
-    return mixed.select(
+    planned = scheduled(mix(sized, "source", "size", "doc_id"), "size")
+    copies = F.size("mix_positions").cast("long")
+    first, last = F.get("mix_positions", F.lit(0)), F.get("mix_positions", F.size("mix_positions") - 1)
+    slim = planned.select(
+        "doc_id", "source", "size", "mix_start", "mix_source_size", "mix_target", "mix_taken", copies.alias("copies"),
+        first.alias("first_position"), last.alias("last_position"), F.coalesce(first, F.lit(2.0)).alias("by"),
+    )
+    return with_row_numbers(slim, "by", "source", "doc_id", "mix_start").select(
         "doc_id",
         "size",
         F.col("mix_source_size").alias("source_size"),
         F.col("mix_target").alias("target"),
         F.col("mix_taken").alias("taken"),
+        "copies",
+        F.round("first_position", 9).alias("first_position"),
+        F.round("last_position", 9).alias("last_position"),
+        F.when(F.col("copies") > 0, F.col(ROW)).cast("long").alias("place"),
     )
 
 
@@ -124,23 +146,33 @@ per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP
 ranked AS (
   SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rk FROM per),
 weighted AS (
-  SELECT *, 1 + rk % 3 AS w, CAST(3 * source_size AS DOUBLE) AS cap, CAST(sum(source_size) OVER () AS DOUBLE) AS total
+  SELECT *, 1 + rk % 3 AS w, CAST((rk % 3 - 1) * 0.5 AS DOUBLE) AS slope, CAST(3 * source_size AS DOUBLE) AS cap, CAST(sum(source_size) OVER () AS DOUBLE) AS total
   FROM ranked),
 levels AS (
   SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / CAST(sum(w) OVER (ORDER BY cap / w, rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level
   FROM weighted),
 targets AS (
-  SELECT source, source_size, CASE WHEN level <= cap / w
+  SELECT source, source_size, slope, CASE WHEN level <= cap / w
     THEN least(max(CASE WHEN level <= cap / w THEN level END) OVER () * w, cap) ELSE cap END AS target
   FROM levels),
 laid AS (
-  SELECT s.*, t.source_size, t.target, CAST(coalesce(sum(size) OVER (PARTITION BY s.source
+  SELECT s.*, t.source_size, t.target, t.slope, CAST(coalesce(sum(size) OVER (PARTITION BY s.source
       ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id NULLS FIRST, size
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
     CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  CAST(whole * size + greatest(0, least(size, CAST(floor(target - whole * source_size + 0.5) AS BIGINT) - start)) AS BIGINT) AS taken
-FROM laid
+taking AS (
+  SELECT *, CAST(whole * size + greatest(0, least(size, CAST(floor(target - whole * source_size + 0.5) AS BIGINT) - start)) AS BIGINT) AS taken
+  FROM laid),
+copied AS (SELECT *, CASE WHEN size > 0 THEN CAST(ceil(CAST(taken AS DOUBLE) / size) AS BIGINT) ELSE 0 END AS copies FROM taking),
+shares AS (
+  SELECT *, CASE WHEN copies > 0 THEN least(start / target, 1.0::DOUBLE) END AS s0,
+    CASE WHEN copies > 0 THEN least((start + (copies - 1) * source_size) / target, 1.0::DOUBLE) END AS s1 FROM copied),
+placed AS (
+  SELECT *, 2.0::DOUBLE * s0 / ((1.0 - slope) + sqrt((1.0 - slope) * (1.0 - slope) + 4.0::DOUBLE * slope * s0)) AS p0,
+    2.0::DOUBLE * s1 / ((1.0 - slope) + sqrt((1.0 - slope) * (1.0 - slope) + 4.0::DOUBLE * slope * s1)) AS p1 FROM shares)
+SELECT doc_id, size, source_size, target, taken, copies, round(p0, 9) AS first_position, round(p1, 9) AS last_position,
+  CASE WHEN copies > 0 THEN row_number() OVER (ORDER BY coalesce(p0, 2.0), source NULLS FIRST, doc_id NULLS FIRST, start NULLS FIRST) - 1 END AS place
+FROM placed
 """
