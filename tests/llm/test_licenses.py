@@ -14,9 +14,22 @@ def bigrams(text: str) -> set:
     return set(zip(w, w[1:], strict=False))
 
 
+def windows(words: list[str]) -> set[str]:
+    """As many words as a template has, wherever one of the bigrams of its prefix stands as in the template."""
+    out = set()
+    for t in licenses.TEMPLATES.values():
+        own = re.sub(r"[^a-z0-9]+", " ", t.lower()).split()
+        rare = set(licenses.prefix(licenses.template_bigrams(t), 0.8))
+        for k in range(len(own) - 1):
+            if f"{own[k]} {own[k + 1]}" in rare:
+                out |= {" ".join(words[max(i - k, 0) : max(i - k, 0) + len(own)]) for i in range(len(words) - 1) if words[i : i + 2] == own[k : k + 2]}
+    return out
+
+
 def brute(text: str | None) -> tuple:
     low = re.sub(r"[^a-z0-9\n]+", " ", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     units = {*low.split("\n"), *re.split(r"\n[ \n]*\n", low), low} if text is not None else set()
+    units = {" ".join(u.split()) for u in units} | windows(low.split())
     best = []
     for u in units:
         s = bigrams(u)
@@ -44,6 +57,17 @@ def test_query(spark, table):
     assert plain(licenses.op10_licenses(spark, table([]))) == []
 
 
+def test_notices_within_lines_and_wrapped_ones(spark):
+    texts = {
+        "MIT": "Copyright (c) 2020 X. Released under the MIT License. All of it.",
+        "MIT body": prose(1, 40) + " " + re.sub(r"((?:\S+ ){9})", r"\1\n * ", licenses.TEMPLATES["MIT body"]) + " " + prose(2, 40),
+        "Apache-2.0": prose(3, 30) + " It is licensed under the\nApache License,\n\nVersion 2.0. " + prose(4, 30),
+        None: prose(5, 60) + " released the under licence of it " + prose(6, 60),
+    }
+    made = licenses.scan(spark.createDataFrame([(t,) for t in texts.values()], "text string")).collect()
+    assert all(name in [m.license for m in r.matches] if name else not r.matches for name, r in zip(texts, made, strict=True))
+
+
 def test_no_python_in_the_plan(spark, table):
     plan = licenses.op10_licenses(spark, table(cases()))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
