@@ -11,10 +11,8 @@ from pyspark.sql.window import Window as W
 
 from ..operators.storage import ensure_checkpoint_dir, saved
 
-__all__ = ["WORD", "ensure_checkpoint_dir", "fresh", "map_text", "n_words", "prefix_sums", "saved", "sieved", "small"]
+__all__ = ["WORD", "ensure_checkpoint_dir", "fresh", "map_text", "n_words", "prefix_sums", "saved", "sieved"]
 
-#: Rows of two numbers that may be broadcast.
-SMALL = 1 << 21
 #: Words of 64 bits of a sieve, which is broadcast.
 SIEVE = 1 << 20
 #: Buckets of a running sum that one task takes.
@@ -72,12 +70,6 @@ def sieved(df: DataFrame, ids: DataFrame, key: Column, name: str) -> DataFrame:
     return found.withColumn(name, has).drop(at, word_at, bits)
 
 
-def small(ids: DataFrame) -> DataFrame:
-    """``ids`` (written, two numbers a row) with a hint to broadcast it if it has at most ``SMALL`` rows; beyond that the
-    other side is shuffled to it."""
-    return F.broadcast(ids) if ids.count() <= SMALL else ids
-
-
 def n_words(text: Column) -> Column:
     """Number of words in a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -7,13 +7,16 @@ a pair of subtries carries the bits in which its paths differ and is dropped whe
 a spanning forest of the links that it finds, never all pairs, and star contraction joins the forests to components.
 
 ``classes`` links fingerprints of one word (the contract of ``op2_simhash``). ``near_duplicates`` finds texts whose sets
-of five-word shingles have a Jaccard similarity of 0.8 or more. Such texts differ in up to a sixth of the bits, so one
-word of 64 bits is too coarse: a fingerprint of ``SLICES`` slices of 32 bits, made of the same sets of shingles that are
-compared, is joined slice by slice, within 2 bits in any of them. Sets at the limit have a cosine of 8/9 at least, so
-they differ in 15% of the bits whatever the change is, and are found in over 999 of 1000 cases; closer ones in more. Sets
-of up to ``SHORT`` shingles, for which that share is rougher, are also linked exactly, by the shingles of their prefixes.
-The links, confirmed by 64 bits of another slice, give loose families; in each family all pairs of texts are compared
-exactly, in blocks, so no task holds a large family.
+of five-word shingles have a Jaccard similarity of 0.8 or more. Such texts differ in 15% of the bits, so keys made of
+bits would have to be short, and their groups would grow with the corpus. Texts are filed under shingles instead: with
+all shingles in one order, two such sets share a shingle among the first fifth of each, so no pair is lost. The order
+puts rare shingles first, by the counts of ``BINS`` bins over all texts; it decides what is compared, never the result.
+Under each shingle that texts have in common, the first 64 bits of their SimHash form a trie that is joined with itself
+within ``LOOSE`` bits, and what is found must agree within ``WIDE`` of 128 bits and in its number of shingles. Sets at
+the limit differ in more bits than that in fewer than one of 100,000 cases; texts of few shingles, whose bits are
+rougher, go on without that. A large key is dealt to a grid of blocks. What links gives loose families; in a family, texts like
+its least one are its class at once, and the others are compared exactly with all, in blocks, so no task holds a large
+family and a family of copies of one text takes a comparison each.
 
 Edge cases: null text and text without words have fingerprint 0, linked like any other, and no shingles, so they are one
 class; texts of fewer words than a shingle are one shingle; repeated rows share a class; null ids come last, so they name
@@ -22,7 +25,7 @@ a class only if it has no other id; an empty table gives no rows; other columns
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
@@ -30,24 +33,25 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import ensure_checkpoint_dir, fresh, map_text, saved, small
+from .common import ensure_checkpoint_dir, fresh, map_text, saved, sieved
 
 MAX_BITS = 2
 SHINGLE = 3
 SEED = 42
 #: Words in a shingle and similarity (as a fraction) of near-duplicates.
 NEAR_SHINGLE, NEAR = 5, (4, 5)
-#: Slices of 32 bits of the wide fingerprint, and bits of 64 others in which loose pairs differ.
-SLICES, LOOSE = 64, 18
-#: Shingles of a text that is filed under its prefix too.
-SHORT = 40
+#: Bits of 64 and of 128 in which loose pairs differ at most, and shingles of the texts that are not held to that.
+LOOSE, WIDE, SHORT = 24, 38, 40
+#: Bins that shingles are counted in, and bins of a row of counts.
+BINS, BIN_BLOCK = 1 << 20, 1 << 14
+#: Nodes of a block of one key.
+KEY_BLOCK = 1 << 14
 #: Texts, and shingles of them, of a block of a family.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Node pairs of a trie walk that are held at once.
 FRONTIER = 1 << 18
 
 _MIX, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_LANES = np.random.default_rng(20240611).integers(1, 1 << 63, SLICES // 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def majority(hashes: np.ndarray, step: int = 1 << 14) -> np.ndarray:
@@ -93,19 +97,25 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(shingle_hashes(text, NEAR_SHINGLE).view(np.int64))
 
 
-def wide_fingerprint(own: np.ndarray) -> np.ndarray:
-    """SimHash of ``SLICES`` x 32 bits of a set of shingles, as signed 64-bit words."""
+def sketch(own: np.ndarray) -> tuple[int, int]:
+    """SimHash of 128 bits of a set of shingles as two signed longs."""
     if not len(own):
-        return np.zeros(SLICES // 2, dtype=np.int64)
+        return 0, 0
     h = own.view(np.uint64)
-    lanes = (h[:, None] ^ (h[:, None] >> np.uint64(31))) * _LANES
-    return majority(lanes ^ (lanes >> np.uint64(32))).view(np.int64)
+    h = (h ^ (h >> np.uint64(31)))[:, None] * np.array([_MIX, _SPREAD])
+    low, high = majority(h ^ (h >> np.uint64(32))).view(np.int64)
+    return int(low), int(high)
 
 
-def short_prefix(own: np.ndarray) -> np.ndarray:
-    """The least shingles of a set of up to ``SHORT``, of which each near-duplicate of it has one among its own."""
+def bins(own: np.ndarray) -> np.ndarray:
+    return (own.view(np.uint64) >> np.uint64(24)).astype(np.int64) & (BINS - 1)
+
+
+def prefix(own: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, of which each near-duplicate of it has one among its own. ``order`` has a number for
+    each bin; shingles of equal numbers go by their hash."""
     p, q = NEAR
-    return own[: len(own) + (-p * len(own)) // q + 1] if 0 < len(own) <= SHORT else own[:0]
+    return own[np.argsort(order[bins(own)], kind="stable")[: len(own) + (-p * len(own)) // q + 1]] if len(own) else own
 
 
 def with_fingerprints(docs: DataFrame, text: str, name: str) -> DataFrame:
@@ -156,8 +166,18 @@ def _gather(word: Column, ranges: list[tuple[int, int]], base: int = 0) -> Colum
 def trie_pairs(values: np.ndarray, groups: np.ndarray, bits: int, budget: int, held: int = FRONTIER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of ``values`` of one group that differ in at most ``budget`` of the low ``bits``, in parts.
 
-    ``values`` ascend within each group; ``groups`` holds the groups' starts and the end. All groups' tries are walked
-    at once, one bit a step; a row of the frontier is a pair of nodes (ranges of values) and the bits they differ in.
+    ``values`` ascend within each group; ``groups`` holds the groups' starts and the end.
+    """
+    lo, hi = groups[:-1], groups[1:]
+    big = hi - lo > 1
+    return walk(values, (lo[big], hi[big], lo[big], hi[big]), bits, budget, held)
+
+
+def walk(values: np.ndarray, ranges: tuple[np.ndarray, ...], bits: int, budget: int, held: int = FRONTIER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within ``budget`` bits between the tries of two ranges of ascending values, a0..a1 and b0..b1, for all
+    ranges at once. Two equal ranges are a trie with itself.
+
+    A step goes down one bit; a row of the frontier is a pair of nodes (ranges of values) and the bits they differ in.
     A frontier of more than ``held`` pairs is halved and the halves are walked one after the other. Equal values end in
     one leaf and count as pairs of its first with each other one.
     """
@@ -173,9 +193,7 @@ def trie_pairs(values: np.ndarray, groups: np.ndarray, bits: int, budget: int, h
             before[bit] = count
         return count
 
-    lo, hi = groups[:-1], groups[1:]
-    big = hi - lo > 1
-    waiting = [(bits - 1, lo[big], hi[big], lo[big], hi[big], np.zeros(int(big.sum()), dtype=np.int8))]
+    waiting = [(bits - 1, *ranges, np.zeros(len(ranges[0]), dtype=np.int8))]
     while waiting:
         bit, a0, a1, b0, b1, err = waiting.pop()
         if not len(a0):
@@ -228,22 +246,59 @@ def merge(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _forest(k: np.ndarray, key: np.ndarray, rest: np.ndarray, node: np.ndarray, check: np.ndarray | None, bits: int) -> pd.DataFrame:
-    """Spanning forest (u, v) of the links of whole groups (k, key). ``check``: words of 64 other bits to agree in."""
+def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Spanning forest (u, v) of the links of whole groups (k, key) of fingerprints."""
+    k, key, rest, node = (pdf[c].to_numpy() for c in ("k", "key", "rest", "node"))
     order = np.lexsort((rest, key, k))
     k, key, rest, node = k[order], key[order], rest[order].astype(np.uint64), node[order]
     cut = (key[1:] != key[:-1]) | (k[1:] != k[:-1])
     groups = np.concatenate([[0], np.flatnonzero(cut) + 1, [len(order)]])
     label = np.arange(len(order))
-    for left, right in trie_pairs(rest, groups, bits, MAX_BITS):
-        if check is not None:
-            near = np.bitwise_count(check[order[left]] ^ check[order[right]]) <= LOOSE
-            left, right = left[near], right[near]
+    for left, right in trie_pairs(rest, groups, REST_BITS, MAX_BITS):
         label = merge(label, left, right)
     u, v = spanning(node, label)
     return pd.DataFrame({"u": u, "v": v})
 
 
+def _loose_forest(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Spanning forest (u, v) of the loose links of whole groups (k, key) of nodes with bits, check and n (shingles).
+
+    Nodes near the least of their group are linked to it first, so only the others' tries are joined with the whole.
+    """
+    k, key, node, n = (pdf[c].to_numpy() for c in ("k", "key", "node", "n"))
+    bits, check = (pdf[c].to_numpy().view(np.uint64) for c in ("bits", "check"))
+    order = np.lexsort((bits, key, k))
+    k, key, bits, check, node, n = (x[order] for x in (k, key, bits, check, node, n))
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (k[1:] != k[:-1])])
+    lo = np.flatnonzero(new)
+    hi, group, place = np.append(lo[1:], len(order)), np.cumsum(new) - 1, np.arange(len(order))
+
+    def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        apart = np.bitwise_count(bits[a] ^ bits[b])
+        sizes = NEAR[1] * np.minimum(n[a], n[b]) >= NEAR[0] * np.maximum(n[a], n[b])
+        return sizes & (apart <= LOOSE) & (apart + np.bitwise_count(check[a] ^ check[b]) <= WIDE)
+
+    lead = np.zeros(len(lo), dtype=np.int64)
+    own = node == np.minimum.reduceat(node, lo)[group]
+    lead[group[own]] = place[own]
+    near = alike(place, lead[group])
+    label = merge(place, place[near], lead[group[near]])
+    few = np.flatnonzero(4 * n <= 5 * SHORT)
+    if len(few):  # all of a group's short texts
+        first = np.concatenate([[True], group[few][1:] != group[few][:-1]])
+        label = merge(label, few, few[np.flatnonzero(first)[np.cumsum(first) - 1]])
+    far = np.flatnonzero(~near)
+    if len(far):
+        m, count = len(order), np.bincount(group[far], minlength=len(lo))
+        a1, some = m + np.cumsum(count), count > 0
+        for left, right in walk(np.concatenate([bits, bits[far]]), (a1[some] - count[some], a1[some], lo[some], hi[some]), 64, LOOSE):
+            left = far[left - m]
+            fits = alike(left, right)
+            label = merge(label, left[fits], right[fits])
+    u, v = spanning(node, label)
+    return pd.DataFrame({"u": u, "v": v})
+
+
 def spanning(node: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links of each node to the least node of its label; under other keys the same family mostly has the same least."""
     least = node.copy()
@@ -253,9 +308,8 @@ def spanning(node: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return node[apart], least[apart]
 
 
-def _links(keyed: DataFrame, checked: bool, bits: int, rows: int = 200_000) -> DataFrame:
-    """Links of ``keyed`` (node, k, key, rest and perhaps check): whole groups (k, key) are walked, some rows' worth at
-    a time."""
+def _links(keyed: DataFrame, forest: Callable[[pd.DataFrame], pd.DataFrame], rows: int = 200_000) -> DataFrame:
+    """Links (u, v) that ``forest`` finds in whole groups (k, key) of ``keyed``, some rows' worth at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -271,10 +325,6 @@ def _links(keyed: DataFrame, checked: bool, bits: int, rows: int = 200_000) -> D
         if held:
             yield forest(pd.concat(held, ignore_index=True))
 
-    def forest(whole: pd.DataFrame) -> pd.DataFrame:
-        column = lambda c: whole[c].to_numpy()
-        return _forest(column("k"), column("key"), column("rest"), column("node"), column("check") if checked else None, bits)
-
     dealt = keyed.repartition(F.col("k"), F.col("key")).sortWithinPartitions("k", "key")
     return dealt.mapInPandas(run, "u long, v long").distinct()
 
@@ -283,29 +333,21 @@ def links(fps: DataFrame, name: str) -> DataFrame:
     """Links (u, v) that connect the distinct fingerprints just as all pairs within ``MAX_BITS`` bits do."""
     fp = F.col(name)
     each = [F.struct(F.lit(i).alias("k"), _gather(fp, key).alias("key"), _gather(fp, rest).alias("rest")) for i, (key, rest) in enumerate(LAYOUTS)]
-    return _links(fps.select(fp.alias("node"), F.explode(F.array(*each)).alias("x")).select("node", "x.*"), False, REST_BITS)
+    return _links(fps.select(fp.alias("node"), F.explode(F.array(*each)).alias("x")).select("node", "x.*"), _forest)
 
 
-def loose_links(wides: DataFrame) -> DataFrame:
-    """Links (u, v) between nodes whose wide fingerprints agree within ``MAX_BITS`` bits in some slice and within
-    ``LOOSE`` bits in the 64 bits of another place. ``wides`` has node and wide."""
-    words = SLICES // 2
-    placed = wides.select("node", "wide", F.explode(F.sequence(F.lit(0), F.lit(words - 1))).alias("w"))
-    word = placed.select("node", "w", F.get("wide", F.col("w")).alias("word"), F.get("wide", (F.col("w") + words // 2) % words).alias("check"))
-    each = [
-        F.struct(F.lit(3 * half + i).alias("part"), _gather(F.col("word"), key, 32 * half).alias("key"), _gather(F.col("word"), rest, 32 * half).alias("rest"))
-        for half in (0, 1)
-        for i, (key, rest) in enumerate(SLICE_LAYOUTS)
-    ]
-    keyed = word.select("node", "w", "check", F.explode(F.array(*each)).alias("x"))
-    return _links(keyed.select("node", (F.col("w") * 6 + F.col("x.part")).alias("k"), "x.key", "x.rest", "check"), True, 22)
-
-
-def short_links(prefixes: DataFrame) -> DataFrame:
-    """Links (u, v) that connect all nodes that share a shingle of their prefixes. ``prefixes`` has node and short."""
-    filed = prefixes.select("node", F.explode("short").alias("key"))
-    least = filed.groupBy("key").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1")
-    return filed.join(least, "key").where("node != v").select(F.col("node").alias("u"), "v").distinct()
+def loose_links(nodes: DataFrame) -> DataFrame:
+    """Links (u, v) between nodes that share a shingle of their prefixes and are alike in their bits and sizes. ``nodes``
+    has node, bits, check, n (shingles) and prefix."""
+    filed = nodes.select("node", F.explode("prefix").alias("key"))
+    sizes = filed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    blocks = F.ceil(F.col("m") / KEY_BLOCK).cast("int")
+    met = filed.join(sizes, "key").select("key", "node", blocks.alias("b"))
+    met = met.join(nodes.select("node", "bits", "check", "n"), "node")
+    own = F.pmod(F.xxhash64("node"), F.col("b")).cast("int")
+    cells = met.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), F.col("b") - 1))})
+    cell = F.greatest("own", "other") * 65536 + F.least("own", "other")
+    return _links(cells.select(cell.alias("k"), "key", "node", "bits", "check", "n"), _loose_forest)
 
 
 def fewer(links: DataFrame) -> DataFrame:
@@ -379,90 +421,181 @@ def similar_pairs(sets: list[np.ndarray], side: np.ndarray, share: tuple[int, in
     return left[left != right], right[left != right]
 
 
+def in_groups(df: DataFrame, keys: list[str], order: list[Column], work: Callable[[list[Any]], list[tuple]], schema: str) -> DataFrame:
+    """Rows that ``work`` makes of the rows of each group ``keys``; a group has a bounded number of rows."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    types = dict(zip(names, (x.split()[1] for x in schema.split(", ")), strict=True))
+    frame = lambda rows: pd.DataFrame(rows, columns=names).astype({n: "int64" if t == "long" else "bool" for n, t in types.items()})
+    k = len(keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, held = None, []
+        for pdf in batches:
+            found = []
+            for row in pdf.itertuples(index=False, name=None):
+                if row[:k] != here:
+                    found += work(held) if held else []
+                    here, held = row[:k], []
+                held.append(row[k:])
+            yield frame(found)
+        yield frame(work(held) if held else [])
+
+    rest = [c for c in df.columns if c not in keys]
+    return df.select(*keys, *rest).repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
+def like_first(sets: DataFrame) -> DataFrame:
+    """(root, node, alike): whether each other node of a family is a near-duplicate of its first one. ``sets`` has root,
+    node, lead, block, blocks and shingles; the first node is copied to each block."""
+    every = F.when(F.col("lead"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    placed = sets.select("root", F.explode(every).alias("at"), "lead", "node", "shingles")
+
+    def work(rows: list[Any]) -> list[tuple]:
+        """Rows are (lead, node, shingles), the leading one first."""
+        own = [np.asarray(r[2], dtype=np.int64) for r in rows]
+        found = np.zeros(len(rows), dtype=bool)
+        found[similar_pairs(own, np.arange(len(rows)) > 0)[1]] = True
+        return [(r[1], f) for r, f in zip(rows[1:], found[1:].tolist(), strict=True)] if len(rows) > 1 else []
+
+    return in_groups(placed, ["root", "at"], [F.col("lead").desc()], work, "node long, alike boolean")
+
+
 def similar_links(sets: DataFrame) -> DataFrame:
-    """Spanning links (u, v) between nodes of one family whose shingles are near-duplicates, compared exactly.
+    """Links (u, v) that connect the nodes of a family just as all pairs of near-duplicates do, compared exactly.
 
-    ``sets`` has root (the family), node, n and shingles (ascending). A family is dealt to blocks by the hash of its
-    nodes and each pair of blocks is compared in one task.
+    ``sets`` has root (the family), node, lead (one node of each family), m (its nodes), block, blocks and shingles
+    (ascending). Nodes like the leading one are linked to it; each of the others is compared with all nodes, in a grid
+    of blocks of others and of all.
     """
-    sizes = sets.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("all"))
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("all") / BLOCK_SHINGLES), F.lit(1)).cast("int")
-    many = sizes.where("m > 1").select(F.col("root").alias("r"), blocks.alias("blocks"))
-    placed = sets.join(many, F.col("root") == F.col("r")).withColumn("b", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    grid = met.select("root", F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"), "b", "node", "shingles")
-    keys = ["root", "i", "j"]
-
-    def compare(across: bool, rows: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
-        """Spanning links of the rows (block, node, shingles) of a pair of blocks."""
-        node, side = np.array([r[1] for r in rows]), np.array([r[0] for r in rows])
-        if len(rows) < 2 or across and (side == side[0]).all():
+    first = sets.where("lead").select("root", F.col("node").alias("v"))
+    alike = saved(like_first(sets))
+    settled = sets.select("root", "node").join(alike.where("alike"), "node").join(first, "root").select(F.col("node").alias("u"), "v")
+    apart = sets.join(alike.where("not alike").select("node"), "node", "left_semi")
+    rows = saved(apart.select("root", "node", "n", "blocks", "shingles"))
+    sizes = rows.groupBy("root").agg(F.count("*").alias("others"), F.sum("n").alias("all"))
+    cut = F.greatest(F.ceil(F.col("others") / BLOCK), F.ceil(F.col("all") / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    cut = sizes.select("root", cut.alias("cuts"))
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("cuts")).cast("int")
+    asking = rows.join(cut, "root").select(
+        "root", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("asks"), "node", "shingles"
+    )
+    asked = sieved(sets, cut, F.col("root"), "may").where("may").join(cut, "root").select(
+        "root", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("i"), F.col("block").alias("j"), F.lit(False).alias("asks"), "node", "shingles"
+    )
+
+    def work(rows: list[Any]) -> list[tuple]:
+        """Spanning links of the pairs of an asking and another row (asks, node, shingles)."""
+        asks, node = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+        if asks.all() or not asks.any():
             return []
-        label = merge(np.arange(len(rows)), *similar_pairs([r[2] for r in rows], side))
-        return list(zip(*spanning(node, label), strict=True))
+        left, right = similar_pairs([np.asarray(r[2], dtype=np.int64) for r in rows], asks)
+        ids = np.unique(node, return_inverse=True)
+        label = merge(np.arange(len(ids[0])), ids[1][left], ids[1][right])
+        return list(zip(*spanning(ids[0], label), strict=True))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        here, held = (0, 0, 0), []
+    crossed = in_groups(asking.unionByName(asked), ["root", "i", "j"], [], work, "u long, v long")
+    return settled.unionByName(crossed).distinct()
+
+
+def rare_first(texts: DataFrame) -> np.ndarray:
+    """A number for each of ``BINS`` bins of shingles, that rises with the shingles of all ``texts`` in it (its binary
+    logarithm). Tasks count into arrays and Spark adds them; the driver gets a byte a bin."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(BINS, dtype=np.int64)
         for pdf in batches:
-            found = []
-            for root, i, j, block, node, shingles in pdf.itertuples(index=False, name=None):
-                if (root, i, j) != here:
-                    found += compare(here[1] != here[2], held)
-                    here, held = (root, i, j), []
-                held.append((block, node, np.asarray(shingles, dtype=np.int64)))
-            yield pd.DataFrame(found, columns=["u", "v"], dtype=np.int64)
-        yield pd.DataFrame(compare(here[1] != here[2], held), columns=["u", "v"], dtype=np.int64)
+            for t in pdf["text"]:
+                np.add.at(total, bins(shingle_set(t)), 1)
+        if total.any():
+            yield pd.DataFrame({"at": range(BINS // BIN_BLOCK), "counts": [x.tobytes() for x in np.minimum(total, 0xFFFF).astype(np.uint16).reshape(-1, BIN_BLOCK)]})
 
-    return grid.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "u long, v long").distinct()
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for at, raw in zip(pdf["at"], pdf["counts"], strict=True):
+                held[at] = held.get(at, 0) + np.frombuffer(raw, dtype=np.uint16).astype(np.int64)
+        for at, total in held.items():
+            yield pd.DataFrame({"at": [at], "counts": [np.log2(total + 1).astype(np.uint8).tobytes()]})
+
+    counted = texts.select("text").mapInPandas(count, "at int, counts binary").repartition("at").mapInPandas(add, "at int, counts binary")
+    order = np.zeros(BINS, dtype=np.uint8)
+    for r in counted.collect():
+        order[r.at * BIN_BLOCK : (r.at + 1) * BIN_BLOCK] = np.frombuffer(bytes(r.counts), dtype=np.uint8)
+    return order
+
+
+#: What tells texts apart.
+SAME_TEXT = ["h1", "h2"]
+
+
+def sketched(texts: DataFrame) -> DataFrame:
+    """``texts`` with bits, check, n (shingles) and prefix in place of the text."""
+    order = texts.sparkSession.sparkContext.broadcast(rare_first(texts))
+
+    def work(batch: list[str | None]) -> dict[str, Any]:
+        out: dict[str, list] = {"bits": [], "check": [], "n": [], "prefix": []}
+        for t in batch:
+            own = shingle_set(t)
+            for name, value in zip(out, (*sketch(own), len(own), prefix(own, order.value)), strict=True):
+                out[name].append(value)
+        return out
+
+    return map_text(texts, "text", work, {"bits": "long", "check": "long", "n": "long", "prefix": "array<long>"}, drop=["text"])
 
 
 def near_duplicates(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, root): classes of near-duplicate texts of two members or more. ``texts`` has node, that is equal for equal
-    texts only, and text, any number of rows a node; ``nodes`` has each node once with wide, its wide fingerprint, and
-    short, its prefix if it is short."""
-    found = loose_links(nodes.select("node", "wide")).unionByName(short_links(nodes.select("node", "short")))
-    loose = components(fewer(found))
-    family = saved(loose.unionByName(loose.select(F.col("root").alias("node"), "root")).distinct())
+    """(node, root): classes of near-duplicate texts of two members or more. ``texts`` has h1, h2 and text, any number of
+    rows a text; ``nodes`` has each text once with node (a number of its own), h1, h2, bits, check, n and prefix."""
+    loose = components(fewer(loose_links(nodes)))
+    family = loose.unionByName(loose.select(F.col("root").alias("node"), "root")).distinct()
+    # texts without shingles are one class and need no comparison
+    member = family.join(nodes.where("n > 0").select("node", "n", *SAME_TEXT), "node")
+    sizes = member.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("all"))
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("all") / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    sized = member.join(sizes.where("m > 1").select("root", blocks.alias("blocks")), "root")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    placed = saved(sized.select(*SAME_TEXT, "root", "node", (F.col("node") == F.col("root")).alias("lead"), block.alias("block"), "blocks"))
 
     def work(batch: list[str | None]) -> dict[str, Any]:
         sets = [shingle_set(t) for t in batch]
         return {"n": np.array([len(s) for s in sets], dtype=np.int64), "shingles": sets}
 
-    members = texts.select("node", "text").join(small(family), "node").dropDuplicates(["node"])
-    return components(similar_links(saved(map_text(members, "text", work, {"n": "long", "shingles": "array<long>"}, drop=["text"]))))
+    may = sieved(texts.select(*SAME_TEXT, "text"), placed, F.col("h1"), "may").where("may").drop("may")
+    once = may.groupBy(*SAME_TEXT).agg(F.first("text").alias("text")).join(placed, SAME_TEXT).drop(*SAME_TEXT)
+    return components(similar_links(saved(map_text(once, "text", work, {"n": "long", "shingles": "array<long>"}, drop=["text"]))))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class of near-duplicates left: the one with the least doc_id (null ids come last,
     and among rows of one id the one with the least hash of its text); of rows equal in both, the first by source and
-    language."""
-    h, same_id, same_h, picked = (fresh(docs, f"near_{c}") for c in ("hash", "id", "same", "row"))
-    node = F.xxhash64(F.coalesce("text", F.lit("")))
-
-    def work(texts: list[str | None]) -> dict[str, Any]:
-        sets = [shingle_set(t) for t in texts]
-        return {"wide": [wide_fingerprint(x) for x in sets], "short": [short_prefix(x) for x in sets]}
-
-    slim = docs.select("doc_id", node.alias("node"), "text")
-    made = saved(map_text(slim, "text", work, {"wide": "array<long>", "short": "array<long>"}, drop=["text"]))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("node").alias("h")))
-    nodes = saved(made.groupBy("node").agg(first.alias("first"), F.first("wide").alias("wide"), F.first("short").alias("short")))
-    found = near_duplicates(nodes.select("node", "wide", "short"), slim).withColumnRenamed("node", "member")
-    rooted = nodes.join(found, F.col("node") == F.col("member"), "left").groupBy(F.coalesce("root", "node").alias("class"))
-    stay = rooted.agg(F.min("first").alias("f")).select(F.col("f.id").alias(same_id), F.col("f.h").alias(same_h))
-    ours = F.col("doc_id").eqNullSafe(F.col(same_id)) & (F.col("node") == F.col(same_h))
-    go = made.join(stay, ours, "left_anti").select(F.col("doc_id").alias(same_id), F.col("node").alias(same_h)).distinct()
-    hashed = docs.withColumn(h, node)
-    same = F.col("doc_id").eqNullSafe(F.col(same_id)) & (F.col(h) == F.col(same_h))
-    kept = hashed.join(small(saved(go)), same, "left_anti")
-    counted = made.groupBy("doc_id", "node").count().where("count > 1")
-    many = saved(counted.select(F.col("doc_id").alias(same_id), F.col("node").alias(same_h)))
-    if many.isEmpty():
-        return kept.drop(h)
-    once, repeated = kept.join(small(many), same, "left_anti"), kept.join(small(many), same, "left_semi")
+    language. Texts are told apart by 128 bits of hash."""
+    same_id, h1, h2, flag, picked = (fresh(docs, f"near_{c}") for c in ("id", "h1", "h2", "may", "row"))
+    text = F.coalesce("text", F.lit(""))
+    hashes = {"h1": F.xxhash64(text), "h2": F.xxhash64(F.lit("second"), text)}
+    slim = docs.select("doc_id", *[x.alias(n) for n, x in hashes.items()], "text")
+    id_ = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("h1").alias("h1"), F.col("h2").alias("h2"))
+    made = [F.first(c).alias(c) for c in ("bits", "check", "n", "prefix")]
+    grouped = sketched(slim).groupBy(*SAME_TEXT).agg(F.min(id_).alias("first"), *made)
+    nodes = saved(grouped.withColumn("node", F.monotonically_increasing_id()))
+    found = near_duplicates(nodes, slim).withColumnRenamed("node", "member")
+    one = F.when(F.col("n") == 0, F.lit(-1)).otherwise(F.coalesce("root", "node"))  # empty texts are alike
+    rooted = nodes.join(found, F.col("node") == F.col("member"), "left").groupBy(one.alias("class"))
+    stay = rooted.agg(F.min("first").alias("f")).select(F.col("f.id").alias(same_id), F.col("f.h1").alias(h1), F.col("f.h2").alias(h2))
+    ours = [F.col("doc_id").eqNullSafe(F.col(same_id)), F.col("h1") == F.col(h1), F.col("h2") == F.col(h2)]
+    counted = slim.groupBy("doc_id", *SAME_TEXT).agg(F.count("*").alias("rows"))
+    gone = counted.join(stay.withColumn("stays", F.lit(True)), ours, "left").select("doc_id", *SAME_TEXT, F.col("stays").isNull().alias("go"), "rows")
+    # rows that are not to go as they are: they go, or stay once
+    marked = saved(gone.where("go or rows > 1").select(F.col("doc_id").alias(same_id), F.col("h1").alias(h1), F.col("h2").alias(h2), "go"))
+    hashed = docs.withColumns({h1: hashes["h1"], h2: hashes["h2"]})
+    flagged = sieved(hashed, marked, F.col(h1), flag)
+    clear = flagged.where(~F.col(flag)).drop(flag, h1, h2)
+    go = marked.where("go").select(F.col(same_id), F.col(h1).alias("g1"), F.col(h2).alias("g2"))
+    same = [F.col("doc_id").eqNullSafe(F.col(same_id)), F.col(h1) == F.col("g1"), F.col(h2) == F.col("g2")]
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(picked)
     by = F.struct(*[F.col(c).isNull() for c in ("source", "lang") if c in docs.columns], *[F.col(c) for c in ("source", "lang") if c in docs.columns], F.lit(0))
-    row = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), by).alias(picked)
-    return once.drop(h).unionByName(repeated.groupBy("doc_id", h).agg(row).select(f"{picked}.*"))
+    packed = flagged.where(F.col(flag)).select("doc_id", h1, h2, whole, by.alias("by")).join(go, same, "left_anti")
+    kept = packed.groupBy("doc_id", h1, h2).agg(F.min_by(picked, "by").alias(picked)).select(f"{picked}.*")
+    return clear.unionByName(kept)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,6 +101,8 @@ def test_similar_pairs_are_exact():
 @pytest.mark.parametrize("block", [3, 512])
 def test_one_of_each_equals_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "LOOSE", 34)  # loose families of many texts that are not alike
+    monkeypatch.setattr(simhash, "WIDE", 68)
     texts = [edited(prose(90 + i % 6, 150), (i * 7) % 9, i) for i in range(90)]
     texts += [prose(200, 160), " ".join(prose(200, 160).split()[:140]), "a b c", "A b\tc", "a b d", "", None, " "]
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA).repartition(4)
@@ -134,26 +136,38 @@ def test_majority_in_parts():
     assert (simhash.majority(h, 100) == wanted).all()
 
 
-def met(a: str, b: str) -> bool:
+def met(a: str, b: str, order: np.ndarray) -> bool:
     """Whether the stage brings two texts into one loose family."""
     x, y = simhash.shingle_set(a), simhash.shingle_set(b)
-    if np.intersect1d(simhash.short_prefix(x), simhash.short_prefix(y)).size:
-        return True
-    apart = simhash.wide_fingerprint(x) ^ simhash.wide_fingerprint(y)
-    near_slice = (np.bitwise_count(apart.view(np.uint32)).reshape(-1, 2) <= simhash.MAX_BITS).any(axis=1)
-    return bool((near_slice & (np.bitwise_count(np.roll(apart, -(len(apart) // 2))) <= simhash.LOOSE)).any())
+    if not np.intersect1d(simhash.prefix(x, order), simhash.prefix(y, order)).size:
+        return False
+    apart = [((a ^ b) & ((1 << 64) - 1)).bit_count() for a, b in zip(simhash.sketch(x), simhash.sketch(y), strict=True)]
+    sizes = 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y))
+    return sizes and apart[0] <= simhash.LOOSE and sum(apart) <= simhash.WIDE or 4 * max(len(x), len(y)) <= 5 * simhash.SHORT
 
 
+@pytest.mark.parametrize("kind", ["cut", "scattered", "block"])
 @pytest.mark.parametrize("n", [5, 10, 30, 45, 60, 300])
-def test_pairs_at_the_limit_meet(n):
-    """A run of words is cut off, so that the sets of shingles are just similar enough."""
-    missed = 0
-    for seed in range(200):
+def test_pairs_at_the_limit_meet(n, kind):
+    """A run of words is cut off or replaced, or words here and there are, so that the sets are just similar enough."""
+    order = np.random.default_rng(n).integers(0, 9, simhash.BINS).astype(np.uint8)
+    for seed in range(300):
         words = [f"{w}{i}" for i, w in enumerate(prose(seed, n + 4).split())]
-        cut = " ".join(words[: -(n // 5)])
-        assert near(shingles(" ".join(words)), shingles(cut))
-        missed += not met(" ".join(words), cut)
-    assert missed <= (0 if n <= 40 else 2)
+        rnd, other = np.random.default_rng(seed), list(words)
+        if kind == "cut":
+            other = words[: -(n // 5)]
+        elif kind == "block":
+            k = max(1, n // 9 - 4)
+            at = int(rnd.integers(0, n + 4 - k))
+            other[at : at + k] = [f"new{i}" for i in range(k)]
+        else:
+            for i in rnd.choice(n + 4, max(1, n // 45), replace=False):
+                other[i] = f"new{i}"
+        a, b = " ".join(words), " ".join(other)
+        if near(shingles(a), shingles(b)):
+            assert met(a, b, order)
+        elif kind == "cut":
+            raise AssertionError("the cut texts are near-duplicates")
 
 
 def test_repeated_passage_is_one_class(spark):
@@ -165,12 +179,47 @@ def test_repeated_passage_is_one_class(spark):
     assert [r[0] for r in plain(simhash.one_of_each(docs))] == [1, 3]
 
 
+def sketches(spark, texts: list[str]):
+    order, rows = np.zeros(simhash.BINS, dtype=np.uint8), []
+    for i, t in enumerate(texts):
+        own = simhash.shingle_set(t)
+        rows.append((i, *simhash.sketch(own), len(own), simhash.prefix(own, order).tolist()))
+    return spark.createDataFrame(rows, "node long, bits long, check long, n long, prefix array<long>")
+
+
+@pytest.mark.parametrize("block", [7, 1 << 14])
+def test_loose_families_are_those_of_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "KEY_BLOCK", block)
+    texts = [edited(prose(60 + i % 3, 90), (i * 5) % 30, i) for i in range(60)] + [prose(70, 20)] * 2 + [edited(prose(70, 20), 4, 1)]
+    order = np.zeros(simhash.BINS, dtype=np.uint8)
+    wanted = grouped(len(texts), lambda i, j: met(texts[i], texts[j], order))
+    found = {r.node: r.root for r in simhash.components(simhash.fewer(simhash.loose_links(sketches(spark, texts)))).collect()}
+    assert [found.get(i, i) for i in range(len(texts))] == wanted
+    assert 4 < len(set(wanted)) < 50
+
+
 def test_fewer_links_of_a_large_family(spark):
     base = prose(77, 60)
-    sets = [simhash.shingle_set(edited(base, i % 2, i)) for i in range(400)]
-    wides = spark.createDataFrame([(i, simhash.wide_fingerprint(x).tolist()) for i, x in enumerate(sets)], "node long, wide array<long>")
-    links = simhash.loose_links(wides).cache()
+    nodes = sketches(spark, [edited(base, i % 2, i) for i in range(400)])
+    links = simhash.loose_links(nodes).cache()
     made = simhash.fewer(links).cache()
-    print("links", links.count(), "fewer", made.count())
-    assert made.count() < 3 * len(sets) < links.count()
+    assert made.count() < 3 * nodes.count()
     assert plain(simhash.components(made)) == plain(simhash.components(links))
+
+
+def test_rare_shingles_come_first(spark):
+    texts = [prose(80, 30) + " " + prose(i, 30) for i in range(40)]
+    order = simhash.rare_first(spark.createDataFrame([(t,) for t in [*texts, None, ""]], "text string").repartition(3))
+    counts = np.zeros(simhash.BINS, dtype=np.int64)
+    for t in texts:
+        np.add.at(counts, simhash.bins(simhash.shingle_set(t)), 1)
+    assert (order == np.log2(counts + 1).astype(np.uint8)).all()
+    common = set(simhash.shingle_set(prose(80, 30)).tolist())
+    assert not any(common & set(simhash.prefix(simhash.shingle_set(t), order).tolist()) for t in texts)
+
+
+def test_walk_between_two_tries():
+    rng = np.random.default_rng(6)
+    values = np.concatenate([np.sort(rng.integers(0, 1 << 10, n, dtype=np.uint64)) for n in (30, 50)])
+    found = {p for part in simhash.walk(values, tuple(np.array([x]) for x in (0, 30, 30, 80)), 10, 3) for p in zip(*(x.tolist() for x in part), strict=True)}
+    assert found == {(i, j) for i in range(30) for j in range(30, 80) if int(values[i] ^ values[j]).bit_count() <= 3}
