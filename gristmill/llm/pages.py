@@ -28,7 +28,7 @@ _TAG = re.compile(
 )
 _CLASS = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Elements whose content is no text of the page; those that browsers read raw run to the end of the page if unclosed.
-_HIDDEN = ("script", "style", "textarea", "noscript", "template", "iframe", "svg", "select")
+_HIDDEN = ("script", "style", "textarea", "template", "iframe", "svg", "select")
 _RAW = frozenset(("script", "style", "textarea", "iframe"))
 _END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in _HIDDEN}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -130,7 +130,7 @@ def blocks(page: str | None) -> list[Block]:
 
 _TAGS = (
     "article main nav footer header aside form ul ol li table td section div p h1 h2 h3 h4 blockquote pre button figure "
-    "figcaption head title dialog address details"
+    "figcaption head title dialog address details noscript"
 ).split()
 _HINTS = {
     "menu": r"nav|menu|breadcrumb|toolbar|pagination|skip",
@@ -269,7 +269,7 @@ def train(pages: list[tuple[str, set[str]]], steps: int = 150, rate: float = 0.1
 _SYLLABLES = "an ber che do en fi ga hel in ka lo mer no or pa que ri sta tion un ver wi xo yl za".split()
 
 
-def labelled_pages(n: int = 300, seed: int = 11) -> list[tuple[str, set[str]]]:
+def labelled_pages(n: int = 360, seed: int = 11) -> list[tuple[str, set[str]]]:
     """Pages in varied layouts, each with the set of the texts of its main blocks."""
     rnd = random.Random(seed)
     word = lambda: "".join(rnd.choice(_SYLLABLES) for _ in range(rnd.randint(1, 4)))
@@ -280,6 +280,11 @@ def labelled_pages(n: int = 300, seed: int = 11) -> list[tuple[str, set[str]]]:
     def sentences(lo: int, hi: int) -> str:
         return " ".join(words(3, 18, rnd.choice("...?!")) for _ in range(rnd.randint(lo, hi)))
 
+    def junk() -> str:
+        """A paragraph with signs between its words."""
+        sign = rnd.choice([" | ", "### ", "*** ", " & "])
+        return sign.join(words(1, 1, rnd.choice(["", "", "."])) for _ in range(rnd.randint(4, 60))).replace("&", "&amp;")
+
     def marked(tag: str, names: list[str], inner: str) -> str:
         name = rnd.choice(names)
         return f'<{tag} class="{name}">{inner}</{tag}>' if name else f"<{tag}>{inner}</{tag}>"
@@ -301,20 +306,41 @@ def labelled_pages(n: int = 300, seed: int = 11) -> list[tuple[str, set[str]]]:
         each = "".join(f"<div class='{rnd.choice(['comment', 'comment-body', 'reply'])}'><p>{sentences(1, 3)}</p></div>" for _ in range(rnd.randint(1, 4)))
         return marked(rnd.choice(["section", "div"]), ["comments", "comment-list", "discussion", "disqus"], f"<h3>{words(1, 3)}</h3>{each}")
 
+    def last() -> str:
+        links = lambda: " | ".join(words(1, 2) for _ in range(rnd.randint(2, 5)))
+        inner = rnd.choice([f"&copy; {word()}.com &middot; {words(3, 9, '.')}", f"&copy; {rnd.randint(1990, 2030)} {words(2, 6)}", sentences(1, 2), words(2, 6), links(), links()])
+        shape = rnd.choice(["<footer>{}</footer>", "<footer class='site-footer'><div class='site-info'>{}</div></footer>", "<footer><p>{}</p></footer>", "<div class='footer'>{}</div>", "<div id='footer'><p>{}</p></div>", "<div class='bottom'>{}</div>", f"<div id='{word()}'><p>{{}}</p></div>"])
+        return shape.format(inner)
+
+    def themed(text: str) -> str:
+        """The article within the frames of a theme, with its comments beside it in the same frame."""
+        heading = rnd.choice(["", f"<header class='site-header'><p class='site-title'><a href='/'>{words(1, 3)}</a></p><nav class='main-navigation'>{menu(3)}</nav></header>"])
+        replies = "".join(f"<li class='comment'><div class='{rnd.choice(['comment-content', 'comment-body'])}'><p>{sentences(1, 2)}</p></div></li>" for _ in range(rnd.randint(1, 3)))
+        below = rnd.choice(["", f"<div class='comments-area'><h2 class='comments-title'>{words(1, 3)}</h2><ol class='comment-list'>{replies}</ol></div>"])
+        inner = rnd.choice(["<main class='site-main'><article class='post'><div class='entry-content'>{}</div></article>{}</main>", "<div class='content-area'><div class='post'>{}</div>{}</div>", "<section role='main'>{}{}</section>", "<main><section>{}</section>{}</main>"])
+        side = rnd.choice(["", f"<aside class='widget-area'><section class='widget'><h2>{words(1, 2)}</h2>{menu(3)}</section></aside>"])
+        return f"{heading}<div class='site-content'>{inner.format(text, below)}{side}</div>"
+
+    def table_layout(text: str) -> str:
+        row = " | ".join(f'<a href="/{word()}">{words(1, 2)}</a>' for _ in range(rnd.randint(3, 6)))
+        side = "<br>".join(f'<a href="/{word()}">{words(1, 3)}</a>' for _ in range(rnd.randint(2, 6)))
+        end = rnd.choice([f"&copy; {rnd.randint(1990, 2030)} {words(2, 5)}", words(2, 6), " | ".join(words(1, 2) for _ in range(3))])
+        return f"<table><tr><td>{row}</td></tr><tr><td>{side}</td><td>{text}</td></tr><tr><td>{end}</td></tr></table>"
+
     out = []
     for _ in range(n):
         main: set[str] = set()
 
         def keep(text: str) -> str:
-            main.add(text)  # noqa: B023
+            main.add(html.unescape(text))  # noqa: B023
             return text
 
-        title = words(1, 10, rnd.choice(["", "", "."]))
+        title, junky = words(1, 10, rnd.choice(["", "", "."])), rnd.random() < 0.08
         body = [f"<h1>{keep(title)}</h1>"] if rnd.random() < 0.85 else []
         for _ in range(rnd.randint(1, 9)):
             kind = rnd.random()
             if kind < 0.72:
-                text = keep(rnd.choice([sentences(1, 2), sentences(2, 6), words(1, 3, "."), words(1, 12)]))
+                text = keep(junk() if junky or rnd.random() < 0.03 else rnd.choice([sentences(1, 2), sentences(2, 6), words(1, 3, "."), words(1, 12)]))
                 body.append(rnd.choice([f"<p>{text}</p>", f"<p>{text}</p>", f"<p><b>{text}<br>", f"<div>{text}</div>", f"<p>{text}"]))
             elif kind < 0.8:
                 body.append(f"<h2>{keep(words(1, 6))}</h2>")
@@ -330,9 +356,15 @@ def labelled_pages(n: int = 300, seed: int = 11) -> list[tuple[str, set[str]]]:
             body.insert(rnd.randint(1, len(body)), rnd.choice(aside_parts()))
         if rnd.random() < 0.12:
             body.append(comments())
+        if rnd.random() < 0.04:
+            body.append(f"<noscript><p>{keep(sentences(1, 2))}</p></noscript>")
         text = "".join(body)
-        wrap = rnd.random()
-        if wrap < 0.5:
+        wrap = rnd.random() * 1.25
+        if wrap >= 1.1:
+            text = themed(text)
+        elif wrap >= 1:
+            text = table_layout(text)
+        elif wrap < 0.5:
             text = f"<article>{text}</article>"
         elif wrap < 0.65:
             text = f"<main>{text}</main>"
@@ -350,8 +382,10 @@ def labelled_pages(n: int = 300, seed: int = 11) -> list[tuple[str, set[str]]]:
                 (before if rnd.random() < 0.5 else after).append(part)
         if rnd.random() < 0.35:
             after.append(comments())
+        if rnd.random() < 0.1:
+            (before if rnd.random() < 0.5 else after).append(f"<noscript>{sentences(1, 1)}</noscript>")
         if rnd.random() < 0.85:
-            after.append(rnd.choice(["<footer>{}</footer>", "<div class='footer'>{}</div>", "<div id='footer'><p>{}</p></div>"]).format(rnd.choice([f"&copy; {word()}.com &middot; {words(3, 9, '.')}", sentences(1, 2), words(2, 6)])))
+            after.append(last())
         head = f"<head><title>{title}</title><style>p{{margin:0}}</style></head>" if rnd.random() < 0.9 else ""
         out.append((f"<!DOCTYPE html><html>{head}<body>{''.join(before)}{text}{''.join(after)}</body></html>", main))
     return out

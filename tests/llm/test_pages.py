@@ -36,6 +36,43 @@ def test_written_pages(extractor, case):
     assert extractor.text(html) == text
 
 
+def other_layouts() -> dict[str, tuple[str, list[str]]]:
+    """Pages in the manner of themes, of tables, of nested divisions and of definition lists, with their main blocks."""
+    text = lambda i, n=30: prose(i, n).capitalize()
+    theme = f"""<html><head><title>T</title></head><body class="post-template single"><div id="page"><header id="masthead" class="site-header"><div class="site-branding"><p class="site-title"><a href="/">My site</a></p></div>
+    <nav id="site-navigation" class="main-navigation"><ul id="primary-menu"><li class="menu-item"><a href="/">Home</a></li><li class="menu-item"><a href="/a">About us</a></li></ul></nav></header>
+    <div id="content" class="site-content"><main id="main" class="site-main"><article id="post-1" class="post type-post"><header class="entry-header"><h1 class="entry-title">A fine title</h1></header>
+    <div class="entry-content"><p>{text(1)}</p><h2>Second part</h2><p>{text(2)}</p><ul><li>First point of it</li><li>Second point of it.</li></ul><p>{text(3)}</p></div></article>
+    <div id="comments" class="comments-area"><h2 class="comments-title">2 replies</h2><ol class="comment-list"><li class="comment"><div class="comment-content"><p>{text(4)}</p></div></li></ol></div></main>
+    <aside id="secondary" class="widget-area"><section class="widget widget_recent"><h2>Recent posts</h2><ul><li><a href="/x">One post</a></li></ul></section></aside></div>
+    <footer id="colophon" class="site-footer"><div class="site-info">Proudly powered by something</div></footer></div></body></html>"""
+    tables = f"""<html><body bgcolor=white><table width=100%><tr><td colspan=2><a href="/">Home</a> | <a href="/n">News</a> | <a href="/c">Contact</a></td></tr>
+    <tr><td width=150><a href="/1">Link one</a><br><a href="/2">Link two</a><br><a href="/3">Link three</a></td><td><h1>Old style page</h1><p>{text(5)}<p>{text(6)}<p>{text(7, 12)}</td></tr>
+    <tr><td colspan=2>&copy; 1999 All rights reserved</td></tr></table></body></html>"""
+    lists = f"""<html><body><nav>Menu <a href=/a>A</a></nav><section role="main"><h1>Doc page</h1><dl><dt>Term one</dt><dd>{text(12, 15)}</dd><dt>Term two</dt><dd>{text(13, 15)}</dd></dl>
+    <pre>code line one\ncode line two</pre><blockquote><p>{text(14, 15)}</p></blockquote><figure><img src=x><figcaption>{text(15, 8)}</figcaption></figure></section>
+    <noscript>Please enable JavaScript to see this page.</noscript><footer><p>{text(16, 10)}</p></footer></body></html>"""
+    divisions = f"""<html><body><div id="kopf"><div id="logo">Firma</div><ul class="navi"><li><a href=/a>Start</a></li><li><a href=/b>Produkte</a></li></ul></div>
+    <div id="inhalt"><h1>{text(17, 5)}</h1><p>{text(18)}</p><p>{text(19)}</p></div><div id="fuss"><p>Impressum | Datenschutz</p></div></body></html>"""
+    return {
+        "theme": (theme, ["A fine title", text(1), "Second part", text(2), "First point of it", "Second point of it.", text(3)]),
+        "tables": (tables, ["Old style page", text(5), text(6), text(7, 12)]),
+        "lists": (lists, ["Doc page", "Term one", text(12, 15), "Term two", text(13, 15), "code line one code line two", text(14, 15), text(15, 8)]),
+        "divisions": (divisions, [text(17, 5), text(18), text(19)]),
+    }
+
+
+@pytest.mark.parametrize("name", list(other_layouts()))
+def test_layouts_not_of_the_generator(extractor, name):
+    html, main = other_layouts()[name]
+    assert extractor.text(html) == " ".join(main)
+
+
+def test_text_that_only_other_browsers_show(extractor):
+    page = f"<article><h1>Title of it</h1><p>{prose(1, 40)}</p><noscript><p>{prose(2, 20)}</p></noscript><p>{prose(3, 30)}</p></article>"
+    assert extractor.text(page) == f"Title of it {prose(1, 40)} {prose(2, 20)} {prose(3, 30)}"
+
+
 def test_held_out_layouts(extractor):
     right = total = 0
     for html, main in pages.labelled_pages(120, seed=99):
