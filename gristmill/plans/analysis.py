@@ -237,10 +237,40 @@ def _drivers(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(d.column, round(d.strength, 8)) for d in insights.drivers(held, "l_extendedprice")], "column_name string, strength double")
 
 
-@query("facts")
+_SEEN = (
+    "SELECT event_id, ts, event_type, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS value, 2 * value + user_id % 3 AS twice, "
+    "CASE WHEN event_type = 'view' THEN value + 500 ELSE value % 50 END AS apart, CASE WHEN event_id % 10 = 0 THEN 'rare' ELSE 'common' END AS usual, 'x' AS same FROM events"
+)
+
+
+def _shape(c: str) -> str:
+    """SQL of the skewness and of the outliers of a column."""
+    return (
+        f"SELECT 'skew' AS kind, '{c}' AS columns, skew AS value FROM (SELECT avg(pow({c} - m, 3)) / pow(var_pop({c}), 1.5) AS skew FROM t, (SELECT avg({c}) AS m FROM t)) WHERE abs(skew) >= 1 "
+        f"UNION ALL SELECT * FROM (SELECT 'outliers', '{c}', count(*) FILTER ({c} NOT BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a)) / count({c}) AS share "
+        f"FROM t, (SELECT quantile_cont({c}, 0.25) AS a, quantile_cont({c}, 0.75) AS b FROM t)) WHERE share > 0 AND share <= 0.1"
+    )
+
+
+_FACTS_SQL = (
+    f"WITH t AS ({_SEEN}), r AS (SELECT unnest(['value, twice', 'value, apart', 'twice, apart', 'event_id, value', 'event_id, twice', 'event_id, apart']) AS columns, "
+    "unnest([corr(value, twice), corr(value, apart), corr(twice, apart), corr(event_id, value), corr(event_id, twice), corr(event_id, apart)]) AS value FROM t), "
+    f"s AS ({' UNION ALL '.join(map(_shape, ('value', 'twice', 'apart')))}), "
+    "g AS (SELECT 'event_type' AS label, event_type AS k, avg(value) AS m1, avg(twice) AS m2, avg(apart) AS m3, avg(event_id) AS m4 FROM t GROUP BY 2 UNION ALL SELECT 'usual', usual, avg(value), avg(twice), avg(apart), avg(event_id) FROM t GROUP BY 2), "
+    "d AS (SELECT label, unnest(['value', 'twice', 'apart', 'event_id']) AS c, unnest([max(m1) - min(m1), max(m2) - min(m2), max(m3) - min(m3), max(m4) - min(m4)]) / unnest((SELECT [stddev_samp(value), stddev_samp(twice), stddev_samp(apart), stddev_samp(event_id)] FROM t)) AS gap FROM g GROUP BY label) "
+    "SELECT kind, columns, round(value, 6) AS value FROM (SELECT * FROM (SELECT 'correlation' AS kind, columns, value FROM r WHERE abs(value) >= 0.4 ORDER BY abs(value) DESC LIMIT 3) "
+    "UNION ALL SELECT * FROM s WHERE kind = 'skew' UNION ALL SELECT * FROM (SELECT * FROM s WHERE kind = 'outliers' ORDER BY value DESC LIMIT 2) "
+    "UNION ALL SELECT 'constant', 'same', 1 UNION ALL SELECT 'dominant', 'usual', avg(CAST(usual = 'common' AS INTEGER)) FROM t "
+    "UNION ALL SELECT * FROM (SELECT 'difference', c || ', ' || label, gap FROM d WHERE gap >= 0.5 ORDER BY gap DESC LIMIT 1) "
+    "UNION ALL SELECT 'missing', 'value', avg(CAST(value IS NULL AS INTEGER)) FROM t UNION ALL SELECT 'span', 'ts', datediff('day', min(ts), max(ts)) FROM t UNION ALL SELECT 'id', 'event_id', 1)"
+)
+
+
+@query("facts", _FACTS_SQL)
 def _facts(spark: SparkSession, sf: str) -> DataFrame:
-    found = insights.facts(table(spark, sf, "part").drop("p_name"))
-    return spark.createDataFrame([(f.kind, ", ".join(f.columns), f.value) for f in found], "kind string, columns string, value double")
+    table(spark, sf, "events").createOrReplaceTempView("events")
+    found = insights.facts(spark.sql(_SEEN))
+    return spark.createDataFrame([(f.kind, ", ".join(f.columns), round(float(f.value), 6)) for f in found], "kind string, columns string, value double")
 
 
 @query("chart_line", "SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS x, round(avg(o_totalprice), 4) AS y FROM orders GROUP BY 1")
