@@ -25,15 +25,17 @@ BUCKET_BITS = 15
 SMOOTHING = 0.1
 #: Documents a language in the sample that the model is fitted on, about.
 FIT_DOCS = 400
-#: Languages at most: the most frequent are learned. The matrix stays below 128 MB.
-MAX_LANGS = 1024
+#: Numbers of the matrix at most (128 MB): with over 1,024 languages, fewer buckets are used; no language is left out.
+MAX_WEIGHTS = 1 << 25
+#: Fewest bits of a bucket's number, and so 32,768 languages at most; a column of more is no column of languages.
+LEAST_BITS = 10
 #: Characters whose n-grams are scored at once.
 BLOCK = 1 << 20
 
 _P1, _P2, _MIX = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
 
 
-def buckets(text: str) -> Iterator[np.ndarray]:
+def buckets(text: str, bits: int = BUCKET_BITS) -> Iterator[np.ndarray]:
     """Bucket numbers of the n-grams of a lower-cased text, in arrays of at most ``BLOCK`` n-grams of one order."""
     whole = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     for at in range(0, len(whole), BLOCK):
@@ -44,7 +46,7 @@ def buckets(text: str) -> Iterator[np.ndarray]:
                 break
             if n > 1:
                 h = (h[:-1] ^ (h[:-1] >> np.uint32(15))) * _P2 + cp[n - 1 :]
-            yield ((h[:BLOCK] * _MIX) >> np.uint32(32 - BUCKET_BITS)).astype(np.int32)
+            yield ((h[:BLOCK] * _MIX) >> np.uint32(32 - bits)).astype(np.int32)
 
 
 @dataclass(frozen=True)
@@ -58,11 +60,12 @@ class Model:
         if not self.langs or not text or not any(map(str.isalpha, text)):
             return "und", 0.0
         total = self.prior.astype(np.float64)
-        for b in buckets(text):
+        size = len(self.weights)
+        for b in buckets(text, size.bit_length() - 1):
             if len(b) < 4096:
                 total = total + self.weights[b].sum(axis=0, dtype=np.float64)
             else:
-                counts = np.bincount(b, minlength=1 << BUCKET_BITS)
+                counts = np.bincount(b, minlength=size)
                 own = np.flatnonzero(counts)
                 total = total + counts[own] @ self.weights[own]
         best = int(np.argmax(total))
@@ -77,7 +80,10 @@ def remainder(key: Column) -> Column:
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", fit_docs: int = FIT_DOCS) -> Model:
     """Learn from the rows of ``docs`` with a language."""
     known = docs.where(F.col(lang).isNotNull())
-    found = known.groupBy(lang).count().orderBy(F.col("count").desc(), lang).limit(MAX_LANGS).collect()
+    most = MAX_WEIGHTS >> LEAST_BITS
+    found = known.groupBy(lang).count().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{lang} has more than {most} values; it is no column of languages.")
     if not found:
         return Model((), np.zeros(0), np.zeros((0, 0)))
     langs = tuple(sorted(r[0] for r in found))
@@ -85,14 +91,15 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, fit_docs / rows[k]))])
     drawn = F.shiftrightunsigned(F.xxhash64(key, F.lit("fit"), text), 11) / F.lit(float(1 << 53))
     sample = known.where(drawn <= F.coalesce(share[F.col(lang)], F.lit(-1.0))).select(F.col(lang).alias("l"), F.col(text).alias("t"))
-    size = 1 << BUCKET_BITS
+    bits = min(BUCKET_BITS, (MAX_WEIGHTS // len(langs)).bit_length() - 1)
+    size = 1 << bits
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, np.ndarray] = {}
         for pdf in batches:
             for own, body in zip(pdf["l"], pdf["t"], strict=True):
                 into = held.setdefault(own, np.zeros(size, dtype=np.int64))
-                for b in buckets(body or ""):
+                for b in buckets(body or "", bits):
                     into += np.bincount(b, minlength=size)
         for own, counts in held.items():
             at = np.flatnonzero(counts)

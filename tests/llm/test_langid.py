@@ -58,6 +58,17 @@ def test_rows_pass_through(odd):
     assert plain(out.drop("lang_pred", "score", "piece")) == plain(odd.drop("text", "piece"))
 
 
+def test_more_languages_take_fewer_buckets(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_WEIGHTS", 3 << 12)
+    docs = spark.createDataFrame([(i, prose(i, 30), ("xx", "yy", "zz")[i % 3]) for i in range(30)], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert model.langs == ("xx", "yy", "zz") and model.weights.shape == (1 << 12, 3)
+    assert model.score(prose(4, 30))[0] == "yy"
+    monkeypatch.setattr(langid, "MAX_WEIGHTS", 2 << langid.LEAST_BITS)
+    with pytest.raises(ValueError, match="languages"):
+        langid.fit(docs)
+
+
 def test_held_out_accuracy(spark):
     labels = {r.doc_id: r.lang for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     held = [r for r in langid.op4_langid(spark, DATA).collect() if r.held_out and r.lang_pred != "und" and labels[r.doc_id]]

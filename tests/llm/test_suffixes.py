@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from gristmill.llm import suffixes
 
@@ -94,6 +95,11 @@ def test_slices_of_long_texts(spark, table, monkeypatch, chunk):
     check(spark, table(rows()), rows())
 
 
+def test_extra_columns(spark, table, odd):
+    folder = table(odd.withColumns({"h1": F.lit("x"), "body": F.lit(1.5), "anchor": F.lit(None).cast("binary"), "may": F.lit(True)}))
+    check(spark, folder, odd_rows())
+
+
 def test_hot_anchors(spark, table, monkeypatch):
     monkeypatch.setattr(suffixes, "HOT", 2)
     monkeypatch.setattr(suffixes.repeats, "__defaults__", (2,))
