@@ -72,6 +72,15 @@ def report(df: DataFrame, specs: Iterable[dict[str, Any]], active: Iterable[Filt
     return out
 
 
+def renamed(spec: dict[str, Any], old: str, new: str) -> dict[str, Any]:
+    """A stored question, or an item of a report, with a column under its new name wherever it is named."""
+    swap = lambda v: new if v == old else v
+    out = spec | {"result": {k: swap(v) if k in ("column", "by", "x", "y", "colour", "target") else v for k, v in spec["result"].items()}}
+    if "filters" in spec:
+        out["filters"] = [f | {"column": swap(f["column"])} for f in spec["filters"]]
+    return out
+
+
 def tile_columns(df: DataFrame) -> list[str]:
     """Columns to filter a dashboard by: yes/no, and labels of 2 to 12 values."""
     names = [c for c in df.columns if kind_of(df, c) in ("boolean", "category")]

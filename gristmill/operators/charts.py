@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.values import kind_of
+from ..functions.values import kind_of, number_text
 from .quantiles import QUARTERS, quantiles
 from .series import chart_unit, start_of, totals
 from .sorting import even_sample
 from .stats import num
 from .summarize import MISSING, OTHER, Agg, first_frequencies, group_key, ordered, summarised
 
+#: Points of a chart that its table shows.
+MOST_SHOWN = 500
 MOST_BARS, MOST_BOXES, MOST_COLOURS, MOST_POINTS, MOST_DAYS = 30, 15, 6, 5000, 371
 
 
@@ -86,3 +91,50 @@ def points(df: DataFrame, x: str, y: str, colour: str | None = None, row: str =
     held = coloured(df, colour, 7) if colour else df
     shown = even_sample(held, MOST_POINTS, row)
     return shown.select(num(x).alias("x"), num(y).alias("y"), *(["colour"] if colour else []))
+
+
+def notes_on(df: DataFrame, x: str, notes: Sequence[dict[str, str]]) -> list[tuple[dt.datetime, str]]:
+    """(day, text) of the notes ({date: 'YYYY-MM-DD', text}) that can stand on the axis ``x``: none if it has no dates;
+    notes without a readable date or a text are left out."""
+    if kind_of(df, x) != "date":
+        return []
+    out = []
+    for n in notes:
+        try:
+            at = dt.datetime.strptime(n.get("date") or "", "%Y-%m-%d")
+        except ValueError:
+            continue
+        if n.get("text"):
+            out.append((at, n["text"]))
+    return out
+
+
+def as_table(made: DataFrame, kind: str) -> DataFrame:
+    """The numbers behind a chart that this module or ``stats.histogram`` made, as a short table in reading order.
+
+    Bars, boxes and bins in their order; a column a colour and their total for stacked bars, a column a colour for lines
+    (at most six and Other); days with a value; the first 500 points.
+    """
+    text = lambda c: number_text(F.col(c))
+    if kind == "bar":
+        return made.orderBy("rank").select("label", text("value").alias("value"))
+    if kind == "stacked":
+        wide = made.groupBy("label").pivot("colour").agg(F.sum("value"))
+        parts = wide.columns[1:]
+        total = sum((F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) for c in parts), F.lit(0.0))
+        return wide.orderBy("label").select("label", *[F.coalesce(text(f"`{c}`"), F.lit("")).alias(c) for c in parts], number_text(total).alias("Total"))
+    if kind == "histogram":
+        return made.orderBy("bin").select(text("low").alias("from"), text("high").alias("to"), F.col("n").alias("Rows"))
+    if kind == "box":
+        return made.orderBy(F.desc("n"), "label").select("label", F.col("n").alias("Rows"), *[text(c).alias(c) for c in ("whisker_low", "q1", "median", "q3", "whisker_high")])
+    if kind == "calendar":
+        return made.where("value IS NOT NULL").orderBy("day").select(F.date_format("day", "yyyy-MM-dd").alias("day"), text("value").alias("value"))
+    if kind == "scatter":
+        return made.limit(MOST_SHOWN).select(text("x").alias("x"), text("y").alias("y"), *(["colour"] if "colour" in made.columns else []))
+    if kind == "line":
+        x = F.date_format("x", "yyyy-MM-dd") if kind_of(made, "x") == "date" else text("x")
+        if "colour" not in made.columns:
+            return made.orderBy("x").select(x.alias("x"), text("y").alias("y"))
+        wide = made.groupBy("x").pivot("colour").agg(F.sum("y"))
+        return wide.orderBy("x").select(x.alias("x"), *[F.coalesce(text(f"`{c}`"), F.lit("")).alias(c) for c in wide.columns[1:]])
+    raise ValueError(f"There is no table for a chart of kind {kind}.")

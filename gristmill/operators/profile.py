@@ -9,8 +9,8 @@ from typing import Any
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.formatting import unit_symbol
-from ..functions.values import kind_of, text_of
-from .analyses import distinct_counts
+from ..functions.values import kind_of, number_text, text_of
+from .analyses import distinct_counts, grouping_columns, nested_steps
 from .cleaning import data_columns
 from .stats import describe, num
 from .summarize import first_frequencies
@@ -98,3 +98,56 @@ def choices(df: DataFrame, column: str, options: Sequence[str], separator: str =
     counted = picked.groupBy("option").agg(F.count("*").alias("n"))
     every = df.sparkSession.createDataFrame([(o,) for o in options], "option string")
     return every.join(counted, "option", "left").select("option", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def field_summary(answers: DataFrame, field: dict[str, Any], values: str = "values", order: str = "received") -> dict[str, Any]:
+    """A form field (id, type, perhaps options or scale) over all answers, a column of JSON objects by field id.
+
+    ``answered`` and ``total``; the mean, least and most of numbers and ratings; ``counts`` of all options, ratings or
+    yes and no, those that nobody chose too; the three ``latest`` texts or dates, last first.
+    """
+    raw = F.get_json_object(values, f"$['{field['id']}']")
+    held = answers.select(raw.alias("v"), F.col(order).alias("at"))
+    given = F.col("v").isNotNull() & (F.col("v") != "[]")
+    x = F.col("v").try_cast("double")
+    total, answered, mean, low, high = held.agg(F.count("*"), F.count_if(given), F.avg(F.when(given, x)), F.min(F.when(given, x)), F.max(F.when(given, x))).first()
+    out: dict[str, Any] = {"answered": answered, "total": total}
+    kind = field["type"]
+    if kind in ("number", "rating"):
+        out |= {"mean": mean, "min": low, "max": high}
+    if kind in ("choice", "checkboxes", "yesno", "rating"):
+        options = {"yesno": ["true", "false"], "rating": [str(k) for k in range(1, field.get("scale", 5) + 1)]}.get(kind) or list(field["options"])
+        many = F.from_json("v", "array<string>") if kind == "checkboxes" else F.array(number_text(x) if kind == "rating" else F.col("v"))
+        each = held.where(given).select(F.explode(many).alias("o")).where(F.col("o").isin(*options)).groupBy("o").agg(F.count("*").alias("n"))
+        found = {r["o"]: r["n"] for r in each.collect()}
+        label = {"true": "Yes", "false": "No"} if kind == "yesno" else {}
+        out["counts"] = [(label.get(o, o), found.get(o, 0)) for o in options]
+    if kind in ("text", "paragraph", "email", "date"):
+        out["latest"] = [r["v"] for r in held.where(given).orderBy(F.desc("at")).limit(3).collect()]
+    return out
+
+
+def applicable(df: DataFrame) -> dict[str, str | None]:
+    """Each analysis by name: None if the table fits it, else what it needs."""
+    kinds = {c: kind_of(df, c) for c in data_columns(df)}
+    dates, numbers = "date" in kinds.values(), [c for c, k in kinds.items() if k == "number" and not re.search(NOT_MEASURED, c.strip(), re.I)]
+    groups = grouping_columns(df.select(*[F.col(f"`{c}`") for c in kinds]))
+    labels = [c for c, k in kinds.items() if k == "category"]
+    wordy = [F.bool_or(F.size(F.split(F.trim(F.col(f"`{c}`")), r"\s+")) >= 3) for c in labels]
+    written = "text" in kinds.values() or bool(labels) and any(df.agg(*[w.alias(f"w{i}") for i, w in enumerate(wordy)]).first())
+    flags = [c for c, k in kinds.items() if k == "boolean"]
+    need = {
+        "change": (dates, "a date column"),
+        "compare": (groups, "a category or yes/no column"),
+        "drivers": (len(kinds) >= 2, "at least two columns"),
+        "top": (groups or "text" in kinds.values(), "a category column"),
+        "unusual": (dates, "a date column"),
+        "trend": (dates, "a date column"),
+        "whatif": (numbers, "a number column to predict"),
+        "groups": (len(numbers) >= 2, "two or more number columns"),
+        "delay": (dates and len(numbers) >= 2, "two number columns" if dates else "a date column"),
+        "returns": (dates and id_columns(df), "a customer or member column with repeat visits" if dates else "a date column"),
+        "funnel": (len(flags) >= 2 and nested_steps(df, flags), "yes/no columns for steps that follow one another"),
+        "themes": (written, "a column of written answers"),
+    }
+    return {name: None if fits else f"needs {what}" for name, (fits, what) in need.items()}

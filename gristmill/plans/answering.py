@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.formatting import excel_day, unit_symbol
-from ..operators import answers, profile
+from ..operators import answers, charts, profile
 from .filtering import GAPS, gaps
 from .registry import query, table
 
@@ -77,3 +77,25 @@ def _serials(spark: SparkSession, sf: str) -> DataFrame:
 def _ticked(spark: SparkSession, sf: str) -> DataFrame:
     both = F.when((F.col("user_id") % 2 == 0) & (F.col("event_type") != "view"), F.concat(F.col("event_type"), F.lit("; view"))).otherwise(F.col("event_type"))
     return profile.choices(table(spark, sf, "events").withColumn("picked", both), "picked", ["view", "click", "never"])
+
+
+@query(
+    "chart_stacked_table",
+    "SELECT coalesce(CAST(year(o_orderdate) AS VARCHAR), '') AS label, CAST(count(*) FILTER (o_orderstatus = 'F') AS VARCHAR) AS F, CAST(count(*) FILTER (o_orderstatus = 'O') AS VARCHAR) AS O, "
+    "CAST(count(*) FILTER (o_orderstatus = 'P') AS VARCHAR) AS P, CAST(count(*) AS VARCHAR) AS Total FROM orders GROUP BY 1",
+)
+def _stacked_table(spark: SparkSession, sf: str) -> DataFrame:
+    orders = table(spark, sf, "orders").withColumn("year", F.year("o_orderdate").cast("string"))
+    return charts.as_table(charts.stacked(orders, "year", "o_orderstatus"), "stacked")
+
+
+@query(
+    "form_field",
+    "WITH e AS (SELECT event_id, CASE WHEN user_id % 4 > 0 THEN 1 + user_id % 4 END AS r FROM events) SELECT 'answered' AS what, CAST(count(r) AS DOUBLE) AS n FROM e UNION ALL SELECT 'total', count(*) FROM e UNION ALL SELECT 'mean', round(avg(r), 8) FROM e "
+    "UNION ALL SELECT CAST(k AS VARCHAR), count(*) FILTER (r = k) FROM e, (SELECT unnest(range(1, 6)) AS k) GROUP BY k",
+)
+def _form_field(spark: SparkSession, sf: str) -> DataFrame:
+    rating = F.when(F.col("user_id") % 4 > 0, F.to_json(F.struct((1 + F.col("user_id") % 4).alias("r")))).otherwise("{}")
+    found = profile.field_summary(table(spark, sf, "events").select(rating.alias("values"), F.col("event_id").alias("received")), {"id": "r", "type": "rating"})
+    rows = [("answered", float(found["answered"])), ("total", float(found["total"])), ("mean", round(found["mean"], 8)), *[(o, float(n)) for o, n in found["counts"]]]
+    return spark.createDataFrame(rows, "what string, n double")

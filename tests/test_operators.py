@@ -563,3 +563,68 @@ def test_usable_groups_are_found_among_many_single_ones(spark):
     df = spark.range(20_060).selectExpr("IF(id < 20000, concat('s', id), concat('g', id % 3)) AS g", "CAST(id % 7 AS double) AS x")
     found = significance.test_columns(df, "g", "x")
     assert isinstance(found, significance.Anova) and (found.df1, found.df2) == (2, 57)
+
+
+# notes, tables of charts, fields of forms, analyses that fit
+
+
+def test_notes_and_tables_of_charts(spark):
+    df = spark.createDataFrame([("2024-01-01", 1.0, "a"), ("2024-01-02", 2.5, "b"), ("2024-01-04", None, "a")], "d string, v double, k string").withColumn("d", F.to_timestamp("d"))
+    notes = [{"date": "2024-01-02", "text": "sale"}, {"date": "soon", "text": "x"}, {"date": "2024-01-03", "text": ""}]
+    assert [(str(at)[:10], t) for at, t in charts.notes_on(df, "d", notes)] == [("2024-01-02", "sale")] and charts.notes_on(df, "k", notes) == []
+    assert [tuple(r) for r in charts.as_table(charts.line(df, "d", "v", unit="day"), "line").collect()] == [("2024-01-01", "1"), ("2024-01-02", "2.5")]
+    assert [tuple(r) for r in charts.as_table(charts.bars(df, "k", "v", "sum"), "bar").collect()] == [("b", "2.5"), ("a", "1")]
+    assert [tuple(r) for r in charts.as_table(charts.calendar(df, "d", "v"), "calendar").collect()] == [("2024-01-01", "1"), ("2024-01-02", "2.5"), ("2024-01-04", "0")]
+    assert charts.as_table(charts.boxes(df, "k", "v"), "box").count() == 2
+    with pytest.raises(ValueError, match="pie"):
+        charts.as_table(df, "pie")
+
+
+def test_field_summary(spark):
+    rows = [(1, '{"r": 4, "c": ["tea", "milk"], "y": true, "t": "first"}'), (2, '{"r": 5, "c": [], "t": "second"}'), (3, '{"c": ["tea"], "y": false}'), (4, '{"t": "third"}'), (5, '{"t": "last"}')]
+    df = spark.createDataFrame(rows, "received int, values string")
+    rating = profile.field_summary(df, {"id": "r", "type": "rating"})
+    assert rating == {"answered": 2, "total": 5, "mean": 4.5, "min": 4.0, "max": 5.0, "counts": [("1", 0), ("2", 0), ("3", 0), ("4", 1), ("5", 1)]}
+    assert profile.field_summary(df, {"id": "c", "type": "checkboxes", "options": ["tea", "milk", "water"]})["counts"] == [("tea", 2), ("milk", 1), ("water", 0)]
+    assert profile.field_summary(df, {"id": "y", "type": "yesno"})["counts"] == [("Yes", 1), ("No", 1)]
+    assert profile.field_summary(df, {"id": "t", "type": "paragraph"})["latest"] == ["last", "third", "second"]
+
+
+def test_applicable(spark):
+    df = spark.createDataFrame([(f"2024-01-{1 + i % 28:02d}", float(i), "ab"[i % 2], i % 2 == 0) for i in range(40)], "d string, v double, k string, f boolean").withColumn("d", F.to_timestamp("d"))
+    found = profile.applicable(df)
+    assert found["change"] is None and found["compare"] is None and found["whatif"] is None and found["groups"] == "needs two or more number columns"
+    assert found["themes"] == "needs a column of written answers" and found["returns"].startswith("needs a customer")
+
+
+def test_renames_reach_stored_questions():
+    spec = {"filters": [{"column": "a", "op": "is", "value": "a"}], "result": {"kind": "summary", "by": "a", "column": "b"}}
+    assert answers.renamed(spec, "a", "z") == {"filters": [{"column": "z", "op": "is", "value": "a"}], "result": {"kind": "summary", "by": "z", "column": "b"}}
+
+
+def test_quantiles_of_groups(spark):
+    from gristmill.operators.quantiles import of_columns, quantiles
+
+    rnd = np.random.default_rng(8)
+    rows = [(("a", "b", None)[int(k)], float(v) if v < 90 else None) for k, v in zip(rnd.integers(0, 3, 400), rnd.integers(0, 100, 400), strict=True)] + [("c", None), ("d", 5.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    found = {r.k: r.q for r in quantiles(df, ["k"], F.col("v"), (0.1, 0.5, 0.75)).collect()}
+    assert set(found) == {"a", "b", None, "d"}
+    for k, q in found.items():
+        assert np.allclose(q, np.quantile([v for g, v in rows if g == k and v is not None], (0.1, 0.5, 0.75)))
+    whole = np.quantile([v for _, v in rows if v is not None], (0.25, 0.5, 0.75))
+    assert np.allclose(of_columns(df, {"v": F.col("v"), "w": F.col("v") * 2, "none": F.lit(None)})["w"], 2 * whole)
+
+
+def test_spellings_are_merged_by_a_join(spark):
+    from gristmill.operators.insights import merge_spellings
+
+    df = spark.createDataFrame([("New  York",), ("new york",), ("New York",), ("New York",), ("Rome",), (None,)], "city string")
+    assert sorted((r.city or "") for r in merge_spellings(df, "city").collect()) == ["", "New York", "New York", "New York", "New York", "Rome"]
+
+
+def test_join_keys_are_scored_by_the_right_side(spark):
+    left = spark.createDataFrame([(i, i % 2, "x") for i in range(20)], "id int, two int, one string")
+    right = spark.createDataFrame([(i, "x") for i in range(10, 30)], "ID int, one string")
+    assert combine.suggest_keys(left, right)[0] == ("id", "ID", 0.5 + 1 + 0.25)
+    assert not any(a == "one" for a, _, _ in combine.suggest_keys(left, right))

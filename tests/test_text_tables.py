@@ -72,6 +72,37 @@ def test_random_tables_against_a_plain_reader(spark, tmp_path):
         assert [list(r) for r in source.read_delimited(spark, str(path), ",").collect()] == rows
 
 
+def test_rows_beyond_the_head(spark, tmp_path):
+    """Quoted line ends, wider rows and other bytes count wherever they stand."""
+    many = "".join(f"{i},plain\n" for i in range(40_000))
+    (tmp_path / "a.csv").write_text("n,s\n" + many + '40000,"two\nlines, ""quoted"""\n40001,x,extra\n', encoding="utf-8")
+    df = source.read_delimited(spark, str(tmp_path / "a.csv"))
+    assert df.columns == ["n", "s", "Column 3"] and df.count() == 40_002
+    assert [tuple(r) for r in df.where("n >= 40000").orderBy("n").collect()] == [("40000", 'two\nlines, "quoted"', None), ("40001", "x", "extra")]
+    (tmp_path / "b.csv").write_bytes(("n,s\n" + many).encode() + "40000,caf\u00e9 \u20ac\n".encode("cp1252"))
+    assert source.read_delimited(spark, str(tmp_path / "b.csv")).where("n = '40000'").first().s == "caf\u00e9 \u20ac"
+    (tmp_path / "c.csv").write_text("n;s\n" + many.replace(",", ";") + "1;5\" pipe;3;4\n", encoding="utf-8")
+    assert source.read_delimited(spark, str(tmp_path / "c.csv")).columns == ["n", "s", "Column 3", "Column 4"]
+
+
+def test_decimal_commas_of_a_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x;y;z\n1,5;1.100;1.5\n2,25;12.300;2.5\n", encoding="utf-8")
+    assert [tuple(r)[:3] for r in source.load(spark, str(tmp_path / "a.csv")).collect()] == [(1.5, 1100.0, 1.5), (2.25, 12300.0, 2.5)]
+
+
+def test_kinds_after_stacking_and_joining(spark, tmp_path):
+    from gristmill.operators import cleaning, combine
+
+    (tmp_path / "a.csv").write_text("id,v,code\n1,10,1\n2,20,2\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("id,v,code\n3,many,3\n4,few,4\n", encoding="utf-8")
+    a, b = (source.load(spark, str(tmp_path / f"{n}.csv")) for n in "ab")
+    made = combine.append(cleaning.set_kind(a, "code", "category"), b)
+    assert {c: kind_of(made, c) for c in ("id", "v", "code")} == {"id": "number", "v": "category", "code": "category"}
+    assert [tuple(r)[:3] for r in made.orderBy("id").collect()] == [(1.0, "10", "1"), (2.0, "20", "2"), (3.0, "many", "3"), (4.0, "few", "4")]
+    joined = combine.join(a, b.drop("code"), "id", "id", "full")
+    assert joined.columns[:4] == ["id", "v", "code", "v (other)"] and joined.count() == 4 and kind_of(joined, "id") == "number"
+
+
 def test_json_forms(spark, tmp_path):
     objects = [{"b": 2.0, "a": "x"}, {"a": None, "c": {"k": [1, 2]}, "b": 1.5}]
     forms = {"array.json": json.dumps(objects), "inner.json": json.dumps({"meta": 1, "rows": objects}), "lines.jsonl": source.to_lines(objects)}
