@@ -344,11 +344,11 @@ def redact(docs: DataFrame) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
-OUT = {"n_email": "long", "n_ip": "long", "n_card": "long", "n_phone": "long", "base_sha256": "string", "spans": "string"}
+OUT = {"n_email": "long", "n_ip": "long", "n_card": "long", "n_phone": "long", "base_sha256": "string", "spans": "string", "n_spans": "long"}
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the numbers of base spans, their digest and all spans (columns ``OUT``) in place of the text."""
+    """``docs`` with the numbers of base spans, their digest, all spans and their number (``OUT``) in place of the text."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, text))
 
     def work(texts: list[str | None]) -> dict[str, list]:
@@ -356,6 +356,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         out: dict[str, list] = {f"n_{kind}": [sum(s[0] == k for s in base) for base, _ in found] for k, kind in enumerate(KINDS)}
         out["base_sha256"] = [hashlib.sha256(written(base).encode()).hexdigest() for base, _ in found]
         out["spans"] = [written(base + added) for base, added in found]
+        out["n_spans"] = [len(base) + len(added) for base, added in found]
         return out
 
     return map_text(docs, text, work, OUT, drop=[text])

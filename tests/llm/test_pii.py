@@ -94,6 +94,7 @@ def test_query(spark, table):
         shown = [f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in base]
         assert r.base_sha256 == hashlib.sha256(",".join(shown).encode()).hexdigest()
         assert set(shown) <= set(r.spans.split(",")) | {""}
+        assert r.n_spans == len([x for x in r.spans.split(",") if x])
     assert plain(pii.op9_pii(spark, table([]))) == []
 
 
