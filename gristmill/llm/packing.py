@@ -141,3 +141,29 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("pack_batch").alias("batch"),
         F.col("pack_slot").alias("slot"),
     )
+
+
+OP8_SQL = rf"""
+WITH RECURSIVE sized AS (
+  SELECT doc_id, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS n FROM documents),
+cut AS (SELECT doc_id, n, unnest(range(0, greatest((n + {MAX_LEN - 1}) // {MAX_LEN}, 1))) AS piece FROM sized),
+pieces AS (SELECT doc_id, piece, least({MAX_LEN}, n - piece * {MAX_LEN}) AS n_tokens FROM cut),
+histogram AS (SELECT n_tokens AS width, count(*) AS c FROM pieces GROUP BY 1),
+lengths AS (
+  SELECT CAST(0 AS BIGINT) AS j, CAST(0 AS BIGINT) AS width, CAST(0 AS BIGINT) AS c, CAST(0 AS BIGINT) AS s UNION ALL
+  SELECT row_number() OVER (ORDER BY width), width, CAST(sum(c) OVER (ORDER BY width) AS BIGINT), CAST(sum(c * width) OVER (ORDER BY width) AS BIGINT) FROM histogram),
+best AS (
+  SELECT CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS j, {{'cost': CAST(0 AS BIGINT), 'i': CAST(0 AS BIGINT)}} AS x
+  UNION ALL
+  SELECT d.b + 1, u.j, min({{'cost': d.x.cost + u.width * (u.c - l.c) - (u.s - l.s), 'i': d.j}})
+  FROM best d JOIN lengths l ON l.j = d.j JOIN lengths u ON u.j > d.j WHERE d.b < {BUCKETS} GROUP BY d.b, u.j),
+back AS (
+  SELECT b, j, x.i AS i FROM best WHERE b = (SELECT least({BUCKETS}, max(j)) FROM lengths) AND j = (SELECT max(j) FROM lengths)
+  UNION ALL SELECT p.b, p.j, p.x.i FROM back JOIN best p ON p.b = back.b - 1 AND p.j = back.i WHERE back.b > 1),
+bounds AS (SELECT width AS bucket, coalesce(lag(width) OVER (ORDER BY width), -1) AS above FROM back JOIN lengths USING (j)),
+placed AS (
+  SELECT doc_id, piece, n_tokens, bucket, greatest(1, {BATCH_TOKENS} // greatest(bucket, 1)) AS room, row_number() OVER (
+    PARTITION BY bucket ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || piece), doc_id NULLS FIRST, n_tokens) - 1 AS place
+  FROM pieces JOIN bounds ON n_tokens > above AND n_tokens <= bucket)
+SELECT doc_id, CAST(piece AS INTEGER) AS piece, n_tokens, bucket, place // room AS batch, place % room AS slot FROM placed
+"""

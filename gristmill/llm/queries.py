@@ -24,5 +24,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op1_quality": quality.OP1_SQL,
     "op5_mixing": mixing.OP5_SQL,
+    "op8_packing": packing.OP8_SQL,
     "op10_licenses": licenses.OP10_SQL,
 }
