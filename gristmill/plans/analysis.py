@@ -127,9 +127,18 @@ def _what_if(spark: SparkSession, sf: str) -> DataFrame:
     return orders.select("o_orderkey", F.round(model.column(orders), 2).alias("predicted"))
 
 
-@query("natural_groups")
+@query(
+    "natural_groups",
+    "SELECT p_partkey, CASE WHEN p_partkey % 6 < 3 THEN 0 WHEN p_partkey % 6 < 5 THEN 100 ELSE 200 END + p_size / 10 AS x, "
+    "CASE WHEN p_partkey % 6 < 3 THEN 300 WHEN p_partkey % 6 < 5 THEN 0 ELSE 150 END + p_retailprice / 1000 AS y, "
+    "CASE WHEN p_partkey % 6 < 3 THEN 1 WHEN p_partkey % 6 < 5 THEN 2 ELSE 3 END AS segment FROM part",
+)
 def _groups(spark: SparkSession, sf: str) -> DataFrame:
-    return analyses.natural_groups(table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"])[0]
+    """Three clouds of different sizes that any good clustering finds."""
+    at = F.col("p_partkey") % 6
+    cloud = lambda a, b, c: F.when(at < 3, a).when(at < 5, b).otherwise(c)
+    held = table(spark, sf, "part").select("p_partkey", (cloud(0, 100, 200) + F.col("p_size") / 10).alias("x"), (cloud(300, 0, 150) + F.col("p_retailprice") / 1000).alias("y"))
+    return analyses.natural_groups(held, ["x", "y"])[0]
 
 
 _TALK = (
