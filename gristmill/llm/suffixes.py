@@ -8,12 +8,13 @@ an anchor are one segment; a document has about one segment for each 137 bytes.
 segments collapse to one with a count, and only anchors seen twice go on, one text for each distinct segment.
 
 Construction. The segments of a task are a collection aligned at their anchors. It is built column by column from the
-right: each round inserts one symbol of every segment, which turns the order of the suffixes at the last column into
-the order at this one (a stable sort by symbol) and the common prefixes with it (1 + the least over the old interval).
-Symbols, the transform's column and the common prefixes are read and written one after another in external files, so
-memory is a few numbers a segment, not its text. Alignment keeps suffixes of different columns apart; they cannot
-begin equal windows, so only the column's slice of the transform is updated and a round costs what it inserts. A suffix
-whose common prefix with a neighbour reaches ``LENGTH`` begins a repeated window.
+right: each round inserts one symbol of every segment. The transform's column holds, for the suffixes in their order,
+the segment of each and the symbol before it; a stable sort by that symbol is the order of the longer suffixes, their
+common prefixes follow (1 + the least over the old interval), and the symbols before them are the next column. Symbols,
+transform and common prefixes are read and written one after another in external files of a task, so a round holds a few
+numbers a segment. Alignment keeps suffixes of different columns apart; they cannot begin equal windows, so only the
+column's slice of the transform is updated and a round costs what it inserts. A suffix whose common prefix with a
+neighbour reaches ``LENGTH`` begins a repeated window.
 
 Passages. ``shared_passages`` counts, beside what is removed, the strings of ``PASSAGE`` words that a document has in
 common with another one. They are sampled by winnowing: of each ``WINNOW`` neighbouring strings the one with the least
@@ -163,14 +164,15 @@ def repeated_windows(groups: np.ndarray, bodies: list[bytes], offsets: np.ndarra
                 block[i, c : c + sizes[x + i]] += 1
             file[:, x : x + len(block)] = block.T
         np.arange(m, dtype=np.int32).tofile(transform)
+        file[COLUMNS - 1].tofile(transform)
         np.zeros(m, dtype=np.int16).tofile(prefixes)
         on, since = np.zeros(m, dtype=bool), np.zeros(m, dtype=np.int32)
         for column in range(COLUMNS - 1, -1, -1):
             transform.seek(0)
             prefixes.seek(0)
             order = np.fromfile(transform, dtype=np.int32, count=m)
+            sign = np.fromfile(transform, dtype=np.uint16, count=m).astype(np.int64)
             common = np.fromfile(prefixes, dtype=np.int16, count=m)
-            sign = np.asarray(file[column])[order]
             key = group[order] * 257 + sign
             put = np.argsort(key, kind="stable")
             key, sign = key[put], sign[put]
@@ -188,6 +190,7 @@ def repeated_windows(groups: np.ndarray, bodies: list[bytes], offsets: np.ndarra
             transform.seek(0)
             prefixes.seek(0)
             order.tofile(transform)
+            (np.asarray(file[column - 1])[order] if column else np.zeros(m, dtype=np.uint16)).tofile(transform)
             new.tofile(prefixes)
             flag = np.zeros(m, dtype=bool)
             flag[order] = (new >= LENGTH) | np.append(new[1:] >= LENGTH, False)
