@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable
 from functools import reduce
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 
 from ..functions.formula import calculate
@@ -114,6 +115,15 @@ def replay_longest(df: DataFrame, steps: Iterable[Step]) -> tuple[DataFrame, lis
     return df, failed
 
 
+def refreshed(read: Callable[[], DataFrame], steps: Iterable[Step], held: DataFrame) -> tuple[DataFrame, str | None]:
+    """The latest data that ``read`` gives with all steps replayed; if it cannot be read or a step fails, ``held`` as it
+    was and why."""
+    try:
+        return replay(read(), steps), None
+    except (cleaning.StepError, OSError, ValueError, KeyError, AnalysisException) as e:
+        return held, str(e)
+
+
 def to_json(steps: Iterable[Step]) -> tuple[str, int]:
     """The steps as a file and how many were left out."""
     steps = list(steps)

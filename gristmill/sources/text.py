@@ -11,13 +11,16 @@ import csv
 import io
 import json
 import re
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
-from urllib.parse import parse_qs, urlsplit
+from urllib.parse import parse_qs, unquote, urlsplit
+from urllib.request import urlopen
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.values import COMMA_NUMBER, FALSE, MISSING, RAW, TRUE, TWO_WAY_DATE, marked, parse, parse_date, reads_date, reads_number, trimmed
+from ..operators.storage import ensure_checkpoint_dir
 
 #: Candidates in order of preference, and how much of a file tells its delimiter.
 DELIMITERS, SAMPLE_CHARS, SAMPLE_LINES = (",", "\t", ";", "|"), 50_000, 20
@@ -273,6 +276,36 @@ def download_link(url: str) -> str:
     return url.strip()
 
 
+def link_name(url: str) -> str:
+    """A file name for the data behind an address: the end of its path, or the site."""
+    parts = urlsplit(url)
+    if parts.netloc == "docs.google.com":
+        return "Google Sheet.csv"
+    last = unquote(next((x for x in reversed(parts.path.split("/")) if x), ""))
+    return last if re.search(r"\.\w{2,5}$", last) else f"{last or parts.netloc}.csv"
+
+
+def fetched(spark: SparkSession, url: str, timeout: float = 60.0) -> str:
+    """The data behind an address as a file in the shared folder, for ``load``. A web page is refused.
+
+    The driver copies the bytes a piece at a time, so no more than a piece is held.
+    """
+    folder = f"{ensure_checkpoint_dir(spark)}/link-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{re.sub(r'[^\w.-]', '_', link_name(download_link(url)))}")
+    with urlopen(download_link(url), timeout=timeout) as found:  # http and https only, as download_link checks
+        piece = found.read(1 << 20)
+        if re.match(rb"\s*<(!doctype|html)", piece, re.I):
+            raise ValueError("That link opens a web page, not a data file.")
+        out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where)
+        try:
+            while piece:
+                out.write(bytearray(piece))
+                piece = found.read(1 << 20)
+        finally:
+            out.close()
+    return where.toString()
+
+
 def responses(df: DataFrame, fields: Sequence[dict], answers: str = "values", submitted: str = "submitted") -> DataFrame:
     """A table of form answers: ``answers`` is a column of JSON objects by field id.
 

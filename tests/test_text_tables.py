@@ -127,6 +127,38 @@ def test_links():
         source.download_link("file:///etc/passwd")
 
 
+def test_data_behind_an_address(spark, tmp_path):
+    import functools
+    import http.server
+    import threading
+
+    from gristmill.plans import recipe
+
+    class Quiet(http.server.SimpleHTTPRequestHandler):
+        def log_message(self, *args):
+            pass
+
+    (tmp_path / "sales.csv").write_text("id,v\n1,2.5\n2,4\n")
+    (tmp_path / "page.csv").write_text("<!DOCTYPE html><html></html>")
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), functools.partial(Quiet, directory=str(tmp_path)))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_address[1]}"
+    try:
+        assert [tuple(r)[:2] for r in source.load(spark, source.fetched(spark, f"{base}/sales.csv")).collect()] == [(1.0, 2.5), (2.0, 4.0)]
+        with pytest.raises(ValueError, match="web page"):
+            source.fetched(spark, f"{base}/page.csv")
+        old = spark.range(1)
+        latest = lambda: source.load(spark, source.fetched(spark, f"{base}/sales.csv"))
+        fresh, why = recipe.refreshed(latest, [{"op": "rename", "column": "v", "name": "w"}], old)
+        assert fresh.columns[:2] == ["id", "w"] and why is None
+        kept, why = recipe.refreshed(latest, [{"op": "rename", "column": "gone", "name": "w"}], old)
+        assert kept is old and "gone" in why
+        assert recipe.refreshed(lambda: source.load(spark, source.fetched(spark, f"{base}/none.csv")), [], old)[0] is old
+    finally:
+        server.shutdown()
+    assert source.link_name("https://a.org/x/my%20data.csv?x=1") == "my data.csv" and source.link_name("https://a.org") == "a.org.csv"
+
+
 def test_form_answers(spark):
     fields = [{"id": "r", "label": "Rating", "type": "rating"}, {"id": "c", "label": "Drinks", "type": "checkboxes", "options": ["tea", "milk"]}, {"id": "y", "label": "Member", "type": "yesno"}, {"id": "t", "label": "Note", "type": "paragraph"}]
     one = spark.createDataFrame([("1", 1, "2024-01-02", '{"r": 4, "c": ["tea"], "y": "yes", "t": "fine"}'), ("2", 2, "2024-01-03", "{}")], "id string, received int, submitted string, values string")
