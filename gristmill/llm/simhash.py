@@ -15,7 +15,7 @@ Under each shingle that texts have in common, the first 64 bits of their SimHash
 within ``LOOSE`` bits, and what is found must agree within ``WIDE`` of 128 bits and in its number of shingles. Sets at
 the limit differ in more bits than that in fewer than one of 100,000 cases; texts of few shingles, whose bits are
 rougher, go on without that. A large key is dealt to a grid of blocks. What links gives loose families; in a family, texts like
-its least one are its class at once, and the others are compared exactly with all, in blocks, so no task holds a large
+its leading one are its class at once, and the others are compared exactly with all, in blocks, so no task holds a large
 family and a family of copies of one text takes a comparison each.
 
 Edge cases: null text and text without words have fingerprint 0, linked like any other, and no shingles, so they are one
@@ -47,9 +47,9 @@ BINS, BIN_BLOCK = 1 << 20, 1 << 14
 #: Nodes of a block of one key.
 KEY_BLOCK = 1 << 14
 #: Texts, and shingles of them, of a block of a family.
-BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+BLOCK, BLOCK_SHINGLES = 512, 1 << 19
 #: Node pairs of a trie walk that are held at once.
-FRONTIER = 1 << 18
+FRONTIER = 1 << 16
 
 _MIX, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -189,7 +189,7 @@ def walk(values: np.ndarray, ranges: tuple[np.ndarray, ...], bits: int, budget:
             return before[bit]
         count = np.zeros(len(values) + 1, dtype=np.int32)
         np.cumsum((values >> np.uint64(bit)) & np.uint64(1), out=count[1:], dtype=np.int32)
-        if len(values) <= 1 << 19:
+        if len(values) <= 1 << 17:
             before[bit] = count
         return count
 
@@ -308,7 +308,7 @@ def spanning(node: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return node[apart], least[apart]
 
 
-def _links(keyed: DataFrame, forest: Callable[[pd.DataFrame], pd.DataFrame], rows: int = 200_000) -> DataFrame:
+def _links(keyed: DataFrame, forest: Callable[[pd.DataFrame], pd.DataFrame], rows: int = 100_000) -> DataFrame:
     """Links (u, v) that ``forest`` finds in whole groups (k, key) of ``keyed``, some rows' worth at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -336,14 +336,17 @@ def links(fps: DataFrame, name: str) -> DataFrame:
     return _links(fps.select(fp.alias("node"), F.explode(F.array(*each)).alias("x")).select("node", "x.*"), _forest)
 
 
-def loose_links(nodes: DataFrame) -> DataFrame:
-    """Links (u, v) between nodes that share a shingle of their prefixes and are alike in their bits and sizes. ``nodes``
-    has node, bits, check, n (shingles) and prefix."""
+def shared_keys(nodes: DataFrame) -> DataFrame:
+    """(key, node, b): shingles of the prefixes of ``nodes`` that several nodes have, and the blocks of each."""
     filed = nodes.select("node", F.explode("prefix").alias("key"))
     sizes = filed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    blocks = F.ceil(F.col("m") / KEY_BLOCK).cast("int")
-    met = filed.join(sizes, "key").select("key", "node", blocks.alias("b"))
-    met = met.join(nodes.select("node", "bits", "check", "n"), "node")
+    return filed.join(sizes, "key").select("key", "node", F.ceil(F.col("m") / KEY_BLOCK).cast("int").alias("b"))
+
+
+def loose_links(nodes: DataFrame, shared: DataFrame) -> DataFrame:
+    """Links (u, v) between nodes that share a shingle of their prefixes and are alike in their bits and sizes. ``nodes``
+    has node, bits, check and n (shingles)."""
+    met = shared.join(nodes.select("node", "bits", "check", "n"), "node")
     own = F.pmod(F.xxhash64("node"), F.col("b")).cast("int")
     cells = met.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), F.col("b") - 1))})
     cell = F.greatest("own", "other") * 65536 + F.least("own", "other")
@@ -444,51 +447,51 @@ def in_groups(df: DataFrame, keys: list[str], order: list[Column], work: Callabl
     return df.select(*keys, *rest).repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
-def like_first(sets: DataFrame) -> DataFrame:
-    """(root, node, alike): whether each other node of a family is a near-duplicate of its first one. ``sets`` has root,
-    node, lead, block, blocks and shingles; the first node is copied to each block."""
+def like_first(texts: DataFrame) -> DataFrame:
+    """(root, node, alike): whether each other node of a family is a near-duplicate of its leading one. ``texts`` has
+    root, node, lead, block, blocks and text; the leading text is copied to each block."""
     every = F.when(F.col("lead"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
-    placed = sets.select("root", F.explode(every).alias("at"), "lead", "node", "shingles")
+    placed = texts.select("root", F.explode(every).alias("at"), "lead", "node", "text")
 
     def work(rows: list[Any]) -> list[tuple]:
-        """Rows are (lead, node, shingles), the leading one first."""
-        own = [np.asarray(r[2], dtype=np.int64) for r in rows]
+        """Rows are (lead, node, text), the leading one first."""
         found = np.zeros(len(rows), dtype=bool)
-        found[similar_pairs(own, np.arange(len(rows)) > 0)[1]] = True
-        return [(r[1], f) for r, f in zip(rows[1:], found[1:].tolist(), strict=True)] if len(rows) > 1 else []
+        if len(rows) > 1:
+            found[similar_pairs([shingle_set(r[2]) for r in rows], np.arange(len(rows)) > 0)[1]] = True
+        return [(r[1], f) for r, f in zip(rows[1:], found[1:].tolist(), strict=True)]
 
     return in_groups(placed, ["root", "at"], [F.col("lead").desc()], work, "node long, alike boolean")
 
 
-def similar_links(sets: DataFrame) -> DataFrame:
+def similar_links(texts: DataFrame) -> DataFrame:
     """Links (u, v) that connect the nodes of a family just as all pairs of near-duplicates do, compared exactly.
 
-    ``sets`` has root (the family), node, lead (one node of each family), m (its nodes), block, blocks and shingles
-    (ascending). Nodes like the leading one are linked to it; each of the others is compared with all nodes, in a grid
-    of blocks of others and of all.
+    ``texts`` has root (the family), node, n (shingles), lead (one node of each family), block, blocks and text. Nodes
+    like the leading one are linked to it; each of the others is compared with all nodes, in a grid of blocks of others
+    and of all. Texts are shuffled, not their shingles, which take thrice the room.
     """
-    first = sets.where("lead").select("root", F.col("node").alias("v"))
-    alike = saved(like_first(sets))
-    settled = sets.select("root", "node").join(alike.where("alike"), "node").join(first, "root").select(F.col("node").alias("u"), "v")
-    apart = sets.join(alike.where("not alike").select("node"), "node", "left_semi")
-    rows = saved(apart.select("root", "node", "n", "blocks", "shingles"))
+    first = texts.where("lead").select("root", F.col("node").alias("v"))
+    alike = saved(like_first(texts))
+    settled = texts.select("root", "node").join(alike.where("alike"), "node").join(first, "root").select(F.col("node").alias("u"), "v")
+    apart = texts.join(alike.where("not alike").select("node"), "node", "left_semi")
+    rows = saved(apart.select("root", "node", "n", "blocks", "text"))
     sizes = rows.groupBy("root").agg(F.count("*").alias("others"), F.sum("n").alias("all"))
     cut = F.greatest(F.ceil(F.col("others") / BLOCK), F.ceil(F.col("all") / BLOCK_SHINGLES), F.lit(1)).cast("int")
     cut = sizes.select("root", cut.alias("cuts"))
     own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("cuts")).cast("int")
     asking = rows.join(cut, "root").select(
-        "root", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("asks"), "node", "shingles"
+        "root", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("asks"), "node", "text"
     )
-    asked = sieved(sets, cut, F.col("root"), "may").where("may").join(cut, "root").select(
-        "root", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("i"), F.col("block").alias("j"), F.lit(False).alias("asks"), "node", "shingles"
+    asked = sieved(texts, cut, F.col("root"), "may").where("may").join(cut, "root").select(
+        "root", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("i"), F.col("block").alias("j"), F.lit(False).alias("asks"), "node", "text"
     )
 
     def work(rows: list[Any]) -> list[tuple]:
-        """Spanning links of the pairs of an asking and another row (asks, node, shingles)."""
+        """Spanning links of the pairs of an asking and another row (asks, node, text)."""
         asks, node = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
         if asks.all() or not asks.any():
             return []
-        left, right = similar_pairs([np.asarray(r[2], dtype=np.int64) for r in rows], asks)
+        left, right = similar_pairs([shingle_set(r[2]) for r in rows], asks)
         ids = np.unique(node, return_inverse=True)
         label = merge(np.arange(len(ids[0])), ids[1][left], ids[1][right])
         return list(zip(*spanning(ids[0], label), strict=True))
@@ -546,23 +549,22 @@ def sketched(texts: DataFrame) -> DataFrame:
 def near_duplicates(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, root): classes of near-duplicate texts of two members or more. ``texts`` has h1, h2 and text, any number of
     rows a text; ``nodes`` has each text once with node (a number of its own), h1, h2, bits, check, n and prefix."""
-    loose = components(fewer(loose_links(nodes)))
+    shared = saved(shared_keys(nodes))
+    loose = components(fewer(loose_links(nodes, shared)))
     family = loose.unionByName(loose.select(F.col("root").alias("node"), "root")).distinct()
     # texts without shingles are one class and need no comparison
-    member = family.join(nodes.where("n > 0").select("node", "n", *SAME_TEXT), "node")
-    sizes = member.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("all"))
+    member = family.join(nodes.where("n > 0").select("node", "n", F.size("prefix").alias("p"), *SAME_TEXT), "node")
+    # the text that copies were made of has no shingles of its own, so it leads
+    common = shared.groupBy("node").agg(F.count("*").alias("common"))
+    member = member.join(common, "node", "left").withColumn("own", F.col("p") - F.coalesce("common", F.lit(0)))
+    sizes = member.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("all"), F.min(F.struct("own", "node")).alias("first"))
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("all") / BLOCK_SHINGLES), F.lit(1)).cast("int")
-    sized = member.join(sizes.where("m > 1").select("root", blocks.alias("blocks")), "root")
+    sized = member.join(sizes.where("m > 1").select("root", blocks.alias("blocks"), F.col("first.node").alias("leader")), "root")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = saved(sized.select(*SAME_TEXT, "root", "node", (F.col("node") == F.col("root")).alias("lead"), block.alias("block"), "blocks"))
-
-    def work(batch: list[str | None]) -> dict[str, Any]:
-        sets = [shingle_set(t) for t in batch]
-        return {"n": np.array([len(s) for s in sets], dtype=np.int64), "shingles": sets}
-
+    placed = saved(sized.select(*SAME_TEXT, "root", "node", "n", (F.col("node") == F.col("leader")).alias("lead"), block.alias("block"), "blocks"))
     may = sieved(texts.select(*SAME_TEXT, "text"), placed, F.col("h1"), "may").where("may").drop("may")
     once = may.groupBy(*SAME_TEXT).agg(F.first("text").alias("text")).join(placed, SAME_TEXT).drop(*SAME_TEXT)
-    return components(similar_links(saved(map_text(once, "text", work, {"n": "long", "shingles": "array<long>"}, drop=["text"]))))
+    return components(similar_links(saved(once)))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -193,7 +193,8 @@ def test_loose_families_are_those_of_all_pairs(spark, monkeypatch, block):
     texts = [edited(prose(60 + i % 3, 90), (i * 5) % 30, i) for i in range(60)] + [prose(70, 20)] * 2 + [edited(prose(70, 20), 4, 1)]
     order = np.zeros(simhash.BINS, dtype=np.uint8)
     wanted = grouped(len(texts), lambda i, j: met(texts[i], texts[j], order))
-    found = {r.node: r.root for r in simhash.components(simhash.fewer(simhash.loose_links(sketches(spark, texts)))).collect()}
+    nodes = sketches(spark, texts)
+    found = {r.node: r.root for r in simhash.components(simhash.fewer(simhash.loose_links(nodes, simhash.shared_keys(nodes)))).collect()}
     assert [found.get(i, i) for i in range(len(texts))] == wanted
     assert 4 < len(set(wanted)) < 50
 
@@ -201,7 +202,7 @@ def test_loose_families_are_those_of_all_pairs(spark, monkeypatch, block):
 def test_fewer_links_of_a_large_family(spark):
     base = prose(77, 60)
     nodes = sketches(spark, [edited(base, i % 2, i) for i in range(400)])
-    links = simhash.loose_links(nodes).cache()
+    links = simhash.loose_links(nodes, simhash.shared_keys(nodes)).cache()
     made = simhash.fewer(links).cache()
     assert made.count() < 3 * nodes.count()
     assert plain(simhash.components(made)) == plain(simhash.components(links))
