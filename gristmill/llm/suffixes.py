@@ -244,7 +244,10 @@ def repeats(docs: DataFrame, key: list[str], body: str, hot: int = HOT) -> DataF
     occurrences = saved(slim.mapInArrow(cut, f"{kinds}, anchor long, content long, place long"))
     twice = saved(occurrences.groupBy("anchor").agg(F.count("*").alias("_all")).where("_all > 1").select("anchor"))
     repeated = sieved(occurrences, twice, F.col("anchor"), "_may").where("_may").drop("_may").join(twice, "anchor", "left_semi")
-    distinct = saved(repeated.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("place", *key)).alias("at")))
+    # grouped by one value, so that Spark counts before it shuffles and deals a common anchor by its contents
+    kind = F.struct("anchor", "content").alias("kind")
+    counted = repeated.groupBy(kind).agg(F.count("*").alias("n"), F.min(F.struct("place", *key)).alias("at"))
+    distinct = saved(counted.select("kind.*", "n", "at"))
     wanted = saved(distinct.join(distinct.groupBy("anchor").agg(F.count("*").alias("_kinds")), "anchor").select("anchor", "content", "n", "_kinds", "at.*"))
     asked = wanted.groupBy(*key).agg(F.collect_list(F.struct("anchor", "content", "n", "place", "_kinds")).alias("asked"))
     holders = sieved(slim, wanted, F.xxhash64(*key), "_may").where("_may").groupBy(*key).agg(F.first(body).alias(body))
@@ -368,7 +371,8 @@ def shared_passages(docs: DataFrame, key: list[str], body: str) -> DataFrame:
     many = strings.groupBy("passage").agg(F.min(row).alias("_low"), F.max(row).alias("_high")).where("_low < _high").select("passage")
     many = saved(many)
     may = sieved(strings, many, F.col("passage"), "_may").where("_may").drop("_may")
-    return may.join(many, "passage", "left_semi").distinct().groupBy(*key).agg(F.count("*").alias("n_shared"))
+    shared = may.join(many, "passage", "left_semi").groupBy(*key)
+    return shared.agg(F.size(F.collect_set("passage")).cast("long").alias("n_shared"))  # at most the strings of one text
 
 
 def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
