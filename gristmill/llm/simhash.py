@@ -13,7 +13,7 @@ all shingles in one order, two such sets share a shingle among the first fifth o
 puts rare shingles first, by the counts of ``BINS`` bins over all texts; it decides what is compared, never the result.
 Under each shingle that texts have in common, the first 64 bits of their SimHash form a trie that is joined with itself
 within ``LOOSE`` bits, and what is found must agree within ``WIDE`` of 128 bits and in its number of shingles. Sets at
-the limit differ in more bits than that in fewer than one of 100,000 cases; texts of few shingles, whose bits are
+the limit differ in more bits than that in about one of 80,000 cases; texts of few shingles, whose bits are
 rougher, go on without that. A large key is dealt to a grid of blocks. What links gives loose families; in a family, texts like
 its leading one are its class at once, and the others are compared exactly with all, in blocks, so no task holds a large
 family and a family of copies of one text takes a comparison each.
