@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
@@ -11,12 +12,12 @@ from pyspark.sql.window import Window as W
 
 from ..operators.storage import ensure_checkpoint_dir, saved
 
-__all__ = ["WORD", "ensure_checkpoint_dir", "fresh", "map_text", "n_words", "prefix_sums", "saved", "sieved"]
+__all__ = ["WORD", "bucket_of", "ensure_checkpoint_dir", "fresh", "map_text", "n_words", "prefix_sums", "saved", "sieved"]
 
 #: Words of 64 bits of a sieve, which is broadcast.
 SIEVE = 1 << 20
-#: Buckets of a running sum that one task takes.
-RUN = 4096
+#: Rows of a bucket of a running sum, about, and buckets that one task sums.
+BUCKET, RUN = 512, 4096
 #: A word of every contract below: a run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -75,6 +76,13 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def bucket_of(digest: Column, rows: int) -> Column:
+    """A bucket (long) by the first hexadecimal digits of a digest, for about ``BUCKET`` of ``rows`` rows each, that the
+    digest's order follows."""
+    digits = max(1, min(7, math.ceil(math.log(max(rows / BUCKET, 1), 16))))
+    return F.conv(F.substring(digest, 1, digits), 16, 10).cast("long")
+
+
 def prefix_sums(
     df: DataFrame, group: Sequence[str], order: Sequence[Column], bucket: Column, values: dict[str, str]
 ) -> DataFrame:

@@ -13,13 +13,11 @@ and rows of null id are rows of their own; an empty table gives no rows; other c
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window as W
 
 from ..operators.sorting import ROW, with_row_numbers
-from .common import fresh, n_words, prefix_sums, saved
+from .common import bucket_of, fresh, n_words, prefix_sums, saved
 
 #: Copies of a document at most, and so a target's limit in sizes of its source.
 MAX_REPEATS = 3
@@ -66,16 +64,8 @@ def mix(sized: DataFrame, source: str, size: str, key: str) -> DataFrame:
     mix_taken (words the mix takes of it, repeats counted: whole passes over the source, then a part of one)."""
     digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
     slim = sized.select(source, size)
-    rows = slim.count()
-    digits = max(1, min(6, math.ceil(math.log(max(rows, 1) / 4096, 16)))) if rows > 4096 else 1
-    bucket = F.conv(F.substring(digest, 1, digits), 16, 10).cast("long")
-    laid = prefix_sums(
-        sized,
-        [source],
-        [digest, F.col(key).asc_nulls_first(), F.col(size)],
-        bucket,
-        {"mix_start": size},
-    )
+    order = [digest, F.col(key).asc_nulls_first(), F.col(size)]
+    laid = prefix_sums(sized, [source], order, bucket_of(digest, slim.count()), {"mix_start": size})
     targets = source_targets(slim, source, size)
     joined = laid.join(targets, F.col(source).eqNullSafe(F.col("mix_source")), "left").drop("mix_source")
     whole = F.when(
