@@ -11,7 +11,6 @@ one column.
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -19,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import fresh, n_words, prefix_sums, saved
+from .common import bucket_of, fresh, n_words, prefix_sums, saved
 
 MAX_LEN = 2048
 BUCKETS = 16
@@ -71,12 +70,11 @@ def pack(
         at = F.when(F.col("pack_tokens") <= b, F.lit(b)).otherwise(at)
     digest = F.md5(F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("pack_piece").cast("string")))
     rows = sum(histogram.values())
-    digits = max(1, min(6, math.ceil(math.log(max(rows, 1) / 4096, 16)))) if rows > 4096 else 1
     numbered = prefix_sums(
         pieces.withColumns({"pack_bucket": at.cast("long"), "_one": F.lit(1).cast("long")}),
         ["pack_bucket"],
         [digest, F.col(key).asc_nulls_first(), F.col("pack_tokens")],
-        F.conv(F.substring(digest, 1, digits), 16, 10).cast("long"),
+        bucket_of(digest, rows),
         {"_number": "_one"},
     )
     room = F.greatest(F.lit(1), F.floor(F.lit(batch_tokens) / F.greatest(F.col("pack_bucket"), F.lit(1)))).cast("long")
