@@ -53,20 +53,25 @@ def running_totals(df: DataFrame, by: list[Column], value: str) -> DataFrame:
     return joined.withColumn("running", F.col("_start") + F.col("_own")).drop("_part", "_p", "_own", "_start")
 
 
-def sort_keys(df: DataFrame, column: str, descending: bool = False, tie: str = ROW) -> list[Column]:
+def keyed(df: DataFrame, column: str, descending: bool, tie: str) -> tuple[DataFrame, list[Column]]:
+    """``df`` with the sort key of a column in ``_sort_key``, so that it is made once a row and not at each comparison, and
+    the order by it."""
     c = F.col(f"`{column}`")
-    key = natural_key(c) if kind_of(df, column) in ("category", "text") else c
-    return [key.desc_nulls_last() if descending else key.asc_nulls_last(), F.col(tie)]
+    made = df.withColumn("_sort_key", natural_key(c) if kind_of(df, column) in ("category", "text") else c)
+    key = F.col("_sort_key")
+    return made, [key.desc_nulls_last() if descending else key.asc_nulls_last(), F.col(tie)]
 
 
 def sort(df: DataFrame, column: str, descending: bool = False, tie: str = ROW) -> DataFrame:
     """Missing values last either way; ties in row order either way; texts in natural order."""
-    return df.orderBy(*sort_keys(df, column, descending, tie))
+    made, by = keyed(df, column, descending, tie)
+    return made.orderBy(*by).drop("_sort_key")
 
 
 def ranked(df: DataFrame, column: str, descending: bool = False, tie: str = ROW) -> DataFrame:
     """``df`` with ``rank``, the place from 1 of each row in the order of ``sort``; no task holds all rows."""
-    return numbered(df, sort_keys(df, column, descending, tie)).withColumn("rank", F.col(ROW) + 1).drop(ROW)
+    made, by = keyed(df, column, descending, tie)
+    return numbered(made, by).withColumn("rank", F.col(ROW) + 1).drop(ROW, "_sort_key")
 
 
 def top(df: DataFrame, column: str, n: int, descending: bool = True, tie: str | None = None) -> DataFrame:
