@@ -31,6 +31,7 @@ def fresh(df: DataFrame, name: str) -> str:
 #: Types of the columns that ``map_text`` can add.
 ARROW = {
     "string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()),
+    "array<struct<start:long,length:long,period:long>>": pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])),
 }
 
 

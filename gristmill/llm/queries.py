@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chroma, langid, licenses, mixing, packing, pages, pii, quality, simhash, suffixes
+from . import chroma, langid, licenses, mixing, packing, pages, pii, quality, runs, simhash, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": packing.op8_packing,
     "op9_pii": pii.op9_pii,
     "op10_licenses": licenses.op10_licenses,
+    "op11_runs": runs.op11_runs,
 }
 
 SQL: dict[str, str] = {
@@ -26,4 +27,5 @@ SQL: dict[str, str] = {
     "op5_mixing": mixing.OP5_SQL,
     "op8_packing": packing.OP8_SQL,
     "op10_licenses": licenses.OP10_SQL,
+    "op11_runs": runs.OP11_SQL,
 }
