@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chroma, langid, licenses, manifest, mixing, packing, pages, pii, quality, runs, simhash, suffixes
+from . import bestfit, chroma, langid, licenses, manifest, mixing, packing, pages, pii, quality, runs, simhash, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": pii.op9_pii,
     "op10_licenses": licenses.op10_licenses,
     "op11_runs": runs.op11_runs,
+    "op12_bestfit": bestfit.op12_bestfit,
     "op13_manifest": manifest.op13_manifest,
 }
 
