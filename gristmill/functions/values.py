@@ -17,7 +17,7 @@ TRUE, FALSE = ("true", "yes", "y", "t"), ("false", "no", "n", "f")
 # Fixed patterns of numbers and dates.
 NUMBER = r"(?i)^[-+]?(?:[$€£¥]\s?)?(?:\d{1,3}(?:,\d{3})+|\d+)?(?:\.\d+)?(?:e[-+]?\d+)?%?$"
 COMMA_NUMBER = r"^[-+]?(?:[$€£¥]\s?)?(?:\d{1,3}(?:\.\d{3})+|\d+)(?:,\d+)?\s?(?:[$€£¥]|%)?$"
-ISO_DATE = r"^(\d{4})[-](\d{1,2})[-](\d{1,2})$"
+ISO_DATE = r"^(\d{4})-(\d{1,2})-(\d{1,2})$"
 SLASH_DATE = r"^(\d{4})/(\d{1,2})/(\d{1,2})$"
 TWO_WAY_DATE = r"^(\d{1,2})[/.](\d{1,2})[/.](\d{4})$"
 MONTH_FIRST = r"^([A-Za-z]{3,9})\.? (\d{1,2}),? (\d{4})$"
@@ -33,9 +33,13 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+#: White space of Unicode.
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def trimmed(c: Column) -> Column:
     """Without white space at both ends, Unicode's too."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACE))
 
 
 def is_missing(c: Column) -> Column:

@@ -19,8 +19,9 @@ from urllib.request import urlopen
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.values import COMMA_NUMBER, FALSE, MISSING, RAW, TRUE, TWO_WAY_DATE, marked, parse, parse_date, reads_date, reads_number, trimmed
+from ..functions.values import COMMA_NUMBER, DATE_LIKE, FALSE, ISO_TIME, MISSING, RAW, TRUE, TWO_WAY_DATE, marked, parse, parse_date, reads_date, reads_number, trimmed
 from ..operators.storage import ensure_checkpoint_dir
+from .records import Delimited, Elements, records
 
 #: Candidates in order of preference, and how much of a file tells its delimiter.
 DELIMITERS, SAMPLE_CHARS, SAMPLE_LINES = (",", "\t", ";", "|"), 50_000, 20
@@ -91,24 +92,27 @@ def _fields(line: Column, delimiter: str) -> tuple[Column, Column]:
     """Number of fields of a record, and whether it ends within quotes. A quote counts at the start of a field only."""
     d = re.escape(delimiter)
     quoted = line.contains('"')
-    bare = F.when(quoted, F.regexp_replace(line, rf'(?s)(^|{d})"(?:[^"]|"")*+"(?!")', "$1")).otherwise(line)
-    count = F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
-    return count, quoted & bare.rlike(rf'(^|{d})"')
+    bare = F.when(quoted, F.regexp_replace(line, rf'(?s)(^|{d})"(?:[^"]++|"")*+"(?!")', "$1")).otherwise(line)
+    is_open = quoted & bare.rlike(rf'(^|{d})"')
+    closed = F.when(is_open, F.regexp_replace(bare, rf'(?s)(^|{d})".*', "$1")).otherwise(bare)
+    count = F.length(closed) - F.length(F.replace(closed, F.lit(delimiter), F.lit(""))) + 1
+    return count, is_open
 
 
 def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None) -> DataFrame:
     """All columns as strings. Quotes may hold delimiters and line ends; extra fields widen the table.
 
     The head of the first file tells the byte order mark and the delimiter. One pass over all lines tells the rest: whether
-    all bytes are UTF-8, the most fields of a line, and whether a quoted field goes on beyond its line. Only then are
-    files read whole, each by one task, and counted by records; others are split.
+    all bytes are UTF-8, the most fields of a line, and whether a quoted field goes on beyond its line. If one does,
+    records are cut by ``records``, which many tasks do for one file too; those that cross the ranges of tasks come last. UTF-16
+    is read whole, a task a file.
     """
     head = _head(spark, path)
     marked_as = encoding or encoding_of(head)
     wide = marked_as.startswith("UTF-16")
     text = head.decode("windows-1252" if marked_as == "windows-1252" else marked_as, "replace").removeprefix("\ufeff")
     delimiter = delimiter or ("\t" if path.endswith(".tsv") else delimiter_of(text))
-    first = next((r for r in csv.reader(io.StringIO(text), delimiter=delimiter) if any(c.strip() for c in r)), None)
+    first = next((r for r in csv.reader(io.StringIO(text, newline=""), delimiter=delimiter) if any(c.strip() for c in r)), None)
     if first is None:
         return spark.createDataFrame([], "`Column 1` string")
     most, multi = len(first), wide
@@ -119,17 +123,21 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
         most = max(most, found["most"] or 0) if not multi else most
         encoding = encoding or ("windows-1252" if not found["utf8"] else marked_as)
     encoding = encoding or marked_as
-    reader = spark.read.option("sep", delimiter).option("quote", '"').option("escape", '"').option("multiLine", multi).option("mode", "PERMISSIVE")
-    reader = reader.option("encoding", "ISO-8859-1" if encoding == "windows-1252" else encoding).option("columnNameOfCorruptRecord", "_whole").option("maxCharsPerColumn", -1)
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "multiLine": str(multi).lower(), "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"}
+    schema = lambda: ", ".join(f"c{i} string" for i in range(most))
+    if multi and not wide:
+        cut = records(spark, path, Delimited(delimiter, encoding)).where(~((F.col("begin") == 0) & (F.col("n") == 0)))
+        most = max(most, cut.agg(F.max(_fields(F.col("record"), delimiter)[0])).first()[0] or 0)
+        names = unique_headers([*first, *[None] * (most - len(first))])
+        return cut.select(F.from_csv("record", schema(), options).alias("r")).select("r.*").toDF(*names)
+    reader = spark.read.options(**options).option("encoding", "ISO-8859-1" if encoding == "windows-1252" else encoding)
     if multi:
-        plain = ", ".join(f"c{i} string" for i in range(most))
-        records = reader.option("header", False).schema(f"{plain}, _whole string").csv(path)
+        whole = reader.option("header", False).option("columnNameOfCorruptRecord", "_whole").schema(f"{schema()}, _whole string").csv(path)
         # Spark wants another column beside the record
-        found = records.agg(F.max(F.when(F.col("_whole").isNotNull(), _fields(F.col("_whole"), delimiter)[0])).alias("most"), F.count("c0")).first()
+        found = whole.agg(F.max(F.when(F.col("_whole").isNotNull(), _fields(F.col("_whole"), delimiter)[0])).alias("most"), F.count("c0")).first()
         most = max(most, found["most"] or 0)
     names = unique_headers([*first, *[None] * (most - len(first))])
-    plain = ", ".join(f"c{i} string" for i in range(most))
-    rows = reader.option("header", True).option("enforceSchema", True).schema(plain).csv(path).toDF(*names)
+    rows = reader.option("header", True).option("enforceSchema", True).schema(schema()).csv(path).toDF(*names)
     if encoding != "windows-1252":
         return rows
     return rows.select(*[F.translate(f"`{c}`", _LATIN, _WINDOWS).alias(c) for c in names])
@@ -138,22 +146,17 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """Objects of an array, of the first array in an object, or of lines, as strings; columns in the order seen first.
 
-    Nested values keep their JSON text. Lines that are objects each are split as any text. A file of one array is one
-    value, so it is read by one task; use a file a part, or a line an object, for large tables.
+    Nested values keep their JSON text. Lines that are objects each are split as any text; of other files the array is
+    found by brackets and its elements are cut by many tasks. An element that is no object is a row of blanks.
     """
-    whole = spark.read.text(path, wholetext=True)
     lines = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", "map<string,string>").alias("o"))
     start = _head(spark, path).decode("utf-8", "replace").lstrip("\ufeff \r\n\t")[:1]
     n, bad = lines.agg(F.count("*"), F.count_if(F.col("o").isNull())).first() if start != "[" else (0, 0)
-    if start == "[":
-        rows = whole.select(F.explode(F.from_json("value", "array<map<string,string>>")).alias("o"))
-    elif n > 1 and not bad:
-        rows = lines
+    if n > 1 and not bad:
+        rows = lines.withColumn("r", F.struct(F.lit("").alias("file"), F.lit(0).cast("long").alias("begin"), F.monotonically_increasing_id().alias("n")))
     else:
-        names = whole.select(F.json_object_keys("value")).first()[0] or []
-        inner = next((n for n in names if whole.where(F.get_json_object("value", f"$['{n}']").startswith("[")).count()), None)
-        rows = whole.select(F.explode(F.from_json(F.get_json_object("value", f"$['{inner}']"), "array<map<string,string>>")).alias("o")) if inner else lines
-    keys = rows.select(F.monotonically_increasing_id().alias("r"), F.posexplode(F.map_keys("o")).alias("p", "k"))
+        rows = records(spark, path, Elements()).select(F.from_json("record", "map<string,string>").alias("o"), F.struct("file", "begin", "n").alias("r"))
+    keys = rows.select("r", F.posexplode(F.map_keys("o")).alias("p", "k"))
     order = [r.k for r in keys.groupBy("k").agg(F.min(F.struct("r", "p")).alias("at")).orderBy("at").collect()]
     whole_number = lambda c: F.when(c.rlike(r"^-?\d+\.0+$"), F.regexp_replace(c, r"\.0+$", "")).otherwise(c)
     value = lambda k: whole_number(F.get(F.array(F.col("o")[k]), F.lit(0)))
@@ -173,6 +176,26 @@ class Kind:
 THOUSANDS = r"^[-+(]?\s*[$€£¥]?\s?[1-9]\d{0,2}(\.\d{3})+\)?\s?[$€£¥%]?$"
 
 
+#: Fixed pattern: what a number with an exponent can look like, among others.
+EXPONENT = r"^\(?\s*[-+]?(?:[$€£¥]\s?)?[\d.,]+[eE][-+]?\d+%?\s*\)?$"
+
+
+def shape(t: Column, lower: Column) -> Column:
+    """A text that is a number, date or flag where ``t`` is one, and the same for very many texts.
+
+    Yes and no stay, and what begins like a date or has an exponent, as whether it is one hangs on its digits. Of all other
+    texts only the places of zeros and of other digits count, and of those with letters only whether they begin with a zero.
+    """
+    date = t.rlike(DATE_LIKE) & ((F.length(t) <= 64) | t.rlike(ISO_TIME))
+    worded = F.when(t.rlike(EXPONENT), t).when(t.rlike(r"^[-+]?0\d"), F.lit("01x")).otherwise(F.lit("1x"))
+    return (
+        F.when(~t.rlike(r"\d"), F.when(lower.isin(*TRUE, *FALSE), lower).otherwise(F.lit("x")))
+        .when(date, t)
+        .when(t.rlike(r"\p{L}"), worded)
+        .otherwise(F.regexp_replace(t, "[1-8]", "9"))
+    )
+
+
 def kinds(df: DataFrame) -> dict[str, Kind]:
     """The kind of every column of texts from one pass over all rows, and one more that counts the different values of
     columns that are neither numbers, dates nor yes/no and short.
@@ -180,26 +203,30 @@ def kinds(df: DataFrame) -> dict[str, Kind]:
     Yes/no if all values are that; number if 95 % are and less than 5 % look like codes (leading zeros, 16 digits and
     more); date if 95 % are; label if short and repeated; else text. A column of decimal commas is told by values that
     read only so, day-first dates by parts over 12 or by dots. If one column of numbers has decimal commas, dots of the
-    others that can be of thousands are.
+    others that can be of thousands are. The patterns are tried on the different shapes of the values, not on each value.
     """
     if not df.columns:
         return {}
     each = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").alias("s")) for i, c in enumerate(df.columns)])
-    long = df.select(F.inline(each)).select("i", trimmed(F.col("s")).alias("t")).where(~F.lower("t").isin(*MISSING))
-    t = F.col("t")
+    long = df.select(F.inline(each)).select("i", trimmed(F.col("s")).alias("t"))
+    given = long.withColumn("lower", F.lower("t")).where(~F.col("lower").isin(*MISSING))
+    shapes = given.select("i", shape(F.col("t"), F.col("lower")).alias("shape"), F.length("t").alias("length"), F.col("t").contains(".").alias("dot"))
+    shapes = shapes.groupBy("i", "shape").agg(F.count("*").alias("n"), F.sum("length").alias("length"), F.count_if("dot").alias("dots"))
+    t = F.col("shape")
     two = lambda k: F.regexp_extract(t, TWO_WAY_DATE, k).try_cast("int")
     digit = t.rlike(r"\d")
-    read = long.select(
-        "i", "t", digit.alias("digit"), F.lower(t).isin(*TRUE, *FALSE).alias("flag"), (digit & reads_number(t)).alias("number"),
+    read = shapes.select(
+        "i", "shape", "n", "length", "dots", digit.alias("digit"), t.isin(*TRUE, *FALSE).alias("flag"), (digit & reads_number(t)).alias("number"),
         (digit & reads_number(t, True)).alias("comma"), (t.contains(",") & t.rlike(COMMA_NUMBER)).alias("with_comma"), (digit & reads_date(t)).alias("date"),
     )
+    many = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
     made = read.groupBy("i").agg(
-        F.count("*").alias("n"), F.count_if("flag").alias("flag"), F.count_if("number").alias("number"), F.count_if("comma").alias("comma"),
-        F.count_if(F.col("with_comma") & ~F.col("number")).alias("only"), F.count_if(F.col("number") & ~F.col("comma")).alias("dot"),
-        F.count_if(F.col("digit") & t.rlike(r"^[-+]?0\d|^\d{16,}$")).alias("code"), F.count_if("date").alias("date"),
+        F.sum("n").alias("n"), many(F.col("flag")).alias("flag"), many(F.col("number")).alias("number"), many(F.col("comma")).alias("comma"),
+        many(F.col("with_comma") & ~F.col("number")).alias("only"), many(F.col("number") & ~F.col("comma")).alias("dot"),
+        many(F.col("digit") & t.rlike(r"^[-+]?0\d|^\d{16,}$")).alias("code"), many(F.col("date")).alias("date"),
         F.max(F.when(F.col("date"), two(1))).alias("a"), F.max(F.when(F.col("date"), two(2))).alias("b"),
-        F.count_if(F.col("date") & t.rlike(r"^\d{1,2}\.\d{1,2}\.\d{4}$")).alias("dotted"), F.avg(F.length(t)).alias("length"),
-        F.count_if(t.contains(".")).alias("dots"), F.count_if(t.contains(".") & t.rlike(THOUSANDS)).alias("thousands"),
+        many(F.col("date") & t.rlike(r"^\d{1,2}\.\d{1,2}\.\d{4}$")).alias("dotted"), (F.sum("length") / F.sum("n")).alias("length"),
+        F.sum("dots").alias("dots"), many(t.contains(".") & t.rlike(THOUSANDS)).alias("thousands"),
     )
     found = {r["i"]: r for r in made.collect()}
     out: dict[str, Kind] = {}
@@ -226,7 +253,7 @@ def kinds(df: DataFrame) -> dict[str, Kind]:
     if any(k.decimal_comma for k in out.values()):
         out |= {c: Kind("number", decimal_comma=True) for c in of_dots}
     if short:
-        for r in long.where(F.col("i").isin(short)).groupBy("i", "t").agg(F.count("*").alias("n")).groupBy("i").agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect():
+        for r in given.where(F.col("i").isin(short)).groupBy("i", "t").agg(F.count("*").alias("n")).groupBy("i").agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect():
             if r["k"] <= max(LABELS, LABEL_SHARE * r["n"]):
                 out[df.columns[r["i"]]] = Kind("category")
     return out
