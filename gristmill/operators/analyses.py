@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.values import kind_of
+from . import distinct, groups
 from .quantiles import of_columns
 from .series import DAYS_A_YEAR, period_unit, start_of, totals
 from .significance import Welch, welch_from
@@ -33,17 +34,15 @@ def labels(df: DataFrame, name: str) -> Column:
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
-    """Exact numbers of distinct values of all columns in one job."""
-    if not columns:
-        return {}
-    return df.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(c) for c in columns]).first().asDict()
+    """Exact numbers of distinct values of all columns."""
+    return {c: n.values for c, n in distinct.exact(df, columns).items()}
 
 
 def grouping_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
-    """Label and yes/no columns of 2 to 60 values."""
+    """Label and yes/no columns of 2 to 60 values; columns of more are not counted on."""
     names = [c for c in df.columns if c not in exclude and kind_of(df, c) in ("category", "text", "boolean")]
-    counts = distinct_counts(df, names)
-    return [c for c in names if 2 <= counts[c] <= MOST_GROUPS]
+    counts = distinct.bounded(df, names, MOST_GROUPS)
+    return [c for c in names if 2 <= counts[c].values <= MOST_GROUPS]
 
 
 def long_labels(df: DataFrame, columns: Sequence[str], *keep: Column) -> DataFrame:
@@ -313,33 +312,8 @@ def what_if(df: DataFrame, target: str, inputs: Sequence[str] | None = None, mos
     return WhatIf(target, numbers, flags, levels, typical, k, max(0.0, 1 - rest / whole) if whole else 0.0, math.sqrt(rest / max(1, n - p)), n)
 
 
-def natural_groups(df: DataFrame, columns: Sequence[str], most: int = 5, seed: int = 7) -> tuple[DataFrame, int]:
-    """``df`` with ``segment`` (1 the largest group; null where a value is missing) and the number of groups: 2 to
-    ``most``, by the silhouette. The clustering runs on Spark over all rows with values, in standard units."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-
-    names = [f"_f{i}" for i in range(len(columns))]
-    ready = df.withColumns({n: num(c) for n, c in zip(names, columns, strict=True)})
-    placed = VectorAssembler(inputCols=names, outputCol="_v", handleInvalid="skip").transform(ready)
-    scaler = StandardScaler(inputCol="_v", outputCol="_s", withMean=True, withStd=True).fit(placed)
-    scaled = scaler.transform(placed)
-    judge = ClusteringEvaluator(featuresCol="_s", predictionCol="_c")
-    best, score = None, -math.inf
-    for k in range(2, most + 1):
-        model = KMeans(k=k, seed=seed, featuresCol="_s", predictionCol="_c").fit(scaled)
-        if model.summary.k < k or (found := judge.evaluate(model.transform(scaled))) <= score:
-            continue
-        best, score = model, found
-    if best is None:
-        raise ValueError("The rows do not fall into groups.")
-    sizes = best.summary.clusterSizes
-    rank = {c: i + 1 for i, c in enumerate(sorted(range(len(sizes)), key=lambda c: -sizes[c]))}
-    whole = VectorAssembler(inputCols=names, outputCol="_v", handleInvalid="keep").transform(ready)
-    segment = F.create_map(*[F.lit(x) for pair in rank.items() for x in pair])[F.col("_c")]
-    missing = F.lit(False)
-    for n in names:
-        missing = missing | F.col(n).isNull() | F.isnan(n)
-    out = best.transform(scaler.transform(whole)).withColumn("segment", F.when(~missing, segment))
-    return out.select(*df.columns, "segment"), len(sizes)
+def natural_groups(df: DataFrame, columns: Sequence[str], k: int | None = None, order: Sequence[str] = ()) -> tuple[DataFrame, int]:
+    """``df`` with ``segment`` (1 the largest group; null where most values are missing) and the number of groups. The sample
+    that they are fitted to is even over the rows in their ``order``."""
+    model = groups.fitted(df, columns, k, order)
+    return model.labelled(df), len(model.centres)

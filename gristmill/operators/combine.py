@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.values import RAW, has_raw, join_key
 from ..sources.text import Kind, kinds, typed
+from . import skew
 from .cleaning import data_columns, unique_name
 from .sorting import ROW
 
@@ -23,7 +24,7 @@ def join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how:
 
     The right key column goes; clashing names get the right table's name. In a full join an unmatched right row keeps
     its key in the left key column. The key is a column of its own, so Spark may broadcast the small side or split
-    skewed keys. Of two tables that were read from text, the texts are joined and their kinds read off anew.
+    skewed keys; it does not split those of full joins, so their keys of very many rows are dealt in pieces. Of two tables that were read from text, the texts are joined and their kinds read off anew.
     """
     if how not in HOW:
         raise ValueError(f"how must be one of {HOW}")
@@ -38,7 +39,7 @@ def join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how:
     own = _keyed(left, left_key, "_lk")
     kept = [F.col(f"`{c}`").alias(n) for c, n in names.items()]
     other = _keyed(right, right_key, "_rk").select("_rk", F.col(f"`{right_key}`").alias("_right_key"), *kept)
-    out = own.join(other, F.col("_lk") == F.col("_rk"), how)
+    out = skew.join(own, other, "_lk", "_rk", how) if how == "full" else own.join(other, F.col("_lk") == F.col("_rk"), how)
     if how == "full":
         t = left.schema[left_key].dataType
         filled = F.when(F.col("_lk").isNull() & F.col("_rk").isNotNull(), F.col("_right_key").try_cast(t)).otherwise(F.col(f"`{left_key}`"))

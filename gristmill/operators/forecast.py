@@ -7,7 +7,7 @@ call. All settings of the grid are run side by side as arrays, one step a point.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -83,6 +83,7 @@ class Forecast:
     low: np.ndarray
     high: np.ndarray
     cycle: int
+    total: tuple[float, float, float]  # the sum of the points, and its interval
     error: float | None  # mean absolute error over the last points, forecast from those before them
     share: float | None  # the same as a share of their size
 
@@ -101,7 +102,15 @@ def forecast(y: np.ndarray, unit: str, horizon: int) -> Forecast:
         size = np.abs(actual).mean()
         share = error / size if size else None
     low, high = value - Z80 * deviation, value + Z80 * deviation
-    return Forecast(np.maximum(value, floor), np.maximum(low, floor), np.maximum(high, floor), cycle, error, share)
+    points = np.maximum(value, floor)
+    whole = float(points.sum())
+    spread = Z80 * float(np.sqrt((deviation**2).sum()))  # errors of the points are taken as independent
+    total = (whole, max(whole - spread, floor), whole + spread)
+    return Forecast(points, np.maximum(low, floor), np.maximum(high, floor), cycle, total, error, share)
+
+
+AHEAD = "at timestamp_ntz, y double, low double, high double, cycle int, error double"
+TOTAL = "horizon int, total double, total_low double, total_high double, average double, error double, error_share double, filled long"
 
 
 def forecasts(series: DataFrame, unit: str, horizon: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
@@ -109,23 +118,44 @@ def forecasts(series: DataFrame, unit: str, horizon: int | None = None, keys: Se
 
     Series of fewer than eight points, or of which over 30 % had to be filled, have no forecast.
     """
-    horizon = horizon or HORIZONS[unit]
+    steps = horizon or HORIZONS[unit]
+
+    def rows(found: Forecast, last: pd.Timestamp, filled: int) -> dict:
+        at = [last + pd.DateOffset(**{f"{unit}s": h}) for h in range(1, steps + 1)]
+        return {"at": at, "y": found.value, "low": found.low, "high": found.high, "cycle": found.cycle, "error": found.error}
+
+    return _each(series, unit, steps, keys, AHEAD, rows)
+
+
+def forecast_totals(series: DataFrame, unit: str, horizon: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, horizon, total, total_low, total_high, average, error, error_share, filled) of each series: the sum of its forecast
+    with the interval that four of five sums lie in, their average, how far off a forecast of the last points was, and how
+    many gaps were filled."""
+    steps = horizon or HORIZONS[unit]
+
+    def rows(found: Forecast, last: pd.Timestamp, filled: int) -> dict:
+        total, low, high = found.total
+        made = (steps, total, low, high, total / steps, found.error, found.share, filled)
+        return {n: [v] for n, v in zip((f.split()[0] for f in TOTAL.split(", ")), made, strict=True)}
+
+    return _each(series, unit, steps, keys, TOTAL, rows)
+
+
+def _each(series: DataFrame, unit: str, horizon: int, keys: Sequence[str], ddl: str, rows: Callable[[Forecast, pd.Timestamp, int], dict]) -> DataFrame:
+    """What ``rows`` makes of the forecast of each series that can have one."""
     whole = regular(series.where(F.col("y").isNotNull()), unit, keys)
     if not keys:
         whole = whole.withColumn("_all", F.lit(0))
     by = list(keys) or ["_all"]
-    fields = [f for f in whole.schema.fields if f.name in by]
-    schema = T.StructType([*fields, *T.StructType.fromDDL("at timestamp_ntz, y double, low double, high double, cycle int, error double").fields])
+    schema = T.StructType([*[f for f in whole.schema.fields if f.name in by], *T.StructType.fromDDL(ddl).fields])
 
     def ahead(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("at")
         if (~pdf["filled"]).sum() < LEAST_POINTS or pdf["filled"].mean() > MOST_GAPS:
             return pd.DataFrame(columns=schema.names)
         found = forecast(pdf["y"].to_numpy(dtype=float), unit, horizon)
-        last = pd.Timestamp(pdf["at"].iloc[-1])
-        at = [last + pd.DateOffset(**{f"{unit}s": h}) for h in range(1, horizon + 1)]
-        out = {"at": at, "y": found.value, "low": found.low, "high": found.high, "cycle": found.cycle, "error": found.error}
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * horizon for k in by}, **out})[schema.names]
+        made = pd.DataFrame(rows(found, pd.Timestamp(pdf["at"].iloc[-1]), int(pdf["filled"].sum())))
+        return made.assign(**{k: pdf[k].iloc[0] for k in by})[schema.names]
 
-    made = whole.groupBy(*by).applyInPandas(ahead, schema)
-    return made if keys else made.drop("_all")
+    out = whole.groupBy(*by).applyInPandas(ahead, schema)
+    return out if keys else out.drop("_all")

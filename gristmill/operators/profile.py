@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.formatting import unit_symbol
 from ..functions.values import kind_of, number_text, text_of
+from . import distinct
 from .analyses import distinct_counts, grouping_columns, nested_steps
 from .cleaning import data_columns
 from .stats import describe, num
@@ -29,11 +30,10 @@ ONE_UNIT = 0.8
 
 
 def overview(df: DataFrame) -> DataFrame:
-    """(column_name, kind, missing, distinct_values) of all columns in one job; distinct values are exact."""
+    """(column_name, kind, missing, distinct_values) of all columns; distinct values are exact."""
     names = data_columns(df)
-    counts = [F.struct(F.count_if(F.col(f"`{c}`").isNull()), F.count_distinct(F.col(f"`{c}`"))).alias(f"c{i}") for i, c in enumerate(names)]
-    found = df.agg(*counts).first()
-    rows = [(c, kind_of(df, c), *found[f"c{i}"]) for i, c in enumerate(names)]
+    found = distinct.exact(df, names)
+    rows = [(c, kind_of(df, c), found[c].missing, found[c].values) for c in names]
     return df.sparkSession.createDataFrame(rows, "column_name string, kind string, missing long, distinct_values long")
 
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import tails
 from ..functions.special import chi_tail, f_tail, t_limit, t_tail
 from ..functions.values import kind_of
 from .stats import num, pearson
@@ -173,6 +174,48 @@ def test_columns(df: DataFrame, a: str, b: str) -> Welch | Anova | ChiSquare | C
     return chi_square(df, a, b)
 
 
+def welch_by(df: DataFrame, by: str, group: str, value: str, first: object, second: object) -> DataFrame:
+    """(by, n1, n2, mean1, mean2, t, df, p): two groups' means compared within each value of ``by``, all in one job. Values of
+    ``by`` with fewer than two rows of a group have no row."""
+    g, x = F.col(f"`{group}`"), number(df, value)
+    held = df.where(g.isin(first, second) & x.isNotNull() & F.col(f"`{by}`").isNotNull())
+    own = {k: F.when(g == F.lit(v), x) for k, v in ((1, first), (2, second))}
+    parts = [f(own[k]).alias(f"{n}{k}") for k in own for n, f in (("n", F.count), ("mean", F.avg), ("var", F.var_samp))]
+    made = held.groupBy(F.col(f"`{by}`").alias("by")).agg(*parts).where("n1 > 1 AND n2 > 1")
+    made = made.withColumns({"s1": F.col("var1") / F.col("n1"), "s2": F.col("var2") / F.col("n2")})
+    error, diff = F.col("s1") + F.col("s2"), F.col("mean1") - F.col("mean2")
+    freedom = error * error / (F.col("s1") * F.col("s1") / (F.col("n1") - 1) + F.col("s2") * F.col("s2") / (F.col("n2") - 1))
+    made = made.withColumns({
+        "t": F.when(error > 0, diff / F.sqrt(error)).otherwise(F.when(diff == 0, 0.0).otherwise(float("inf"))),
+        "df": F.when(error > 0, freedom).otherwise((F.col("n1") + F.col("n2") - 2).cast("double")),
+    })
+    return made.select("by", "n1", "n2", "mean1", "mean2", "t", "df", tails.t_tail(F.col("t"), F.col("df")).alias("p"))
+
+
+def correlation_by(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
+    """(by, n, r, t, p): the correlation of two columns within each value of ``by``; none for fewer than four complete rows."""
+    both = num(x).isNotNull() & num(y).isNotNull()
+    made = df.where(F.col(f"`{by}`").isNotNull()).groupBy(F.col(f"`{by}`").alias("by")).agg(F.count_if(both).alias("n"), pearson(num(x), num(y)).alias("r"))
+    r, n = F.col("r"), F.col("n")
+    t = F.when(F.abs(r) >= 1, float("inf")).otherwise(r * F.sqrt((n - 2) / (1 - r * r)))
+    return made.where("n > 3 AND r IS NOT NULL").withColumn("t", t).select("by", "n", "r", "t", tails.t_tail(F.col("t"), n - 2).alias("p"))
+
+
+def anova_by(df: DataFrame, by: str, group: str, value: str) -> DataFrame:
+    """(by, f, df1, df2, p, eta2): whether groups differ in their means, within each value of ``by``; groups of one row do not count."""
+    g, x = F.col(f"`{group}`"), number(df, value)
+    held = df.where(g.isNotNull() & x.isNotNull() & F.col(f"`{by}`").isNotNull())
+    each = held.groupBy(F.col(f"`{by}`").alias("by"), g.alias("g")).agg(F.count("*").alias("c"), F.avg(x).alias("m"), F.var_samp(x).alias("v")).where("c > 1")
+    c, m = F.col("c"), F.col("m")
+    sums = each.groupBy("by").agg(F.sum("c").alias("n"), F.count("*").alias("k"), F.sum(c * m).alias("s"), F.sum(c * m * m).alias("q"), F.sum((c - 1) * F.col("v")).alias("within"))
+    made = sums.where("k > 1 AND n > k").withColumn("between", F.greatest(F.lit(0.0), F.col("q") - F.col("s") * F.col("s") / F.col("n")))
+    df1, df2 = F.col("k") - 1, F.col("n") - F.col("k")
+    f = F.when(F.col("within") > 0, F.col("between") / df1 / (F.col("within") / df2)).otherwise(F.when(F.col("between") > 0, float("inf")).otherwise(0.0))
+    eta2 = F.coalesce(F.try_divide(F.col("between"), F.col("between") + F.col("within")), F.lit(0.0))
+    made = made.select("by", f.alias("f"), df1.alias("df1"), df2.alias("df2"), eta2.alias("eta2"))
+    return made.select("by", "f", "df1", "df2", tails.f_tail(F.col("f"), F.col("df1"), F.col("df2")).alias("p"), "eta2")
+
+
 def p_words(p: float) -> str:
     """A probability as it is written."""
     return "p < 0.001" if p < 0.001 else f"p = {p:.3f}" if p < 0.1 else f"p = {p:.2f}"

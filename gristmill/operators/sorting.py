@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
@@ -80,9 +83,42 @@ def top(df: DataFrame, column: str, n: int, descending: bool = True, tie: str |
     return df.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last(), *more).limit(n)
 
 
-def page(df: DataFrame, number: int, size: int = 50) -> DataFrame:
-    """Page ``number`` from 0 of an ordered frame."""
-    return df.offset(number * size).limit(size)
+@dataclass(frozen=True)
+class Pages:
+    """An ordered table kept by ranges with an index of them, so that any page is found in few of its files.
+
+    ``table`` has the rows with ``_part``, the number of their range (a folder each), and ``_n``, their place in it from 0.
+    ``starts`` has the number of rows before each range, and after the last; there are as many ranges as shuffle partitions.
+    """
+
+    table: DataFrame
+    by: list[Column]
+    starts: list[int]
+    parts: list[int]
+
+    def page(self, number: int, size: int = 50) -> DataFrame:
+        """Page ``number`` from 0, in order. Only the ranges that hold its rows are read, and of them only its rows are sorted."""
+        low, high = number * size, min((number + 1) * size, self.starts[-1])
+        wanted = [k for k in range(len(self.parts)) if self.starts[k] < high and self.starts[k + 1] > low]
+        place = [F.when(F.col("_part") == self.parts[k], F.col("_n") + self.starts[k]) for k in wanted]
+        at = F.coalesce(*place, F.lit(-1))
+        rows = self.table.where(F.col("_part").isin([self.parts[k] for k in wanted]))
+        if wanted:  # reaches the scan, unlike the place
+            rows = rows.where((F.col("_n") >= max(low - self.starts[wanted[-1]], 0)) & (F.col("_n") < max(high - self.starts[k] for k in wanted)))
+        return rows.where((at >= low) & (at < high)).orderBy("_part", "_n").drop("_part", "_n")
+
+
+def paged(df: DataFrame, column: str, descending: bool = False, tie: str = ROW, ranges: int | None = None) -> Pages:
+    """``df`` in the order of ``sort``, written once by ranges (as many as Spark finds fit, if not given). All have about as
+    many rows, so a page reads one or two."""
+    made, by = keyed(df, column, descending, tie)
+    dealt = made.repartitionByRange(ranges, *by) if ranges else made.repartitionByRange(*by)
+    held = dealt.sortWithinPartitions(*by)
+    held = held.drop("_sort_key").withColumns({"_part": F.spark_partition_id(), "_n": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    table = saved(held, "_part")
+    sizes = {r["_part"]: r["n"] for r in table.groupBy("_part").agg(F.count("*").alias("n")).collect()}
+    parts = sorted(sizes)
+    return Pages(table, by, list(itertools.accumulate((sizes[p] for p in parts), initial=0)), parts)
 
 
 def even_sample(df: DataFrame, n: int, row: str = ROW) -> DataFrame:

@@ -138,7 +138,7 @@ def _groups(spark: SparkSession, sf: str) -> DataFrame:
     at = F.col("p_partkey") % 6
     cloud = lambda a, b, c: F.when(at < 3, a).when(at < 5, b).otherwise(c)
     held = table(spark, sf, "part").select("p_partkey", (cloud(0, 100, 200) + F.col("p_size") / 10).alias("x"), (cloud(300, 0, 150) + F.col("p_retailprice") / 1000).alias("y"))
-    return analyses.natural_groups(held, ["x", "y"])[0]
+    return analyses.natural_groups(held, ["x", "y"], order=["p_partkey"])[0]
 
 
 _TALK = (

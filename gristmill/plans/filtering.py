@@ -97,7 +97,7 @@ def _top(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("page_three", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100")
 def _page(spark: SparkSession, sf: str) -> DataFrame:
-    return sorting.page(sorting.sort(table(spark, sf, "orders"), "o_totalprice", descending=True, tie="o_orderkey"), 2).select("o_orderkey", "o_totalprice")
+    return sorting.paged(table(spark, sf, "orders"), "o_totalprice", descending=True, tie="o_orderkey").page(2).select("o_orderkey", "o_totalprice")
 
 
 @query(

@@ -106,3 +106,44 @@ def _anova(spark: SparkSession, sf: str) -> DataFrame:
 def _chi(spark: SparkSession, sf: str) -> DataFrame:
     c = significance.chi_square(table(spark, sf, "orders"), "o_orderstatus", "o_orderpriority")
     return spark.createDataFrame([(round(c.chi2, 6), c.df, round(c.v, 8))], "chi2 double, df long, v double")
+
+
+_STEPS = 300
+_P_SQL = f"""
+WITH RECURSIVE held AS (
+  SELECT 'welch ' || o_orderpriority AS test, avg(o_totalprice) FILTER (o_orderstatus = 'F') AS m1, avg(o_totalprice) FILTER (o_orderstatus = 'O') AS m2,
+    var_samp(o_totalprice) FILTER (o_orderstatus = 'F') AS v1, var_samp(o_totalprice) FILTER (o_orderstatus = 'O') AS v2,
+    count(*) FILTER (o_orderstatus = 'F')::DOUBLE AS n1, count(*) FILTER (o_orderstatus = 'O')::DOUBLE AS n2 FROM orders GROUP BY 1),
+welch AS (SELECT test, (m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS stat, 1.0::DOUBLE AS df1,
+  pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)) AS df2 FROM held),
+corr AS (SELECT 'correlation ' || p_brand AS test, corr(p_size, p_retailprice) AS r, count(*)::DOUBLE AS n FROM part GROUP BY 1 HAVING count(*) > 3),
+groups AS (SELECT o_orderpriority AS k, o_orderstatus AS g, count(*)::DOUBLE AS c, avg(o_totalprice) AS m, var_samp(o_totalprice) AS v FROM orders GROUP BY 1, 2 HAVING count(*) > 1),
+sums AS (SELECT k, sum(c) AS n, count(*)::DOUBLE AS g, sum(c * m * m) - pow(sum(c * m), 2) / sum(c) AS between_, sum((c - 1) * v) AS within_ FROM groups GROUP BY k),
+tests AS (
+  SELECT test, stat, stat * stat AS f, df1, df2 FROM welch UNION ALL
+  SELECT test, r * sqrt((n - 2) / (1 - r * r)), r * r * (n - 2) / (1 - r * r), 1, n - 2 FROM corr UNION ALL
+  SELECT 'anova ' || k, between_ / (g - 1) / (within_ / (n - g)), between_ / (g - 1) / (within_ / (n - g)), g - 1, n - g FROM sums),
+given AS (SELECT *, df2 / 2 AS a0, df1 / 2 AS b0, df2 / (df2 + df1 * f) AS x0 FROM tests),
+turned AS (SELECT *, x0 > (a0 + 1) / (a0 + b0 + 2) AS turn FROM given),
+parts AS (SELECT test, stat, turn, CASE WHEN turn THEN b0 ELSE a0 END AS a, CASE WHEN turn THEN a0 ELSE b0 END AS b, CASE WHEN turn THEN 1 - x0 ELSE x0 END AS x FROM turned),
+steps AS (
+  SELECT test, 0 AS k, a, b, x, 1.0::DOUBLE AS v, 1.0::DOUBLE AS c, 0.0::DOUBLE AS d FROM parts
+  UNION ALL
+  SELECT test, k + 1, a, b, x, v * (1 + w / c) / (1 + w * d), 1 + w / c, 1 / (1 + w * d) FROM (
+    SELECT *, CASE WHEN (k + 1) % 2 = 0 THEN ((k + 1) // 2) * (b - (k + 1) // 2) * x / ((a + 2 * ((k + 1) // 2) - 1) * (a + 2 * ((k + 1) // 2)))
+      ELSE -(a + (k + 1) // 2) * (a + b + (k + 1) // 2) * x / ((a + 2 * ((k + 1) // 2)) * (a + 2 * ((k + 1) // 2) + 1)) END AS w FROM steps WHERE k < {_STEPS})),
+share AS (SELECT p.test, stat, turn, exp(lgamma(p.a + p.b) - lgamma(p.a) - lgamma(p.b) + p.a * ln(p.x) + p.b * ln(1 - p.x)) / p.a / s.v AS s
+  FROM parts p JOIN steps s ON s.test = p.test AND s.k = {_STEPS})
+SELECT test, round(stat, 6) AS stat, round(CASE WHEN turn THEN 1 - s ELSE s END, 8) AS p FROM share
+"""
+
+
+@query("p_values_by_group", _P_SQL)
+def _p_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Three tests within each group of a column, their p-values as expressions."""
+    orders, part = table(spark, sf, "orders"), table(spark, sf, "part")
+    welch = significance.welch_by(orders, "o_orderpriority", "o_orderstatus", "o_totalprice", "F", "O").withColumnRenamed("t", "stat")
+    corr = significance.correlation_by(part, "p_brand", "p_size", "p_retailprice").withColumnRenamed("t", "stat")
+    anova = significance.anova_by(orders, "o_orderpriority", "o_orderstatus", "o_totalprice").withColumnRenamed("f", "stat")
+    named = [d.select(F.concat(F.lit(f"{n} "), "by").alias("test"), "stat", "p") for n, d in (("welch", welch), ("correlation", corr), ("anova", anova))]
+    return named[0].unionByName(named[1]).unionByName(named[2]).select("test", F.round("stat", 6).alias("stat"), F.round("p", 8).alias("p"))

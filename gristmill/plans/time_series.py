@@ -98,7 +98,7 @@ def _regular(spark: SparkSession, sf: str) -> DataFrame:
     return series.regular(series.totals(held, "ts", None, "day"), "day").withColumn("y", F.round("y", 6))
 
 
-def _forecast_sql(key: str, shown: str) -> str:
+def _forecast_sql(key: str, shown: str, final: str = "") -> str:
     """Six months ahead of monthly order totals by ``key``: every setting is run a month at a time, over all months and
     over all but the last six, whose errors are those of the forecast. The orders span more than two years, so the
     pattern is a year."""
@@ -124,9 +124,9 @@ best AS (SELECT * FROM z WHERE t = n QUALIFY row_number() OVER (PARTITION BY k,
 h AS (SELECT *, unnest(range(1, 7)) AS h FROM best),
 o AS (SELECT k, v, h, n, last, level + list_sum(list_transform(range(1, h + 1), lambda j: pow(p, j))) * trend + season[(h - 1 + n) % 12 + 1] AS value,
   sqrt(err / (n - 12)) * sqrt(1 + (h - 1) * a * a * (1 + h * b + h * (2 * h - 1) * b * b / 6)) AS dev FROM h),
-e AS (SELECT o.k, avg(abs(s.ys[o.n + o.h] - greatest(value, 0))) AS error FROM o JOIN s ON o.k = s.k WHERE v = 1 GROUP BY 1)
-SELECT {shown}CAST(last + to_months(CAST(h AS INTEGER)) AS TIMESTAMP) AS "at", round(greatest(value, 0), 2) AS y, round(greatest(value - {forecast.Z80} * dev, 0), 2) AS low,
-  round(greatest(value + {forecast.Z80} * dev, 0), 2) AS high, 12 AS cycle, round(error, 2) AS error FROM o JOIN e ON o.k = e.k WHERE v = 0
+e AS (SELECT o.k, avg(abs(s.ys[o.n + o.h] - greatest(value, 0))) AS error, avg(abs(s.ys[o.n + o.h])) AS size FROM o JOIN s ON o.k = s.k WHERE v = 1 GROUP BY 1)
+{final or f'''SELECT {shown}CAST(last + to_months(CAST(h AS INTEGER)) AS TIMESTAMP) AS "at", round(greatest(value, 0), 2) AS y, round(greatest(value - {forecast.Z80} * dev, 0), 2) AS low,
+  round(greatest(value + {forecast.Z80} * dev, 0), 2) AS high, 12 AS cycle, round(error, 2) AS error FROM o JOIN e ON o.k = e.k WHERE v = 0'''}
 """
 
 
@@ -143,3 +143,19 @@ def _monthly(spark: SparkSession, sf: str) -> DataFrame:
 def _by_group(spark: SparkSession, sf: str) -> DataFrame:
     each = series.totals(table(spark, sf, "orders"), "o_orderdate", "o_totalprice", "month", ["o_orderpriority"])
     return cents(forecast.forecasts(each, "month", 6, ["o_orderpriority"]))
+
+
+@query(
+    "forecast_total",
+    _forecast_sql(
+        "o_orderpriority", "",
+        f"SELECT o.k AS o_orderpriority, 6 AS horizon, round(sum(greatest(value, 0)), 2) AS total, round(greatest(sum(greatest(value, 0)) - {forecast.Z80} * sqrt(sum(dev * dev)), 0), 2) AS total_low, "
+        f"round(sum(greatest(value, 0)) + {forecast.Z80} * sqrt(sum(dev * dev)), 2) AS total_high, round(avg(greatest(value, 0)), 2) AS average, round(any_value(error), 2) AS error, "
+        "round(any_value(error / size), 6) AS error_share, CAST(any_value(gaps) AS BIGINT) AS filled FROM o JOIN e ON o.k = e.k "
+        "JOIN (SELECT k, count(*) FILTER (y IS NULL) AS gaps FROM r GROUP BY k) w ON w.k = o.k WHERE v = 0 GROUP BY o.k",
+    ),
+)
+def _total(spark: SparkSession, sf: str) -> DataFrame:
+    each = series.totals(table(spark, sf, "orders"), "o_orderdate", "o_totalprice", "month", ["o_orderpriority"])
+    made = forecast.forecast_totals(each, "month", 6, ["o_orderpriority"])
+    return made.withColumns({c: F.round(c, 2) for c in ("total", "total_low", "total_high", "average", "error")}).withColumn("error_share", F.round("error_share", 6))
