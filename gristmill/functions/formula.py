@@ -211,9 +211,9 @@ def _value(node: ast.expr, df: DataFrame) -> Value:
             return Value(F.lit(v), "number")
         case ast.Constant(value=str() as v):
             return Value(F.lit(v), "text")
-        case ast.Call(func=ast.Name(id="_"), args=[ast.Constant(value=name)]):
+        case ast.Call(func=ast.Name(id="_"), args=[ast.Constant(value=name)], keywords=[]):
             return _column(df, name)
-        case ast.Call(func=ast.Name(id=name), args=args):
+        case ast.Call(func=ast.Name(id=name), args=args, keywords=[]):
             least, most, made = FUNCTIONS[name[2:]]
             if not least <= len(args) <= most:
                 raise FormulaError(f"{name[2:]}() needs {least if least == most else f'{least} or more'} values.")

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.values import RAW, has_raw, join_key
-from ..sources.text import Kind, kinds, typed
+from ..sources.text import Kind, Profile, decided, different, kinds, profiles, typed
 from . import skew
 from .cleaning import data_columns, unique_name
 from .sorting import ROW
+from .storage import saved
 
 HOW = ("left", "inner", "full")
 
@@ -30,7 +32,7 @@ def join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how:
         raise ValueError(f"how must be one of {HOW}")
     texts = as_texts(left), as_texts(right)
     if texts[0] is not None and texts[1] is not None:
-        return reread(left, join(*texts, left_key, right_key, how, right_name))
+        return reread(left, saved(join(*texts, left_key, right_key, how, right_name)))  # joined once, read as often as needed
     taken, names = list(left.columns), {}
     for c in data_columns(right):
         if c != right_key:
@@ -112,6 +114,37 @@ def reread(base: DataFrame, texts: DataFrame) -> DataFrame:
     return typed(filled, {c: Kind(chosen[c], k.day_first, k.decimal_comma) if c in chosen else k for c, k in known.items()})
 
 
+@dataclass(frozen=True)
+class Profiled:
+    """A table that was read from text with the profiles of its columns, so that more rows can be appended without another
+    look at those it has. It stands for all rows that were profiled: after rows are taken out, make it anew."""
+
+    table: DataFrame
+    profiles: dict[str, Profile]
+
+    @staticmethod
+    def of(texts: DataFrame) -> Profiled:
+        """A table of texts with its columns read."""
+        found, known = decided(profiles(texts), lambda columns: different(texts, columns))
+        return Profiled(typed(texts, found), known)
+
+    def append(self, other: Profiled, source: str | None = None, base_label: str = "base", other_label: str = "other") -> Profiled:
+        """``append``, with kinds by the profiles of both. No rows are read, but for columns of short texts whose number of
+        different values the two cannot tell."""
+        texts = append(as_texts(self.table), as_texts(other.table), source, base_label, other_label)
+        names = data_columns(texts)
+        filled = texts.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) if c in names else F.col(c) for c in texts.columns])
+        theirs = {plain(c): p for c, p in other.profiles.items()}
+        made = {c: self.profiles.get(c, Profile()).with_rows_of(theirs.get(plain(c), Profile())) for c in names}
+        fresh = [c for c in names if plain(c) not in {plain(x) for x in (*self.profiles, *other.profiles)}]
+        if fresh:  # the column that names the table of a row
+            made |= profiles(filled.select(*[F.col(f"`{c}`") for c in fresh]))
+        found, known = decided(made, lambda columns: different(filled, columns))
+        chosen = {f.name: f.metadata["kind"] for f in self.table.schema.fields if f.metadata.get("chosen")}
+        found = {c: Kind(chosen[c], k.day_first, k.decimal_comma) if c in chosen else k for c, k in found.items()}
+        return Profiled(typed(filled, found), known)
+
+
 def plain(name: str) -> str:
     """A column name without case and blanks."""
     return re.sub(r"\s+", "", name.lower())

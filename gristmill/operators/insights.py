@@ -15,7 +15,7 @@ from .analyses import distinct_counts
 from .cleaning import count_duplicates, data_columns, put
 from .significance import MOST_LEVELS, anova_of, chi_square_from, correlation_of
 from .quantiles import of_columns
-from .stats import num, pearson
+from .stats import correlations, num, pearson
 from .summarize import number
 
 #: Points that an issue takes from 100, by its severity.
@@ -197,7 +197,6 @@ def facts(df: DataFrame) -> list[Fact]:
     dates, ids = [c for c in names if kinds[c] == "date"], [c for c in names if kinds[c] == "text" or kinds[c] == "number" and re.search(ID_NAME, c)]
     pairs = [(a, b) for i, a in enumerate(numbers) for b in numbers[i + 1 :]]
     wanted = {"rows": F.count("*")} | {f"n{i}": F.count(F.col(f"`{c}`")) for i, c in enumerate(names)}
-    wanted |= {f"r{i}": pearson(num(a), num(b)) for i, (a, b) in enumerate(pairs)}
     for i, c in enumerate(numbers):
         wanted |= {f"skew{i}": F.skewness(num(c)), f"varied{i}": F.min(num(c)) < F.max(num(c)), f"std{i}": F.stddev_samp(num(c))}
     wanted |= {f"span{i}": F.datediff(F.max(F.col(f"`{c}`")), F.min(F.col(f"`{c}`"))) for i, c in enumerate(dates)}
@@ -206,7 +205,9 @@ def facts(df: DataFrame) -> list[Fact]:
     if not rows:
         return []
     present = {c: seen[f"n{i}"] for i, c in enumerate(names)}
-    close = sorted(((seen[f"r{i}"], p) for i, p in enumerate(pairs) if seen[f"r{i}"] is not None and abs(seen[f"r{i}"]) >= 0.4), key=lambda x: -abs(x[0]))
+    order = {p: i for i, p in enumerate(pairs)}
+    strong = correlations(df, numbers).where(F.abs("r") >= 0.4).orderBy(F.desc(F.abs("r"))).limit(3 + len(numbers)).collect()
+    close = sorted(((r["r"], (r["x"], r["y"])) for r in strong), key=lambda x: (-abs(x[0]), order[x[1]]))
     out = [Fact("correlation", p, r) for r, p in close[:3]]
     usable = {c: i for i, c in enumerate(numbers) if present[c] >= 8 and seen[f"varied{i}"]}
     out += [Fact("skew", (c,), seen[f"skew{i}"]) for c, i in usable.items() if seen[f"skew{i}"] is not None and abs(seen[f"skew{i}"]) >= 1]

@@ -82,11 +82,10 @@ def pearson(x: Column, y: Column) -> Column:
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(x, y, r) for each pair, one aggregation for all."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    made = df.agg(*[pearson(num(a), num(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    rows = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)]
-    return made.select(F.inline(F.array(*rows)))
+    """(x, y, r) for each pair."""
+    from . import gram
+
+    return gram.correlations(df, columns)
 
 
 def regression(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import sorting
+from ..operators import searching, sorting
 from ..operators.filters import Filter, search, where
 from ..operators.summarize import Agg, group
 from .registry import query, table
@@ -73,6 +73,11 @@ def _search(spark: SparkSession, sf: str) -> DataFrame:
     return search(table(spark, sf, "nation"), "N_1 ").select("n_nationkey", "n_name")
 
 
+@query("search_indexed", "SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%blue bolt%' OR lower(p_brand) LIKE '%blue bolt%' OR lower(p_type) LIKE '%blue bolt%'")
+def _indexed(spark: SparkSession, sf: str) -> DataFrame:
+    return searching.indexed(table(spark, sf, "part"), 16).search(" Blue BOLT").select("p_partkey", "p_name")
+
+
 @query("sort_nulls_last", f"SELECT event_id, value, row_number() OVER (ORDER BY value DESC NULLS LAST, event_id) AS rank FROM ({GAPS})")
 def _sorted(spark: SparkSession, sf: str) -> DataFrame:
     return sorting.ranked(gaps(spark, sf), "value", descending=True, tie="event_id").select("event_id", "value", F.col("rank").cast("long").alias("rank"))

@@ -12,8 +12,8 @@ import io
 import json
 import re
 import uuid
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, fields, replace
 from urllib.parse import parse_qs, unquote, urlsplit
 from urllib.request import urlopen
 
@@ -196,20 +196,50 @@ def shape(t: Column, lower: Column) -> Column:
     )
 
 
-def kinds(df: DataFrame) -> dict[str, Kind]:
-    """The kind of every column of texts from one pass over all rows, and one more that counts the different values of
-    columns that are neither numbers, dates nor yes/no and short.
+@dataclass(frozen=True)
+class Profile:
+    """What tells a column's kind: numbers of its texts that read as something, all of which add up over tables.
 
-    Yes/no if all values are that; number if 95 % are and less than 5 % look like codes (leading zeros, 16 digits and
-    more); date if 95 % are; label if short and repeated; else text. A column of decimal commas is told by values that
-    read only so, day-first dates by parts over 12 or by dots. If one column of numbers has decimal commas, dots of the
-    others that can be of thousands are. The patterns are tried on the different shapes of the values, not on each value.
+    ``a`` and ``b`` are the greatest first and second parts of dates that can be read two ways, ``length`` is the sum of
+    lengths, and the number of different texts lies between ``least`` and ``most``.
     """
-    if not df.columns:
-        return {}
+
+    n: int = 0
+    flag: int = 0
+    number: int = 0
+    comma: int = 0
+    only: int = 0
+    dot: int = 0
+    code: int = 0
+    date: int = 0
+    a: int = 0
+    b: int = 0
+    dotted: int = 0
+    length: int = 0
+    dots: int = 0
+    thousands: int = 0
+    least: int = 0
+    most: int = 0
+
+    def with_rows_of(self, other: Profile) -> Profile:
+        """The profile of both columns' texts together."""
+        summed = {f.name: getattr(self, f.name) + getattr(other, f.name) for f in fields(self)}
+        return Profile(**summed | {k: max(getattr(self, k), getattr(other, k)) for k in ("a", "b", "least")})
+
+
+def _given(df: DataFrame) -> DataFrame:
+    """(i, t, lower): the texts of all columns that are not missing, by the number of their column."""
     each = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").alias("s")) for i, c in enumerate(df.columns)])
     long = df.select(F.inline(each)).select("i", trimmed(F.col("s")).alias("t"))
-    given = long.withColumn("lower", F.lower("t")).where(~F.col("lower").isin(*MISSING))
+    return long.withColumn("lower", F.lower("t")).where(~F.col("lower").isin(*MISSING))
+
+
+def profiles(df: DataFrame) -> dict[str, Profile]:
+    """The profile of every column of texts from one pass over all rows. The patterns are tried on the different shapes of
+    the values, not on each value."""
+    if not df.columns:
+        return {}
+    given = _given(df)
     shapes = given.select("i", shape(F.col("t"), F.col("lower")).alias("shape"), F.length("t").alias("length"), F.col("t").contains(".").alias("dot"))
     shapes = shapes.groupBy("i", "shape").agg(F.count("*").alias("n"), F.sum("length").alias("length"), F.count_if("dot").alias("dots"))
     t = F.col("shape")
@@ -225,38 +255,60 @@ def kinds(df: DataFrame) -> dict[str, Kind]:
         many(F.col("with_comma") & ~F.col("number")).alias("only"), many(F.col("number") & ~F.col("comma")).alias("dot"),
         many(F.col("digit") & t.rlike(r"^[-+]?0\d|^\d{16,}$")).alias("code"), many(F.col("date")).alias("date"),
         F.max(F.when(F.col("date"), two(1))).alias("a"), F.max(F.when(F.col("date"), two(2))).alias("b"),
-        many(F.col("date") & t.rlike(r"^\d{1,2}\.\d{1,2}\.\d{4}$")).alias("dotted"), (F.sum("length") / F.sum("n")).alias("length"),
+        many(F.col("date") & t.rlike(r"^\d{1,2}\.\d{1,2}\.\d{4}$")).alias("dotted"), F.sum("length").alias("length"),
         F.sum("dots").alias("dots"), many(t.contains(".") & t.rlike(THOUSANDS)).alias("thousands"),
     )
-    found = {r["i"]: r for r in made.collect()}
+    found = {r["i"]: {k: v or 0 for k, v in r.asDict().items() if k != "i"} for r in made.collect()}
+    return {c: Profile(**found[i], most=found[i]["n"]) if i in found else Profile() for i, c in enumerate(df.columns)}
+
+
+def different(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """Exact numbers of different texts of some columns."""
+    held = df.select(*[F.col(f"`{c}`") for c in columns])
+    counted = _given(held).groupBy("i", "t").agg(F.lit(1)).groupBy("i").agg(F.count("*").alias("k"))
+    return {columns[r["i"]]: r["k"] for r in counted.collect()}
+
+
+def decided(known: dict[str, Profile], count: Callable[[list[str]], dict[str, int]]) -> tuple[dict[str, Kind], dict[str, Profile]]:
+    """The kinds that profiles tell, and the profiles. ``count`` gives the numbers of different texts of columns for which
+    they are not known well enough; the profiles then have them.
+
+    Yes/no if all values are that; number if 95 % are and less than 5 % look like codes (leading zeros, 16 digits and
+    more); date if 95 % are; label if short and repeated; else text. A column of decimal commas is told by values that
+    read only so, day-first dates by parts over 12 or by dots. If one column of numbers has decimal commas, dots of the
+    others that can be of thousands are.
+    """
     out: dict[str, Kind] = {}
     short, of_dots = [], []
-    for i, c in enumerate(df.columns):
-        r = found.get(i)
-        if r is None:
+    for c, r in known.items():
+        comma = r.only > 0 and not r.dot
+        if not r.n:
             out[c] = Kind("text")
-            continue
-        n, a, b = r["n"], r["a"] or 0, r["b"] or 0
-        comma = r["only"] > 0 and not r["dot"]
-        if r["flag"] == n:
+        elif r.flag == r.n:
             out[c] = Kind("boolean")
-        elif r["comma" if comma else "number"] >= ENOUGH * n and r["code"] < CODES * n:
+        elif (r.comma if comma else r.number) >= ENOUGH * r.n and r.code < CODES * r.n:
             out[c] = Kind("number", decimal_comma=comma)
-            if not comma and r["dots"] and r["dots"] == r["thousands"]:
+            if not comma and r.dots and r.dots == r.thousands:
                 of_dots.append(c)
-        elif r["date"] >= ENOUGH * n:
-            out[c] = Kind("date", day_first=True if r["dotted"] or a > 12 and b <= 12 else False if b > 12 and a <= 12 else None)
+        elif r.date >= ENOUGH * r.n:
+            out[c] = Kind("date", day_first=True if r.dotted or r.a > 12 and r.b <= 12 else False if r.b > 12 and r.a <= 12 else None)
         else:
             out[c] = Kind("text")
-            if r["length"] <= LABEL_LENGTH:
-                short.append(i)
+            if r.length <= LABEL_LENGTH * r.n:
+                short.append(c)
     if any(k.decimal_comma for k in out.values()):
         out |= {c: Kind("number", decimal_comma=True) for c in of_dots}
-    if short:
-        for r in given.where(F.col("i").isin(short)).groupBy("i", "t").agg(F.count("*").alias("n")).groupBy("i").agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect():
-            if r["k"] <= max(LABELS, LABEL_SHARE * r["n"]):
-                out[df.columns[r["i"]]] = Kind("category")
-    return out
+    limit = {c: max(LABELS, LABEL_SHARE * known[c].n) for c in short}
+    open_ = [c for c in short if known[c].least <= limit[c] < known[c].most]
+    if open_:
+        known = known | {c: replace(known[c], least=k, most=k) for c, k in count(open_).items()}
+    return out | {c: Kind("category") for c in short if known[c].most <= limit[c]}, known
+
+
+def kinds(df: DataFrame) -> dict[str, Kind]:
+    """The kind of every column of texts from one pass over all rows, and one more that counts the different values of
+    columns that are neither numbers, dates nor yes/no and short."""
+    return decided(profiles(df), lambda columns: different(df, columns))[0]
 
 
 def typed(df: DataFrame, known: dict[str, Kind] | None = None) -> DataFrame:

@@ -628,3 +628,13 @@ def test_join_keys_are_scored_by_the_right_side(spark):
     right = spark.createDataFrame([(i, "x") for i in range(10, 30)], "ID int, one string")
     assert combine.suggest_keys(left, right)[0] == ("id", "ID", 0.5 + 1 + 0.25)
     assert not any(a == "one" for a, _, _ in combine.suggest_keys(left, right))
+
+
+def test_formulas_refuse_keywords(spark):
+    from gristmill.functions.formula import FormulaError, calculate
+
+    df = spark.createDataFrame([(5.0,)], "x double")
+    for source in ("max(1, ^x)", "max(1, *x)", "max(a = x)", "max(1, **x)"):
+        with pytest.raises(FormulaError):
+            calculate(df, "y", source)
+    assert calculate(df, "y", "max(1, x ^ 2)").first().y == 25

@@ -6,11 +6,13 @@ import datetime as dt
 import random
 import re
 from collections import Counter
+from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gristmill.operators import analyses, combine, distinct, profile, skew, sorting
+from gristmill.operators import analyses, combine, distinct, filters, gram, profile, searching, skew, sorting
 
 
 def test_pages(spark):
@@ -93,3 +95,61 @@ def test_overview_multiplies_no_rows(spark, monkeypatch):
     df = spark.range(100).select("id", (F.col("id") % 3).alias("k"), F.lit("x").alias("s"))
     assert [tuple(r) for r in profile.overview(df).collect()] == [("id", "number", 0, 100), ("k", "number", 0, 3), ("s", "category", 0, 1)]
     assert plans and not any("Expand" in p or "Generate" in p for p in plans)
+
+
+def test_all_pairs_of_columns(spark):
+    rnd = random.Random(8)
+    names = [f"c{i}" for i in range(13)]
+    rows = [[None if rnd.random() < 0.2 else rnd.gauss(1e6, 3) if i else 0.1 for i in range(12)] + [None if r % 400 else 1.0] for r in range(800)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names)).repartition(3)
+    for block in (5, 512):
+        found = {(r.x, r.y): r.r for r in gram.correlations(df, names, block).collect()}
+        assert len(found) == 78 and all(found["c0", c] is None for c in names[1:]) and found["c1", "c12"] is None
+        for i in range(1, 12):
+            for j in range(i + 1, 12):
+                both = np.array([(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None])
+                assert found[names[i], names[j]] == pytest.approx(np.corrcoef(both.T)[0, 1], abs=1e-9)
+    assert gram.correlations(df, ["c1"]).count() == 0 and gram.correlations(df.limit(0), ["c1", "c2"]).where("r IS NOT NULL").count() == 0
+
+
+def test_hundreds_of_columns(spark):
+    names = [f"c{i}" for i in range(700)]
+    df = spark.range(300).select(*[F.sin(F.col("id") * (i + 1)).alias(c) for i, c in enumerate(names)])
+    found = {(r.x, r.y): r.r for r in gram.correlations(df, names).where("x = 'c2'").collect()}
+    x, y = (np.sin(np.arange(300) * k) for k in (3, 700))
+    assert len(found) == 697 and found["c2", "c699"] == pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-9)
+
+
+def test_search_reads_few_blocks(spark):
+    rows = [(i, f"Name{i:05d} of {'ÄBC' if i % 1000 == 7 else 'abc'}", float(i)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "id long, name string, v double").repartitionByRange(20, "id")
+    index = searching.indexed(df)
+    for query in ("name00123", " NAME0412 ", "äbc", "of", "", "nothing like it", "4999", "e0"):
+        wanted = sorted(r.id for r in filters.search(df, query).collect())
+        assert sorted(r.id for r in index.search(query).collect()) == wanted, query
+    assert len(index.blocks("name00123")) < 20 and index.blocks("nothing like it") == [] and index.blocks("of") is None
+    plan = index.search("name00123")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*_block", plan)
+
+
+def test_appending_reads_nothing(spark, tmp_path, monkeypatch):
+    from gristmill.functions.values import kind_of
+    from gristmill.sources import text as source
+
+    (tmp_path / "a.csv").write_text("id,v,code,day\n" + "".join(f"{i},{i * 1.5},{i:05d},2024-01-{1 + i % 28:02d}\n" for i in range(60)))
+    (tmp_path / "b.csv").write_text("ID,v,note\n" + "".join(f"{i},{'many' if i % 2 else 'few'},n{i}\n" for i in range(80)))
+    a, b = (combine.Profiled.of(source.read_delimited(spark, str(tmp_path / f"{n}.csv"))) for n in "ab")
+    whole = combine.append(a.table, b.table)
+    asked = []
+    monkeypatch.setattr(combine, "profiles", lambda df: pytest.fail("rows were read"))
+    count = combine.different
+    monkeypatch.setattr(combine, "different", lambda df, columns: asked.append(columns) or count(df, columns))
+    made = a.append(b)
+    for c in ("id", "v", "code", "day", "note"):
+        assert kind_of(made.table, c) == kind_of(whole, c), c
+    assert asked == []
+    assert sorted(map(str, made.table.collect())) == sorted(map(str, whole.collect()))
+    more = combine.Profiled(b.table, b.profiles | {"v": replace(b.profiles["v"], most=80)})
+    assert kind_of(a.append(more).table, "v") == "category" and asked == [["v"]]  # only then the texts are counted
+    again = made.append(a)
+    assert kind_of(again.table, "id") == "number" and again.profiles["id"].n == 200
