@@ -12,7 +12,7 @@ from pyspark.sql.window import Window as W
 
 from ..operators.storage import ensure_checkpoint_dir, saved
 
-__all__ = ["WORD", "bucket_of", "ensure_checkpoint_dir", "fresh", "map_text", "n_words", "prefix_sums", "saved", "sieved"]
+__all__ = ["WORD", "bucket_of", "dealt_by", "ensure_checkpoint_dir", "fresh", "map_text", "n_words", "prefix_sums", "saved", "sieved"]
 
 #: Words of 64 bits of a sieve, which is broadcast.
 SIEVE = 1 << 20
@@ -77,6 +77,11 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def dealt_by(key: Column, row: Column) -> Column:
+    """A digest of a key (text), and of ``row`` where the key is null, so that rows without a key do not stay together."""
+    return F.md5(F.coalesce(key, F.concat(F.lit("row "), row.cast("string"))))
+
+
 def bucket_of(digest: Column, rows: int) -> Column:
     """A bucket (long) by the first hexadecimal digits of a digest, for about ``BUCKET`` of ``rows`` rows each, that the
     digest's order follows."""

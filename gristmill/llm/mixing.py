@@ -7,7 +7,8 @@ that is its training position. Copies that start beyond the source's target get
 curriculum.
 
 Edge cases: null text has size 0 and takes nothing; a null source is a source of its own, last in order; repeated rows
-and rows of null id are rows of their own; an empty table gives no rows; other columns may have any type and name, as
+and rows of null id are rows of their own, of which those of null id are dealt by their place in the table (by their text in
+``curriculum``, where rows of null id and equal text of a source share a task); an empty table gives no rows; other columns may have any type and name, as
 ``curriculum`` carries whole rows in one column.
 """
 
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window as W
 
 from ..operators.sorting import ROW, with_row_numbers
-from .common import bucket_of, fresh, n_words, prefix_sums, saved
+from .common import bucket_of, dealt_by, fresh, n_words, prefix_sums, saved
 
 #: Copies of a document at most, and so a target's limit in sizes of its source.
 MAX_REPEATS = 3
@@ -59,10 +60,13 @@ def invert_demand(share: Column, slope: Column) -> Column:
     return F.lit(2.0) * share / (rest + F.sqrt(rest * rest + F.lit(4.0) * slope * share))
 
 
-def mix(sized: DataFrame, source: str, size: str, key: str) -> DataFrame:
+def mix(sized: DataFrame, source: str, size: str, key: str, row: str) -> DataFrame:
     """``sized`` with mix_source_size, mix_target, mix_slope, mix_start (words of the source before this row) and
-    mix_taken (words the mix takes of it, repeats counted: whole passes over the source, then a part of one)."""
-    digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
+    mix_taken (words the mix takes of it, repeats counted: whole passes over the source, then a part of one).
+
+    Rows lie in the order of hashes of ``key``; those of null key in that of hashes of ``row``, so that they are dealt too.
+    """
+    digest = dealt_by(F.col(key).cast("string"), F.col(row))
     slim = sized.select(source, size)
     order = [digest, F.col(key).asc_nulls_first(), F.col(size)]
     laid = prefix_sums(sized, [source], order, bucket_of(digest, slim.count()), {"mix_start": size})
@@ -95,8 +99,8 @@ def curriculum(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     A copy that the target ends within is kept whole. Rows without words ask for no tokens and stay out.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    sized = docs.select(row, "source", "doc_id", n_words(F.col("text")).alias("size"))
-    planned = scheduled(mix(sized, "source", "size", "doc_id"), "size")
+    sized = docs.select(row, "source", "doc_id", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("mix_row"))
+    planned = scheduled(mix(sized, "source", "size", "doc_id", "mix_row"), "size")
     placed = planned.select("row", "source", "doc_id", F.posexplode("mix_positions").alias("copy", "position"))
     by = [F.col(c) for c in ("position", "source", "doc_id", "copy")]
     dealt = placed.repartitionByRange(partitions, *by) if partitions else placed.repartitionByRange(*by)
@@ -107,8 +111,8 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per document: what the mix takes of it, its copies, the positions of the first and last one, and place, the
     number of the document in a range sort by the first position (from 0; null if the mix takes nothing)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sized = saved(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
-    planned = scheduled(mix(sized, "source", "size", "doc_id"), "size")
+    sized = saved(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("mix_row")))
+    planned = scheduled(mix(sized, "source", "size", "doc_id", "mix_row"), "size")
     copies = F.size("mix_positions").cast("long")
     first, last = F.get("mix_positions", F.lit(0)), F.get("mix_positions", F.size("mix_positions") - 1)
     slim = planned.select(

@@ -16,9 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from .common import bucket_of, fresh, n_words, prefix_sums, saved
+from .common import BUCKET, bucket_of, dealt_by, fresh, n_words, prefix_sums, saved
 
 MAX_LEN = 2048
 BUCKETS = 16
@@ -59,22 +60,29 @@ def lengths_of_pieces(sized: DataFrame, tokens: str, max_len: int) -> DataFrame:
 
 
 def pack(
-    pieces: DataFrame, key: str, *, max_len: int = MAX_LEN, buckets: int = BUCKETS, batch_tokens: int = BATCH_TOKENS
+    pieces: DataFrame, key: str, row: str | None = None, *, place: str | None = None, buckets: int = BUCKETS, batch_tokens: int = BATCH_TOKENS
 ) -> DataFrame:
     """``pieces`` (with pack_piece and pack_tokens) with pack_bucket (padded length), pack_batch (number of the batch
-    in its bucket) and pack_slot (place in the batch)."""
+    in its bucket) and pack_slot (place in the batch).
+
+    Batches of a bucket fill in the order of ``place`` (a number) if it is given, else in a fixed pseudo-random order of the
+    key, with ``row`` for null keys.
+    """
     histogram = {int(r[0]): int(r[1]) for r in pieces.groupBy("pack_tokens").count().collect()}
     bounds = best_boundaries(histogram, buckets) or [0]
     at = F.lit(bounds[-1])
     for b in reversed(bounds[:-1]):
         at = F.when(F.col("pack_tokens") <= b, F.lit(b)).otherwise(at)
-    digest = F.md5(F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("pack_piece").cast("string")))
-    rows = sum(histogram.values())
+    spelled = F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("pack_piece").cast("string"))
+    digest = F.md5(spelled) if row is None else dealt_by(F.when(F.col(key).isNotNull(), spelled), F.concat_ws(":", F.col(row), "pack_piece"))
+    order, bucket = [digest, F.col(key).asc_nulls_first(), F.col("pack_tokens")], bucket_of(digest, sum(histogram.values()))
+    if place:
+        order, bucket = [F.col(place), F.col("pack_piece"), *order], F.floor(F.col(place) / BUCKET)
     numbered = prefix_sums(
         pieces.withColumns({"pack_bucket": at.cast("long"), "_one": F.lit(1).cast("long")}),
         ["pack_bucket"],
-        [digest, F.col(key).asc_nulls_first(), F.col("pack_tokens")],
-        bucket_of(digest, rows),
+        order,
+        bucket,
         {"_number": "_one"},
     )
     room = F.greatest(F.lit(1), F.floor(F.lit(batch_tokens) / F.greatest(F.col("pack_bucket"), F.lit(1)))).cast("long")
@@ -99,10 +107,23 @@ def cut(text: str | None, max_len: int) -> list[str]:
     return [raw[a:b].decode() for a, b in zip(edges, edges[1:], strict=False)]
 
 
+def lies_at(docs: DataFrame) -> Column:
+    """A number that rises with the order in which a table was written: by the numbers of its files and the places of rows in
+    them. For tables that are not read from files it is the order in which they come."""
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        return F.monotonically_increasing_id()
+    name = F.col("_metadata.file_name")
+    digits = lambda p: F.coalesce(F.regexp_extract(name, p, 1).try_cast("long"), F.lit(0).cast("long"))
+    return (digits(r"part-(\d+)") * 1024 + digits(r"-c(\d+)")) * F.lit(1 << 32) + F.col("_metadata.row_index")
+
+
 def cut_pieces(docs: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
-    """A row per piece: row (a struct of all columns of ``docs`` but the text), text, pack_piece and pack_tokens."""
+    """A row per piece: row (a struct of all columns of ``docs`` but the text), text, pack_place (of its document in the
+    table), pack_piece and pack_tokens."""
     rest = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
-    slim = docs.select(rest, "text")
+    slim = docs.select(rest, "text", lies_at(docs).alias("pack_place"))
     schema = T.StructType([*slim.schema.fields, T.StructField("pack_piece", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,26 +132,27 @@ def cut_pieces(docs: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
             at = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
             text = pa.array([x for p in parts for x in p], pa.string())
             piece = pa.array([i for p in parts for i in range(len(p))], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), text, piece], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), text, batch.column(2).take(pa.array(at)), piece], names=schema.names)
 
     return slim.mapInArrow(run, schema).withColumn("pack_tokens", n_words(F.col("text")))
 
 
-def packed(docs: DataFrame, key: str = "doc_id", max_len: int = MAX_LEN) -> DataFrame:
+def packed(docs: DataFrame, key: str = "doc_id", max_len: int = MAX_LEN, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
     """The pieces of ``docs`` with all its columns, and piece, n_tokens, bucket, batch and slot (with a number behind
-    them if ``docs`` has a column of that name)."""
+    them if ``docs`` has a column of that name). Batches of a bucket follow the order of the table, so that of a curriculum
+    stays, and copies of a document are as far from each other as they are in it."""
     pieces = saved(cut_pieces(docs, max_len)).withColumn("pack_key", F.col(f"row.`{key}`"))
     own = [F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     named = {"piece": "pack_piece", "n_tokens": "pack_tokens", "bucket": "pack_bucket", "batch": "pack_batch", "slot": "pack_slot"}
-    found = pack(pieces, "pack_key", max_len=max_len)
+    found = pack(pieces, "pack_key", place="pack_place", batch_tokens=batch_tokens)
     return found.select(*own, *[F.col(c).alias(fresh(docs, n)) for n, c in named.items()])
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per piece: doc_id, piece, n_tokens, bucket (padded length), batch, slot."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sized = saved(docs.select("doc_id", n_words(F.col("text")).alias("n")))
-    packed = pack(lengths_of_pieces(sized, "n", MAX_LEN), "doc_id")
+    sized = saved(docs.select("doc_id", n_words(F.col("text")).alias("n"), F.monotonically_increasing_id().alias("pack_row")))
+    packed = pack(lengths_of_pieces(sized, "n", MAX_LEN), "doc_id", "pack_row")
     return packed.select(
         "doc_id",
         F.col("pack_piece").alias("piece"),

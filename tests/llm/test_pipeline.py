@@ -55,3 +55,40 @@ def test_stage_on_odd_rows(spark, odd, empty, name):
 
 def test_run_on_empty_table(spark, table):
     assert corpus_pipeline.run(spark, table([])).count() == 0
+
+
+def test_batches_follow_the_curriculum(spark):
+    """First positions rise with the batches of a bucket, and copies of a text lie in different batches."""
+    from collections import defaultdict
+
+    from gristmill.llm import mixing, packing
+
+    folder = "/root/testdata/sf0.01"
+    docs = saved(spark.read.parquet(f"{folder}/documents.parquet"))
+    placed = saved(mixing.curriculum(docs, 7))
+    pieces = packing.packed(placed, batch_tokens=8192).select("doc_id", "piece", "bucket", "batch", "slot", "mix_position").collect()
+    by = defaultdict(list)
+    for r in pieces:
+        by[r.bucket].append((r.batch, r.slot, r.mix_position, r.doc_id, r.piece))
+    for rows in by.values():
+        rows.sort()
+        assert [r[2] for r in rows] == sorted(r[2] for r in rows)
+    batches = {b: rows[-1][0] + 1 for b, rows in by.items()}
+    copies = defaultdict(list)
+    for r in pieces:
+        copies[r.doc_id, r.piece, r.bucket].append(r.batch)
+    repeated = {k: v for k, v in copies.items() if len(v) > 1 and batches[k[2]] > 1}
+    apart = [len(set(v)) == min(len(v), batches[k[2]]) for k, v in repeated.items()]
+    assert len(apart) > 50 and all(len(set(v)) == len(v) for k, v in repeated.items() if batches[k[2]] > 4)
+    assert sum(apart) >= 0.8 * len(apart)
+
+
+def test_many_rows_without_id(spark):
+    """Rows of null id do not share a bucket of running sums."""
+    from pyspark.sql import functions as F
+
+    from gristmill.llm.common import bucket_of, dealt_by
+
+    df = spark.range(8192).select(dealt_by(F.lit(None).cast("string"), F.col("id")).alias("d"))
+    sizes = [r["count"] for r in df.groupBy(bucket_of(F.col("d"), 8192)).count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 700
