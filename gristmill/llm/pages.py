@@ -5,7 +5,9 @@ tags, words in their class and id, and the block's text (length, share of link t
 two labels; it is trained by maximum likelihood on labelled pages that ``labelled_pages`` writes from a seed, in many
 layouts, and pages are decoded by Viterbi. Tasks decode a page at a time; the weights are a few hundred numbers.
 
-Edge cases: null and empty pages give an empty text; unclosed tags, comments and scripts run to where a browser would
+Edge cases: null and empty pages give an empty text; a page of any length is read whole in its task, in time that grows with
+its length, whatever is left unclosed; columns of any other name may stand beside page_id, url and html, which the query
+takes by name; unclosed tags, comments and scripts run to where a browser would
 end them or to the end of the page; repeated rows are treated alike; an empty table gives no rows.
 """
 
@@ -26,6 +28,10 @@ _TAG = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S,
 )
+#: What still counts where no tag ends: comments that run to the end of the page.
+_LAST = re.compile(r"<!--|<!\[CDATA\[")
+#: Open tags that a block sees, the innermost ones.
+_DEPTH = 128
 _CLASS = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Elements whose content is no text of the page; those that browsers read raw run to the end of the page if unclosed.
 _HIDDEN = ("script", "style", "textarea", "template", "iframe", "svg", "select")
@@ -78,18 +84,19 @@ def blocks(page: str | None) -> list[Block]:
         if parts:
             text = " ".join(_decoded("".join(parts)).split())
             if text:
-                out.append(Block(text, tuple(x for x in stack if x[0] not in _INLINE), linked))
+                out.append(Block(text, tuple(x for x in stack[-_DEPTH:] if x[0] not in _INLINE), linked))
         parts, linked = [], 0
 
-    at, n = 0, len(page)
+    at, n, last = 0, len(page), page.rfind(">")
+    unclosed: set[str] = set()  # elements of which no end follows, so that it is looked for once
     while at < n:
-        m = _TAG.search(page, at)
+        m = _TAG.search(page, at) if at <= last else _LAST.search(page, at)
         stop = m.start() if m else n
         if stop > at:
             parts.append(page[at:stop])
             if links:
                 linked += stop - at
-        if not m:
+        if not m or at > last:
             break
         at = m.end()
         shut, name, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
@@ -113,7 +120,9 @@ def blocks(page: str | None) -> list[Block]:
                     break
             continue
         if name in _HIDDEN and not (name == "svg" and attrs.endswith("/")):
-            end = _END[name].search(page, at)
+            end = None if name in unclosed else _END[name].search(page, at)
+            if end is None:
+                unclosed.add(name)
             if end or name in _RAW:
                 at = end.end() if end else n
                 continue

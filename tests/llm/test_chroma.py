@@ -98,3 +98,24 @@ def test_no_pair_is_lost(spark, table):
     others = sum(q != r for q, r in pairs)
     found = {r.vec_id: r.n_queries for r in chroma.op3_chroma(spark, table(rows, SCHEMA, "embeddings")).collect()}
     assert others >= 20 and found == {r[0]: sum(x == r[0] for _, x in pairs) for r in rows}
+
+
+def test_offsets_are_those_of_all_pairs():
+    rnd = np.random.default_rng(3)
+    for _ in range(300):
+        a, b = (rnd.integers(0, rnd.integers(1, 6), rnd.integers(0, 40)).repeat(rnd.integers(1, 4)).astype(np.uint32) for _ in range(2))
+        wanted = np.zeros(len(a) + len(b) + 4, dtype=int)
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                wanted[j - i + len(a)] += x == y
+        for pairs in (1, 7, 1 << 20):
+            assert (chroma.offsets(a, b, pairs) == wanted).all()
+
+
+def test_an_hour_of_silence():
+    n = 3600 * chroma.RATE // chroma.HOP
+    silence = np.zeros(n, dtype=np.uint32)
+    assert chroma.align(silence, silence[100:]) == (-100, n - 100, 0.0) or chroma.align(silence, silence[100:])[1:] == (n - 100, 0.0)
+    noise = np.random.default_rng(1).integers(0, 2**32, n, dtype=np.uint32)
+    mixed = np.concatenate([silence[:9000], noise[:20_000], silence[:5000]])
+    assert chroma.align(noise[500:15_000], mixed) == (9500, 14_500, 0.0)

@@ -133,3 +133,20 @@ def test_hints_at_the_end_of_long_attributes():
     (block,) = pages.blocks(f"<div class='{long}' id='sidebar'>text</div>")
     at = 1 + 2 * len(pages._TAGS) + list(pages._HINTS).index("side")
     assert at in pages._open_features(block.open)
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<div x", "<!x ", "<svg>", "<select><p>x", "<div>a", "&amp;<", "<p>a</q>", "<a href='"])
+def test_broken_pages_take_time_by_their_length(piece):
+    import time
+
+    page = "<p>Start of the page.</p>" + piece * (1_000_000 // len(piece))
+    began = time.process_time()
+    found = pages.blocks(page)
+    assert time.process_time() - began < 8 and found[0].text == "Start of the page."
+    if ">" not in piece and "&" not in piece:
+        assert found[-1].text == " ".join((piece * (1_000_000 // len(piece))).split())
+
+
+def test_comments_that_are_not_closed():
+    assert [b.text for b in pages.blocks("<p>one</p> two <!-- three <p four")] == ["one", "two"]
+    assert [b.text for b in pages.blocks("<p>one</p> 1 < 2 and <b two")] == ["one", "1 < 2 and <b two"]
