@@ -10,7 +10,8 @@ a spanning forest of the links that it finds, never all pairs, and star contract
 of five-word shingles have a Jaccard similarity of 0.8 or more. Such texts differ in 15% of the bits, so keys made of
 bits would have to be short, and their groups would grow with the corpus. Texts are filed under shingles instead: with
 all shingles in one order, two such sets share a shingle among the first fifth of each, so no pair is lost. The order
-puts rare shingles first, by the counts of ``BINS`` bins over all texts; it decides what is compared, never the result.
+puts rare shingles first, by the counts of ``BINS`` bins over all texts, and those that many texts have last, by counts
+of their own (``common_shingles``); it decides what is compared, never the result.
 Under each shingle that texts have in common, the first 64 bits of their SimHash form a trie that is joined with itself
 within ``LOOSE`` bits, and what is found must agree within ``WIDE`` of 128 bits and in its number of shingles. Sets at
 the limit differ in more bits than that in about one of 80,000 cases; texts of few shingles, whose bits are
@@ -26,6 +27,7 @@ a class only if it has no other id; an empty table gives no rows; other columns
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
@@ -44,6 +46,8 @@ NEAR_SHINGLE, NEAR = 5, (4, 5)
 LOOSE, WIDE, SHORT = 24, 38, 40
 #: Bins that shingles are counted in, and bins of a row of counts.
 BINS, BIN_BLOCK = 1 << 20, 1 << 14
+#: One text in so many shows which shingles are common, how often one must be seen for that, and how many are told by themselves.
+SAMPLED, SEEN, COMMON = 16, 8, 1 << 20
 #: Nodes of a block of one key.
 KEY_BLOCK = 1 << 14
 #: Texts, and shingles of them, of a block of a family.
@@ -111,11 +115,32 @@ def bins(own: np.ndarray) -> np.ndarray:
     return (own.view(np.uint64) >> np.uint64(24)).astype(np.int64) & (BINS - 1)
 
 
-def prefix(own: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """The first shingles of a set, of which each near-duplicate of it has one among its own. ``order`` has a number for
-    each bin; shingles of equal numbers go by their hash."""
+@dataclass(frozen=True)
+class Order:
+    """The order of all shingles: those of ``common`` (ascending) last, by ``rank``, and before them all others by the number of
+    their bin; shingles of equal numbers go by their hash."""
+
+    bins: np.ndarray
+    common: np.ndarray
+    rank: np.ndarray
+
+    def numbers(self, own: np.ndarray) -> np.ndarray:
+        found = self.bins[bins(own)]
+        if len(self.common):
+            at = np.minimum(np.searchsorted(self.common, own), len(self.common) - 1)
+            hit = self.common[at] == own
+            found[hit] = 64 + self.rank[at[hit]]
+        return found
+
+
+def prefix(own: np.ndarray, order: Order | np.ndarray) -> np.ndarray:
+    """The first shingles of a set, of which each near-duplicate of it has one among its own. ``order`` may be a number for each
+    bin alone."""
+    if not len(own):
+        return own
     p, q = NEAR
-    return own[np.argsort(order[bins(own)], kind="stable")[: len(own) + (-p * len(own)) // q + 1]] if len(own) else own
+    numbers = order.numbers(own) if isinstance(order, Order) else order[bins(own)]
+    return own[np.argsort(numbers, kind="stable")[: len(own) + (-p * len(own)) // q + 1]]
 
 
 def with_fingerprints(docs: DataFrame, text: str, name: str) -> DataFrame:
@@ -151,8 +176,6 @@ def _runs(bits: list[int]) -> list[tuple[int, int]]:
 
 LAYOUTS = _layouts()
 REST_BITS = max(sum(w for _, w in rest) for _, rest in LAYOUTS)
-#: (low, width) of the key's block in a slice and of the rest.
-SLICE_LAYOUTS = [([(0, 11)], [(11, 21)]), ([(11, 11)], [(0, 11), (22, 10)]), ([(22, 10)], [(0, 22)])]
 
 
 def _gather(word: Column, ranges: list[tuple[int, int]], base: int = 0) -> Column:
@@ -527,13 +550,44 @@ def rare_first(texts: DataFrame) -> np.ndarray:
     return order
 
 
+def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many different texts have, ascending, and the binary logarithms of how many of the sampled ones do.
+
+    Bins hold the more different shingles the larger the corpus, so a passage of some thousand texts no longer stands out in
+    them; counted by themselves its shingles do, at any size. One different text in ``SAMPLED`` is looked at, which
+    only moves what is compared. The ``COMMON`` commonest at most are told (16 MB); with more, the least number of texts rises.
+    """
+    h = F.xxhash64("text")
+    one = texts.select("text", h.alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2")).where(F.pmod("h1", F.lit(SAMPLED)) == 0)
+    one = one.groupBy("h1", "h2").agg(F.first("text").alias("text")).select("text")
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"s": np.concatenate([np.zeros(0, np.int64), *map(shingle_set, pdf["text"])])})
+
+    counted = one.mapInPandas(each, "s long").groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= SEEN)
+    counted = saved(counted.withColumn("level", F.floor(4 * F.log2("n")).cast("int")))
+    total, least = 0, None
+    for r in counted.groupBy("level").agg(F.count("*").alias("k")).orderBy(F.desc("level")).collect():
+        total += r["k"]
+        if total > COMMON:
+            break
+        least = r["level"]
+    if least is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint8)
+    found = counted.where(F.col("level") >= least).select("s", (F.col("level") / 4).cast("int").alias("rank")).toArrow()
+    values = found.column("s").to_numpy()
+    order = np.argsort(values)
+    return values[order], found.column("rank").to_numpy()[order].astype(np.uint8)
+
+
 #: What tells texts apart.
 SAME_TEXT = ["h1", "h2"]
 
 
 def sketched(texts: DataFrame) -> DataFrame:
     """``texts`` with bits, check, n (shingles) and prefix in place of the text."""
-    order = texts.sparkSession.sparkContext.broadcast(rare_first(texts))
+    order = texts.sparkSession.sparkContext.broadcast(Order(rare_first(texts), *common_shingles(texts)))
 
     def work(batch: list[str | None]) -> dict[str, Any]:
         out: dict[str, list] = {"bits": [], "check": [], "n": [], "prefix": []}

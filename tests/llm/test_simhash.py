@@ -219,6 +219,22 @@ def test_rare_shingles_come_first(spark):
     assert not any(common & set(simhash.prefix(simhash.shingle_set(t), order).tolist()) for t in texts)
 
 
+def test_common_shingles_come_last(spark, monkeypatch):
+    """A passage of many texts comes last even where bins tell nothing; copies of a text count once."""
+    passage = prose(81, 30)
+    texts = [passage + " " + prose(i, 30) for i in range(40)] + [prose(300, 40)] * 50 + [None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    monkeypatch.setattr(simhash, "SAMPLED", 1)
+    common, rank = simhash.common_shingles(df)
+    assert common.tolist() == sorted(common.tolist())
+    assert set(simhash.shingle_set(passage).tolist()) <= set(common.tolist()) and len(common) < 40 and set(rank.tolist()) == {5}
+    order = simhash.Order(np.full(simhash.BINS, 9, dtype=np.uint8), common, rank)
+    assert not any(set(common.tolist()) & set(simhash.prefix(simhash.shingle_set(t), order).tolist()) for t in texts[:40])
+    assert not set(simhash.shingle_set(texts[40]).tolist()) & set(common.tolist())
+    monkeypatch.setattr(simhash, "COMMON", 10)
+    assert not len(simhash.common_shingles(df)[0]) and not len(simhash.common_shingles(df.limit(0))[0])
+
+
 def test_walk_between_two_tries():
     rng = np.random.default_rng(6)
     values = np.concatenate([np.sort(rng.integers(0, 1 << 10, n, dtype=np.uint64)) for n in (30, 50)])
