@@ -29,6 +29,8 @@ FEELING_ONLY = (
     "disappointing disappointed happy pleased satisfied"
 ).split()
 NEGATIONS = ("not", "no", "never", "n't", "hardly", "barely", "don't", "didn't", "wasn't", "isn't", "aren't", "won't", "couldn't")
+# Fixed pattern: usual English endings.
+ENDINGS = "(ingly|edly|ing|ed|es|s|ly)$"
 MOST_THEMES = 15
 
 
@@ -39,7 +41,7 @@ def words(text: Column) -> Column:
 
 def stem(word: Column) -> Column:
     """A word without its usual English ending; short words stay."""
-    cut = F.when(word.rlike("ies$"), F.regexp_replace(word, "ies$", "y")).otherwise(F.regexp_replace(word, "(ingly|edly|ing|ed|es|s|ly)$", ""))
+    cut = F.when(word.rlike("ies$"), F.regexp_replace(word, "ies$", "y")).otherwise(F.regexp_replace(word, ENDINGS, ""))
     bare = F.regexp_replace(F.regexp_replace(cut, r"(.)\1$", "$1"), "e$", "")
     return F.when(F.length(word) <= 4, word).when(bare == "", word).otherwise(bare)
 

@@ -23,8 +23,8 @@ from ..functions.values import COMMA_NUMBER, DATE_LIKE, FALSE, ISO_TIME, MISSING
 from ..operators.storage import ensure_checkpoint_dir
 from .records import Delimited, Elements, records
 
-#: Candidates in order of preference, and how much of a file tells its delimiter.
-DELIMITERS, SAMPLE_CHARS, SAMPLE_LINES = (",", "\t", ";", "|"), 50_000, 20
+# Candidates in order of preference, how much of a file tells its delimiter, and what agreement and fields count.
+DELIMITERS, SAMPLE_CHARS, SAMPLE_LINES, AGREED, FIELDS = (",", "\t", ";", "|"), 50_000, 20, 100, 50
 #: Least share of numbers or dates for a kind, most of codes among numbers, longest mean and share of labels.
 ENOUGH, CODES, LABEL_LENGTH, LABEL_SHARE, LABELS = 0.95, 0.05, 40, 0.5, 25
 
@@ -50,7 +50,7 @@ def delimiter_of(text: str) -> str:
         counts = [x.count(d) for x in bare]
         if counts and counts[0]:
             agreed = sum(c == counts[0] for c in counts) / len(counts)
-            if (score := 100 * agreed + min(counts[0], 50)) > most:
+            if (score := AGREED * agreed + min(counts[0], FIELDS)) > most:
                 best, most = d, score
     return best
 
