@@ -563,7 +563,8 @@ def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"s": np.concatenate([np.zeros(0, np.int64), *map(shingle_set, pdf["text"])])})
+            for at in range(0, len(pdf), 256):
+                yield pd.DataFrame({"s": np.concatenate(list(map(shingle_set, pdf["text"].iloc[at : at + 256])))})
 
     counted = one.mapInPandas(each, "s long").groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= SEEN)
     counted = saved(counted.withColumn("level", F.floor(4 * F.log2("n")).cast("int")))
