@@ -6,7 +6,8 @@ these and broadcasts the log-probability matrix (buckets x languages, 4 bytes ea
 that a text's n-grams select, a batch of texts at a time.
 
 Edge cases: null text and text without a letter are ``und`` with score 0, as is all if there is nothing to learn from;
-rows of null id are neither held out nor learned from; repeated rows are scored alike; an empty table gives no rows.
+texts of any length are scored whole, a block of n-grams at a time; equal scores go to the language that sorts first;
+rows of null id are neither held out nor learned from; columns of any other name are carried by ``predict``; repeated rows are scored alike; an empty table gives no rows.
 """
 
 from __future__ import annotations

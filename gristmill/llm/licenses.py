@@ -10,7 +10,7 @@ n - ceil(n*t/(2-t)) + 1 of them hold one that is. A text that holds no bigram of
 all. What is left is compared with the templates within size bounds.
 
 Edge cases: null and empty text has no unit and no match; ties of score go to the later template name; units of equal
-words count once; repeated rows are judged alike; an empty table gives no rows; only the named text column is read.
+words count once; a text of any length is one value of one row, whose windows are scored in its task; repeated rows are judged alike; an empty table gives no rows; only the named text column is read.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ that all before it let pass. The order changes the time taken, never the verdict
 cascade orders what follows it.
 
 Edge cases: null text has no words and fails the base rule; empty tables give no rows and the rules keep the order they
-were given; repeated rows are judged alike; all other columns pass through, of whatever type and name.
+were given; a text of any length is measured whole in its task; repeated rows are judged alike; all other columns pass through, of whatever type and name.
 """
 
 from __future__ import annotations

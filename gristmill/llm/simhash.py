@@ -20,7 +20,7 @@ its leading one are its class at once, and the others are compared exactly with
 family and a family of copies of one text takes a comparison each.
 
 Edge cases: null text and text without words have fingerprint 0, linked like any other, and no shingles, so they are one
-class; texts of fewer words than a shingle are one shingle; repeated rows share a class; null ids come last, so they name
+class; texts of fewer words than a shingle are one shingle; a text of any length is fingerprinted whole in its task; repeated rows share a class; null ids come last, so they name
 a class only if it has no other id; an empty table gives no rows; other columns may have any type and name.
 """
 
