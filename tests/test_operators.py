@@ -424,6 +424,23 @@ def test_natural_groups(spark):
     assert k == 2 and sizes == {1: 41, 2: 20, None: 1}  # one of two values is enough, the other is the median
 
 
+def test_natural_groups_that_take_turns(spark):
+    """Three clouds by the row number modulo 6: a sample of every sixth row would see one of them only."""
+    cloud = lambda *v: F.when(F.col("id") % 6 < 3, v[0]).when(F.col("id") % 6 < 5, v[1]).otherwise(v[2])
+    df = spark.range(18000).select("id", (cloud(0, 100, 200) + F.col("id") % 50 / 10).alias("x"), (cloud(300, 0, 150) + F.col("id") % 7 / 10).alias("y"))
+    made, k = analyses.natural_groups(df, ["x", "y"], order=["id"])
+    assert k == 3 and made.where(cloud(1, 2, 3) != F.col("segment")).count() == 0
+
+
+@pytest.mark.parametrize(("total", "n"), [(0, 5), (4, 5), (5, 5), (6, 5), (1000, 7), (18000, 3000), (9999, 1000)])
+def test_scattered_sample_is_exact(spark, total, n):
+    found = sorted(r[0] for r in sorting.scattered_sample(spark.range(total).withColumnRenamed("id", "_rid"), n).collect())
+    if total <= n:
+        assert found == list(range(total))
+    else:
+        assert len(found) == n and all(k * total // n <= r < (k + 1) * total // n for k, r in enumerate(found))
+
+
 def test_tone_and_stems(spark):
     tones = [("not good at all", -1), ("good, but not bad", 1), ("", 0), (None, 0), ("Never a problem", 0), ("great!", 1)]
     df = spark.createDataFrame([(t,) for t, _ in tones], "t string")
