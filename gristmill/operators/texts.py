@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.values import let
+
 #: English words without a topic, words of good and bad feeling, and words that turn a feeling round.
 STOP = (
     "a about above after again against all am an and any are aren't as at be because been before being below between both but by can can't cannot could "
@@ -51,16 +53,21 @@ def _among(c: Column, fixed) -> Column:
 
 
 def tone(text: Column) -> Column:
-    """1, 0 or -1: the sign of the good words less the bad ones, each turned round by a negation one or two words before."""
-    w = words(text)
-    before = lambda i, k: F.coalesce(F.get(w, i - k), F.lit(""))
+    """1, 0 or -1: the sign of the good words less the bad ones, each turned round by a negation one or two words before.
+
+    The words are taken once a text: named within the function of each word, they would be taken anew for every word.
+    """
+
+    def total(w: Column) -> Column:
+        before = lambda i, k: F.coalesce(F.get(w, i - k), F.lit(""))
+
+        def value(x: Column, i: Column) -> Column:
+            flip = F.when(_among(before(i, 1), NEGATIONS) | _among(before(i, 2), NEGATIONS), -1).otherwise(1)
+            return F.when(_among(x, POSITIVE), flip).when(_among(x, NEGATIVE), -flip).otherwise(0)
 
-    def value(x: Column, i: Column) -> Column:
-        flip = F.when(_among(before(i, 1), NEGATIONS) | _among(before(i, 2), NEGATIONS), -1).otherwise(1)
-        return flip * F.when(_among(x, POSITIVE), 1).when(_among(x, NEGATIVE), -1).otherwise(0)
+        return F.aggregate(F.transform(w, value), F.lit(0), lambda a, b: a + b)
 
-    total = F.aggregate(F.transform(w, value), F.lit(0), lambda a, b: a + b)
-    return F.coalesce(F.signum(total.cast("double")).cast("int"), F.lit(0))
+    return F.coalesce(F.signum(let(words(text), total).cast("double")).cast("int"), F.lit(0))
 
 
 def answered(df: DataFrame, column: str) -> DataFrame:

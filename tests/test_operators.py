@@ -424,6 +424,13 @@ def test_natural_groups(spark):
     assert k == 2 and sizes == {1: 41, 2: 20, None: 1}  # one of two values is enough, the other is the median
 
 
+def test_tone_takes_the_words_of_a_text_once(spark):
+    long = " ".join(["not so good"] * 3 + ["word"] * 4000 + ["great"] * 4)
+    made = spark.createDataFrame([(long,)], "t string").select(texts.tone(F.col("t")).alias("tone"))
+    assert made.first().tone == 1
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 1
+
+
 def test_natural_groups_that_take_turns(spark):
     """Three clouds by the row number modulo 6: a sample of every sixth row would see one of them only."""
     cloud = lambda *v: F.when(F.col("id") % 6 < 3, v[0]).when(F.col("id") % 6 < 5, v[1]).otherwise(v[2])
