@@ -14,15 +14,19 @@ from __future__ import annotations
 import itertools
 import re
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any, Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window as W
 
+from ..operators.storage import saved
+
 #: Parts of a record: all of it, its end, its beginning, or a range that lies within it.
 WHOLE, END, BEGIN, MIDDLE = range(4)
+#: Lines of delimited text that are looked at at once.
+LINES = 2048
 #: A range within its file: file, begin (byte).
 Range = tuple[str, int]
 
@@ -44,44 +48,46 @@ class Scanner(Protocol):
 
 class Delimited:
     """Delimited text: quotes may hold delimiters and line ends, and count at the start of a field only. The state says whether
-    a range begins within quotes."""
+    a range begins within quotes.
+
+    Lines are looked at in chunks of ``LINES``, each with a few patterns, and not one by one. A chunk ends with a line, so what
+    is left of it begins a record that is open.
+    """
 
     separator = "\n"
 
     def __init__(self, delimiter: str, encoding: str):
         d, self.encoding = re.escape(delimiter), "cp1252" if encoding == "windows-1252" else encoding
-        self.closing = re.compile(r'(?:[^"]++|"")*+"')
-        self.closed = re.compile(rf'(^|{d})"(?:[^"]++|"")*+"')
-        self.opening = re.compile(rf'(?:^|{d})"')
-
-    def after(self, line: str, is_open: bool) -> bool:
-        """Whether quotes are open behind a line."""
-        if '"' not in line:
+        starts = rf"(?<![^{d}\r\n])" if len(delimiter) == 1 else rf"(?:(?<![^\r\n])|(?<={d}))"
+        closed = r'"[^"]*+(?:""[^"]*+)*+"'
+        self.closing = re.compile(closed[1:])
+        self.closed = re.compile(starts + closed)
+        self.opening = re.compile(starts + '"')
+        # a record with its line end, or all that stands behind the start of one that is open
+        self.record = re.compile(rf'(?:[^"\r\n]++|{starts}{closed}|(?!{starts})")*+(?:\r\n|\r|\n|"[\s\S]*)')
+
+    def after(self, text: str, is_open: bool) -> bool:
+        """Whether quotes are open behind lines."""
+        if '"' not in text:
             return is_open
         if is_open:
-            if not (m := self.closing.match(line)):
+            if not (m := self.closing.match(text)):
                 return True
-            line = "-" + line[m.end() :]
-        return bool(self.opening.search(self.closed.sub(r"\1", line)))
-
-    def lines(self, pieces: Iterable[bytes], first: bool) -> Iterator[str]:
-        """Lines with their ends; a carriage return alone ends a line too. A byte order mark before the first goes."""
-        for i, piece in enumerate(pieces):
-            text = piece.decode(self.encoding, "replace") + "\n"
-            if first and not i:
-                text = text.removeprefix("\ufeff")
-            if "\r" in text:
-                yield from re.split(r"(?<=\r)(?!\n)", text)
-            else:
-                yield text
+            text = "-" + text[m.end() :]
+        return bool(self.opening.search(self.closed.sub("-", text)))
+
+    def chunks(self, pieces: Iterable[bytes], first: bool) -> Iterator[str]:
+        """Lines with their ends, many at once."""
+        for i, held in enumerate(itertools.batched(pieces, LINES)):
+            text = b"\n".join(held).decode(self.encoding, "replace") + "\n"
+            yield text.removeprefix("\ufeff") if first and not i else text
 
     def effect(self, pieces: Iterable[bytes], first: bool) -> list[int]:
         closed, opened = False, True
-        for line in self.lines(pieces, first):
-            if '"' in line:
-                same = closed == opened
-                closed = self.after(line, closed)
-                opened = closed if same else self.after(line, opened)
+        for text in self.chunks(pieces, first):
+            same = closed == opened
+            closed = self.after(text, closed)
+            opened = closed if same else self.after(text, opened)
         return [closed, opened]
 
     def states(self, effects: list[list[int]]) -> list[bool]:
@@ -92,18 +98,27 @@ class Delimited:
         return [*found, now]
 
     def cut(self, pieces: Iterable[bytes], state: bool, first: bool) -> Iterator[tuple[int, str]]:
-        """Blank lines between records are left out, and the line ends behind them."""
+        """Blank lines between records are left out, and the line ends behind them; a carriage return alone ends a line too."""
         held, now, inside = [], state, state
-        for line in self.lines(pieces, first):
-            now = self.after(line, now)
+        for text in self.chunks(pieces, first):
+            at = 0
             if now:
-                held.append(line)
-                continue
-            held.append(line.removesuffix("\n").removesuffix("\r"))
-            text = "".join(held) if len(held) > 1 else held[0]
-            if inside or text.strip():
-                yield END if inside else WHOLE, text
-            held, inside = [], False
+                m = self.closing.match(text)
+                end = m and self.record.match(text, m.end())
+                if not end or self.after(end[0], False):
+                    held.append(text)
+                    continue
+                held.append(text[: end.end()])
+                yield END if inside else WHOLE, "".join(held).removesuffix("\n").removesuffix("\r")
+                held, inside, at = [], False, end.end()
+            found = self.record.findall(text, at)
+            now = bool(found) and self.after(found[-1], False)
+            if now:
+                held.append(found.pop())
+            for line in found:
+                if line := line.removesuffix("\n").removesuffix("\r"):
+                    if not line.isspace():
+                        yield WHOLE, line
         if held:
             yield MIDDLE if inside else BEGIN, "".join(held)
 
@@ -244,7 +259,8 @@ def effects_of(pieces: DataFrame, scanner: Scanner) -> dict[str, list[tuple[int,
             yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([begin], pa.int64()), pa.array([made], pa.list_(pa.int64()))], names=["file", "begin", "effect"])
 
     found: dict[str, list[tuple[int, list[int]]]] = defaultdict(list)
-    for r in pieces.mapInArrow(run, "file string, begin long, effect array<long>").orderBy("file", "begin").toLocalIterator():
+    # sorted here: in Spark all ranges would be read once more to sample their order
+    for r in sorted(pieces.mapInArrow(run, "file string, begin long, effect array<long>").collect()):
         found[r.file].append((r.begin, r.effect))
     return found
 
@@ -263,18 +279,23 @@ def records(spark: SparkSession, path: str, scanner: Scanner) -> DataFrame:
         whole = whole and len(starts) == 1 and not last
     known = spark.sparkContext.broadcast(states)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (file, begin), group in _ranges(batches):
-            cut = enumerate(scanner.cut(group, known.value[file, begin], begin == 0))
-            for held in _batches((n, part, text) for n, (part, text) in cut):
-                n, part, text = zip(*held, strict=True)
-                same = [pa.array([v] * len(held), t) for v, t in ((file, pa.string()), (begin, pa.int64()))]
-                yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), *same, pa.array(n, pa.int64()), pa.array(part, pa.int32())], names=names)
+    def cut(wanted: Callable[[int], bool]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for (file, begin), group in _ranges(batches):
+                found = enumerate(scanner.cut(group, known.value[file, begin], begin == 0))
+                for held in _batches((n, part, text) for n, (part, text) in found if wanted(part)):
+                    n, part, text = zip(*held, strict=True)
+                    same = [pa.repeat(pa.scalar(v, t), len(held)) for v, t in ((file, pa.string()), (begin, pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), *same, pa.array(n, pa.int64()), pa.array(part, pa.int32())], names=names)
+
+        return pieces.mapInArrow(run, "record string, file string, begin long, n long, part int")
 
     names = ["record", "file", "begin", "n", "part"]
-    cut = pieces.mapInArrow(run, "record string, file string, begin long, n long, part int")
-    found = cut.where(F.col("part") == WHOLE).drop("part")
-    return found if whole else found.unionByName(crossing(cut.where(F.col("part") != WHOLE)))
+    found = cut(lambda part: part == WHOLE).drop("part")
+    if whole:
+        return found
+    # the few parts are kept: each use of the table would cut all ranges once more for them
+    return found.unionByName(crossing(saved(cut(lambda part: part != WHOLE))))
 
 
 def _batches(rows: Iterable[tuple[int, int, str]], most: int = 4096, chars: int = 1 << 22) -> Iterator[list[tuple[int, int, str]]]:

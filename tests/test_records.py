@@ -50,6 +50,40 @@ def test_random_delimited_text(spark, tmp_path, small_ranges):
         assert sorted(tuple(r) for r in found.collect()) == sorted(tuple(r) for r in rows)
 
 
+def test_ranges_are_read_once_a_use(spark, tmp_path, small_ranges):
+    """One pass for the states, one for the parts of records that cross ranges, then one for each use of the table."""
+    (tmp_path / "f.csv").write_text("k,v\n" + "".join(f'{i},"line\nof {i}"\n' for i in range(100)))
+    effects, cuts = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    class Counted(rec.Delimited):
+        def effect(self, pieces, first):
+            effects.add(1)
+            return super().effect(pieces, first)
+
+        def cut(self, pieces, state, first):
+            cuts.add(1)
+            return super().cut(pieces, state, first)
+
+    found = rec.records(spark, str(tmp_path / "f.csv"), Counted(",", "UTF-8"))
+    ranges = effects.value
+    assert ranges == found.select("begin").distinct().count() > 8
+    before = cuts.value
+    assert before == 2 * ranges and len(found.collect()) == 101 and cuts.value - before == ranges
+
+
+@pytest.mark.parametrize("lines", [1, 2, 5])
+def test_chunks_of_lines(monkeypatch, lines):
+    """Records and parts do not hang on how many lines are looked at at once."""
+    rnd = random.Random(8)
+    for _ in range(300):
+        text = ["".join(rnd.choice(['"', '"', ",", "a", '""', "\r", " "]) for _ in range(rnd.randint(0, 8))).encode() for _ in range(6)]
+        one, state = rec.Delimited(",", "UTF-8"), rnd.random() < 0.5
+        monkeypatch.setattr(rec, "LINES", 1000)
+        whole = list(one.cut(text, state, False)), one.effect(text, False)
+        monkeypatch.setattr(rec, "LINES", lines)
+        assert (list(one.cut(text, state, False)), one.effect(text, False)) == whole
+
+
 def test_ends_of_files(spark, tmp_path, small_ranges):
     (tmp_path / "open.csv").write_text('a,b\n1,"two\nthree' + " and on" * 40 + "\n4,5")
     found = source.read_delimited(spark, str(tmp_path / "open.csv"))
