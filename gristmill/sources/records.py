@@ -25,6 +25,8 @@ from ..operators.storage import saved
 
 #: Parts of a record: all of it, its end, its beginning, or a range that lies within it.
 WHOLE, END, BEGIN, MIDDLE = range(4)
+#: A row that has the most fields of a range's whole records as its number.
+WIDEST = 4
 #: Lines of delimited text that are looked at at once.
 LINES = 2048
 #: A range within its file: file, begin (byte).
@@ -57,7 +59,8 @@ class Delimited:
     separator = "\n"
 
     def __init__(self, delimiter: str, encoding: str):
-        d, self.encoding = re.escape(delimiter), "cp1252" if encoding == "windows-1252" else encoding
+        d, self.delimiter = re.escape(delimiter), delimiter
+        self.encoding = "cp1252" if encoding == "windows-1252" else encoding
         starts = rf"(?<![^{d}\r\n])" if len(delimiter) == 1 else rf"(?:(?<![^\r\n])|(?<={d}))"
         closed = r'"[^"]*+(?:""[^"]*+)*+"'
         self.closing = re.compile(closed[1:])
@@ -90,6 +93,10 @@ class Delimited:
             opened = closed if same else self.after(text, opened)
         return [closed, opened]
 
+    def width(self, record: str) -> int:
+        """Number of fields of a whole record."""
+        return (self.closed.sub("-", record) if '"' in record else record).count(self.delimiter) + 1
+
     def states(self, effects: list[list[int]]) -> list[bool]:
         found, now = [], False
         for made in effects:
@@ -270,6 +277,11 @@ def records(spark: SparkSession, path: str, scanner: Scanner) -> DataFrame:
 
     A record that crosses ranges is the last of those that begin in its range; such rows come behind all others.
     """
+    return measured(spark, path, scanner)[0]
+
+
+def measured(spark: SparkSession, path: str, scanner: Scanner, width: Callable[[str], int] | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """The records, those of them that cross ranges, and the most that ``width`` finds of the others (0 without it)."""
     pieces = pieces_of(spark, path, scanner.separator)
     states: dict[Range, Any] = {}
     whole = True
@@ -279,23 +291,37 @@ def records(spark: SparkSession, path: str, scanner: Scanner) -> DataFrame:
         whole = whole and len(starts) == 1 and not last
     known = spark.sparkContext.broadcast(states)
 
-    def cut(wanted: Callable[[int], bool]) -> DataFrame:
+    def cut(rows: Callable[[Iterator[tuple[int, str]]], Iterator[tuple[int, int, str]]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for (file, begin), group in _ranges(batches):
-                found = enumerate(scanner.cut(group, known.value[file, begin], begin == 0))
-                for held in _batches((n, part, text) for n, (part, text) in found if wanted(part)):
+                for held in _batches(rows(scanner.cut(group, known.value[file, begin], begin == 0))):
                     n, part, text = zip(*held, strict=True)
                     same = [pa.repeat(pa.scalar(v, t), len(held)) for v, t in ((file, pa.string()), (begin, pa.int64()))]
                     yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), *same, pa.array(n, pa.int64()), pa.array(part, pa.int32())], names=names)
 
         return pieces.mapInArrow(run, "record string, file string, begin long, n long, part int")
 
+    def wholes(found: Iterator[tuple[int, str]]) -> Iterator[tuple[int, int, str]]:
+        return ((n, part, text) for n, (part, text) in enumerate(found) if part == WHOLE)
+
+    def parts(found: Iterator[tuple[int, str]]) -> Iterator[tuple[int, int, str]]:
+        most = 0
+        for n, (part, text) in enumerate(found):
+            if part != WHOLE:
+                yield n, part, text
+            elif width:
+                most = max(most, width(text))
+        yield most, WIDEST, ""
+
     names = ["record", "file", "begin", "n", "part"]
-    found = cut(lambda part: part == WHOLE).drop("part")
-    if whole:
-        return found
+    found = cut(wholes).drop("part")
+    if whole and not width:
+        return found, found.limit(0), 0
     # the few parts are kept: each use of the table would cut all ranges once more for them
-    return found.unionByName(crossing(saved(cut(lambda part: part != WHOLE))))
+    kept = saved(cut(parts))
+    most = kept.where(F.col("part") == WIDEST).agg(F.max("n")).first()[0] or 0
+    crossed = crossing(kept.where(F.col("part") != WIDEST))
+    return found if whole else found.unionByName(crossed), crossed, most
 
 
 def _batches(rows: Iterable[tuple[int, int, str]], most: int = 4096, chars: int = 1 << 22) -> Iterator[list[tuple[int, int, str]]]:

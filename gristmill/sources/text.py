@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.values import COMMA_NUMBER, DATE_LIKE, FALSE, ISO_TIME, MISSING, RAW, TRUE, TWO_WAY_DATE, marked, parse, parse_date, reads_date, reads_number, trimmed
 from ..operators.storage import ensure_checkpoint_dir
-from .records import Delimited, Elements, records
+from .records import Delimited, Elements, measured, records
 
 # Candidates in order of preference, how much of a file tells its delimiter, and what agreement and fields count.
 DELIMITERS, SAMPLE_CHARS, SAMPLE_LINES, AGREED, FIELDS = (",", "\t", ";", "|"), 50_000, 20, 100, 50
@@ -126,8 +126,10 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
     options = {"sep": delimiter, "quote": '"', "escape": '"', "multiLine": str(multi).lower(), "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"}
     schema = lambda: ", ".join(f"c{i} string" for i in range(most))
     if multi and not wide:
-        cut = records(spark, path, Delimited(delimiter, encoding)).where(~((F.col("begin") == 0) & (F.col("n") == 0)))
-        most = max(most, cut.agg(F.max(_fields(F.col("record"), delimiter)[0])).first()[0] or 0)
+        scanner = Delimited(delimiter, encoding)
+        cut, crossed, widest = measured(spark, path, scanner, scanner.width)
+        cut = cut.where(~((F.col("begin") == 0) & (F.col("n") == 0)))
+        most = max(most, widest, crossed.agg(F.max(_fields(F.col("record"), delimiter)[0])).first()[0] or 0)
         names = unique_headers([*first, *[None] * (most - len(first))])
         return cut.select(F.from_csv("record", schema(), options).alias("r")).select("r.*").toDF(*names)
     reader = spark.read.options(**options).option("encoding", "ISO-8859-1" if encoding == "windows-1252" else encoding)

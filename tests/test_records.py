@@ -71,6 +71,15 @@ def test_ranges_are_read_once_a_use(spark, tmp_path, small_ranges):
     assert before == 2 * ranges and len(found.collect()) == 101 and cuts.value - before == ranges
 
 
+@pytest.mark.parametrize("cell", ["x", "word " * 40])
+def test_the_widest_record_has_a_line_end(spark, tmp_path, small_ranges, cell):
+    """Fields are counted in records, within a range or across ranges, not in lines."""
+    (tmp_path / "w.csv").write_text("k,v\n" + 'a,"b\nc"\n' * 20 + f'1,2,"{cell}\n,{cell}",4\n' + 'a,"b\nc"\n' * 20)
+    found = source.read_delimited(spark, str(tmp_path / "w.csv"))
+    assert found.columns == ["k", "v", "Column 3", "Column 4"]
+    assert tuple(found.where("`Column 4` = '4'").first()) == ("1", "2", f"{cell}\n,{cell}", "4") and found.count() == 41
+
+
 @pytest.mark.parametrize("lines", [1, 2, 5])
 def test_chunks_of_lines(monkeypatch, lines):
     """Records and parts do not hang on how many lines are looked at at once."""
